@@ -38,7 +38,7 @@ def irregular_documents(values: DataFrame, headers: DataFrame, part_rows: int =
     days = values.withColumn("day", floor_div(micros(F.col("obstime")), DAY_US))
     parts = bounded_parts(days, ["timeseries"], "day", part_rows)
     arrays = parts.groupBy("timeseries", "part_no").agg(
-        F.array_sort(F.collect_list(F.struct("obstime", "obsvalue"))).alias("rows")
+        F.sort_array(F.collect_list(F.struct("obstime", "obsvalue"))).alias("rows")
     )
     # An existing series without values in range has one empty document.
     joined = headers.join(arrays, "timeseries", "left").withColumn("rows", F.coalesce("rows", F.array()))
@@ -46,7 +46,7 @@ def irregular_documents(values: DataFrame, headers: DataFrame, part_rows: int =
         "timeseries",
         F.coalesce("part_no", F.lit(0)).alias("part_no"),
         F.lit("Irregular").alias("regularity"),
-        F.transform("rows", lambda r: r["obsvalue"]).alias("data"),
+        F.col("rows.obsvalue").alias("data"),
         _header().alias("header"),
         F.transform("rows", lambda r: rfc3339(r["obstime"])).alias("timestamps"),
     )
@@ -59,14 +59,14 @@ def regular_documents(slots: DataFrame, ranges: DataFrame, resolution: str, part
     """
     numbered = slots.withColumn("part_no", floor_div(F.col("slot_no"), part_rows).cast("int"))
     arrays = numbered.groupBy("timeseries", "part_no").agg(
-        F.array_sort(F.collect_list(F.struct("slot_no", "slot", "obsvalue"))).alias("rows")
+        F.sort_array(F.collect_list(F.struct("slot_no", "slot", "obsvalue"))).alias("rows")
     )
     joined = ranges.join(arrays, "timeseries", "left").withColumn("rows", F.coalesce("rows", F.array()))
     return joined.select(
         "timeseries",
         F.coalesce("part_no", F.lit(0)).alias("part_no"),
         F.lit("Regular").alias("regularity"),
-        F.transform("rows", lambda r: r["obsvalue"]).alias("data"),
+        F.col("rows.obsvalue").alias("data"),
         _header().alias("header"),
         rfc3339(F.coalesce(F.get("rows", F.lit(0))["slot"], F.col("first"))).alias("start_time"),
         F.lit(resolution).alias("time_resolution"),
@@ -90,7 +90,7 @@ def timeslice_documents(slices: DataFrame, part_rows: int = PART_ROWS) -> DataFr
     parts = bounded_parts(blocks, ["ts", "param_id"], "id_block", part_rows)
     element = F.struct("timeseries", "station_id", F.col("obsvalue").alias("value"), "loc")
     return parts.groupBy("ts", "param_id", "part_no").agg(
-        F.array_sort(F.collect_list(element)).alias("rows")
+        F.sort_array(F.collect_list(element)).alias("rows")
     ).select(
         "ts", "param_id", "part_no",
         F.transform("rows", lambda r: F.struct(r["station_id"].alias("station_id"), r["value"].alias("value"), r["loc"].alias("loc"))).alias("data"),
@@ -113,7 +113,7 @@ def latest_documents(newest: DataFrame, part_rows: int = PART_ROWS) -> DataFrame
     element = F.struct(
         "timeseries", F.col("obsvalue").alias("value"), rfc3339(F.col("obstime")).alias("timestamp"), "station_id", "loc"
     )
-    return parts.groupBy("part_no").agg(F.array_sort(F.collect_list(element)).alias("rows")).select(
+    return parts.groupBy("part_no").agg(F.sort_array(F.collect_list(element)).alias("rows")).select(
         "part_no",
         F.transform(
             "rows",
