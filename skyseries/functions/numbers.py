@@ -7,7 +7,9 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed value: decimal number grammar, without the words for infinity and not-a-number.
-DECIMAL = r"(?i)^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)(e[+-]?[0-9]+)?$"
+DECIMAL = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
+# The same with the words.
+FLOAT = r"(?i)^[+-]?([0-9]+\.?[0-9]*(e[+-]?[0-9]+)?|\.[0-9]+(e[+-]?[0-9]+)?|inf|infinity|nan)$"
 
 
 def strict_int(text: Column, type_name: str = "int") -> Column:
@@ -20,6 +22,11 @@ def strict_unsigned(text: Column) -> Column:
     return F.when(text.rlike(r"^[+]?[0-9]+$"), text.try_cast("bigint"))
 
 
+def is_float(text: Column) -> Column:
+    """Whether `strict_float` gives a value."""
+    return text.rlike(FLOAT)
+
+
 def strict_float(text: Column, type_name: str = "float") -> Column:
     """Decimal number, infinity or not-a-number; NULL when malformed."""
     word = F.lower(text)

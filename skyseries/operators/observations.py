@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyseries.functions.numbers import strict_float, strict_int, strict_unsigned
+from skyseries.functions.numbers import is_float, strict_float, strict_int, strict_unsigned
 from skyseries.functions.times import compact_time, compact_time_fault
 from skyseries.operators.skew import lookup_join
 
@@ -25,6 +25,11 @@ IGNORED_FIELD = "add"
 STATION_KEY, TYPE_KEY, ID_KEY, TIME_KEY = "nationalnr", "type", "messageid", "received_time"
 COLUMN_PATTERN = r"([^(),]+)(\(([0-9]+),([0-9]+)\))?"
 
+# Header lines that surely have no fault; the others are looked at field by field.
+PLAIN_HEADER = (
+    f"^{INDICATOR}(/({IGNORED_FIELD}|({STATION_KEY}|{TYPE_KEY})=[+-]?[0-9]{{1,9}}|{ID_KEY}=[0-9]{{1,18}}|{TIME_KEY}=[^/]*))*$"
+)
+
 # Stages in the order in which a message is read; the smallest (stage, row, col) names the fault.
 HEADER, LINES, BODY, EMPTY, CATALOGUE, STORAGE = range(6)
 
@@ -53,7 +58,8 @@ def fault(stage, row_no, col_no, code: str, detail) -> Column:
 
 def _lines(msg: Column) -> Column:
     """Lines of a text; a final line break starts no further line."""
-    parts = F.split(msg, "\r?\n")
+    # Split on one plain character: a pattern would be compiled anew for every message.
+    parts = F.split(F.replace(msg, F.lit("\r\n"), F.lit("\n")), "\n")
     return F.when(F.get(parts, F.size(parts) - 1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 
@@ -82,27 +88,27 @@ def _header_faults(fields: Column) -> Column:
     return F.transform(fields, check)
 
 
-def _header_value(fields: Column, key: str) -> Column:
-    """Text of the last field with this key."""
-    prefix = f"{key}="
-    matches = F.filter(fields, lambda f: f.startswith(prefix))
-    return F.substring(F.try_element_at(matches, F.lit(-1)), len(prefix) + 1, 2**31 - 1)
+def _header_value(header: Column, key: str) -> Column:
+    """Text of the last field with this key, empty without one."""
+    return F.regexp_extract(header, f"(?s)^.*/{key}=([^/]*)", 1)
 
 
-def _columns(line: Column) -> Column:
-    zipped = F.arrays_zip(
-        *[F.regexp_extract_all(line, F.lit(COLUMN_PATTERN), F.lit(g)).alias(n) for g, n in
-          [(1, "code"), (2, "pair"), (3, "sensor"), (4, "lvl")]]
-    )
-    return F.transform(
-        zipped,
-        lambda c: F.struct(
-            c["code"].alias("code"),
-            strict_int(c["sensor"]).alias("sensor"),
-            strict_int(c["lvl"]).alias("lvl"),
-            ((c["pair"] != "") & (strict_int(c["sensor"]).isNull() | strict_int(c["lvl"]).isNull())).alias("bad"),
-        ),
-    )
+def _columns() -> Column:
+    """Code, sensor and level of every column name, from the lists `codes` and `pairs`."""
+    none = F.lit(None).cast("int")
+
+    def column(code, i):
+        pair = F.get("pairs", i)
+        numbers = F.split(F.translate(pair, "()", ""), ",")
+        sensor, lvl = strict_int(F.get(numbers, F.lit(0))), strict_int(F.get(numbers, F.lit(1)))
+        # The pattern lets only digits through, so a missing number is one that is too large.
+        return F.when(
+            pair == "", F.struct(code.alias("code"), none.alias("sensor"), none.alias("lvl"), F.lit(False).alias("bad"))
+        ).otherwise(
+            F.struct(code.alias("code"), sensor.alias("sensor"), lvl.alias("lvl"), (sensor.isNull() | lvl.isNull()).alias("bad"))
+        )
+
+    return F.transform("codes", column)
 
 
 def _structure(messages: DataFrame) -> DataFrame:
@@ -111,25 +117,36 @@ def _structure(messages: DataFrame) -> DataFrame:
     split = lines.select(
         "message_seq",
         F.size("lines").alias("n_lines"),
-        F.split(F.coalesce(F.get("lines", F.lit(0)), F.lit("")), "/").alias("fields"),
-        _columns(F.coalesce(F.get("lines", F.lit(1)), F.lit(""))).alias("columns"),
+        F.coalesce(F.get("lines", F.lit(0)), F.lit("")).alias("header"),
+        F.coalesce(F.get("lines", F.lit(1)), F.lit("")).alias("names"),
         F.slice("lines", 3, F.greatest(F.size("lines") - 2, F.lit(0))).alias("body"),
     )
-    parsed = split.select(
+    # What the expressions below use more than once is made one step earlier, or each use repeats it.
+    texts = split.select(
         "*",
-        strict_int(_header_value(F.col("fields"), STATION_KEY)).alias("station_id"),
-        strict_int(_header_value(F.col("fields"), TYPE_KEY)).alias("type_id"),
-        F.coalesce(strict_unsigned(_header_value(F.col("fields"), ID_KEY)), F.lit(0)).alias("message_id"),
+        _header_value(F.col("header"), STATION_KEY).alias("station_text"),
+        _header_value(F.col("header"), TYPE_KEY).alias("type_text"),
+        _header_value(F.col("header"), ID_KEY).alias("id_text"),
+        F.regexp_extract_all("names", F.lit(COLUMN_PATTERN), F.lit(1)).alias("codes"),
+        F.regexp_extract_all("names", F.lit(COLUMN_PATTERN), F.lit(2)).alias("pairs"),
+    )
+    parsed = texts.select(
+        "n_lines", "message_seq", "header",
+        strict_int(F.col("station_text")).alias("station_id"),
+        strict_int(F.col("type_text")).alias("type_id"),
+        F.coalesce(strict_unsigned(F.col("id_text")), F.lit(0)).alias("message_id"),
+        _columns().alias("columns"),
         F.transform("body", _body_row).alias("rows"),
     )
 
     def lacks(key):
-        return ~F.exists("fields", lambda f: f.startswith(f"{key}="))
+        return ~F.col("header").contains(f"/{key}=")
 
+    fields = F.split("header", "/")
     header_faults = F.concat(
-        _header_faults(F.col("fields")),
+        F.when(F.col("header").rlike(PLAIN_HEADER), F.array()).otherwise(_header_faults(fields)),
         F.array(
-            F.when(F.get("fields", F.lit(0)) != INDICATOR,
+            F.when(F.get(fields, F.lit(0)) != INDICATOR,
                    fault(HEADER, 0, -1, "NO_INDICATOR", "kldata indicator missing or out of order")),
             F.when(lacks(STATION_KEY),
                    fault(HEADER, 1, 0, "MISSING_STATION", "missing field `nationalnr` in kldata header")),
@@ -150,11 +167,11 @@ def _structure(messages: DataFrame) -> DataFrame:
         "rows",
         lambda r: F.when(r["obstime"].isNull(),
                          fault(BODY, r["row_no"], -1, "BAD_TIME", compact_time_fault(r["raw_time"])))
-        .when(F.size(r["values"]) > F.size("columns"),
+        .when(F.size(r["cells"]) - 1 > F.size("columns"),
               fault(BODY, r["row_no"], F.size("columns"), "TOO_MANY_VALUES", "more values than columns in kldata csv")),
     )
     empty = F.array(
-        F.when(~F.exists("rows", lambda r: F.size(r["values"]) > 0),
+        F.when(~F.exists("rows", lambda r: F.size(r["cells"]) > 1),
                fault(EMPTY, 0, 0, "EMPTY_BODY", "empty row in kldata csv"))
     )
     return parsed.select(
@@ -164,13 +181,13 @@ def _structure(messages: DataFrame) -> DataFrame:
 
 
 def _body_row(line: Column, row_no: Column) -> Column:
-    cells = F.split(line, ",")
-    raw_time = F.get(cells, F.lit(0))
+    """A body line: its time, and its cells with the time as cell 0."""
+    raw_time = F.substring_index(line, ",", 1)
     return F.struct(
         row_no.alias("row_no"),
         raw_time.alias("raw_time"),
         compact_time(raw_time).alias("obstime"),
-        F.slice(cells, 2, F.size(cells) - 1).alias("values"),
+        F.split(line, ",").alias("cells"),
     )
 
 
@@ -189,9 +206,9 @@ def _explode_values(base: DataFrame, number_type: str) -> DataFrame:
     # The outer form keeps the optimizer from evaluating the whole decoding once more in a filter
     # below the generator; the filter after it drops the empty row.
     rows = base.select("*", F.explode_outer("rows").alias("r")).drop("rows").where(F.col("r.row_no").isNotNull())
-    values = rows.select(
-        "*", F.posexplode_outer("r.values").alias("col_no", "value_text")
-    ).where(F.col("col_no").isNotNull())
+    values = rows.select("*", F.posexplode_outer("r.cells").alias("cell_no", "value_text")).where(
+        F.col("cell_no") > 0
+    ).withColumn("col_no", F.col("cell_no") - 1)
     column = F.get("columns", F.col("col_no"))
     return values.select(
         "message_seq", F.col("r.row_no").alias("row_no"), "col_no", "station_id", "type_id", "message_id",
@@ -219,15 +236,21 @@ def decode(messages: DataFrame, params: DataFrame, codes=None, number_type: str
     def is_known(code):
         return code.isin(scalar + text) if scalar or text else F.lit(False)
 
+    kinds = F.transform(
+        "columns", lambda c: F.when(is_scalar(c["code"]), "number").when(is_known(c["code"]), "text").otherwise("unknown")
+    )
+
     def value_faults(r):
-        def check(value, i):
-            code = F.get("columns", i)["code"]
-            return F.when(is_scalar(code) & strict_float(value).isNull(), _number_fault(r["row_no"], i, value)).when(
-                ~is_known(code), _unknown_fault(r["row_no"], i, code)
-            )
+        def check(value, cell_no):
+            kind = F.get("kinds", cell_no - 1)
+            code = F.get("columns", cell_no - 1)["code"]
+            return F.when((cell_no > 0) & (kind != "text"),
+                          F.when((kind == "number") & ~is_float(value), _number_fault(r["row_no"], cell_no - 1, value))
+                          .when(kind == "unknown", _unknown_fault(r["row_no"], cell_no - 1, code)))
 
-        return F.array_min(F.transform(r["values"], check))
+        return F.array_min(F.transform(r["cells"], check))
 
+    base = base.withColumn("kinds", kinds)
     outcome = base.select(
         "message_seq", "message_id", "station_id", "type_id", "columns", "rows",
         F.array_min(F.concat("faults", F.transform("rows", value_faults))).alias("fault"),
@@ -273,17 +296,20 @@ def _decode_by_join(base: DataFrame, params: DataFrame, number_type: str) -> Dec
 
 def rejects(decoded: Decoded) -> DataFrame:
     """One row per rejected message: the first fault in reading order."""
-    return decoded.messages.where(F.col("fault").isNotNull()).select(
-        "message_seq", "fault.code", "fault.detail", "fault.row_no", "fault.col_no", F.lit(False).alias("retry")
+    # Inlining evaluates the fault once; a filter on it would repeat the decoding below.
+    faults = decoded.messages.select("message_seq", F.inline_outer(F.array("fault")))
+    return faults.where(F.col("code").isNotNull()).select(
+        "message_seq", "code", "detail", "row_no", "col_no", F.lit(False).alias("retry")
     )
 
 
 def receipts(messages: DataFrame) -> DataFrame:
     """One answer per message: result 0 and the id, or 1, id 0 and the fault."""
-    failed = F.col("fault").isNotNull()
-    return messages.select(
+    faults = messages.select("message_seq", "message_id", F.inline_outer(F.array("fault")))
+    failed = F.col("code").isNotNull()
+    return faults.select(
         "message_seq",
-        F.when(failed, F.concat(F.lit("parse error: "), F.col("fault.detail"))).otherwise("").alias("message"),
+        F.when(failed, F.concat(F.lit("parse error: "), F.col("detail"))).otherwise("").alias("message"),
         F.when(failed, F.lit(0).cast("bigint")).otherwise(F.col("message_id")).alias("message_id"),
         failed.cast("int").alias("res"),
         # Sending a faulty message again would not help.

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyseries.functions.numbers import strict_float, strict_int
+from skyseries.functions.numbers import is_float, strict_float, strict_int
 from skyseries.functions.times import dashed_time
 
 PAYLOAD = ["original", "corrected", "controlinfo", "useinfo", "cfailed"]
@@ -38,19 +38,16 @@ def _zero_to_null(text: Column) -> Column:
     return F.when(~text.isin("0", ""), strict_int(text))
 
 
-def _bad_optional(text: Column, typed: Column) -> Column:
-    return text.isNotNull() & (text != "") & typed.isNull()
+def _malformed(text: Column, is_well_formed: Column) -> Column:
+    return text.isNotNull() & (text != "") & ~is_well_formed
 
 
 def _record_fault(k: Column) -> Column:
-    return (
-        F.when(strict_int(k["_paramid"]).isNull(), "BAD_ID")
-        .when(
-            _bad_optional(k["original"], strict_float(k["original"]))
-            | _bad_optional(k["corrected"], strict_float(k["corrected"]))
-            | _bad_optional(k["cfailed"], strict_int(k["cfailed"])),
-            "BAD_NUMBER",
-        )
+    return F.when(strict_int(k["_paramid"]).isNull(), "BAD_ID").when(
+        _malformed(k["original"], is_float(k["original"]))
+        | _malformed(k["corrected"], is_float(k["corrected"]))
+        | _malformed(k["cfailed"], strict_int(k["cfailed"]).isNotNull()),
+        "BAD_NUMBER",
     )
 
 
@@ -76,7 +73,7 @@ def _text_fault(node: Column) -> Column:
 
 
 def _optional_id_fault(node: Column) -> Column:
-    return F.when(_bad_optional(node["_val"], strict_int(node["_val"])), "BAD_ID")
+    return F.when(_malformed(node["_val"], strict_int(node["_val"]).isNotNull()), "BAD_ID")
 
 
 def _tree_fault(stations: Column) -> Column:
@@ -101,10 +98,30 @@ def _tree_fault(stations: Column) -> Column:
     return _child_faults(stations, _id_fault, "typeid", typeids)
 
 
-def clean_envelope(value: Column) -> Column:
-    """Trim, delete line breaks and backslashes, and drop the XML declaration; NULL without one."""
-    # The characters deleted and the marks of the declaration.
-    text = F.translate(F.regexp_replace(value, r"^\s+|\s+$", ""), "\n\\", "")
+def _unreadable_times(stations: Column) -> Column:
+    """One fault per time block whose time cannot be read."""
+
+    def block_faults(blocks):
+        bad = F.filter(blocks, lambda o: dashed_time(o["_val"]).isNull())
+        return F.transform(bad, lambda o: F.struct(F.lit("BAD_TIME").alias("code"), o["_val"].alias("detail")))
+
+    return F.flatten(F.transform(stations, lambda s: F.flatten(F.transform(s["typeid"], lambda t: block_faults(t["obstime"])))))
+
+
+# White space at the ends, and the characters deleted everywhere.
+WHITE_SPACE = " \t\n\r\x0b\x0c\x85\xa0\u2028\u2029\u3000"
+DELETED = ["\n", "\\"]
+
+
+def clean_text(value: Column) -> Column:
+    text = F.btrim(value, F.lit(WHITE_SPACE))
+    for character in DELETED:
+        text = F.replace(text, F.lit(character), F.lit(""))
+    return text
+
+
+def after_declaration(text: Column) -> Column:
+    """What follows the XML declaration; NULL without one."""
     end = F.locate("?>", text)
     return F.when(text.startswith("<?xml") & (end > 0), F.substring(text, end + 2, F.length(text)))
 
@@ -117,9 +134,8 @@ def _nodes(df: DataFrame, array: str, name: str) -> DataFrame:
 
 def decode_qc(messages: DataFrame, number_type: str = "float") -> DecodedQc:
     """Messages `(message_seq, value)` to control records and rejects; `doc_pos` sorts in document order."""
-    xml = messages.select(
-        "message_seq", clean_envelope(F.col("value")).alias("xml")
-    ).select(
+    texts = messages.select("message_seq", clean_text(F.col("value")).alias("text"))
+    xml = texts.select("message_seq", after_declaration(F.col("text")).alias("xml")).select(
         "message_seq",
         F.col("xml").isNotNull().alias("has_envelope"),
         F.from_xml("xml", XML_SCHEMA).alias("doc"),
@@ -152,6 +168,7 @@ def decode_qc(messages: DataFrame, number_type: str = "float") -> DecodedQc:
     def payload(name):
         return F.nullif(F.col(f"k.{name}"), F.lit(""))
 
+    no_detail = F.lit(None).cast("string")
     records = leaves.select(
         "message_seq",
         "doc_pos",
@@ -167,10 +184,9 @@ def decode_qc(messages: DataFrame, number_type: str = "float") -> DecodedQc:
         payload("useinfo").alias("useinfo"),
         strict_int(payload("cfailed")).alias("cfailed"),
     )
-    rejected = checked.where(F.col("code").isNotNull()).select(
-        "message_seq", "code", F.lit(None).cast("string").alias("detail")
-    )
-    skipped = blocks.where(F.col("obstime").isNull()).select(
-        "message_seq", F.lit("BAD_TIME").alias("code"), F.col("raw_time").alias("detail")
+    faults = F.when(F.col("code").isNotNull(), F.array(F.struct("code", no_detail.alias("detail")))).otherwise(
+        _unreadable_times(F.col("doc.station"))
     )
-    return DecodedQc(records=records, rejects=rejected.unionByName(skipped))
+    # The outer form, for the same reason as in the observation decoder: one evaluation of the XML.
+    rejects = checked.select("message_seq", F.inline_outer(faults)).where(F.col("code").isNotNull())
+    return DecodedQc(records=records, rejects=rejects)
