@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyseries.operators.skew import BROADCAST_ROWS, lookup_join
+from skyseries.operators.skew import BROADCAST_ROWS, keys_equal, lookup_join
 
 SOURCE_KEY = ["station_id", "type_id", "param_code", "lvl", "sensor"]
 MET_KEY = ["station_id", "param_id", "type_id", "lvl", "sensor"]
@@ -21,12 +21,8 @@ def distinct_series(observations: DataFrame, order, extra=("param_id",)) -> Data
 
 def missing_series(keys: DataFrame, registry: DataFrame) -> DataFrame:
     """The label tuples that are not registered yet; one row per tuple on both sides."""
-    known = registry.select(*SOURCE_KEY).alias("r")
-    same = [F.col(f"k.{c}").eqNullSafe(F.col(f"r.{c}")) for c in SOURCE_KEY]
-    condition = same[0]
-    for test in same[1:]:
-        condition = condition & test
-    return keys.alias("k").join(known, condition, "left_anti")
+    known = registry.select(*SOURCE_KEY)
+    return keys.alias("k").join(known.alias("r"), keys_equal("k", "r", SOURCE_KEY, SOURCE_KEY), "left_anti")
 
 
 def key_hash(columns):

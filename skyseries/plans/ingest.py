@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from skyseries import session
 from skyseries.functions.times import obs_bucket
 from skyseries.operators import access, observations, registry
-from skyseries.operators.skew import BROADCAST_ROWS, lookup_join
+from skyseries.operators.skew import BROADCAST_ROWS, keys_equal, lookup_join
 from skyseries.operators.upsert import VALUE_KEY, latest_wins, route_values
 from skyseries.sources.catalogue import code_sets
 from skyseries.sources.store import Store
@@ -55,8 +55,10 @@ def ingest_batch(store: Store, messages: DataFrame, side: SideTables, batch: int
         open_keys = keys.join(flags.where("is_open").drop("is_open"), access.KEY, "left_semi")
         ids_by_tuple = register_new(store, open_keys, batch)
 
-        wanted = lookup_join(open_keys.select(*registry.SOURCE_KEY), ids_by_tuple, registry.SOURCE_KEY, "inner",
-                             registry.NULLABLE, limit)
+        # One row per tuple on both sides, so no key is heavy here.
+        wanted = open_keys.select(*registry.SOURCE_KEY).alias("k").join(
+            ids_by_tuple.alias("r"), keys_equal("k", "r", registry.SOURCE_KEY, registry.NULLABLE)
+        ).select("k.*", "r.timeseries")
         labelled = lookup_join(typed, wanted, registry.SOURCE_KEY, "inner", registry.NULLABLE, limit)
         placed = labelled.withColumn("obs_bucket", obs_bucket(F.col("obstime")))
 
