@@ -7,8 +7,9 @@ collects a whole series; an answer of ordinary size is a single part 0.
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from skyseries.functions.times import floor_div, micros, rfc3339
-from skyseries.operators.skew import bounded_parts
+from skyseries.functions.times import floor_div, micros, rfc3339, step_seconds
+from skyseries.operators.grid import SECOND_US, filled_blocks
+from skyseries.operators.skew import BROADCAST_ROWS, bounded_parts
 
 PART_ROWS = 50_000
 DAY_US = 86_400 * 1_000_000
@@ -52,23 +53,26 @@ def irregular_documents(values: DataFrame, headers: DataFrame, part_rows: int =
     )
 
 
-def regular_documents(slots: DataFrame, ranges: DataFrame, resolution: str, part_rows: int = PART_ROWS) -> DataFrame:
+def regular_documents(data: DataFrame, ranges: DataFrame, resolution: str, part_rows: int = PART_ROWS,
+                      strict: bool = True, limit: int = BROADCAST_ROWS) -> DataFrame:
     """`(timeseries, part_no, regularity, data, header, start_time, time_resolution)`.
 
-    The position in the array carries the time; `start_time` is that of the first slot of the part.
+    ``data`` are the current values of the series. The position in the array carries the time;
+    `start_time` is that of the first slot of the part. A part is a block of the grid.
     """
-    numbered = slots.withColumn("part_no", floor_div(F.col("slot_no"), part_rows).cast("int"))
-    arrays = numbered.groupBy("timeseries", "part_no").agg(
-        F.sort_array(F.collect_list(F.struct("slot_no", "slot", "obsvalue"))).alias("rows")
-    )
-    joined = ranges.join(arrays, "timeseries", "left").withColumn("rows", F.coalesce("rows", F.array()))
+    step = step_seconds(resolution, strict)
+    bounds = ranges.select("timeseries", "first", "last")
+    blocks = filled_blocks(bounds, data, step, ["timeseries"], slots_per_block=part_rows, limit=limit)
+    start = F.timestamp_micros(F.col("origin") + F.col("block") * (part_rows * step * SECOND_US))
+    # An empty range has one empty document.
+    joined = ranges.join(blocks, "timeseries", "left")
     return joined.select(
         "timeseries",
-        F.coalesce("part_no", F.lit(0)).alias("part_no"),
+        F.coalesce("block", F.lit(0)).cast("int").alias("part_no"),
         F.lit("Regular").alias("regularity"),
-        F.col("rows.obsvalue").alias("data"),
+        F.coalesce("data", F.array()).alias("data"),
         _header().alias("header"),
-        rfc3339(F.coalesce(F.get("rows", F.lit(0))["slot"], F.col("first"))).alias("start_time"),
+        rfc3339(F.coalesce(start, F.col("first").cast("timestamp"))).alias("start_time"),
         F.lit(resolution).alias("time_resolution"),
     )
 

@@ -52,7 +52,7 @@ def irregular(data: DataFrame, ranges: DataFrame, limit=BROADCAST_ROWS) -> DataF
     return inside.select("timeseries", "obstime", "obsvalue")
 
 
-def regular(data: DataFrame, ranges: DataFrame, resolution: str, strict: bool = True) -> DataFrame:
+def regular(data: DataFrame, ranges: DataFrame, resolution: str, strict: bool = True, limit=BROADCAST_ROWS) -> DataFrame:
     """Every slot of the grid of every series, with the value at that time or NULL."""
     bounds = ranges.select("timeseries", "first", "last")
-    return fill_grid(bounds, data, step_seconds(resolution, strict), ["timeseries"])
+    return fill_grid(bounds, data, step_seconds(resolution, strict), ["timeseries"], limit=limit)

@@ -13,6 +13,16 @@ ROWS_PER_TASK = 5_000_000
 HEAVY_KEYS = 1024
 
 
+def spread(messages: DataFrame, key: str = "message_seq") -> DataFrame:
+    """Give every core a share of a source with fewer partitions than cores, such as a two-part topic.
+
+    Decoding costs far more than moving the text. A source with enough partitions stays as it is. For
+    frames read straight from a source: counting the partitions must not run anything.
+    """
+    cores = messages.sparkSession.sparkContext.defaultParallelism
+    return messages if messages.rdd.getNumPartitions() >= cores else messages.repartition(cores, key)
+
+
 def fits_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
     """Whether the frame has at most ``limit`` rows; reads no more than that."""
     return df.limit(limit + 1).count() <= limit

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from skyseries import session
 from skyseries.functions.times import obs_bucket
 from skyseries.operators import access, observations, registry
-from skyseries.operators.skew import BROADCAST_ROWS, keys_equal, lookup_join
+from skyseries.operators.skew import BROADCAST_ROWS, keys_equal, lookup_join, spread
 from skyseries.operators.upsert import VALUE_KEY, latest_wins, route_values
 from skyseries.sources.catalogue import code_sets
 from skyseries.sources.store import Store
@@ -44,7 +44,7 @@ def ingest_batch(store: Store, messages: DataFrame, side: SideTables, batch: int
     registry; the observations meet the result in one join.
     """
     session.prepare(store.spark)
-    decoded = observations.decode(messages, side.params, code_sets(side.params))
+    decoded = observations.decode(spread(messages), side.params, code_sets(side.params))
     outcomes = decoded.messages.persist(StorageLevel.MEMORY_AND_DISK)
     ids = side.params.select("param_code", F.col("id").alias("param_id"))
     typed = lookup_join(decoded.observations, ids, ["param_code"], "inner", limit=limit)

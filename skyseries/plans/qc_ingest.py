@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from skyseries import session
 from skyseries.operators.qc import PAYLOAD, decode_qc
 from skyseries.operators.registry import resolve_met
-from skyseries.operators.skew import BROADCAST_ROWS
+from skyseries.operators.skew import BROADCAST_ROWS, spread
 from skyseries.operators.upsert import VALUE_KEY, latest_wins
 from skyseries.sources.store import Store
 
@@ -28,7 +28,7 @@ def qc_batch(store: Store, messages: DataFrame, batch: int, retry: bool = True,
     ``retry`` is off. Older records never overwrite newer ones, however late they are resolved.
     """
     session.prepare(store.spark)
-    decoded = decode_qc(messages)
+    decoded = decode_qc(spread(messages))
     records = decoded.records
     if retry:
         records = records.unionByName(waiting_records(store, batch))

@@ -7,7 +7,7 @@ hour later.
 from pyspark.sql import functions as F
 
 from skyseries.operators import observations, qc
-from skyseries.operators.skew import lookup_join
+from skyseries.operators.skew import lookup_join, spread
 from skyseries.operators.upsert import latest_wins, route_values
 from skyseries.queries.mapping import CODES, OBS_SQL, ntz, obs
 from skyseries.sources.catalogue import code_sets, parse_params
@@ -39,13 +39,13 @@ def good_messages(spark, sf_dir):
     return obs(spark, sf_dir).select(F.col("seq").alias("message_seq"), text.alias("msg"))
 
 
-def decoded(spark, sf_dir, messages, without=()):
+def decoded(spark, messages, without=()):
     catalogue = params(spark, without)
-    return observations.decode(messages, catalogue, code_sets(catalogue), number_type="double")
+    return observations.decode(spread(messages), catalogue, code_sets(catalogue), number_type="double")
 
 
 def obs_parse(spark, sf_dir):
-    rows = decoded(spark, sf_dir, good_messages(spark, sf_dir)).observations
+    rows = decoded(spark, good_messages(spark, sf_dir)).observations
     return rows.select(
         "message_seq", "row_no", "col_no", "station_id", "type_id", "message_id", ntz("obstime"), "param_code", "sensor",
         "lvl", "value_num", "value_text",
@@ -113,7 +113,7 @@ def faulty_messages(spark, sf_dir):
 
 
 def obs_rejects(spark, sf_dir):
-    found = observations.rejects(decoded(spark, sf_dir, faulty_messages(spark, sf_dir)))
+    found = observations.rejects(decoded(spark, faulty_messages(spark, sf_dir)))
     return found.select("message_seq", "code", "detail", "row_no", "col_no", "retry")
 
 
@@ -138,7 +138,7 @@ select * from found where code is not null"""
 
 
 def ingest_receipts(spark, sf_dir):
-    return observations.receipts(decoded(spark, sf_dir, faulty_messages(spark, sf_dir)).messages)
+    return observations.receipts(decoded(spark, faulty_messages(spark, sf_dir)).messages)
 
 
 RECEIPTS_SQL = f"""
@@ -150,7 +150,7 @@ from found"""
 
 def obs_typed(spark, sf_dir):
     """Values of the faultless messages by the table they are stored in."""
-    scalar, text = route_values(decoded(spark, sf_dir, faulty_messages(spark, sf_dir)).observations)
+    scalar, text = route_values(decoded(spark, faulty_messages(spark, sf_dir)).observations)
     return scalar.select(
         "message_seq", ntz("obstime"), "param_code", F.lit("data").alias("stored_in"), "obsvalue",
         F.lit(None).cast("string").alias("obstext"),
@@ -171,7 +171,7 @@ union all select seq, t, 'TXT', 'nonscalar_data', null, obstext from good"""
 def param_lookup(spark, sf_dir):
     """Ids of the decoded parameters; messages with a code the catalogue lacks are gone as a whole."""
     catalogue = params(spark, without=("signup",))
-    rows = observations.decode(good_messages(spark, sf_dir), catalogue, code_sets(catalogue), "double").observations
+    rows = decoded(spark, good_messages(spark, sf_dir), without=("signup",)).observations
     ids = catalogue.select("param_code", F.col("id").alias("param_id"), "element_id")
     found = lookup_join(rows, ids, ["param_code"], "inner")
     return found.select("message_seq", "row_no", "col_no", "param_code", "param_id", "element_id", "is_scalar")
@@ -221,7 +221,7 @@ def qc_messages(spark, sf_dir, faulty=False):
 
 
 def qc_parse(spark, sf_dir):
-    records = qc.decode_qc(qc_messages(spark, sf_dir), "double").records
+    records = qc.decode_qc(spread(qc_messages(spark, sf_dir)), "double").records
     return records.withColumn("obstime", ntz("obstime")).drop("doc_pos")
 
 
@@ -234,7 +234,7 @@ union all select seq, cast(station_id as integer), 77, type_id, null, lvl, at_se
 
 
 def qc_rejects(spark, sf_dir):
-    return qc.decode_qc(qc_messages(spark, sf_dir, faulty=True)).rejects
+    return qc.decode_qc(spread(qc_messages(spark, sf_dir, faulty=True))).rejects
 
 
 QC_REJECTS_SQL = """
@@ -246,7 +246,7 @@ from events where event_id % 7 <> 0"""
 
 def qc_merge(spark, sf_dir):
     """Flags per series tuple and hour: the last record wins with all its columns, NULLs included."""
-    records = qc.decode_qc(qc_messages(spark, sf_dir), "double").records
+    records = qc.decode_qc(spread(qc_messages(spark, sf_dir)), "double").records
     hours = records.withColumn("obstime", F.date_trunc("hour", "obstime"))
     keys = ["station_id", "param_id", "type_id", "lvl", "obstime"]
     merged = latest_wins(hours, keys, ["message_seq", "doc_pos"], qc.PAYLOAD)

@@ -251,7 +251,7 @@ def regular_document(spark, sf_dir):
         F.col("timeseries").alias("station_id"), F.lit(1).alias("param_id"), null.alias("lvl"), null.alias("sensor"),
         null.alias("loc"),
     )
-    answers = documents.regular_documents(series.regular(values, ranges, "P1D"), heads, "P1D", part_rows=500)
+    answers = documents.regular_documents(values, heads, "P1D", part_rows=500)
     total = F.aggregate(
         F.filter("data", lambda v: v.isNotNull()), F.lit(0).cast("bigint"), lambda s, v: s + F.round(v * 100).cast("bigint")
     )

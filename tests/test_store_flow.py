@@ -49,7 +49,8 @@ def test_regular_series(store, columns, texts):
         got = rows(slots.select("slot", "obsvalue"))
         assert [t for t, _ in got] == [start + i * HOUR for i in range(12)]
         assert [v for _, v in got] == ([None] * 12 if code == "KLOBS" else [0.0] * 12)
-        document = json.loads(documents.series_json(documents.regular_documents(slots, ranges, "PT1H")).first().json)
+        _, values = read_api.series(store, 20001, PARAM_IDS[code], now=now)
+        document = json.loads(documents.series_json(documents.regular_documents(values, ranges, "PT1H")).first().json)
         (answer,) = document["tseries"]
         assert answer["regularity"] == "Regular" and answer["time_resolution"] == "PT1H"
         assert len(answer["data"]) == 12 and answer["start_time"] == f"{start:%Y-%m-%dT%H:%M:%S}Z"
