@@ -34,10 +34,13 @@ def _parse(text: Column, full: str, spark_format: str, gaps) -> Column:
     def field(i):
         return F.regexp_extract(text, pattern, i).try_cast("int")
 
-    return F.when(text.rlike(full), F.try_to_timestamp(text, F.lit(spark_format))).when(
+    plain = F.when(text.rlike(full), F.try_to_timestamp(text, F.lit(spark_format)))
+    # Second 60 is the first of the next minute; the plain parser refuses it.
+    loose = F.when(
         text.rlike(pattern),
         F.try_make_timestamp(field(1), field(2), field(3), field(4), field(5), field(6).cast("decimal(16,6)")),
     )
+    return F.coalesce(plain, loose)
 
 
 def compact_time(text: Column) -> Column:

@@ -218,27 +218,16 @@ def _explode_values(base: DataFrame, number_type: str) -> DataFrame:
     )
 
 
-def decode(messages: DataFrame, params: DataFrame, codes=None, number_type: str = "float") -> Decoded:
-    """Messages `(message_seq, msg)` to typed observations and per-message outcomes.
+def checked_messages(messages: DataFrame, codes=None) -> DataFrame:
+    """One row per message `(message_seq, msg)`: its decoded lines and its first fault.
 
-    ``params`` is the parameter catalogue. ``codes`` is its `(scalar, text)` code lists as given by
-    `catalogue.code_sets`, or None when the catalogue is too large to hold in a query; then it is
-    joined to the values instead of being tested inside the message row.
+    ``codes`` is the `(scalar, text)` code lists of the catalogue as given by `catalogue.code_sets`, or
+    None when it is too large to hold in a query; values are then checked by `decode_checked`.
     """
     base = _structure(messages)
     if codes is None:
-        return _decode_by_join(base, params, number_type)
-    scalar, text = codes
-
-    def is_scalar(code):
-        return code.isin(scalar) if scalar else F.lit(False)
-
-    def is_known(code):
-        return code.isin(scalar + text) if scalar or text else F.lit(False)
-
-    kinds = F.transform(
-        "columns", lambda c: F.when(is_scalar(c["code"]), "number").when(is_known(c["code"]), "text").otherwise("unknown")
-    )
+        return base.withColumn("fault", F.array_min("faults")).drop("faults")
+    base = base.withColumn("kinds", F.transform("columns", lambda c: _kind(c["code"], codes)))
 
     def value_faults(r):
         def check(value, cell_no):
@@ -250,31 +239,46 @@ def decode(messages: DataFrame, params: DataFrame, codes=None, number_type: str
 
         return F.array_min(F.transform(r["cells"], check))
 
-    base = base.withColumn("kinds", kinds)
-    outcome = base.select(
+    return base.select(
         "message_seq", "message_id", "station_id", "type_id", "columns", "rows",
         F.array_min(F.concat("faults", F.transform("rows", value_faults))).alias("fault"),
     )
-    good = outcome.select(
-        "message_seq", "message_id", "station_id", "type_id", "columns",
-        F.when(F.col("fault").isNull(), F.col("rows")).alias("rows"),
-    )
+
+
+def _kind(code: Column, codes) -> Column:
+    scalar, text = codes
+    kind = F.lit("unknown")
+    if text:
+        kind = F.when(code.isin(text), "text").otherwise(kind)
+    return F.when(code.isin(scalar), "number").otherwise(kind) if scalar else kind
+
+
+def decode_checked(checked: DataFrame, params: DataFrame, codes=None, number_type: str = "float") -> Decoded:
+    """The result of `checked_messages`, made with the same ``codes``, to observations and outcomes."""
+    if codes is None:
+        return _decode_by_join(checked, params, number_type)
+    good = checked.withColumn("rows", F.when(F.col("fault").isNull(), F.col("rows"))).drop("fault")
     values = _explode_values(good, number_type)
     return Decoded(
-        messages=outcome.select("message_seq", "message_id", "fault"),
-        observations=_typed(values.withColumn("is_scalar", is_scalar(F.col("param_code")))),
+        messages=checked.select("message_seq", "message_id", "fault"),
+        observations=_typed(values.withColumn("is_scalar", _kind(F.col("param_code"), codes) == "number")),
     )
 
 
+def decode(messages: DataFrame, params: DataFrame, codes=None, number_type: str = "float") -> Decoded:
+    """Messages to typed observations and per-message outcomes, with the catalogue ``params``."""
+    return decode_checked(checked_messages(messages, codes), params, codes, number_type)
+
+
 def _typed(values: DataFrame) -> DataFrame:
     return values.withColumn("value_num", F.when(F.col("is_scalar"), F.col("value_num"))).withColumn(
         "value_text", F.when(~F.col("is_scalar"), F.col("value_text"))
     )
 
 
-def _decode_by_join(base: DataFrame, params: DataFrame, number_type: str) -> Decoded:
+def _decode_by_join(checked: DataFrame, params: DataFrame, number_type: str) -> Decoded:
     catalogue = params.select("param_code", "is_scalar")
-    values = lookup_join(_explode_values(base, number_type), catalogue, ["param_code"])
+    values = lookup_join(_explode_values(checked.drop("fault"), number_type), catalogue, ["param_code"])
     value_fault = F.when(
         F.col("is_scalar") & F.col("value_num").isNull(),
         _number_fault(F.col("row_no"), F.col("col_no"), F.col("value_text")),
@@ -286,9 +290,9 @@ def _decode_by_join(base: DataFrame, params: DataFrame, number_type: str) -> Dec
         .groupBy("message_seq")
         .agg(F.min("value_fault").alias("value_fault"))
     )
-    outcome = base.join(first_value_fault, "message_seq", "left").select(
+    outcome = checked.join(first_value_fault, "message_seq", "left").select(
         "message_seq", "message_id",
-        F.array_min(F.concat("faults", F.array("value_fault"))).alias("fault"),
+        F.array_min(F.array("fault", "value_fault")).alias("fault"),
     )
     rejected = outcome.where(F.col("fault").isNotNull()).select("message_seq")
     return Decoded(messages=outcome, observations=_typed(values.join(rejected, "message_seq", "left_anti")))

@@ -132,25 +132,27 @@ def _nodes(df: DataFrame, array: str, name: str) -> DataFrame:
     return rows.withColumn("doc_pos", F.array_append("doc_pos", F.col("pos"))).drop("pos")
 
 
-def decode_qc(messages: DataFrame, number_type: str = "float") -> DecodedQc:
-    """Messages `(message_seq, value)` to control records and rejects; `doc_pos` sorts in document order."""
+def checked_documents(messages: DataFrame) -> DataFrame:
+    """One row per message `(message_seq, value)`: its tree `stations` and the code of its fault."""
     texts = messages.select("message_seq", clean_text(F.col("value")).alias("text"))
     xml = texts.select("message_seq", after_declaration(F.col("text")).alias("xml")).select(
-        "message_seq",
-        F.col("xml").isNotNull().alias("has_envelope"),
-        F.from_xml("xml", XML_SCHEMA).alias("doc"),
+        "message_seq", F.col("xml").isNotNull().alias("has_envelope"), F.from_xml("xml", XML_SCHEMA).alias("doc")
     )
-    checked = xml.select(
+    return xml.select(
         "message_seq",
-        "doc",
+        F.col("doc.station").alias("stations"),
         F.when(~F.col("has_envelope"), "NO_XML")
         .when(F.col("doc").isNull() | F.col("doc._corrupt_record").isNotNull(), "BAD_XML")
         .otherwise(_tree_fault(F.col("doc.station")))
         .alias("code"),
     )
+
+
+def decode_checked(checked: DataFrame, number_type: str = "float") -> DecodedQc:
+    """The result of `checked_documents` to control records and rejects."""
     good = checked.select(
         "message_seq",
-        F.when(F.col("code").isNull(), F.col("doc.station")).alias("stations"),
+        F.when(F.col("code").isNull(), F.col("stations")).alias("stations"),
         F.array().cast("array<int>").alias("doc_pos"),
     )
     blocks = _nodes(_nodes(_nodes(good, "stations", "s"), "s.typeid", "t"), "t.obstime", "o").select(
@@ -185,8 +187,13 @@ def decode_qc(messages: DataFrame, number_type: str = "float") -> DecodedQc:
         strict_int(payload("cfailed")).alias("cfailed"),
     )
     faults = F.when(F.col("code").isNotNull(), F.array(F.struct("code", no_detail.alias("detail")))).otherwise(
-        _unreadable_times(F.col("doc.station"))
+        _unreadable_times(F.col("stations"))
     )
     # The outer form, for the same reason as in the observation decoder: one evaluation of the XML.
     rejects = checked.select("message_seq", F.inline_outer(faults)).where(F.col("code").isNotNull())
     return DecodedQc(records=records, rejects=rejects)
+
+
+def decode_qc(messages: DataFrame, number_type: str = "float") -> DecodedQc:
+    """Messages to control records and rejects; `doc_pos` sorts records in document order."""
+    return decode_checked(checked_documents(messages), number_type)

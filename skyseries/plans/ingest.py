@@ -2,7 +2,6 @@
 
 from dataclasses import dataclass
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,46 +36,50 @@ def register_new(store: Store, keys: DataFrame, batch: int) -> DataFrame:
     return store.registry(before=batch + 1).groupBy(*registry.SOURCE_KEY).agg(F.min("timeseries").alias("timeseries"))
 
 
-def ingest_batch(store: Store, messages: DataFrame, side: SideTables, batch: int, limit: int = BROADCAST_ROWS) -> None:
+def ingest_batch(store: Store, messages: DataFrame, side: SideTables, batch: int, limit: int = BROADCAST_ROWS,
+                 zero_ids_are_null: bool = False) -> None:
     """Decode, filter, resolve and store one batch of `(message_seq, msg)`; safe to repeat.
 
     The messages are decoded once. The distinct label tuples go through the access rule and the
-    registry; the observations meet the result in one join.
+    registry; the observations meet the result in one join. By default sensor and level 0 are ids like any
+    other here, though quality-control messages read them as "not given"; ``zero_ids_are_null`` unifies that.
     """
     session.prepare(store.spark)
-    decoded = observations.decode(spread(messages), side.params, code_sets(side.params))
-    outcomes = decoded.messages.persist(StorageLevel.MEMORY_AND_DISK)
-    ids = side.params.select("param_code", F.col("id").alias("param_id"))
-    typed = lookup_join(decoded.observations, ids, ["param_code"], "inner", limit=limit)
-    typed = typed.persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        keys = session.cut(registry.distinct_series(typed, ORDER))
-        flags = access.open_flags(keys.select(*access.KEY).distinct(), side.param_permits, side.station_permits, limit)
-        open_keys = keys.join(flags.where("is_open").drop("is_open"), access.KEY, "left_semi")
-        ids_by_tuple = register_new(store, open_keys, batch)
-
-        # One row per tuple on both sides, so no key is heavy here.
-        wanted = open_keys.select(*registry.SOURCE_KEY).alias("k").join(
-            ids_by_tuple.alias("r"), keys_equal("k", "r", registry.SOURCE_KEY, registry.NULLABLE)
-        ).select("k.*", "r.timeseries")
-        labelled = lookup_join(typed, wanted, registry.SOURCE_KEY, "inner", registry.NULLABLE, limit)
-        placed = labelled.withColumn("obs_bucket", obs_bucket(F.col("obstime")))
-
-        scalar, text = route_values(placed.where(F.col("obs_bucket").isNotNull()))
-        for table, rows in (("data", scalar), ("nonscalar_data", text)):
-            rows = rows.withColumn("seq", F.col("message_seq"))
-            store.write(table, latest_wins(rows, VALUE_KEY, ORDER, ["obsvalue", "seq", "obs_bucket"]), batch)
-
-        outside = out_of_range(placed.where(F.col("obs_bucket").isNull()))
-        first_outside = outside.groupBy("message_seq").agg(F.min("fault").alias("outside"))
-        final = outcomes.join(first_outside, "message_seq", "left").withColumn("fault", F.coalesce("fault", "outside"))
-        store.write("receipts", observations.receipts(final), batch)
-        not_retried = F.lit(False).alias("retry")
-        rows_outside = outside.select("message_seq", "fault.code", "fault.detail", "fault.row_no", "fault.col_no", not_retried)
-        store.write("rejects", observations.rejects(decoded).unionByName(rows_outside), batch)
-    finally:
-        typed.unpersist()
-        outcomes.unpersist()
+    codes = code_sets(side.params)
+    with session.staged(observations.checked_messages(spread(messages), codes), "decoded") as checked:
+        decoded = observations.decode_checked(checked, side.params, codes)
+        rows = observations.null_zero_ids(decoded.observations) if zero_ids_are_null else decoded.observations
+        ids = side.params.select("param_code", F.col("id").alias("param_id"))
+        typed = lookup_join(rows, ids, ["param_code"], "inner", limit=limit)
+        with session.staged(registry.distinct_series(typed, ORDER), "keys") as keys:
+            flags = access.open_flags(
+                keys.select(*access.KEY).distinct(), side.param_permits, side.station_permits, limit
+            )
+            open_keys = keys.join(flags.where("is_open").drop("is_open"), access.KEY, "left_semi")
+            ids_by_tuple = register_new(store, open_keys, batch)
+            # One row per tuple on both sides, so no key is heavy here.
+            wanted = open_keys.select(*registry.SOURCE_KEY).alias("k").join(
+                ids_by_tuple.alias("r"), keys_equal("k", "r", registry.SOURCE_KEY, registry.NULLABLE)
+            ).select("k.*", "r.timeseries")
+            labelled = lookup_join(typed, wanted, registry.SOURCE_KEY, "inner", registry.NULLABLE, limit)
+            store_values(store, decoded, labelled, batch)
+
+
+def store_values(store: Store, decoded: observations.Decoded, labelled: DataFrame, batch: int) -> None:
+    """Write the resolved values, and what became of every message."""
+    placed = labelled.withColumn("obs_bucket", obs_bucket(F.col("obstime")))
+    scalar, text = route_values(placed.where(F.col("obs_bucket").isNotNull()))
+    for table, rows in (("data", scalar), ("nonscalar_data", text)):
+        rows = rows.withColumn("seq", F.col("message_seq"))
+        store.write(table, latest_wins(rows, VALUE_KEY, ORDER, ["obsvalue", "seq", "obs_bucket"]), batch)
+
+    outside = out_of_range(placed.where(F.col("obs_bucket").isNull()))
+    first_outside = outside.groupBy("message_seq").agg(F.min("fault").alias("outside"))
+    final = decoded.messages.join(first_outside, "message_seq", "left").withColumn("fault", F.coalesce("fault", "outside"))
+    store.write("receipts", observations.receipts(final), batch)
+    not_retried = F.lit(False).alias("retry")
+    rows_outside = outside.select("message_seq", "fault.code", "fault.detail", "fault.row_no", "fault.col_no", not_retried)
+    store.write("rejects", observations.rejects(decoded).unionByName(rows_outside), batch)
 
 
 def out_of_range(rows: DataFrame) -> DataFrame:

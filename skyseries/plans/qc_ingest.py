@@ -1,11 +1,10 @@
 """One batch of quality-control messages, from XML to the flag table."""
 
-from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyseries import session
-from skyseries.operators.qc import PAYLOAD, decode_qc
+from skyseries.operators.qc import PAYLOAD, checked_documents, decode_checked
 from skyseries.operators.registry import resolve_met
 from skyseries.operators.skew import BROADCAST_ROWS, spread
 from skyseries.operators.upsert import VALUE_KEY, latest_wins
@@ -28,17 +27,15 @@ def qc_batch(store: Store, messages: DataFrame, batch: int, retry: bool = True,
     ``retry`` is off. Older records never overwrite newer ones, however late they are resolved.
     """
     session.prepare(store.spark)
-    decoded = decode_qc(spread(messages))
-    records = decoded.records
-    if retry:
-        records = records.unionByName(waiting_records(store, batch))
-    resolved = resolve_met(records, store.labels_met(), limit).persist(StorageLevel.MEMORY_AND_DISK)
-    try:
+    with session.staged(checked_documents(spread(messages)), "documents") as checked:
+        decoded = decode_checked(checked)
+        records = decoded.records
+        if retry:
+            records = records.unionByName(waiting_records(store, batch))
+        resolved = resolve_met(records, store.labels_met(), limit)
         found = resolved.where(F.col("timeseries").isNotNull()).withColumn("seq", F.col("message_seq"))
         store.write("qc_flags", latest_wins(found, VALUE_KEY, ORDER, [*PAYLOAD, "seq"]), batch)
         store.write("quarantine", resolved.where(F.col("timeseries").isNull()), batch)
         null = F.lit(None).cast("int")
         rejects = decoded.rejects.withColumns({"row_no": null, "col_no": null, "retry": F.lit(False)})
         store.write("qc_rejects", rejects, batch)
-    finally:
-        resolved.unpersist()

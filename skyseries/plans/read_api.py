@@ -92,3 +92,8 @@ def latest(store: Store, newer_than=None, now=None) -> DataFrame:
     newer_than = _aware(newer_than) or (now or utc_now()) - DEFAULT_AGE
     newest = slices.newest_from_log(store.value_log("data", start=newer_than), newer_than)
     return slices.latest(newest, store.labels_met(), store.timeseries())
+
+
+def write_answers(answers: DataFrame, path: str) -> None:
+    """JSON answers as lines of text, one answer or part per line."""
+    answers.select(F.col("json").alias("value")).write.mode("overwrite").text(path)

@@ -2,8 +2,9 @@
 
 import tempfile
 import uuid
+from contextlib import contextmanager
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     # All times are UTC.
@@ -39,9 +40,17 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-def cut(df):
-    """Reliable checkpoint: the result survives the loss of executors and is computed once."""
+@contextmanager
+def staged(df: DataFrame, purpose: str):
+    """The rows of ``df``, computed once and written below the shared folder for as long as the block runs.
+
+    What reads them has a short plan and does not depend on executors staying alive.
+    """
     spark = df.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(shared_dir(spark, "cut"))
-    return df.checkpoint(eager=True)
+    path = shared_dir(spark, purpose)
+    df.write.parquet(path)
+    try:
+        yield spark.read.schema(df.schema).parquet(path)
+    finally:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

@@ -18,7 +18,7 @@ def _numbered(files: DataFrame, column: str) -> DataFrame:
 
 def read_message_files(spark: SparkSession, path: str, column: str = "msg") -> DataFrame:
     """One message per text file; ``column`` is `msg` for observations, `value` for quality control."""
-    return _numbered(spark.read.option("wholetext", True).text(path), column)
+    return _numbered(spark.read.text(path, wholetext=True), column)
 
 
 def stream_message_files(spark: SparkSession, path: str, column: str = "msg", files_per_batch: int = 10_000):

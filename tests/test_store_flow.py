@@ -12,7 +12,7 @@ from skyseries.plans import read_api
 from skyseries.plans.ingest import ingest_batch
 from skyseries.plans.qc_ingest import qc_batch
 from skyseries.sources.store import Store
-from tests.support import HOUR, MINUTE, NEW_YEAR, PARAM_IDS, message, messages, rows, side_tables
+from tests.support import HOUR, MINUTE, NEW_YEAR, PARAM_IDS, STATION_PERMITS, message, messages, rows, side_tables
 
 
 @pytest.fixture
@@ -20,38 +20,67 @@ def store(spark, tmp_path):
     return Store(spark, str(tmp_path))
 
 
-def ingest(store, *texts, batch=0, **kwargs):
-    ingest_batch(store, messages(store.spark, *texts, first_seq=batch * 100), side_tables(store.spark), batch, **kwargs)
+def ingest(store, *texts, batch=0, stations=(), **kwargs):
+    side = side_tables(store.spark, station_permits=[*STATION_PERMITS, *((s, 1) for s in stations)])
+    ingest_batch(store, messages(store.spark, *texts, first_seq=batch * 100), side, batch, **kwargs)
 
 
 def receipts(store):
     return rows(store.log("receipts").select("message_seq", "message", "message_id", "res", "retry"))
 
 
-def test_irregular_series(store):
-    ingest(store, message(20001, 501, ["TGM", "TGX"], NEW_YEAR, HOUR, 48))
-    assert receipts(store) == [(0, "", 23, 0, False)]
-    for code in ("TGM", "TGX"):
-        _, values = read_api.series(store, 20001, PARAM_IDS[code])
-        assert values.count() == 48
+NOW = datetime.now(timezone.utc).replace(second=0, microsecond=0)
+THIS_HOUR = NOW.replace(minute=0, tzinfo=None)
+# Scenario name to (station, columns, texts); all in one store, each with stations of its own.
+REGULAR = {
+    "numbers": (30001, ["TA", "TGX"], ["0", "0"]),
+    "sensor and level": (30002, ["TA(1,1)", "TGX"], ["0", "0"]),
+    "number and text": (30003, ["KLOBS", "TA"], ["test", "0"]),
+}
+AT = NEW_YEAR + HOUR
 
 
-@pytest.mark.parametrize("columns, texts", [
-    (["TA", "TGX"], ["0", "0"]), (["TA(1,1)", "TGX"], ["0", "0"]), (["KLOBS", "TA"], ["test", "0"]),
-])
-def test_regular_series(store, columns, texts):
-    now = datetime.now(timezone.utc)
-    start = now.replace(minute=0, second=0, microsecond=0, tzinfo=None) - 11 * HOUR
-    ingest(store, message(20001, 501, columns, start, HOUR, 12, texts))
+@pytest.fixture(scope="module")
+def scenarios(spark, tmp_path_factory):
+    store = Store(spark, str(tmp_path_factory.mktemp("scenarios")))
+    ingest(
+        store,
+        message(20001, 501, ["TGM", "TGX"], NEW_YEAR, HOUR, 48),
+        *[message(station, 501, columns, THIS_HOUR - 11 * HOUR, HOUR, 12, texts) for station, columns, texts in REGULAR.values()],
+        message(40001, 508, ["TA", "TGX"], NOW.replace(tzinfo=None) - 3 * HOUR, MINUTE, 180),
+        message(40002, 508, ["TA", "TGX"], datetime(2020, 1, 1), MINUTE, 180),
+        message(50001, 501, ["IR"], AT - HOUR, HOUR, 2),
+        message(50002, 508, ["IR"], AT - HOUR, MINUTE, 120),
+        message(60001, 501, ["CI"], NEW_YEAR, HOUR, 100),
+        stations=[30001, 30002, 30003, 40001, 40002, 50001, 50002, 60001],
+    )
+    return store
+
+
+def test_every_message_is_answered(scenarios):
+    assert receipts(scenarios) == [(i, "", 23, 0, False) for i in range(9)]
+
+
+@pytest.mark.parametrize("code", ["TGM", "TGX"])
+def test_irregular_series(scenarios, code):
+    _, values = read_api.series(scenarios, 20001, PARAM_IDS[code])
+    assert rows(values.select("obstime")) == [(NEW_YEAR + i * HOUR,) for i in range(48)]
+
+
+@pytest.mark.parametrize("name", REGULAR)
+def test_regular_series(scenarios, name):
+    station, columns, _ = REGULAR[name]
     for column in columns:
         code = column.split("(")[0]
-        ranges, slots = read_api.series(store, 20001, PARAM_IDS[code], resolution="PT1H", now=now)
+        ranges, slots = read_api.series(scenarios, station, PARAM_IDS[code], resolution="PT1H", now=NOW)
         got = rows(slots.select("slot", "obsvalue"))
+        start = THIS_HOUR - 11 * HOUR
         assert [t for t, _ in got] == [start + i * HOUR for i in range(12)]
         assert [v for _, v in got] == ([None] * 12 if code == "KLOBS" else [0.0] * 12)
-        _, values = read_api.series(store, 20001, PARAM_IDS[code], now=now)
+        _, values = read_api.series(scenarios, station, PARAM_IDS[code], now=NOW)
         document = json.loads(documents.series_json(documents.regular_documents(values, ranges, "PT1H")).first().json)
         (answer,) = document["tseries"]
+        assert list(answer) == ["regularity", "data", "header", "start_time", "time_resolution"]
         assert answer["regularity"] == "Regular" and answer["time_resolution"] == "PT1H"
         assert len(answer["data"]) == 12 and answer["start_time"] == f"{start:%Y-%m-%dT%H:%M:%S}Z"
         expected_ids = (1, 1) if "(" in column else (None, None)
@@ -59,50 +88,52 @@ def test_regular_series(store, columns, texts):
 
 
 @pytest.mark.parametrize("station, param", [(99999, 211), (20001, 999)])
-def test_unknown_series_is_an_error(store, station, param):
-    ingest(store, message(20001, 501, ["TA"], NEW_YEAR, HOUR, 48))
+def test_unknown_series_is_an_error(scenarios, station, param):
     with pytest.raises(ValueError):
-        read_api.series(store, station, param)
+        read_api.series(scenarios, station, param)
 
 
 @pytest.mark.parametrize("newer_than, expected", [(None, 2), (datetime(2021, 1, 1), 2), (datetime(2019, 1, 1), 4)])
-def test_latest(store, newer_than, expected):
-    now = datetime.now(timezone.utc).replace(second=0, microsecond=0)
-    recent = (now - 3 * HOUR).replace(tzinfo=None)
-    ingest(
-        store,
-        message(20001, 508, ["TA", "TGX"], recent, MINUTE, 180),
-        message(20002, 508, ["TA", "TGX"], datetime(2020, 1, 1), MINUTE, 180),
-    )
-    newest = read_api.latest(store, newer_than, now=now)
-    assert newest.count() == expected
-    assert {r.obstime for r in newest.where("station_id = 20001").collect()} == {recent + 179 * MINUTE}
+def test_latest(scenarios, newer_than, expected):
+    newest = read_api.latest(scenarios, newer_than, now=NOW).where("station_id in (40001, 40002)")
+    got = newest.collect()
+    assert len(got) == expected
+    assert {r.obstime for r in got if r.station_id == 40001} == {NOW.replace(tzinfo=None) - MINUTE}
     answers = documents.latest_json(documents.latest_documents(newest)).collect()
     assert [len(json.loads(a.json)["data"]) for a in answers] == [expected]
-    split = documents.latest_documents(newest, part_rows=1).select(F.explode("data")).count()
-    assert split == expected
+    assert documents.latest_documents(newest, part_rows=1).select(F.explode("data")).count() == expected
 
 
-def test_timeslice(store):
-    at = NEW_YEAR + HOUR
-    ingest(
-        store,
-        message(20001, 501, ["TA"], at - HOUR, HOUR, 2),
-        message(20002, 508, ["TA"], at - HOUR, MINUTE, 120),
-    )
-    one = read_api.timeslice(store, at, PARAM_IDS["TA"])
-    assert sorted(r.station_id for r in one.collect()) == [20001, 20002]
-    wanted = store.spark.createDataFrame(
-        [(at, PARAM_IDS["TA"]), (at + MINUTE, PARAM_IDS["TA"]), (at, 999)], "ts timestamp, param_id int"
-    )
-    bulk = read_api.timeslices(store, wanted)
-    assert rows(bulk.groupBy("ts", "param_id").count()) == [(at, 211, 2), (at + MINUTE, 211, 1)]
-    by_join = read_api.timeslices(store, wanted, limit=0)
+def test_timeslice(scenarios):
+    one = read_api.timeslice(scenarios, AT, PARAM_IDS["IR"])
+    assert sorted(r.station_id for r in one.collect()) == [50001, 50002]
+
+
+def test_timeslices_in_bulk(scenarios, tmp_path):
+    number = PARAM_IDS["IR"]
+    wanted = scenarios.spark.createDataFrame([(AT, number), (AT + MINUTE, number), (AT, 999)], "ts timestamp, param_id int")
+    bulk = read_api.timeslices(scenarios, wanted)
+    assert rows(bulk.groupBy("ts", "param_id").count()) == [(AT, number, 2), (AT + MINUTE, number, 1)]
+    by_join = read_api.timeslices(scenarios, wanted, limit=0)
     assert rows(by_join.drop("loc")) == rows(bulk.drop("loc"))
-    (answer,) = documents.timeslice_json(documents.timeslice_documents(bulk.where("ts < '2024-01-01 01:01:00'"))).collect()
-    body = json.loads(answer.json)["tslices"][0]
-    assert body["timestamp"] == "2024-01-01T01:00:00Z" and body["param_id"] == 211
-    assert [d["station_id"] for d in body["data"]] == [20001, 20002]
+    answers = documents.timeslice_json(documents.timeslice_documents(bulk))
+    read_api.write_answers(answers, f"{tmp_path}/answers")
+    found = [json.loads(r.value)["tslices"][0] for r in scenarios.spark.read.text(f"{tmp_path}/answers").collect()]
+    first, second = sorted(found, key=lambda a: a["timestamp"])
+    assert first["timestamp"] == "2024-01-01T01:00:00Z" and first["param_id"] == number
+    assert [d["station_id"] for d in first["data"]] == [50001, 50002]
+    assert second["data"] == [{"station_id": 50002, "value": 0.0, "loc": None}]
+
+
+def test_irregular_document_parts_hold_everything(scenarios):
+    ranges, values = read_api.series(scenarios, 60001, PARAM_IDS["CI"])
+    (whole,) = documents.series_json(documents.irregular_documents(values, ranges)).collect()
+    answer = json.loads(whole.json)["tseries"][0]
+    assert list(answer) == ["regularity", "data", "header", "timestamps"]
+    assert len(answer["data"]) == 100 and answer["timestamps"][1] == "2024-01-01T01:00:00Z"
+    parts = documents.irregular_documents(values, ranges, part_rows=30).orderBy("part_no").collect()
+    assert [len(p.data) for p in parts] == [48, 24, 24, 4]
+    assert [t for p in parts for t in p.timestamps] == answer["timestamps"]
 
 
 QC_TEXT = """<?xml version=\\"1.0\\"?>
@@ -158,21 +189,32 @@ def three_batches(store, **kwargs):
     ingest(store, message(20001, 501, ["TA", "KLOBS(1,2)"], NEW_YEAR, HOUR, 4, ["1.5", "a"]),
            message(20000, 501, ["TA"], NEW_YEAR, HOUR, 4), "broken", batch=0, **kwargs)
     ingest(store, message(20001, 501, ["TA", "TGX"], NEW_YEAR + 2 * HOUR, HOUR, 4, ["2.5", "nan"]), batch=1, **kwargs)
+    last_batch(store, **kwargs)
+
+
+def last_batch(store, **kwargs):
     ingest(store, message(20001, 501, ["TA"], datetime(1949, 12, 31, 23), HOUR, 2, ["7"]),
            message(20002, 501, ["TA"], NEW_YEAR - HOUR, HOUR, 2, ["8"]), batch=2, **kwargs)
 
 
-def test_batches_overwrite_register_and_reject(store):
+@pytest.fixture(scope="module")
+def written(spark, tmp_path_factory):
+    """Three batches; read by the tests below, never written."""
+    store = Store(spark, str(tmp_path_factory.mktemp("written")))
     three_batches(store)
-    got = snapshot(store)
+    return store
+
+
+def test_batches_overwrite_register_and_reject(written):
+    got = snapshot(written)
     assert [r[0] for r in got["registry"]] == [1, 2, 3, 4]
     assert sorted((r[1], r[3]) for r in got["registry"]) == [
         (20001, "KLOBS"), (20001, "TA"), (20001, "TGX"), (20002, "TA")
     ]
-    ta = store.registry().where("station_id = 20001 and param_code = 'TA'").first()
+    ta = written.registry().where("station_id = 20001 and param_code = 'TA'").first()
     # The first processed time, not the smallest.
     assert ta.fromtime == NEW_YEAR
-    values = {r.obstime: r.obsvalue for r in store.values("data").where(F.col("timeseries") == ta.timeseries).collect()}
+    values = {r.obstime: r.obsvalue for r in written.values("data").where(F.col("timeseries") == ta.timeseries).collect()}
     assert values == {
         datetime(1950, 1, 1): 7.0, **{NEW_YEAR + i * HOUR: v for i, v in enumerate([1.5, 1.5, 2.5, 2.5, 2.5, 2.5])}
     }
@@ -181,26 +223,17 @@ def test_batches_overwrite_register_and_reject(store):
     assert [(r[0], r[3]) for r in got["receipts"]] == [(0, 0), (1, 0), (2, 1), (100, 0), (200, 1), (201, 0)]
 
 
-def test_repeating_a_batch_changes_nothing(store):
-    three_batches(store)
-    before = snapshot(store)
-    ingest(store, message(20001, 501, ["TA"], datetime(1949, 12, 31, 23), HOUR, 2, ["7"]),
-           message(20002, 501, ["TA"], NEW_YEAR - HOUR, HOUR, 2, ["8"]), batch=2)
-    # NaN is unequal to itself
-    assert str(snapshot(store)) == str(before)
-
-
-def test_large_side_tables_give_the_same(spark, tmp_path):
-    by_broadcast, by_shuffle = Store(spark, f"{tmp_path}/a"), Store(spark, f"{tmp_path}/b")
-    three_batches(by_broadcast)
-    three_batches(by_shuffle, limit=0)
-    assert str(snapshot(by_broadcast)) == str(snapshot(by_shuffle))
+def test_large_side_tables_and_repeated_batches_give_the_same(written, store):
+    three_batches(store, limit=0)
+    # The last batch runs twice.
+    last_batch(store)
+    # As text, for not-a-number is unequal to itself.
+    assert str(snapshot(store)) == str(snapshot(written))
 
 
-def test_compaction_keeps_every_answer(spark, store, tmp_path):
-    three_batches(store)
-    folded = store.compact_into(f"{tmp_path}/folded", upto=2)
-    before, after = snapshot(store), snapshot(folded)
+def test_compaction_keeps_every_answer(written, tmp_path):
+    folded = written.compact_into(f"{tmp_path}/folded", upto=2)
+    before, after = snapshot(written), snapshot(folded)
     for table in ("registry", "data", "text"):
         assert str(after[table]) == str(before[table])
     # A folded store is written on.
@@ -208,37 +241,32 @@ def test_compaction_keeps_every_answer(spark, store, tmp_path):
     assert folded.values("data", NEW_YEAR, NEW_YEAR).where("obsvalue = 9").count() == 1
 
 
-def test_reads_prune_year_ranges(store):
-    three_batches(store)
-    plan = store.value_log("data", datetime(2024, 1, 1, tzinfo=timezone.utc), datetime(2024, 1, 2, tzinfo=timezone.utc))
-    text = plan._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [" in text and "obs_bucket" in text.split("PartitionFilters:")[1].split("]")[0]
-    assert "GreaterThanOrEqual(obstime" in text
+def test_reads_prune_year_ranges(written, capsys):
+    start, end = datetime(2024, 1, 1, tzinfo=timezone.utc), datetime(2024, 1, 2, tzinfo=timezone.utc)
+    written.value_log("data", start, end).explain("formatted")
+    plan = capsys.readouterr().out
+    assert "obs_bucket" in plan.split("PartitionFilters:")[1].split("]")[0]
+    assert "GreaterThanOrEqual(obstime" in plan
 
 
-def test_bulk_series_equal_single_series(store):
-    three_batches(store)
-    now = NEW_YEAR + 12 * HOUR
-    now = now.replace(tzinfo=timezone.utc)
+def test_bulk_series_equal_single_series(written):
+    now = (NEW_YEAR + 12 * HOUR).replace(tzinfo=timezone.utc)
     for resolution in (None, "PT1H"):
-        ranges, bulk = read_api.series_bulk(store, resolution=resolution, now=now)
+        ranges, bulk = read_api.series_bulk(written, resolution=resolution, now=now)
         bulk = bulk.join(ranges.select("timeseries", "station_id", "param_id"), "timeseries")
         for station, code in ((20001, "TA"), (20002, "TA"), (20001, "KLOBS")):
-            _, one = read_api.series(store, station, PARAM_IDS[code], resolution=resolution, now=now)
+            _, one = read_api.series(written, station, PARAM_IDS[code], resolution=resolution, now=now)
             mine = bulk.where((F.col("station_id") == station) & (F.col("param_id") == PARAM_IDS[code]))
             assert rows(mine.select(*one.columns)) == rows(one)
-    keys = store.spark.createDataFrame([(20002, 211)], "station_id int, param_id int")
-    _, chosen = read_api.series_bulk(store, keys, start=NEW_YEAR, end=NEW_YEAR + timedelta(days=1), now=now)
+    keys = written.spark.createDataFrame([(20002, 211)], "station_id int, param_id int")
+    _, chosen = read_api.series_bulk(written, keys, start=NEW_YEAR, end=NEW_YEAR + timedelta(days=1), now=now)
     assert rows(chosen.select("obstime", "obsvalue")) == [(NEW_YEAR, 8.0)]
 
 
-def test_irregular_document_parts_hold_everything(store):
-    ingest(store, message(20001, 501, ["TA"], NEW_YEAR, HOUR, 100))
-    ranges, values = read_api.series(store, 20001, 211)
-    (whole,) = documents.series_json(documents.irregular_documents(values, ranges)).collect()
-    answer = json.loads(whole.json)["tseries"][0]
-    assert list(answer) == ["regularity", "data", "header", "timestamps"]
-    assert len(answer["data"]) == 100 and answer["timestamps"][1] == "2024-01-01T01:00:00Z"
-    parts = documents.irregular_documents(values, ranges, part_rows=30).orderBy("part_no").collect()
-    assert [len(p.data) for p in parts] == [48, 24, 24, 4]
-    assert [t for p in parts for t in p.timestamps] == answer["timestamps"]
+def test_zero_ids_match_quality_control_on_request(store):
+    """`TA(0,0)` is sensor 0, level 0 unless asked otherwise; control records read 0 as "not given"."""
+    ingest(store, message(20001, -4, ["RR_1(0,0)"], datetime(2024, 6, 6, 6), HOUR, 1), batch=0)
+    assert [(r.sensor, r.lvl) for r in store.registry().collect()] == [(0, 0)]
+    ingest(store, message(20001, -4, ["RR_1(0,0)"], datetime(2024, 6, 6, 6), HOUR, 1), batch=1, zero_ids_are_null=True)
+    qc_batch(store, qc_messages(store, QC_TEXT.format(corrected=10)), 0)
+    assert [r.timeseries for r in store.values("qc_flags").collect()] == [2]
