@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from skyseries.functions.times import floor_div, micros, rfc3339, step_seconds
 from skyseries.operators.grid import SECOND_US, filled_blocks
-from skyseries.operators.skew import BROADCAST_ROWS, bounded_parts
+from skyseries.operators.skew import BROADCAST_ROWS, collect_parts
 
 PART_ROWS = 50_000
 DAY_US = 86_400 * 1_000_000
@@ -37,10 +37,7 @@ def irregular_documents(values: DataFrame, headers: DataFrame, part_rows: int =
     Series and time are unique and times have whole seconds, so a day of a series is a bounded block.
     """
     days = values.withColumn("day", floor_div(micros(F.col("obstime")), DAY_US))
-    parts = bounded_parts(days, ["timeseries"], "day", part_rows)
-    arrays = parts.groupBy("timeseries", "part_no").agg(
-        F.sort_array(F.collect_list(F.struct("obstime", "obsvalue"))).alias("rows")
-    )
+    arrays = collect_parts(days, ["timeseries"], "day", F.struct("obstime", "obsvalue"), part_rows)
     # An existing series without values in range has one empty document.
     joined = headers.join(arrays, "timeseries", "left").withColumn("rows", F.coalesce("rows", F.array()))
     return joined.select(
@@ -91,11 +88,8 @@ def timeslice_documents(slices: DataFrame, part_rows: int = PART_ROWS) -> DataFr
     A series occurs once per slice, so a range of ids is a bounded block.
     """
     blocks = slices.withColumn("id_block", floor_div(F.col("timeseries"), part_rows))
-    parts = bounded_parts(blocks, ["ts", "param_id"], "id_block", part_rows)
     element = F.struct("timeseries", "station_id", F.col("obsvalue").alias("value"), "loc")
-    return parts.groupBy("ts", "param_id", "part_no").agg(
-        F.sort_array(F.collect_list(element)).alias("rows")
-    ).select(
+    return collect_parts(blocks, ["ts", "param_id"], "id_block", element, part_rows).select(
         "ts", "param_id", "part_no",
         F.transform("rows", lambda r: F.struct(r["station_id"].alias("station_id"), r["value"].alias("value"), r["loc"].alias("loc"))).alias("data"),
     )
@@ -113,11 +107,10 @@ def timeslice_json(documents: DataFrame) -> DataFrame:
 def latest_documents(newest: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
     """`(part_no, data)` with the elements `(value, timestamp, station_id, loc)` sorted by series."""
     blocks = newest.withColumn("id_block", floor_div(F.col("timeseries"), part_rows)).withColumn("all_series", F.lit(0))
-    parts = bounded_parts(blocks, ["all_series"], "id_block", part_rows)
     element = F.struct(
         "timeseries", F.col("obsvalue").alias("value"), rfc3339(F.col("obstime")).alias("timestamp"), "station_id", "loc"
     )
-    return parts.groupBy("part_no").agg(F.sort_array(F.collect_list(element)).alias("rows")).select(
+    return collect_parts(blocks, ["all_series"], "id_block", element, part_rows).select(
         "part_no",
         F.transform(
             "rows",

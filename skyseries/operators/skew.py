@@ -24,8 +24,11 @@ def spread(messages: DataFrame, key: str = "message_seq") -> DataFrame:
 
 
 def fits_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether the frame has at most ``limit`` rows; reads no more than that."""
-    return df.limit(limit + 1).count() <= limit
+    """Whether the frame has at most ``limit`` rows.
+
+    Counted in full: a limit would send up to ``limit`` rows of every partition to a single task.
+    """
+    return df.count() <= limit
 
 
 def keys_equal(left: str, right: str, on, null_safe=()) -> Column:
@@ -82,18 +85,24 @@ def lookup_join(facts, lookup, on, how="left", null_safe=(), limit=BROADCAST_ROW
     return joined.select(*kept)
 
 
-def bounded_parts(df: DataFrame, group, block, max_rows: int) -> DataFrame:
-    """Number the parts of each group so that a part can be collected into one array.
+def collect_parts(df: DataFrame, group, block, element: Column, max_rows: int) -> DataFrame:
+    """Sorted arrays of ``element`` per group, in numbered parts: ``group``, `part_no`, `rows`.
 
     ``block`` names a column that cuts a group into pieces of bounded size, in output order. Whole
-    neighbouring blocks share a part until it has ``max_rows`` rows, so a part stays below
-    ``max_rows`` plus one block. Adds the column ``part_no``, counted from 0 in each group.
+    neighbouring blocks share a part until it has ``max_rows`` rows, so a part stays below ``max_rows``
+    plus one block. Arrays are collected per block; only their sizes meet per group.
     """
     keys = [*group, block]
+    # Said here, both uses of the arrays below have the same plan and share one shuffle.
+    df = df.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
+    blocks = df.groupBy(*keys).agg(F.sort_array(F.collect_list(element)).alias("rows"))
     before = Window.partitionBy(*group).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    blocks = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("block_rows"))
-    parts = blocks.select(
-        *keys,
-        F.floor(F.coalesce(F.sum("block_rows").over(before), F.lit(0)) / max_rows).cast("int").alias("part_no"),
+    # Taken from the arrays, the sizes share their shuffle, and the rows are read once.
+    sizes = blocks.select(*keys, F.size("rows").alias("n"))
+    numbers = sizes.select(
+        *keys, F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / max_rows).cast("int").alias("part_no")
+    )
+    parts = blocks.join(numbers, keys).groupBy(*group, "part_no").agg(
+        F.sort_array(F.collect_list(F.struct(block, "rows"))).alias("blocks")
     )
-    return df.join(parts, keys)
+    return parts.select(*group, "part_no", F.flatten("blocks.rows").alias("rows"))

@@ -25,10 +25,20 @@ def newest_from_log(log: DataFrame, newer_than) -> DataFrame:
     )
 
 
+def places(labels_met: DataFrame, series: DataFrame) -> DataFrame:
+    """Station, parameter and location of every labelled series."""
+    located = series.select(F.col("id").alias("timeseries"), "loc")
+    return labels_met.select("timeseries", "station_id", "param_id").join(located, "timeseries")
+
+
 def with_place(values: DataFrame, labels_met: DataFrame, series: DataFrame) -> DataFrame:
     """Join one-row-per-series values to their labels and location; unlabelled series drop out."""
-    places = series.select(F.col("id").alias("timeseries"), "loc")
-    return values.join(labels_met, "timeseries").join(places, "timeseries")
+    return values.join(places(labels_met, series), "timeseries")
+
+
+def place_rows(values: DataFrame, labels_met: DataFrame, series: DataFrame, limit=BROADCAST_ROWS) -> DataFrame:
+    """As `with_place`, for values of which one series may have most."""
+    return lookup_join(values, places(labels_met, series), ["timeseries"], "inner", limit=limit)
 
 
 def latest(newest: DataFrame, labels_met: DataFrame, series: DataFrame) -> DataFrame:
@@ -52,9 +62,6 @@ def timeslices(data, labels_met, series, requests, limit=BROADCAST_ROWS) -> Data
     wanted = requests.distinct()
     instants = wanted.select(F.col("ts").alias("obstime")).distinct()
     at_instants = lookup_join(data.select("timeseries", "obstime", "obsvalue"), instants, ["obstime"], "left_semi", limit=limit)
-    places = labels_met.select("timeseries", "station_id", "param_id").join(
-        series.select(F.col("id").alias("timeseries"), "loc"), "timeseries"
-    )
-    placed = lookup_join(at_instants, places, ["timeseries"], "inner", limit=limit).withColumnRenamed("obstime", "ts")
+    placed = place_rows(at_instants, labels_met, series, limit).withColumnRenamed("obstime", "ts")
     matched = lookup_join(placed, wanted, ["ts", "param_id"], "left_semi", limit=limit)
     return matched.select("ts", "param_id", "timeseries", "station_id", "obsvalue", "loc")

@@ -81,9 +81,14 @@ def timeslice(store: Store, instant, param_id: int) -> DataFrame:
 
 
 def timeslices(store: Store, requests: DataFrame, limit=BROADCAST_ROWS) -> DataFrame:
-    """Slices for many `(ts, param_id)`."""
+    """Slices for many `(ts, param_id)`; only rows at the requested times are folded."""
     session.prepare(store.spark)
-    return slices.timeslices(store.values("data"), store.labels_met(), store.timeseries(), requests, limit)
+    instants = requests.select(F.col("ts").alias("obstime")).distinct()
+    edges = instants.agg(F.min(F.unix_micros("obstime")).alias("a"), F.max(F.unix_micros("obstime")).alias("z")).first()
+    # Without requests any range will do.
+    log = store.value_log("data", _from_micros(edges.a or 0), _from_micros(edges.z or 0))
+    at_instants = current(lookup_join(log, instants, ["obstime"], "left_semi", limit=limit))
+    return slices.timeslices(at_instants, store.labels_met(), store.timeseries(), requests, limit)
 
 
 def latest(store: Store, newer_than=None, now=None) -> DataFrame:

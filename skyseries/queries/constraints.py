@@ -18,14 +18,14 @@ select timeseries, date_trunc('hour', obstime) as obstime, count(*) as n from ob
 
 
 def audit_orphans(spark, sf_dir):
-    """Orders of customers that are missing."""
-    known = table(spark, sf_dir, "customer").where("c_custkey % 7 <> 0")
+    """Orders of customers that a list of those in credit lacks."""
+    known = table(spark, sf_dir, "customer").where("c_acctbal > 0")
     return integrity.orphans(table(spark, sf_dir, "orders"), "o_custkey", known, "c_custkey")
 
 
 ORPHANS_SQL = """
 select o_custkey, count(*) as n from orders
-where not exists (select 1 from customer where c_custkey = o_custkey and c_custkey % 7 <> 0) group by 1"""
+where not exists (select 1 from customer where c_custkey = o_custkey and c_acctbal > 0) group by 1"""
 
 
 def audit_nulls(spark, sf_dir):

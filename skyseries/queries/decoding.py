@@ -192,8 +192,8 @@ def _qc_record(param, original, corrected, use):
     )
 
 
-def qc_messages(spark, sf_dir, faulty=False):
-    """``faulty`` plants an unreadable time, a missing declaration, broken XML or a bad number."""
+def qc_messages(spark, sf_dir, faulty=False, where="true"):
+    """``where`` picks the observations written about. ``faulty`` plants an unreadable time, a missing declaration, broken XML or a bad number."""
     seq, value = F.col("seq"), F.col("obsvalue").cast("string")
     time = F.date_format("obstime", "yyyy-MM-dd HH:mm:ss")
     kind = seq % 7 if faulty else F.lit(0).cast("bigint")
@@ -217,7 +217,7 @@ def qc_messages(spark, sf_dir, faulty=False):
         .when(kind == 6, F.lit('<?xml?><checked><station val="one"><typeid val="1"/></station></checked>'))
         .otherwise(declared)
     )
-    return obs(spark, sf_dir).select(seq.alias("message_seq"), text.alias("value"))
+    return obs(spark, sf_dir).where(where).select(seq.alias("message_seq"), text.alias("value"))
 
 
 def qc_parse(spark, sf_dir):

@@ -277,7 +277,7 @@ def timeslice_document(spark, sf_dir):
     """JSON answers for every hour and parameter."""
     stations, met = series_tables(spark, sf_dir)
     data = hourly(spark, sf_dir)
-    placed = slices.with_place(data, met, stations).withColumnRenamed("obstime", "ts")
+    placed = slices.place_rows(data, met, stations).withColumnRenamed("obstime", "ts")
     return documents.timeslice_json(documents.timeslice_documents(placed))
 
 

@@ -143,29 +143,45 @@ select cast(station_id as integer), 'TXT', 1, 2, date_trunc('hour', obstime), nu
 
 
 def qc_store(spark, sf_dir):
-    """Control records into a store, in a batch before their series are known and one after."""
+    """Control records of all events in two batches, the first before any series is known.
+
+    The second half of the month arrives first and waits for the series; records of parameters without
+    series wait on.
+    """
     store = Store(spark, session.shared_dir(spark, "control"))
+    later = "obstime >= timestamp_ntz'2024-01-16 00:00:00'"
+    qc_batch(store, qc_messages(spark, sf_dir, where=later), batch=0)
+    levels = F.explode(F.array(F.lit(None).cast("int"), F.lit(1)))
     registered = obs(spark, sf_dir).where("param_id <> 5").groupBy("station_id", "param_code", "param_id").agg(
         F.min("obstime").alias("fromtime")
-    ).withColumns({"type_id": F.lit(501), "lvl": F.lit(1), "sensor": F.lit(None).cast("int")})
-    messages = qc_messages(spark, sf_dir)
-    qc_batch(store, messages.where("message_seq % 2 = 1 and message_seq % 3 = 0"), batch=0)
-    rows = registry.assign_ids(registered)
+    ).select("*", F.lit(501).alias("type_id"), levels.alias("lvl"), F.lit(None).cast("int").alias("sensor"))
     null = F.lit(None)
-    store.write("registry", rows.withColumns({"totime": null, "loc": null, "deactivated": null}), 0)
-    qc_batch(store, messages.where("message_seq % 2 = 1 and message_seq % 3 <> 0"), batch=1)
+    unset = {"totime": null, "loc": null, "deactivated": null}
+    store.write("registry", registry.assign_ids(registered).withColumns(unset), 0)
+    qc_batch(store, qc_messages(spark, sf_dir, where=f"not ({later})"), batch=1)
     labels = store.labels_met().select("timeseries", "station_id", "param_id", "lvl")
-    flags = store.values("qc_flags").join(labels, "timeseries")
     doubles = [F.col(c).cast("double").alias(c) for c in PAYLOAD[:2]]
-    return flags.select("station_id", "param_id", "lvl", ntz("obstime"), *doubles, *PAYLOAD[2:])
+    flags = store.values("qc_flags").join(labels, "timeseries").select(
+        "station_id", "param_id", "lvl", ntz("obstime"), *doubles, *PAYLOAD[2:], F.lit(False).alias("waiting")
+    )
+    waiting = store.log("quarantine").where("batch = 1").select(
+        "station_id", "param_id", "lvl", ntz("obstime"), *doubles, *PAYLOAD[2:], F.lit(True).alias("waiting")
+    )
+    return flags.unionByName(waiting)
 
 
+# Stored values are single precision.
 QC_STORE_SQL = f"""
-with {OBS_SQL}
-select cast(station_id as integer) as station_id, param_id, 1 as lvl, date_trunc('second', obstime) as obstime,
-       cast(cast(arg_max(obsvalue, seq) as real) as double) as original, null::double as corrected, 'c<1' as controlinfo,
-       'u' || max(seq) as useinfo, null::integer as cfailed
-from obs where seq % 2 = 1 and param_id <> 5 group by 1, 2, 4"""
+with {OBS_SQL},
+t as (select *, cast(nullif(seq % 2, 0) as integer) as lvl, date_trunc('second', obstime) as at_second,
+             cast(cast(obsvalue as real) as double) as single from obs)
+select cast(station_id as integer) as station_id, param_id, lvl, at_second as obstime, arg_max(single, seq) as original,
+       null::double as corrected, 'c<1' as controlinfo, 'u' || max(seq) as useinfo, null::integer as cfailed, false as waiting
+from t where param_id <> 5 group by 1, 2, 3, 4
+union all
+select cast(station_id as integer), param_id, lvl, at_second, single, null, 'c<1', 'u' || seq, null, true from t where param_id = 5
+union all
+select cast(station_id as integer), 77, lvl, at_second, 10, single, 'c<1', null, null, true from t"""
 
 
 QUERIES = {

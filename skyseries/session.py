@@ -11,8 +11,8 @@ SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # A join on (series, block, slot) may reuse a shuffle on (series, block).
-    "spark.sql.requireAllClusterKeysForCoPartition": "false",
+    # Joins shuffle by all their keys: rows of one series spread by time as well.
+    "spark.sql.requireAllClusterKeysForCoPartition": "true",
 }
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from skyseries.functions.numbers import strict_int
 
 # A catalogue up to this many codes is put into the query itself.
-MAX_CODES = 50_000
+MAX_CODES = 10_000
 
 CSV_COLUMNS = "id STRING, param_code STRING, element_id STRING, is_scalar STRING"
 

@@ -36,14 +36,15 @@ def test_parts_are_bounded_and_complete(spark):
     draw = random.Random(3)
     data = [(draw.choice("aaab"), draw.randrange(60), i) for i in range(500)]
     df = spark.createDataFrame(data, "g string, block int, i int")
-    parts = rows(skew.bounded_parts(df, ["g"], "block", 40))
-    assert sorted((g, b, i) for g, b, i, _ in parts) == sorted(data)
+    parts = rows(skew.collect_parts(df, ["g"], "block", F.struct("block", "i"), 40))
+    flat = [(g, p, b, i) for g, p, found in parts for b, i in found]
+    assert sorted((g, b, i) for g, _, b, i in flat) == sorted(data)
     largest = max(Counter((g, b) for g, b, _ in data).values())
-    sizes = Counter((g, p) for g, _, _, p in parts)
+    sizes = Counter((g, p) for g, p, _, _ in flat)
     assert max(sizes.values()) < 40 + largest and len(sizes) > 2
     for g in "ab":
-        in_order = [p for _, p in sorted((b, p) for h, b, _, p in parts if h == g)]
-        assert in_order == sorted(in_order)
+        whole = [(b, i) for h, _, b, i in flat if h == g]
+        assert whole == sorted(whole)
 
 
 STEPS = {"PT1M": 60, "PT1H": 3600, "P1D": 86400}
