@@ -68,18 +68,20 @@ def ingest_batch(store: Store, messages: DataFrame, side: SideTables, batch: int
 def store_values(store: Store, decoded: observations.Decoded, labelled: DataFrame, batch: int) -> None:
     """Write the resolved values, and what became of every message."""
     placed = labelled.withColumn("obs_bucket", obs_bucket(F.col("obstime")))
-    scalar, text = route_values(placed.where(F.col("obs_bucket").isNotNull()))
-    for table, rows in (("data", scalar), ("nonscalar_data", text)):
-        rows = rows.withColumn("seq", F.col("message_seq"))
-        store.write(table, latest_wins(rows, VALUE_KEY, ORDER, ["obsvalue", "seq", "obs_bucket"]), batch)
+    scalar, text = route_values(placed.where(F.col("obs_bucket").isNotNull()).withColumn("seq", F.col("message_seq")))
+    payload = ["obsvalue", "seq", "obs_bucket"]
 
     outside = out_of_range(placed.where(F.col("obs_bucket").isNull()))
     first_outside = outside.groupBy("message_seq").agg(F.min("fault").alias("outside"))
     final = decoded.messages.join(first_outside, "message_seq", "left").withColumn("fault", F.coalesce("fault", "outside"))
-    store.write("receipts", observations.receipts(final), batch)
     not_retried = F.lit(False).alias("retry")
     rows_outside = outside.select("message_seq", "fault.code", "fault.detail", "fault.row_no", "fault.col_no", not_retried)
-    store.write("rejects", observations.rejects(decoded).unionByName(rows_outside), batch)
+    store.write_all({
+        "data": latest_wins(scalar, VALUE_KEY, ORDER, payload),
+        "nonscalar_data": latest_wins(text, VALUE_KEY, ORDER, payload),
+        "receipts": observations.receipts(final),
+        "rejects": observations.rejects(decoded).unionByName(rows_outside),
+    }, batch)
 
 
 def out_of_range(rows: DataFrame) -> DataFrame:

@@ -34,8 +34,9 @@ def qc_batch(store: Store, messages: DataFrame, batch: int, retry: bool = True,
             records = records.unionByName(waiting_records(store, batch))
         resolved = resolve_met(records, store.labels_met(), limit)
         found = resolved.where(F.col("timeseries").isNotNull()).withColumn("seq", F.col("message_seq"))
-        store.write("qc_flags", latest_wins(found, VALUE_KEY, ORDER, [*PAYLOAD, "seq"]), batch)
-        store.write("quarantine", resolved.where(F.col("timeseries").isNull()), batch)
         null = F.lit(None).cast("int")
-        rejects = decoded.rejects.withColumns({"row_no": null, "col_no": null, "retry": F.lit(False)})
-        store.write("qc_rejects", rejects, batch)
+        store.write_all({
+            "qc_flags": latest_wins(found, VALUE_KEY, ORDER, [*PAYLOAD, "seq"]),
+            "quarantine": resolved.where(F.col("timeseries").isNull()),
+            "qc_rejects": decoded.rejects.withColumns({"row_no": null, "col_no": null, "retry": F.lit(False)}),
+        }, batch)

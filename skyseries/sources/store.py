@@ -7,6 +7,9 @@ A log holds at most one row per key and batch; reads keep the row with the large
 further split by the year range of their time, which is what prunes a read over a time range.
 """
 
+from concurrent.futures import ThreadPoolExecutor
+
+from pyspark import inheritable_thread_target
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -55,6 +58,14 @@ class Store:
             f"{self._path(table)}/batch={int(batch)}"
         )
 
+    def write_all(self, tables: dict[str, DataFrame], batch: int) -> None:
+        """Replace the folders of one batch in several tables, side by side; any failure is raised."""
+        def write(item):
+            self.write(*item, batch)
+
+        with ThreadPoolExecutor(len(tables)) as pool:
+            list(pool.map(inheritable_thread_target(self.spark)(write), tables.items()))
+
     def log(self, table: str, before: int | None = None) -> DataFrame:
         """All rows of a table, or those of the batches before one; empty when nothing is stored."""
         try:
