@@ -46,8 +46,10 @@ def ingest_stream(store: Store, messages: DataFrame, side: Callable[[], SideTabl
                   first_batch: int = 0, refresh_minutes: float = REFRESH_MINUTES, **trigger) -> StreamingQuery:
     """Observation messages into the store. The only writer of the series registry.
 
-    ``side`` loads the catalogue and permits. ``first_batch`` shifts the batch numbers, for a store
-    that already holds batches of other origin.
+    ``side`` loads the catalogue and permits. ``checkpoint`` is where progress is kept; give the same
+    folder to go on after a stop. ``first_batch`` shifts the batch numbers, for a store that already
+    holds batches of other origin. Further options are those of the trigger; without any, the stream
+    stops when it has read what there is.
     """
     tables = Refreshed(side, refresh_minutes)
 

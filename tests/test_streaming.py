@@ -3,6 +3,7 @@
 from datetime import datetime
 
 import pytest
+from pyspark.errors import StreamingQueryException
 
 from skyseries.sources import messages as sources
 from skyseries.sources.store import Store
@@ -44,6 +45,33 @@ def test_stream_restarts_where_it_stopped(spark, tmp_path):
     assert [(r.obstime, r.original) for r in store.values("qc_flags").collect()] == [(datetime(2024, 1, 1, 1), 2.0)]
 
 
+def test_failed_batch_runs_again_and_counts_once(spark, tmp_path, monkeypatch):
+    inbox, store = tmp_path / "inbox", Store(spark, f"{tmp_path}/store")
+    put(inbox, 1, message(20001, 501, ["TA", "CI"], NEW_YEAR, HOUR, 3, ["1", "2"]))
+
+    def run():
+        stream = sources.stream_message_files(spark, str(inbox))
+        ingest_stream(store, stream, lambda: side_tables(spark), checkpoint=f"{tmp_path}/progress").awaitTermination()
+
+    whole = Store.write
+
+    def failing(self, table, df, batch):
+        if table == "receipts":
+            raise OSError("no space")
+        whole(self, table, df, batch)
+
+    monkeypatch.setattr(Store, "write", failing)
+    with pytest.raises(StreamingQueryException):
+        run()
+    # Series and values are there already, the answers are not.
+    assert store.registry().count() == 2 and store.log("receipts").count() == 0
+    monkeypatch.setattr(Store, "write", whole)
+    run()
+    assert rows(store.registry().select("timeseries")) == [(1,), (2,)]
+    assert store.log("data").count() == 6 and store.values("data").count() == 6
+    assert rows(store.log("receipts").select("message_seq", "res", "batch")) == [(1, 0, 0)]
+
+
 def test_side_tables_are_read_again_when_old():
     time, loads = [0.0], []
     table = Refreshed(lambda: loads.append(time[0]) or len(loads), minutes=30, clock=lambda: time[0])
