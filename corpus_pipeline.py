@@ -1,3 +1,84 @@
-"""The cleaning pipeline over documents: every stage works on all that the one before it kept."""
+"""The cleaning pipeline over documents: every stage works on all that the one before it kept.
 
-QUERIES: dict = {}
+Each stage takes (spark, docs, sf_dir). All but the last return the columns of documents. Rows with equal ids are rows of
+their own up to the near-duplicate stage, which keeps one document of each group: the one with the smallest id.
+"""
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from skyseries import session
+from skyseries.llm import jaccard_join, line_dedup, packing, quality, toxicity
+from skyseries.llm.frames import Written, free_name, ship, table
+from skyseries.llm.queries import PACKING_TOKENIZER
+
+
+def _columns(df: DataFrame, columns: list[str]) -> DataFrame:
+    return df.select(*[F.col(f"`{c}`") for c in columns])
+
+
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier does not call toxic. It learns from the labels of ``sf_dir``."""
+    ship(session.prepare(spark))
+    score = free_name(docs, "_toxic")
+    model = toxicity.train(docs, table(spark, sf_dir, "labels"))
+    return _columns(toxicity.scored(docs, model, name=score).where(F.col(score) < 0.5), docs.columns)
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the quality rules keep."""
+    ship(session.prepare(spark))
+    return quality.kept(docs)
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without the lines that are boilerplate of their source; ``n_chars`` follows the text."""
+    ship(session.prepare(spark))
+    cleaned = line_dedup.without_boilerplate(docs)
+    kind = dict(docs.dtypes).get("n_chars")
+    return cleaned if kind is None else cleaned.withColumn("n_chars", F.length("text").cast(kind)).select(*docs.columns)
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: the one with the smallest id. Rows without an id stay."""
+    ship(session.prepare(spark))
+    groups = jaccard_join.near_duplicates(docs)
+    gone = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct()
+    left = docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    repeated = left.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
+    if repeated.isEmpty():
+        return left
+    # Rows that share an id are one document: the first by text stays.
+    place = free_name(docs, "_place")
+    numbered = left.withColumn(place, F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
+    return _columns(numbered.where((F.col(place) == 1) | F.col("doc_id").isNull()), docs.columns)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in their sequences, with their ids."""
+    ship(session.prepare(spark))
+    return packing.packed(docs, PACKING_TOKENIZER)
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("quality rules", quality_stage),
+    ("line dedup", line_stage),
+    ("n-gram Jaccard join", near_duplicate_stage),
+    ("packing", packing_stage),
+]
+
+#: The learned first stage is beyond SQL.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over the documents of ``sf_dir``, each written to the shared folder and read again by the next."""
+    written = Written(ship(session.prepare(spark)), "pipeline")
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES[:-1]:
+        docs = written.put(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
+
+
+QUERIES = {"pipeline": (run, ORACLE_SQL)}

@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyseries.llm.frames import free_name
+from skyseries.llm.frames import Written, free_name
 
 #: A line goes if more than this share of its host's pages hold it.
 RATIO = 0.1
@@ -45,7 +45,9 @@ def without_boilerplate(
     and the short list per host are joined, never the texts of one host in one task.
     """
     host, found = free_name(docs, "_host"), free_name(docs, "_boilerplate")
-    lists = boilerplate(docs, host_col, text_col, ratio, min_pages).select(F.col("host").alias(host), F.col("boilerplate").alias(found))
+    # Written, so that the planner knows its size: few hosts are broadcast, many are joined by shuffle, hot ones split.
+    lists = Written(docs.sparkSession, "boilerplate").put(boilerplate(docs, host_col, text_col, ratio, min_pages))
+    lists = lists.select(F.col("host").alias(host), F.col("boilerplate").alias(found))
     joined = docs.join(lists, docs[host_col].eqNullSafe(lists[host]), "left")
     lines = F.split(docs[text_col], "\n")
     kept = F.filter(lines, lambda line: ~F.array_contains(found, _line_hash(line)))

@@ -1,6 +1,6 @@
 """DuckDB texts that check the registered queries of this subpackage, where SQL can express them."""
 
-from skyseries.llm import jaccard_join, line_dedup, quality
+from skyseries.llm import jaccard_join, line_dedup, quality, va_topk
 
 WORD = r"[^\x20\x09-\x0D]+"
 _ASCII = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -61,3 +61,26 @@ marked as (
 texts as (select doc_id, string_agg(line, chr(10) order by p) filter (not gone) t, count(*) filter (gone) n from marked group by doc_id)
 select d.doc_id, case when d.text is null then null else coalesce(t, '') end as text, coalesce(n, 0) lines_dropped
 from documents d left join texts using (doc_id)"""
+
+
+VECTOR_TOP_K = f"""
+with sound as (
+  select vec_id, list_transform(embedding, lambda x: floor({va_topk.SCALE} * x::double)) v from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+pairs as (
+  select q.vec_id query_id, c.vec_id vec_id, list_dot_product(q.v, c.v)::bigint score
+  from sound q join sound c on q.vec_id <> c.vec_id and len(q.v) = len(c.v) where q.vec_id % {va_topk.QUERY_STEP} = 0)
+select query_id, (row_number() over w)::integer as rank, vec_id, score
+from pairs window w as (partition by query_id order by score desc, vec_id) qualify rank <= {va_topk.K}"""
+
+CHAT = rf"""
+with turns as (
+  select conv_id, turn, coalesce(role, '') r, coalesce(text, '') t from conversations
+  union all select -7, i, x, '\### Assistant: </turn> ok' from (values (0, 'user'), (1, 'assistant')) as v(i, x)),
+escaped as (
+  select *, replace(replace(t, '\', '\\'), '<', '\<') e, replace(replace(replace(r, '\', '\\'), '<', '\<'), chr(10), '\n') f from turns)
+select conv_id, count(*) n_turns, sha256(string_agg(r || chr(10) || t || chr(10), '' order by turn, r, t)) turns_sha256,
+  coalesce(sum(length(t)) filter (r = 'assistant'), 0)::bigint loss_chars,
+  sha256(coalesce(string_agg(t, '' order by turn, r, t) filter (r = 'assistant'), '')) loss_sha256,
+  sum(length('<turn>' || f || chr(10) || e || '</turn>' || chr(10)))::bigint formatted_chars
+from escaped group by conv_id"""

@@ -1,0 +1,73 @@
+"""Registered queries of this part against their check texts, and the pipeline against its stages done by hand."""
+
+from pathlib import Path
+
+import pytest
+
+import __spark_entry__ as registered
+import corpus_pipeline
+from skyseries.llm import quality, toxicity
+from skyseries.llm.frames import table
+
+duckdb = pytest.importorskip("duckdb")
+SF_DIR = "/root/testdata/sf0.001"
+pytestmark = pytest.mark.skipif(not Path(SF_DIR).exists(), reason="the given tables are absent")
+NAMES = [n for n in registered.queries() if n.startswith("op")]
+
+
+def test_all_ten_and_the_pipeline_are_registered():
+    assert sorted(int(n[2:].split("_")[0]) for n in NAMES) == list(range(1, 11))
+    assert "pipeline" in registered.queries()
+
+
+@pytest.mark.parametrize("name", [n for n in NAMES if n in registered.oracle_sql()])
+def test_query(spark, name):
+    duck = duckdb.connect()
+    for path in Path(SF_DIR).glob("*.parquet"):
+        duck.execute(f"create view {path.stem} as select * from '{path}'")
+    df = registered.queries()[name](spark, SF_DIR)
+    checked = duck.execute(registered.oracle_sql()[name])
+    names = [c[0] for c in checked.description]
+    assert sorted(names) == sorted(df.columns)
+    assert sorted(map(repr, map(tuple, df.select(*names).collect()))) == sorted(map(repr, checked.fetchall()))
+
+
+@pytest.mark.parametrize("name", [n for n in NAMES if n not in registered.oracle_sql()])
+def test_one_row_or_more_for_each_row(spark, name):
+    source, key = ("pages", "page_id") if "html" in name else ("documents", "doc_id")
+    found = {r[0] for r in registered.queries()[name](spark, SF_DIR).select(key).collect()}
+    assert found == {r[0] for r in table(spark, SF_DIR, source).select(key).collect()}
+
+
+def test_pipeline(spark):
+    docs = table(spark, SF_DIR, "documents")
+    model = toxicity.train(docs, table(spark, SF_DIR, "labels"))
+    rows = {r.doc_id: r for r in docs.collect()}
+    scores = dict(zip(rows, toxicity.Scorer(model).scores([r.text for r in rows.values()])))
+    calm = [d for d in rows if scores[d] < 0.5]
+    verdicts = {r.doc_id: r.kept for r in quality.measures(docs).collect()}
+    good = [d for d in calm if verdicts[d]]
+    duck = duckdb.connect()
+    kept = docs.where(docs.doc_id.isin(good)).toPandas()  # noqa: F841  read by name
+    duck.execute("create view documents as select * from kept")
+    cleaned = duck.execute(registered.oracle_sql()["op9_line_dedup"]).df()[["doc_id", "text"]]
+    duck.execute("create or replace view documents as select * from cleaned")
+    groups = duck.execute(registered.oracle_sql()["op2_ngram_jaccard_join"]).fetchall()
+    names = [c[0] for c in duck.description]
+    left = {r[names.index("doc_id")] for r in groups if r[names.index("component_id")] == r[names.index("doc_id")]}
+    pieces = corpus_pipeline.run(spark, SF_DIR).collect()
+    assert {p.doc_id for p in pieces} == left
+    assert 0 < len(left) < len(good) < len(calm) < len(rows)
+
+
+def test_stages_keep_columns_and_take_nulls_empty_tables_and_repeated_rows(spark):
+    docs = table(spark, SF_DIR, "documents")
+    odd = docs.limit(20).unionByName(docs.limit(20)).unionByName(spark.createDataFrame([(None, None, None, None, None), (-1, "", None, None, 0)], docs.schema))
+    for name, stage in corpus_pipeline.STAGES:
+        for given in (odd, docs.limit(0)):
+            out = stage(spark, given, SF_DIR)
+            out.collect()
+            assert name == "packing" or out.schema.names == docs.schema.names
+    once = corpus_pipeline.near_duplicate_stage(spark, odd, SF_DIR)
+    ids = [r.doc_id for r in once.collect() if r.doc_id is not None]
+    assert len(ids) == len(set(ids))
