@@ -81,6 +81,21 @@ def obs_bucket(obstime: Column) -> Column:
     return bucket.otherwise(year)
 
 
+def obs_month(obstime: Column) -> Column:
+    """Year and month of a time as one number, `yyyymm`; NULL outside the covered time."""
+    return F.when(obs_bucket(obstime).isNotNull(), F.year(obstime) * 100 + F.month(obstime))
+
+
+def month_filter(start=None, end=None, column: str = "obs_month") -> Column:
+    """Predicate on the month column implied by a closed time range, for partition pruning."""
+    test = F.lit(True)
+    if start is not None:
+        test = test & (F.col(column) >= start.year * 100 + start.month)
+    if end is not None:
+        test = test & (F.col(column) <= end.year * 100 + end.month)
+    return test
+
+
 def bucket_filter(start=None, end=None, column: str = "obs_bucket") -> Column:
     """Predicate on the partition column implied by a closed time range, for partition pruning."""
     buckets = BUCKET_YEARS[:-1]

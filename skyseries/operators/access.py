@@ -8,14 +8,14 @@ does; without that the series is closed. Permit 1 means open.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyseries.operators.skew import BROADCAST_ROWS, lookup_join
+from skyseries.operators.skew import lookup_join
 
 OPEN_PERMIT = 1
 ANY = 0
 KEY = ["station_id", "type_id", "param_id"]
 
 
-def open_flags(keys: DataFrame, param_permits: DataFrame, station_permits: DataFrame, limit=BROADCAST_ROWS):
+def open_flags(keys: DataFrame, param_permits: DataFrame, station_permits: DataFrame, sliced: bool = False):
     """Add `is_open` to distinct `(station_id, type_id, param_id)` keys.
 
     Every key looks up its four possible permits (exact, any parameter, any type, any of both), so the
@@ -42,12 +42,12 @@ def open_flags(keys: DataFrame, param_permits: DataFrame, station_permits: DataF
         F.col("param_id").alias("own_param"),
     )
     decided = (
-        lookup_join(probes, first, KEY, "inner", limit=limit)
+        lookup_join(probes, first, KEY, "inner", sliced=sliced)
         .groupBy("station_id", F.col("own_type").alias("type_id"), F.col("own_param").alias("param_id"))
         .agg(F.min("permit").alias("permit"))
     )
     stations = station_permits.groupBy("station_id").agg(F.max("permit_id").alias("station_permit"))
-    with_station = lookup_join(keys, stations, ["station_id"], limit=limit)
+    with_station = lookup_join(keys, stations, ["station_id"], sliced=sliced)
     # One row per key on both sides, so no key is heavy here.
     return with_station.join(decided, KEY, "left").select(
         *keys.columns,
@@ -55,8 +55,8 @@ def open_flags(keys: DataFrame, param_permits: DataFrame, station_permits: DataF
     )
 
 
-def filter_open(observations: DataFrame, param_permits, station_permits, limit=BROADCAST_ROWS) -> DataFrame:
+def filter_open(observations: DataFrame, param_permits, station_permits, sliced: bool = False) -> DataFrame:
     """Keep the observations of open series; the rule runs once per distinct key."""
     keys = observations.select(*KEY).distinct()
-    opened = open_flags(keys, param_permits, station_permits, limit).where("is_open").select(*KEY)
-    return lookup_join(observations, opened, KEY, "left_semi", limit=limit)
+    opened = open_flags(keys, param_permits, station_permits, sliced).where("is_open").select(*KEY)
+    return lookup_join(observations, opened, KEY, "left_semi", sliced=sliced)

@@ -25,6 +25,23 @@ IGNORED_FIELD = "add"
 STATION_KEY, TYPE_KEY, ID_KEY, TIME_KEY = "nationalnr", "type", "messageid", "received_time"
 COLUMN_PATTERN = r"([^(),]+)(\(([0-9]+),([0-9]+)\))?"
 
+# The wording of the receipts. Two texts stand before and after the value they complain about.
+WORDING = {
+    "NO_INDICATOR": "kldata indicator missing or out of order",
+    "UNEXPECTED_FIELD": "unexpected field in kldata header format: ",
+    "BAD_HEADER_VALUE": ("invalid value ", " in kldata header for key "),
+    "MISSING_STATION": "missing field `nationalnr` in kldata header",
+    "MISSING_TYPE": "missing field `type` in kldata header",
+    "TOO_FEW_LINES": "kldata message contained too few lines",
+    "BAD_COLUMN": "sensor or level out of range in kldata column line",
+    "TOO_MANY_VALUES": "more values than columns in kldata csv",
+    "EMPTY_BODY": "empty row in kldata csv",
+    "BAD_NUMBER": ("value ", " could not be parsed as float"),
+    "UNKNOWN_PARAM": ("unrecognised param_code '", "'"),
+}
+PARSE_ERROR = "parse error: "
+OUT_OF_RANGE = "OUT_OF_RANGE"
+
 # Header lines that surely have no fault; the others are looked at field by field.
 PLAIN_HEADER = (
     f"^{INDICATOR}(/({IGNORED_FIELD}|({STATION_KEY}|{TYPE_KEY})=[+-]?[0-9]{{1,9}}|{ID_KEY}=[0-9]{{1,18}}|{TIME_KEY}=[^/]*))*$"
@@ -76,12 +93,12 @@ def _header_faults(fields: Column) -> Column:
             .when(
                 unknown,
                 fault(HEADER, 0, i, "UNEXPECTED_FIELD",
-                      F.concat(F.lit("unexpected field in kldata header format: "), field)),
+                      F.concat(F.lit(WORDING["UNEXPECTED_FIELD"]), field)),
             )
             .when(
                 bad_value,
                 fault(HEADER, 0, i, "BAD_HEADER_VALUE",
-                      F.concat(F.lit("invalid value "), value, F.lit(" in kldata header for key "), key)),
+                      F.concat(F.lit(WORDING["BAD_HEADER_VALUE"][0]), value, F.lit(WORDING["BAD_HEADER_VALUE"][1]), key)),
             )
         )
 
@@ -147,32 +164,32 @@ def _structure(messages: DataFrame) -> DataFrame:
         F.when(F.col("header").rlike(PLAIN_HEADER), F.array()).otherwise(_header_faults(fields)),
         F.array(
             F.when(F.get(fields, F.lit(0)) != INDICATOR,
-                   fault(HEADER, 0, -1, "NO_INDICATOR", "kldata indicator missing or out of order")),
+                   fault(HEADER, 0, -1, "NO_INDICATOR", WORDING["NO_INDICATOR"])),
             F.when(lacks(STATION_KEY),
-                   fault(HEADER, 1, 0, "MISSING_STATION", "missing field `nationalnr` in kldata header")),
+                   fault(HEADER, 1, 0, "MISSING_STATION", WORDING["MISSING_STATION"])),
             F.when(lacks(TYPE_KEY),
-                   fault(HEADER, 1, 1, "MISSING_TYPE", "missing field `type` in kldata header")),
+                   fault(HEADER, 1, 1, "MISSING_TYPE", WORDING["MISSING_TYPE"])),
         ),
     )
     line_faults = F.array(
         # Without a first line there is no header to complain about.
         F.when(F.col("n_lines") == 0,
-               fault(HEADER, -1, 0, "TOO_FEW_LINES", "kldata message contained too few lines")),
+               fault(HEADER, -1, 0, "TOO_FEW_LINES", WORDING["TOO_FEW_LINES"])),
         F.when(F.col("n_lines") < 2,
-               fault(LINES, 0, 0, "TOO_FEW_LINES", "kldata message contained too few lines")),
+               fault(LINES, 0, 0, "TOO_FEW_LINES", WORDING["TOO_FEW_LINES"])),
         F.when(F.exists("columns", lambda c: c["bad"]),
-               fault(LINES, 0, 1, "BAD_COLUMN", "sensor or level out of range in kldata column line")),
+               fault(LINES, 0, 1, "BAD_COLUMN", WORDING["BAD_COLUMN"])),
     )
     body_faults = F.transform(
         "rows",
         lambda r: F.when(r["obstime"].isNull(),
                          fault(BODY, r["row_no"], -1, "BAD_TIME", compact_time_fault(r["raw_time"])))
         .when(F.size(r["cells"]) - 1 > F.size("columns"),
-              fault(BODY, r["row_no"], F.size("columns"), "TOO_MANY_VALUES", "more values than columns in kldata csv")),
+              fault(BODY, r["row_no"], F.size("columns"), "TOO_MANY_VALUES", WORDING["TOO_MANY_VALUES"])),
     )
     empty = F.array(
         F.when(~F.exists("rows", lambda r: F.size(r["cells"]) > 1),
-               fault(EMPTY, 0, 0, "EMPTY_BODY", "empty row in kldata csv"))
+               fault(EMPTY, 0, 0, "EMPTY_BODY", WORDING["EMPTY_BODY"]))
     )
     return parsed.select(
         "message_seq", "message_id", "station_id", "type_id", "columns", "rows",
@@ -193,12 +210,12 @@ def _body_row(line: Column, row_no: Column) -> Column:
 
 def _number_fault(row_no, col_no, text) -> Column:
     return fault(BODY, row_no, col_no, "BAD_NUMBER",
-                 F.concat(F.lit("value "), text, F.lit(" could not be parsed as float")))
+                 F.concat(F.lit(WORDING["BAD_NUMBER"][0]), text, F.lit(WORDING["BAD_NUMBER"][1])))
 
 
 def _unknown_fault(row_no, col_no, code) -> Column:
     return fault(CATALOGUE, row_no, col_no, "UNKNOWN_PARAM",
-                 F.concat(F.lit("unrecognised param_code '"), code, F.lit("'")))
+                 F.concat(F.lit(WORDING["UNKNOWN_PARAM"][0]), code, F.lit(WORDING["UNKNOWN_PARAM"][1])))
 
 
 def _explode_values(base: DataFrame, number_type: str) -> DataFrame:
@@ -313,7 +330,7 @@ def receipts(messages: DataFrame) -> DataFrame:
     failed = F.col("code").isNotNull()
     return faults.select(
         "message_seq",
-        F.when(failed, F.concat(F.lit("parse error: "), F.col("detail"))).otherwise("").alias("message"),
+        F.when(failed, F.concat(F.lit(PARSE_ERROR), F.col("detail"))).otherwise("").alias("message"),
         F.when(failed, F.lit(0).cast("bigint")).otherwise(F.col("message_id")).alias("message_id"),
         failed.cast("int").alias("res"),
         # Sending a faulty message again would not help.

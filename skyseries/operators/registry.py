@@ -1,9 +1,9 @@
 """Series identity: resolve label tuples to series ids and create ids on first sight."""
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from skyseries.operators.skew import BROADCAST_ROWS, keys_equal, lookup_join
+from skyseries.operators.skew import keys_equal, lookup_join
 
 SOURCE_KEY = ["station_id", "type_id", "param_code", "lvl", "sensor"]
 MET_KEY = ["station_id", "param_id", "type_id", "lvl", "sensor"]
@@ -14,8 +14,10 @@ BUCKET_DIGITS = 3
 
 
 def distinct_series(observations: DataFrame, order, extra=("param_id",)) -> DataFrame:
-    """One row per label tuple with `fromtime`, the time of its first observation in ``order``."""
-    first = F.min_by("obstime", F.struct(*order)).alias("fromtime")
+    """One row per label tuple with `fromtime`, the time of its first observation in ``order``: columns or one expression.
+    """
+    rank = order if isinstance(order, Column) else F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    first = F.min_by("obstime", rank).alias("fromtime")
     return observations.groupBy(*SOURCE_KEY, *extra).agg(first)
 
 
@@ -47,22 +49,29 @@ def assign_ids(keys: DataFrame, after: int = 0, columns=SOURCE_KEY) -> DataFrame
     )
 
 
-def resolve_series(observations: DataFrame, registry: DataFrame, limit=BROADCAST_ROWS) -> DataFrame:
+def resolve_series(observations: DataFrame, registry: DataFrame, sliced: bool = False) -> DataFrame:
     """Add `timeseries` by label tuple, NULL when the tuple is not registered."""
     lookup = registry.groupBy(*SOURCE_KEY).agg(F.min("timeseries").alias("timeseries"))
-    return lookup_join(observations, lookup, SOURCE_KEY, null_safe=NULLABLE, limit=limit)
+    return lookup_join(observations, lookup, SOURCE_KEY, null_safe=NULLABLE, sliced=sliced)
 
 
-def resolve_met(records: DataFrame, labels_met: DataFrame, limit=BROADCAST_ROWS) -> DataFrame:
+def resolve_met(records: DataFrame, labels_met: DataFrame, sliced: bool = False) -> DataFrame:
     """Add `timeseries` to control records: the smallest id with this label tuple, NULL without one."""
     lookup = labels_met.groupBy(*MET_KEY).agg(F.min("timeseries").alias("timeseries"))
-    return lookup_join(records, lookup, MET_KEY, null_safe=NULLABLE, limit=limit)
+    return lookup_join(records, lookup, MET_KEY, null_safe=NULLABLE, sliced=sliced)
 
 
 def timeseries_table(registry: DataFrame) -> DataFrame:
     return registry.select(F.col("timeseries").alias("id"), "fromtime", "totime", "loc", "deactivated")
 
 
+def labels_and_places(registry: DataFrame) -> DataFrame:
+    """`labels_met` and `timeseries` in one row per series."""
+    return registry.select(
+        "timeseries", "station_id", "param_id", "type_id", "lvl", "sensor", "fromtime", "totime", "loc", "deactivated"
+    )
+
+
 def labels_met(registry: DataFrame) -> DataFrame:
     return registry.select("timeseries", "station_id", "param_id", "type_id", "lvl", "sensor")
 

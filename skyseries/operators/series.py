@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from skyseries.functions.times import step_seconds
 from skyseries.operators.grid import fill_grid
-from skyseries.operators.skew import BROADCAST_ROWS, lookup_join
+from skyseries.operators.skew import lookup_join
 
 # Fixed value: start of a series without start.
 EARLIEST = "1950-01-01 00:00:00"
@@ -19,9 +19,13 @@ def series_headers(series: DataFrame, labels_met: DataFrame, now, first_only: bo
     Where several series share station and parameter, the one with the smallest id is taken, or with
     ``first_only=False`` all are.
     """
-    time_type = dict(series.dtypes)["fromtime"]
-    joined = series.join(labels_met, F.col("id") == F.col("timeseries"))
-    headers = joined.select(
+    return headers_of(series.join(labels_met, F.col("id") == F.col("timeseries")), now, first_only)
+
+
+def headers_of(labelled: DataFrame, now, first_only: bool = True) -> DataFrame:
+    """As `series_headers`, of series and labels in one row."""
+    time_type = dict(labelled.dtypes)["fromtime"]
+    headers = labelled.select(
         "timeseries",
         F.coalesce("fromtime", F.lit(EARLIEST).cast(time_type)).alias("fromtime"),
         F.coalesce("totime", F.lit(now).cast(time_type)).alias("totime"),
@@ -43,16 +47,16 @@ def with_range(headers: DataFrame, start=None, end=None) -> DataFrame:
     })
 
 
-def irregular(data: DataFrame, ranges: DataFrame, limit=BROADCAST_ROWS) -> DataFrame:
+def irregular(data: DataFrame, ranges: DataFrame, sliced: bool = False) -> DataFrame:
     """Observations inside the closed range of their series."""
     bounds = ranges.select("timeseries", "first", "last")
-    inside = lookup_join(data, bounds, ["timeseries"], "inner", limit=limit).where(
+    inside = lookup_join(data, bounds, ["timeseries"], "inner", sliced=sliced).where(
         F.col("obstime").between(F.col("first"), F.col("last"))
     )
     return inside.select("timeseries", "obstime", "obsvalue")
 
 
-def regular(data: DataFrame, ranges: DataFrame, resolution: str, strict: bool = True, limit=BROADCAST_ROWS) -> DataFrame:
+def regular(data: DataFrame, ranges: DataFrame, resolution: str, strict: bool = True, sliced: bool = False) -> DataFrame:
     """Every slot of the grid of every series, with the value at that time or NULL."""
     bounds = ranges.select("timeseries", "first", "last")
-    return fill_grid(bounds, data, step_seconds(resolution, strict), ["timeseries"], limit=limit)
+    return fill_grid(bounds, data, step_seconds(resolution, strict), ["timeseries"], sliced=sliced)

@@ -5,30 +5,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-# A lookup side up to this many rows is broadcast.
-BROADCAST_ROWS = 200_000
-# Beyond that, keys with more fact rows than this are spread over several tasks.
+# Where keys are sliced, those with more fact rows than this are spread over several tasks.
 ROWS_PER_TASK = 5_000_000
-# The heaviest keys that may be spread. A key that is not among them has at most 1/1024 of the rows.
-HEAVY_KEYS = 1024
-
-
-def spread(messages: DataFrame, key: str = "message_seq") -> DataFrame:
-    """Give every core a share of a source with fewer partitions than cores, such as a two-part topic.
-
-    Decoding costs far more than moving the text. A source with enough partitions stays as it is. For
-    frames read straight from a source: counting the partitions must not run anything.
-    """
-    cores = messages.sparkSession.sparkContext.defaultParallelism
-    return messages if messages.rdd.getNumPartitions() >= cores else messages.repartition(cores, key)
-
-
-def fits_broadcast(df: DataFrame, limit: int = BROADCAST_ROWS) -> bool:
-    """Whether the frame has at most ``limit`` rows.
-
-    Counted in full: a limit would send up to ``limit`` rows of every partition to a single task.
-    """
-    return df.count() <= limit
 
 
 def keys_equal(left: str, right: str, on, null_safe=()) -> Column:
@@ -40,41 +18,37 @@ def keys_equal(left: str, right: str, on, null_safe=()) -> Column:
     return reduce(lambda a, b: a & b, tests)
 
 
-def lookup_join(facts, lookup, on, how="left", null_safe=(), limit=BROADCAST_ROWS, rows_per_task=ROWS_PER_TASK):
+def lookup_join(facts, lookup, on, how="left", null_safe=(), sliced: bool = False, rows_per_task=ROWS_PER_TASK):
     """Join many fact rows to a lookup frame that has at most one row per key.
 
-    A lookup side of checked size is broadcast, so the facts are not shuffled. A larger one is
-    joined by shuffle; the heaviest fact keys are then cut into slices by a hash of the whole fact
-    row, and their lookup rows are repeated once per slice. ``how`` is inner, left, left_semi or
-    left_anti.
+    The planner chooses by the bytes it sees, before and while the query runs: a small lookup side is broadcast, a larger
+    one is joined by shuffle, and tasks that turn out large are split. ``sliced`` does the splitting beforehand, for
+    plans in which that cannot be done at run time: every key with more than ``rows_per_task`` fact rows is cut into
+    slices, by a hash of the fact row and the partition it stands in, so that equal rows part as well; its lookup row is
+    repeated once per slice. ``how`` is inner, left, left_semi or left_anti.
     """
     extra = [c for c in lookup.columns if c not in on]
     if how in ("left_semi", "left_anti"):
         extra = []
     kept = [F.col(f"f.{c}") for c in facts.columns] + [F.col(f"l.{c}") for c in extra]
+    if not sliced:
+        return facts.alias("f").join(lookup.alias("l"), keys_equal("f", "l", on, null_safe), how).select(*kept)
 
-    if fits_broadcast(lookup, limit):
-        joined = facts.alias("f").join(
-            F.broadcast(lookup.alias("l")), keys_equal("f", "l", on, null_safe), how
-        )
-        return joined.select(*kept)
-
+    # At most one heavy key per rows_per_task facts.
     heavy = (
         facts.groupBy(*on)
         .count()
         .where(F.col("count") > rows_per_task)
-        .orderBy(F.desc("count"))
-        .limit(HEAVY_KEYS)
         .select(*on, F.ceil(F.col("count") / rows_per_task).cast("int").alias("slices"))
     )
 
     def with_slices(df):
-        # At most HEAVY_KEYS rows are broadcast here.
-        matched = df.alias("d").join(F.broadcast(heavy.alias("h")), keys_equal("d", "h", on, on), "left")
+        matched = df.alias("d").join(heavy.alias("h"), keys_equal("d", "h", on, on), "left")
         return matched.select("d.*", F.coalesce("h.slices", F.lit(1)).alias("slices"))
 
-    sliced_facts = with_slices(facts).withColumn(
-        "slice", F.pmod(F.xxhash64(*facts.columns), F.col("slices")).cast("int")
+    place = F.xxhash64(*facts.columns, "standing")
+    sliced_facts = with_slices(facts.withColumn("standing", F.spark_partition_id())).withColumn(
+        "slice", F.pmod(place, F.col("slices")).cast("int")
     )
     sliced_lookup = with_slices(lookup).withColumn(
         "slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
@@ -85,24 +59,29 @@ def lookup_join(facts, lookup, on, how="left", null_safe=(), limit=BROADCAST_ROW
     return joined.select(*kept)
 
 
-def collect_parts(df: DataFrame, group, block, element: Column, max_rows: int) -> DataFrame:
-    """Sorted arrays of ``element`` per group, in numbered parts: ``group``, `part_no`, `rows`.
+def part_numbers(df: DataFrame, group, block, max_rows: int) -> DataFrame:
+    """``group``, ``block``, `part_no`, `n_parts`: whole neighbouring blocks share a part until it has ``max_rows`` rows.
 
-    ``block`` names a column that cuts a group into pieces of bounded size, in output order. Whole
-    neighbouring blocks share a part until it has ``max_rows`` rows, so a part stays below ``max_rows``
-    plus one block. Arrays are collected per block; only their sizes meet per group.
+    Only the sizes of the blocks meet per group.
+    """
+    sizes = df.groupBy(*group, block).agg(F.count(F.lit(1)).alias("n"))
+    whole = Window.partitionBy(*group)
+    before = whole.orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
+    numbered = sizes.withColumn("part", F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / max_rows).cast("int"))
+    # Numbers without gaps, where one block fills several parts.
+    dense = numbered.withColumn("part_no", (F.dense_rank().over(whole.orderBy("part")) - 1).cast("int"))
+    return dense.select(*group, block, "part_no", (F.max("part_no").over(whole) + 1).alias("n_parts"))
+
+
+def collect_parts(df: DataFrame, group, block, element: Column, max_rows: int, numbers: DataFrame | None = None) -> DataFrame:
+    """Sorted arrays of ``element`` per group, in numbered parts: ``group``, `part_no`, `n_parts`, `rows`.
+
+    ``block`` names a column that cuts a group into pieces of bounded size, in output order; a part stays below
+    ``max_rows`` plus one block. The numbers are made from the sizes of the blocks, so the rows are shuffled once, to
+    their parts. Elements of a part are sorted, and begin with what orders the blocks. ``numbers`` may be given.
     """
     keys = [*group, block]
-    # Said here, both uses of the arrays below have the same plan and share one shuffle.
     df = df.where(reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in keys]))
-    blocks = df.groupBy(*keys).agg(F.sort_array(F.collect_list(element)).alias("rows"))
-    before = Window.partitionBy(*group).orderBy(block).rowsBetween(Window.unboundedPreceding, -1)
-    # Taken from the arrays, the sizes share their shuffle, and the rows are read once.
-    sizes = blocks.select(*keys, F.size("rows").alias("n"))
-    numbers = sizes.select(
-        *keys, F.floor(F.coalesce(F.sum("n").over(before), F.lit(0)) / max_rows).cast("int").alias("part_no")
-    )
-    parts = blocks.join(numbers, keys).groupBy(*group, "part_no").agg(
-        F.sort_array(F.collect_list(F.struct(block, "rows"))).alias("blocks")
-    )
-    return parts.select(*group, "part_no", F.flatten("blocks.rows").alias("rows"))
+    numbers = part_numbers(df, group, block, max_rows) if numbers is None else numbers
+    placed = df.select(*keys, element.alias("element")).join(numbers, keys)
+    return placed.groupBy(*group, "part_no", "n_parts").agg(F.sort_array(F.collect_list("element")).alias("rows"))

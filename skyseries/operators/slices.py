@@ -3,7 +3,8 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyseries.operators.skew import BROADCAST_ROWS, lookup_join
+from skyseries.operators.skew import lookup_join
+from skyseries.operators.upsert import packed_order
 
 
 def newest_per_series(data: DataFrame, newer_than) -> DataFrame:
@@ -20,28 +21,29 @@ def newest_per_series(data: DataFrame, newer_than) -> DataFrame:
 def newest_from_log(log: DataFrame, newer_than) -> DataFrame:
     """As `newest_per_series`, on a log that may hold older writes of the same time."""
     recent = log.where(F.col("obstime") > F.lit(newer_than))
-    return recent.groupBy("timeseries").agg(
-        F.max_by("obsvalue", F.struct("obstime", "seq")).alias("obsvalue"), F.max("obstime").alias("obstime")
-    )
+    order = packed_order(F.unix_micros("obstime"), F.col("arrival"))
+    return recent.groupBy("timeseries").agg(F.max_by("obsvalue", order).alias("obsvalue"), F.max("obstime").alias("obstime"))
 
 
-def places(labels_met: DataFrame, series: DataFrame) -> DataFrame:
-    """Station, parameter and location of every labelled series."""
+def places(labels_met: DataFrame, series: DataFrame | None = None) -> DataFrame:
+    """Station, parameter and location of every labelled series; without ``series`` the labels carry `loc` themselves."""
+    if series is None:
+        return labels_met.select("timeseries", "station_id", "param_id", "loc")
     located = series.select(F.col("id").alias("timeseries"), "loc")
     return labels_met.select("timeseries", "station_id", "param_id").join(located, "timeseries")
 
 
-def with_place(values: DataFrame, labels_met: DataFrame, series: DataFrame) -> DataFrame:
+def with_place(values: DataFrame, labels_met: DataFrame, series: DataFrame | None = None) -> DataFrame:
     """Join one-row-per-series values to their labels and location; unlabelled series drop out."""
     return values.join(places(labels_met, series), "timeseries")
 
 
-def place_rows(values: DataFrame, labels_met: DataFrame, series: DataFrame, limit=BROADCAST_ROWS) -> DataFrame:
+def place_rows(values: DataFrame, labels_met: DataFrame, series: DataFrame | None = None, sliced: bool = False) -> DataFrame:
     """As `with_place`, for values of which one series may have most."""
-    return lookup_join(values, places(labels_met, series), ["timeseries"], "inner", limit=limit)
+    return lookup_join(values, places(labels_met, series), ["timeseries"], "inner", sliced=sliced)
 
 
-def latest(newest: DataFrame, labels_met: DataFrame, series: DataFrame) -> DataFrame:
+def latest(newest: DataFrame, labels_met: DataFrame, series: DataFrame | None = None) -> DataFrame:
     placed = with_place(newest, labels_met, series)
     return placed.select("timeseries", "station_id", "param_id", "obsvalue", "obstime", "loc")
 
@@ -53,7 +55,7 @@ def timeslice(data: DataFrame, labels_met: DataFrame, series: DataFrame, instant
     return placed.select("timeseries", "station_id", "obsvalue", "loc")
 
 
-def timeslices(data, labels_met, series, requests, limit=BROADCAST_ROWS) -> DataFrame:
+def timeslices(data, labels_met, series, requests, sliced: bool = False) -> DataFrame:
     """Slices for many `(ts, param_id)` requests in one pass over the data.
 
     The data are first cut down to the requested instants, then labelled, then matched to the
@@ -61,7 +63,7 @@ def timeslices(data, labels_met, series, requests, limit=BROADCAST_ROWS) -> Data
     """
     wanted = requests.distinct()
     instants = wanted.select(F.col("ts").alias("obstime")).distinct()
-    at_instants = lookup_join(data.select("timeseries", "obstime", "obsvalue"), instants, ["obstime"], "left_semi", limit=limit)
-    placed = place_rows(at_instants, labels_met, series, limit).withColumnRenamed("obstime", "ts")
-    matched = lookup_join(placed, wanted, ["ts", "param_id"], "left_semi", limit=limit)
+    at_instants = lookup_join(data.select("timeseries", "obstime", "obsvalue"), instants, ["obstime"], "left_semi", sliced=sliced)
+    placed = place_rows(at_instants, labels_met, series, sliced).withColumnRenamed("obstime", "ts")
+    matched = lookup_join(placed, wanted, ["ts", "param_id"], "left_semi", sliced=sliced)
     return matched.select("ts", "param_id", "timeseries", "station_id", "obsvalue", "loc")

@@ -1,20 +1,38 @@
 """Insert-or-overwrite as an aggregate: the last write of a key wins as a whole row."""
 
-from pyspark.sql import DataFrame
+from decimal import Decimal
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 VALUE_KEY = ["timeseries", "obstime"]
 
 
+def packed_order(high: Column, *low: Column) -> Column:
+    """One number that orders like its parts, the first one first.
+
+    ``high`` is any BIGINT; the others are from 0 and have 18 digits together, in equal shares. As a number of fixed
+    width it is compared inside a hash aggregate, where a struct would be sorted.
+    """
+    digits = 18 // max(1, len(low))
+    order = high.cast("decimal(38,0)") * F.lit(Decimal(10) ** (digits * len(low)))
+    for place, part in enumerate(reversed(low)):
+        order = order + part.cast("decimal(38,0)") * F.lit(Decimal(10) ** (digits * place))
+    return order.cast("decimal(38,0)")
+
+
 def latest_wins(writes: DataFrame, keys, order, payload) -> DataFrame:
-    """Keep, per key, the payload of the write that is last in ``order`` (columns that are never NULL).
+    """Keep, per key, the payload of the write that is last in ``order`` (columns that are never NULL, or an expression).
 
     Partial aggregation collapses repeated keys before the shuffle. A NULL payload of the last write
-    wins over older values. One order column and fixed-width payload columns aggregate by hash.
+    wins over older values. One order column and one fixed-width payload column aggregate by hash.
     """
-    if isinstance(order, str):
-        order = [order]
-    rank = F.col(order[0]) if len(order) == 1 else F.struct(*order)
+    if isinstance(order, Column):
+        rank = order
+    elif isinstance(order, str):
+        rank = F.col(order)
+    else:
+        rank = F.col(order[0]) if len(order) == 1 else F.struct(*order)
     if len(payload) == 1:
         return writes.groupBy(*keys).agg(F.max_by(payload[0], rank).alias(payload[0]))
     last = writes.groupBy(*keys).agg(F.max_by(F.struct(*payload), rank).alias("last"))

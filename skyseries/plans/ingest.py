@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 from skyseries import session
 from skyseries.functions.times import obs_bucket
 from skyseries.operators import access, observations, registry
-from skyseries.operators.skew import BROADCAST_ROWS, keys_equal, lookup_join, spread
-from skyseries.operators.upsert import VALUE_KEY, latest_wins, route_values
+from skyseries.operators.skew import keys_equal, lookup_join
+from skyseries.operators.upsert import VALUE_KEY, latest_wins, packed_order, route_values
 from skyseries.sources.catalogue import code_sets
 from skyseries.sources.store import Store
 
@@ -26,68 +26,84 @@ class SideTables:
     station_permits: DataFrame
 
 
-def register_new(store: Store, keys: DataFrame, batch: int) -> DataFrame:
-    """Register the tuples seen for the first time; gives all tuples of ``keys`` with their id."""
-    known = store.registry(before=batch)
-    top = known.agg(F.coalesce(F.max("timeseries"), F.lit(0))).first()[0]
-    new = registry.assign_ids(registry.missing_series(keys, known), after=top)
+def written_order():
+    return packed_order(*[F.col(c) for c in ORDER])
+
+
+def known_series(store: Store, keys: DataFrame) -> DataFrame:
+    """The smallest id of each registered tuple of ``keys``. The registry is cut down to these tuples first."""
+    wanted = keys.select(*registry.SOURCE_KEY).alias("k")
+    found = store.registry().select("timeseries", *registry.SOURCE_KEY).alias("r").join(
+        wanted, keys_equal("r", "k", registry.SOURCE_KEY, registry.NULLABLE), "left_semi"
+    )
+    return found.groupBy(*registry.SOURCE_KEY).agg(F.min("timeseries").alias("timeseries"))
+
+
+def new_series(store: Store, keys: DataFrame, known: DataFrame) -> DataFrame:
+    """Registry rows for the tuples of ``keys`` that are not ``known``, numbered after every id of the store."""
+    top = store.registry().agg(F.coalesce(F.max("timeseries"), F.lit(0))).first()[0]
     null = F.lit(None)
-    store.write("registry", new.withColumns({"totime": null, "loc": null, "deactivated": null}), batch)
-    return store.registry(before=batch + 1).groupBy(*registry.SOURCE_KEY).agg(F.min("timeseries").alias("timeseries"))
+    new = registry.assign_ids(registry.missing_series(keys, known), after=top)
+    return new.withColumns({"totime": null, "loc": null, "deactivated": null})
 
 
-def ingest_batch(store: Store, messages: DataFrame, side: SideTables, batch: int, limit: int = BROADCAST_ROWS,
+def ingest_batch(store: Store, messages: DataFrame, side: SideTables, batch: int, sliced: bool = False,
                  zero_ids_are_null: bool = False) -> None:
     """Decode, filter, resolve and store one batch of `(message_seq, msg)`; safe to repeat.
 
-    The messages are decoded once. The distinct label tuples go through the access rule and the
-    registry; the observations meet the result in one join. By default sensor and level 0 are ids like any
-    other here, though quality-control messages read them as "not given"; ``zero_ids_are_null`` unifies that.
+    The messages are decoded once and their values split once. The distinct label tuples go through the access rule and
+    the registry, of which only these tuples are looked up; the values meet the result in one join. By default sensor
+    and level 0 are ids like any other here, though quality-control messages read them as "not given";
+    ``zero_ids_are_null`` unifies that.
     """
     session.prepare(store.spark)
     codes = code_sets(side.params)
-    with session.staged(observations.checked_messages(spread(messages), codes), "decoded") as checked:
+    with session.staged(observations.checked_messages(messages, codes), "decoded") as checked:
         decoded = observations.decode_checked(checked, side.params, codes)
         rows = observations.null_zero_ids(decoded.observations) if zero_ids_are_null else decoded.observations
         ids = side.params.select("param_code", F.col("id").alias("param_id"))
-        typed = lookup_join(rows, ids, ["param_code"], "inner", limit=limit)
-        with session.staged(registry.distinct_series(typed, ORDER), "keys") as keys:
-            flags = access.open_flags(
-                keys.select(*access.KEY).distinct(), side.param_permits, side.station_permits, limit
-            )
-            open_keys = keys.join(flags.where("is_open").drop("is_open"), access.KEY, "left_semi")
-            ids_by_tuple = register_new(store, open_keys, batch)
-            # One row per tuple on both sides, so no key is heavy here.
-            wanted = open_keys.select(*registry.SOURCE_KEY).alias("k").join(
-                ids_by_tuple.alias("r"), keys_equal("k", "r", registry.SOURCE_KEY, registry.NULLABLE)
-            ).select("k.*", "r.timeseries")
-            labelled = lookup_join(typed, wanted, registry.SOURCE_KEY, "inner", registry.NULLABLE, limit)
-            store_values(store, decoded, labelled, batch)
-
-
-def store_values(store: Store, decoded: observations.Decoded, labelled: DataFrame, batch: int) -> None:
-    """Write the resolved values, and what became of every message."""
-    placed = labelled.withColumn("obs_bucket", obs_bucket(F.col("obstime")))
-    scalar, text = route_values(placed.where(F.col("obs_bucket").isNotNull()).withColumn("seq", F.col("message_seq")))
-    payload = ["obsvalue", "seq", "obs_bucket"]
-
-    outside = out_of_range(placed.where(F.col("obs_bucket").isNull()))
+        with session.staged(lookup_join(rows, ids, ["param_code"], "inner", sliced=sliced), "values") as typed:
+            seen = registry.distinct_series(typed, written_order())
+            with session.staged(seen, "keys") as keys:
+                flags = access.open_flags(
+                    keys.select(*access.KEY).distinct(), side.param_permits, side.station_permits, sliced
+                )
+                open_keys = keys.join(flags.where("is_open").drop("is_open"), access.KEY, "left_semi")
+                known = known_series(store, open_keys)
+                with session.staged(new_series(store, open_keys, known), "series") as new:
+                    # One row per tuple.
+                    wanted = known.unionByName(new.select(*registry.SOURCE_KEY, "timeseries"))
+                    labelled = lookup_join(typed, wanted, registry.SOURCE_KEY, "inner", registry.NULLABLE, sliced)
+                    # A batch that runs again keeps the series it has registered.
+                    registered = store.log("registry", only=batch).drop("batch").unionByName(new.select(*[
+                        c for c in store.registry().columns if c != "batch"
+                    ]))
+                    store.write_all({"registry": registered, **stored_tables(decoded, labelled, batch)}, batch)
+
+
+def stored_tables(decoded: observations.Decoded, labelled: DataFrame, batch: int) -> dict[str, DataFrame]:
+    """The resolved values, and what became of every message."""
+    inside = obs_bucket(F.col("obstime")).isNotNull()
+    scalar, text = route_values(labelled.where(inside))
+    arrival = F.lit(batch).cast("bigint").alias("arrival")
+
+    outside = out_of_range(labelled.where(~inside))
     first_outside = outside.groupBy("message_seq").agg(F.min("fault").alias("outside"))
     final = decoded.messages.join(first_outside, "message_seq", "left").withColumn("fault", F.coalesce("fault", "outside"))
     not_retried = F.lit(False).alias("retry")
     rows_outside = outside.select("message_seq", "fault.code", "fault.detail", "fault.row_no", "fault.col_no", not_retried)
-    store.write_all({
-        "data": latest_wins(scalar, VALUE_KEY, ORDER, payload),
-        "nonscalar_data": latest_wins(text, VALUE_KEY, ORDER, payload),
+    return {
+        "data": latest_wins(scalar, VALUE_KEY, written_order(), ["obsvalue"]).select("*", arrival),
+        "nonscalar_data": latest_wins(text, VALUE_KEY, written_order(), ["obsvalue"]).select("*", arrival),
         "receipts": observations.receipts(final),
         "rejects": observations.rejects(decoded).unionByName(rows_outside),
-    }, batch)
+    }
 
 
 def out_of_range(rows: DataFrame) -> DataFrame:
     """Values whose time no storage range covers: refused one by one, the rest of the message stays."""
     found = observations.fault(
-        observations.STORAGE, F.col("row_no"), F.col("col_no"), "OUT_OF_RANGE",
+        observations.STORAGE, F.col("row_no"), F.col("col_no"), observations.OUT_OF_RANGE,
         F.concat(F.lit("no storage range for time "), F.col("obstime").cast("string")),
     )
     return rows.select("message_seq", found.alias("fault"))

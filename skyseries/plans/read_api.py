@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from skyseries import session
 from skyseries.operators import series as ops
 from skyseries.operators import slices
-from skyseries.operators.skew import BROADCAST_ROWS, lookup_join
+from skyseries.operators.registry import labels_and_places
+from skyseries.operators.skew import lookup_join
 from skyseries.operators.upsert import VALUE_KEY, latest_wins
 from skyseries.sources.store import Store, current
 
@@ -22,7 +23,7 @@ def utc_now() -> datetime:
 
 def headers(store: Store, now=None, first_only: bool = True) -> DataFrame:
     session.prepare(store.spark)
-    return ops.series_headers(store.timeseries(), store.labels_met(), now or utc_now(), first_only)
+    return ops.headers_of(labels_and_places(store.registry()), now or utc_now(), first_only)
 
 
 def _aware(time):
@@ -54,7 +55,7 @@ def series(store, station_id, param_id, start=None, end=None, resolution=None, n
 
 
 def series_bulk(store, keys=None, start=None, end=None, resolution=None, now=None, strict=True, first_only=True,
-                limit=BROADCAST_ROWS):
+                sliced: bool = False):
     """As `series`, for all series or for those of ``keys`` `(station_id, param_id)`, in one plan."""
     head = headers(store, now, first_only)
     if keys is not None:
@@ -63,11 +64,11 @@ def series_bulk(store, keys=None, start=None, end=None, resolution=None, now=Non
     # Cut the log down before folding it: to the given range, and to the chosen series.
     log = store.value_log("data", _aware(start), _aware(end))
     if keys is not None:
-        log = lookup_join(log, ranges.select("timeseries"), ["timeseries"], "left_semi", limit=limit)
+        log = lookup_join(log, ranges.select("timeseries"), ["timeseries"], "left_semi", sliced=sliced)
     if resolution is None:
-        inside = lookup_join(log, ranges.select("timeseries", "first", "last"), ["timeseries"], "inner", limit=limit)
+        inside = lookup_join(log, ranges.select("timeseries", "first", "last"), ["timeseries"], "inner", sliced=sliced)
         values = latest_wins(
-            inside.where(F.col("obstime").between(F.col("first"), F.col("last"))), VALUE_KEY, "seq", ["obsvalue"]
+            inside.where(F.col("obstime").between(F.col("first"), F.col("last"))), VALUE_KEY, "arrival", ["obsvalue"]
         )
         return ranges, values
     return ranges, ops.regular(current(log), ranges, resolution, strict)
@@ -77,18 +78,18 @@ def timeslice(store: Store, instant, param_id: int) -> DataFrame:
     """Every series of a parameter at exactly one time."""
     session.prepare(store.spark)
     instant = _aware(instant)
-    return slices.timeslice(store.values("data", instant, instant), store.labels_met(), store.timeseries(), instant, param_id)
+    return slices.timeslice(store.values("data", instant, instant), labels_and_places(store.registry()), None, instant, param_id)
 
 
-def timeslices(store: Store, requests: DataFrame, limit=BROADCAST_ROWS) -> DataFrame:
+def timeslices(store: Store, requests: DataFrame, sliced: bool = False) -> DataFrame:
     """Slices for many `(ts, param_id)`; only rows at the requested times are folded."""
     session.prepare(store.spark)
     instants = requests.select(F.col("ts").alias("obstime")).distinct()
     edges = instants.agg(F.min(F.unix_micros("obstime")).alias("a"), F.max(F.unix_micros("obstime")).alias("z")).first()
     # Without requests any range will do.
     log = store.value_log("data", _from_micros(edges.a or 0), _from_micros(edges.z or 0))
-    at_instants = current(lookup_join(log, instants, ["obstime"], "left_semi", limit=limit))
-    return slices.timeslices(at_instants, store.labels_met(), store.timeseries(), requests, limit)
+    at_instants = current(lookup_join(log, instants, ["obstime"], "left_semi", sliced=sliced))
+    return slices.timeslices(at_instants, labels_and_places(store.registry()), None, requests, sliced)
 
 
 def latest(store: Store, newer_than=None, now=None) -> DataFrame:
@@ -96,7 +97,7 @@ def latest(store: Store, newer_than=None, now=None) -> DataFrame:
     session.prepare(store.spark)
     newer_than = _aware(newer_than) or (now or utc_now()) - DEFAULT_AGE
     newest = slices.newest_from_log(store.value_log("data", start=newer_than), newer_than)
-    return slices.latest(newest, store.labels_met(), store.timeseries())
+    return slices.latest(newest, labels_and_places(store.registry()))
 
 
 def write_answers(answers: DataFrame, path: str) -> None:

@@ -7,9 +7,10 @@ hour later.
 from pyspark.sql import functions as F
 
 from skyseries.operators import observations, qc
-from skyseries.operators.skew import lookup_join, spread
+from skyseries.operators.skew import lookup_join
 from skyseries.operators.upsert import latest_wins, route_values
 from skyseries.queries.mapping import CODES, OBS_SQL, ntz, obs
+from skyseries.sources.messages import spread
 from skyseries.sources.catalogue import code_sets, parse_params
 
 # Catalogue: the five parameters and the text parameter, as the CSV has them.

@@ -67,20 +67,6 @@ select ts, met.param_id, timeseries, met.station_id, obsvalue, lat
 from hourly join met using (timeseries) join requests on ts = obstime and requests.param_id = met.param_id"""
 
 
-def series_irregular(spark, sf_dir):
-    """Raw values of one series between two times."""
-    one = obs(spark, sf_dir).where("station_id = 7 and param_code = 'purchase'")
-    return one.where(F.col("obstime").between(at("2024-01-05 00:00:00"), at("2024-01-25 00:00:00"))).select(
-        "timeseries", "obstime", "obsvalue"
-    )
-
-
-IRREGULAR_SQL = f"""
-with {OBS_SQL}
-select timeseries, obstime, obsvalue from obs where station_id = 7 and param_code = 'purchase'
-  and obstime between timestamp '2024-01-05' and timestamp '2024-01-25'"""
-
-
 def first_processed(spark, sf_dir):
     """Series and labels as ingest would have made them: start is the first processed time."""
     found = obs(spark, sf_dir).groupBy("timeseries", "station_id", "param_id").agg(
@@ -223,14 +209,17 @@ def series_document(spark, sf_dir):
     return documents.series_json(answers)
 
 
-# Parts: days of a series are filled up until PART_ROWS rows have gone before.
+# Parts: days of a series are filled up until PART_ROWS rows have gone before; their numbers have no gaps.
 SERIES_DOCUMENT_SQL = f"""
 with {OBS_SQL}, {HOURLY_SQL},
 heads as (select timeseries, station_id, param_id, arg_min(obstime, seq) as fromtime from obs group by 1, 2, 3),
 days as (select timeseries, date_trunc('day', obstime) as day, count(*) as n from hourly group by 1, 2),
+filled as (
+  select timeseries, day, coalesce(sum(n) over (partition by timeseries order by day
+         rows between unbounded preceding and 1 preceding), 0) // {PART_ROWS} as part from days),
 parts as (
-  select timeseries, day, cast(coalesce(sum(n) over (partition by timeseries order by day
-         rows between unbounded preceding and 1 preceding), 0) // {PART_ROWS} as integer) as part_no from days),
+  select timeseries, day, cast(dense_rank() over (partition by timeseries order by part) - 1 as integer) as part_no from filled),
+totals as (select timeseries, max(part_no) + 1 as n_parts from parts group by 1),
 arrays as (
   select timeseries, part_no, string_agg(cast(obsvalue as varchar), ',' order by obstime) as data,
          string_agg('"' || strftime(obstime, '%Y-%m-%dT%H:%M:%SZ') || '"', ',' order by obstime) as times
@@ -238,8 +227,8 @@ arrays as (
 select timeseries, part_no, '{{"tseries":[{{"regularity":"Irregular","data":[' || data || '],"header":{{"ts_id":' || timeseries
   || ',"fromtime":"' || {rfc3339_sql("fromtime")}
   || '","totime":"2024-01-20T00:00:00Z","station_id":' || station_id || ',"param_id":' || param_id
-  || ',"lvl":null,"sensor":null,"location":null}},"timestamps":[' || times || ']}}]}}' as json
-from arrays join heads using (timeseries)"""
+  || ',"lvl":null,"sensor":null,"location":null}},"timestamps":[' || times || ']}}],"part":' || part_no || ',"parts":' || n_parts || '}}' as json
+from arrays join heads using (timeseries) join totals using (timeseries)"""
 
 
 def regular_document(spark, sf_dir):
@@ -256,7 +245,7 @@ def regular_document(spark, sf_dir):
         F.filter("data", lambda v: v.isNotNull()), F.lit(0).cast("bigint"), lambda s, v: s + F.round(v * 100).cast("bigint")
     )
     return answers.select(
-        "timeseries", "part_no", "start_time", F.size("data").cast("bigint").alias("n_slots"), total.alias("cents"),
+        "timeseries", "part_no", "n_parts", "start_time", F.size("data").cast("bigint").alias("n_slots"), total.alias("cents"),
         F.get("data", F.lit(0)).alias("first_value"), F.col("header.totime").alias("totime"),
     )
 
@@ -265,29 +254,39 @@ REGULAR_DOCUMENT_SQL = """
 with h as (select o_custkey as k, o_orderdate as d, arg_max(o_totalprice, o_orderkey) as v from orders group by 1, 2),
 b as (select k, min(d) as a, max(d) as z from h group by 1),
 g as (select k, a, z, unnest(generate_series(a, z, interval 1 day)) as d from b),
-s as (select g.k, g.z, g.d, v, cast(date_diff('day', a, g.d) // 500 as integer) as part_no
+s as (select g.k, g.a, g.z, g.d, v, cast(date_diff('day', a, g.d) // 500 as integer) as part_no
       from g left join h on g.k = h.k and g.d = h.d)
-select k as timeseries, part_no, strftime(min(d), '%Y-%m-%dT%H:%M:%SZ') as start_time, count(*) as n_slots,
+select k as timeseries, part_no, cast((date_diff('day', min(a), z)) // 500 + 1 as integer) as n_parts, strftime(min(d), '%Y-%m-%dT%H:%M:%SZ') as start_time, count(*) as n_slots,
        cast(coalesce(sum(cast(round(v * 100) as bigint)), 0) as bigint) as cents, arg_min_null(v, d) as first_value,
        strftime(z, '%Y-%m-%dT%H:%M:%SZ') as totime
 from s group by k, part_no, z"""
 
 
 def timeslice_document(spark, sf_dir):
-    """JSON answers for every hour and parameter."""
+    """JSON answers for every hour and parameter, and for the same hours a year later, which have no values."""
     stations, met = series_tables(spark, sf_dir)
     data = hourly(spark, sf_dir)
     placed = slices.place_rows(data, met, stations).withColumnRenamed("obstime", "ts")
-    return documents.timeslice_json(documents.timeslice_documents(placed))
+    years = F.explode(F.array(F.col("obstime"), F.col("obstime") + F.expr("interval 1 year"))).alias("ts")
+    hours = on_the_hour(obs(spark, sf_dir)).select("obstime").distinct().select(years)
+    requests = hours.select("ts", F.explode(F.array(*[F.lit(i) for i in range(1, 6)])).alias("param_id"))
+    return documents.timeslice_json(documents.timeslice_documents(placed, requests))
 
 
 TIMESLICE_DOCUMENT_SQL = f"""
-with {OBS_SQL}, {HOURLY_SQL}, {PLACES_SQL}
-select obstime as ts, met.param_id, cast(0 as integer) as part_no,
-  '{{"tslices":[{{"timestamp":"' || strftime(obstime, '%Y-%m-%dT%H:%M:%SZ') || '","param_id":' || met.param_id || ',"data":['
-  || string_agg('{{"station_id":' || met.station_id || ',"value":' || obsvalue || ',"loc":{{"lat":' || lat || ',"lon":' || lon || '}}}}',
-     ',' order by timeseries) || ']}}]}}' as json
-from hourly join met using (timeseries) group by obstime, met.param_id"""
+with {OBS_SQL}, {HOURLY_SQL}, {PLACES_SQL},
+hours as (select distinct date_trunc('hour', obstime) as ts from obs),
+requests as (
+  select t.ts, cast(p as integer) as param_id from (select ts from hours union all select ts + interval 1 year from hours) t, unnest([1, 2, 3, 4, 5]) as u(p)),
+found as (
+  select obstime as ts, met.param_id,
+    string_agg('{{"station_id":' || met.station_id || ',"value":' || obsvalue || ',"loc":{{"lat":' || lat || ',"lon":' || lon || '}}}}',
+       ',' order by timeseries) as data
+  from hourly join met using (timeseries) group by obstime, met.param_id)
+select ts, param_id, cast(0 as integer) as part_no,
+  '{{"tslices":[{{"timestamp":"' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || '","param_id":' || param_id || ',"data":['
+  || coalesce(data, '') || ']}}],"part":0,"parts":1}}' as json
+from requests left join found using (ts, param_id)"""
 
 
 def latest_document(spark, sf_dir):
@@ -300,21 +299,24 @@ def latest_document(spark, sf_dir):
 LATEST_DOCUMENT_SQL = f"""
 with {OBS_SQL}, {PLACES_SQL},
 newest as (select timeseries, max(obstime) as obstime, arg_max(obsvalue, obstime) as obsvalue from obs group by 1),
-placed as (select * from newest join met using (timeseries)),
-blocks as (select timeseries // 100 as block, count(*) as n from placed group by 1),
-parts as (select block, cast(coalesce(sum(n) over (order by block rows between unbounded preceding and 1 preceding), 0) // 100
-          as integer) as part_no from blocks)
-select part_no, '{{"data":[' || string_agg('{{"value":' || obsvalue || ',"timestamp":"' || {rfc3339_sql("obstime")}
-  || '","station_id":' || station_id
-  || ',"loc":{{"lat":' || lat || ',"lon":' || lon || '}}}}', ',' order by timeseries) || ']}}' as json
-from placed join parts on block = timeseries // 100 group by 1"""
+placed as (select *, timeseries // 100 as block from newest join met using (timeseries)),
+blocks as (select block, block % {documents.ID_RANGES} as r, count(*) as n from placed group by 1),
+filled as (select block, r, coalesce(sum(n) over (partition by r order by block rows between unbounded preceding and 1 preceding), 0) // 100 as part
+           from blocks),
+parts as (select block, dense_rank() over (order by r, part) - 1 as part_no from filled),
+answers as (
+  select part_no, string_agg('{{"value":' || obsvalue || ',"timestamp":"' || {rfc3339_sql("obstime")}
+    || '","station_id":' || station_id || ',"loc":{{"lat":' || lat || ',"lon":' || lon || '}}}}', ',' order by timeseries) as data
+  from placed join parts using (block) group by 1
+  union all select 0, '' where not exists (select 1 from placed))
+select cast(part_no as integer) as part_no,
+  '{{"data":[' || data || '],"part":' || part_no || ',"parts":' || (select count(*) from answers) || '}}' as json from answers"""
 
 
 QUERIES = {
     "q_latest_per_series": (latest_per_series, LATEST_SQL),
     "q_timeslice": (timeslice, TIMESLICE_SQL),
     "q_timeslices_bulk": (timeslices_bulk, TIMESLICES_SQL),
-    "q_series_irregular": (series_irregular, IRREGULAR_SQL),
     "q_series_default_range": (series_default_range, DEFAULT_RANGE_SQL),
     "q_series_header": (series_header, HEADER_SQL),
     "q_series_regular": (series_regular, REGULAR_SQL),

@@ -15,11 +15,12 @@ REGISTRY = (
     f"fromtime TIMESTAMP, totime TIMESTAMP, loc {LOCATION}, deactivated BOOLEAN, batch BIGINT"
 )
 
-# The three value logs hold at most one row per key and batch; `seq` orders the batches.
-DATA = "timeseries BIGINT, obstime TIMESTAMP, obsvalue FLOAT, seq BIGINT, batch BIGINT, obs_bucket INT"
-NONSCALAR_DATA = "timeseries BIGINT, obstime TIMESTAMP, obsvalue STRING, seq BIGINT, batch BIGINT, obs_bucket INT"
+# The three value logs hold at most one row per key and batch; `arrival`, the batch a write came with, orders the writes.
+_PLACE = "batch BIGINT, obs_bucket INT, obs_month INT"
+DATA = f"timeseries BIGINT, obstime TIMESTAMP, obsvalue FLOAT, arrival BIGINT, {_PLACE}"
+NONSCALAR_DATA = f"timeseries BIGINT, obstime TIMESTAMP, obsvalue STRING, arrival BIGINT, {_PLACE}"
 QC_PAYLOAD = "original FLOAT, corrected FLOAT, controlinfo STRING, useinfo STRING, cfailed INT"
-QC_FLAGS = f"timeseries BIGINT, obstime TIMESTAMP, {QC_PAYLOAD}, seq BIGINT, batch BIGINT"
+QC_FLAGS = f"timeseries BIGINT, obstime TIMESTAMP, {QC_PAYLOAD}, arrival BIGINT, {_PLACE}"
 
 QC_RECORD = (
     "message_seq BIGINT, doc_pos ARRAY<INT>, station_id INT, param_id INT, type_id INT, sensor INT, lvl INT, "
@@ -27,4 +28,6 @@ QC_RECORD = (
 )
 REJECTS = "message_seq BIGINT, code STRING, detail STRING, row_no INT, col_no INT, retry BOOLEAN, batch BIGINT"
 RECEIPTS = "message_seq BIGINT, message STRING, message_id BIGINT, res INT, retry BOOLEAN, batch BIGINT"
-QUARANTINE = f"{QC_RECORD}, batch BIGINT"
+QUARANTINE = f"{QC_RECORD}, arrival BIGINT, batch BIGINT"
+# The newest registry batch that a control batch has seen.
+QC_STATE = "registry_batch BIGINT, batch BIGINT"

@@ -1,5 +1,7 @@
 """Session settings and the shared work folder. No session is created here."""
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from contextlib import contextmanager
@@ -29,28 +31,41 @@ _local_base: str | None = None
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh folder that every executor sees, below ``spark.checkpoint.dir``.
 
-    A machine-local folder is used only where the master is local and the setting is absent.
+    A machine-local folder is used only where the master is local and the setting is absent; it goes when the process
+    ends.
     """
     global _local_base
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        _local_base = base = _local_base or tempfile.mkdtemp(prefix="skyseries-")
+        if _local_base is None:
+            _local_base = tempfile.mkdtemp(prefix="skyseries-")
+            atexit.register(shutil.rmtree, _local_base, ignore_errors=True)
+        base = _local_base
     return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
 
 
-@contextmanager
-def staged(df: DataFrame, purpose: str):
-    """The rows of ``df``, computed once and written below the shared folder for as long as the block runs.
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of `shared_dir`."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def written(df: DataFrame, path: str) -> DataFrame:
+    """The rows of ``df``, computed once and written to ``path``.
 
-    What reads them has a short plan and does not depend on executors staying alive.
+    What reads them has a short plan, a size the planner knows, and does not depend on executors staying alive.
     """
-    spark = df.sparkSession
-    path = shared_dir(spark, purpose)
     df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+@contextmanager
+def staged(df: DataFrame, purpose: str):
+    """`written` below the shared folder for as long as the block runs."""
+    path = shared_dir(df.sparkSession, purpose)
     try:
-        yield spark.read.schema(df.schema).parquet(path)
+        yield written(df, path)
     finally:
-        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+        remove(df.sparkSession, path)

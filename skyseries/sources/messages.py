@@ -1,19 +1,36 @@
 """Message sources, as a batch or as a stream, in the columns the decoders read.
 
-`message_seq` orders the messages and comes from the source itself: the digits in a file's name, or
-partition and offset of a topic. It has to be unique.
+`message_seq` orders the messages of a batch and comes from the source itself: all digits of a file's name in their order,
+or its time of change where that gives no number, or partition and offset of a topic. It should be unique;
+`repeated_messages` shows where it is not.
 """
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from skyseries.operators.integrity import duplicate_keys
+
 # The file stream needs the schema given; the whole file is one message.
 TEXT_SCHEMA = "value STRING"
 
 
 def _numbered(files: DataFrame, column: str) -> DataFrame:
-    digits = F.regexp_extract(F.col("_metadata.file_name"), r"([0-9]+)", 1)
-    return files.select(digits.cast("bigint").alias("message_seq"), F.col("value").alias(column))
+    digits = F.regexp_replace(F.col("_metadata.file_name"), "[^0-9]", "").try_cast("bigint")
+    changed = F.unix_micros("_metadata.file_modification_time")
+    return files.select(F.coalesce(digits, changed).alias("message_seq"), F.col("value").alias(column))
+
+
+def repeated_messages(messages: DataFrame) -> DataFrame:
+    """Numbers that several messages have, with how many."""
+    return duplicate_keys(messages, ["message_seq"])
+
+
+def spread(messages: DataFrame, parts: int | None = None) -> DataFrame:
+    """Deal messages out over ``parts`` tasks, by default one per core.
+
+    Decoding costs far more than moving the text; a source of few partitions, such as a two-part topic, needs it.
+    """
+    return messages.repartition(parts or messages.sparkSession.sparkContext.defaultParallelism, "message_seq")
 
 
 def read_message_files(spark: SparkSession, path: str, column: str = "msg") -> DataFrame:
@@ -44,9 +61,9 @@ def kafka_options(brokers, topic: str, partitions=(0, 1), max_offsets: int | Non
 
 
 def stream_topic(spark: SparkSession, brokers, topic: str, partitions=(0, 1), column="value", max_offsets=None):
-    """Messages of a topic. Needs Spark's Kafka package on the class path."""
+    """Messages of a topic, spread over all cores. Needs Spark's Kafka package on the class path."""
     options = kafka_options(brokers, topic, partitions, max_offsets)
-    return from_topic(spark.readStream.format("kafka").options(**options).load(), len(partitions), column)
+    return spread(from_topic(spark.readStream.format("kafka").options(**options).load(), len(partitions), column))
 
 
 def from_topic(records: DataFrame, n_partitions: int, column: str = "value") -> DataFrame:

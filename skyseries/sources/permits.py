@@ -3,17 +3,16 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-# Names of the tables and columns in the permit database.
-PARAM_PERMIT_QUERY = "SELECT stationid, message_formatid, paramid, permitid FROM v_station_param_policy"
-STATION_PERMIT_QUERY = "SELECT stationid, permitid FROM station_policy"
 
+def read_permits_jdbc(spark: SparkSession, url: str, param_table: str, station_table: str, properties: dict | None = None):
+    """`(param_permits, station_permits)` as they stand in the database now.
 
-def read_permits_jdbc(spark: SparkSession, url: str, properties: dict | None = None):
-    """`(param_permits, station_permits)` as they stand in the database now."""
-    def query(text):
-        return spark.read.format("jdbc").option("url", url).option("query", text).options(**(properties or {})).load()
+    The tables or views have the columns `stationid, message_formatid, paramid, permitid` and `stationid, permitid`.
+    """
+    def table(name):
+        return spark.read.format("jdbc").option("url", url).option("dbtable", name).options(**(properties or {})).load()
 
-    return param_permits(query(PARAM_PERMIT_QUERY)), station_permits(query(STATION_PERMIT_QUERY))
+    return param_permits(table(param_table)), station_permits(table(station_table))
 
 
 def read_permits_parquet(spark: SparkSession, param_path: str, station_path: str):

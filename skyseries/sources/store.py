@@ -1,23 +1,27 @@
-"""The stored tables: append logs of parquet, one folder per batch.
+"""The stored tables: append logs of parquet, one folder per batch and attempt, and markers of what counts.
 
-    <root>/<table>/batch=<n>/[obs_bucket=<year>/]*.parquet
+    <root>/<table>/batch=<n>/attempt=<k>/[obs_bucket=<year>/obs_month=<yyyymm>/]*.parquet
+    <root>/_commits/<n>-<k>-<group of tables>
 
-Writing a batch again replaces its own folder and nothing else, so a repeated batch changes nothing.
-A log holds at most one row per key and batch; reads keep the row with the largest `seq`. Values are
-further split by the year range of their time, which is what prunes a read over a time range.
+A batch is written as a whole under a new attempt, then one marker makes all its tables count at once: readers see a batch
+completely or not at all, and a batch that runs again replaces its former attempt in the same way. Marker files are only
+ever created, which every file system does atomically.
+
+A log holds at most one row per key and batch; reads keep the row that arrived last. Values are further split by year range
+and month of their time, which is what prunes a read over a time range or at an instant.
 """
 
 from concurrent.futures import ThreadPoolExecutor
 
 from pyspark import inheritable_thread_target
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyseries import schema
-from skyseries.functions.times import bucket_filter, obs_bucket
+from skyseries.functions.times import bucket_filter, month_filter, obs_bucket, obs_month
 from skyseries.operators import registry as reg
 from skyseries.operators.qc import PAYLOAD
+from skyseries.operators.skew import keys_equal
 from skyseries.operators.upsert import VALUE_KEY, latest_wins
 
 SCHEMAS = {
@@ -29,13 +33,23 @@ SCHEMAS = {
     "qc_rejects": schema.REJECTS,
     "receipts": schema.RECEIPTS,
     "quarantine": schema.QUARANTINE,
+    "qc_state": schema.QC_STATE,
 }
 VALUE_PAYLOAD = {"data": ["obsvalue"], "nonscalar_data": ["obsvalue"], "qc_flags": PAYLOAD}
-BUCKETED = ("data", "nonscalar_data")
+PLACE = ["obs_bucket", "obs_month"]
+
+# Tables that are written and numbered together.
+FAMILIES = {
+    "observations": ("registry", "data", "nonscalar_data", "receipts", "rejects"),
+    "control": ("qc_flags", "quarantine", "qc_rejects", "qc_state"),
+}
+GROUPS = {**FAMILIES, "load": ("registry", "data", "rejects"), **{table: (table,) for table in SCHEMAS}}
+# A marker of this kind says that the batches of a family up to its number are folded into one.
+FOLDED = "folded"
 
 
 class Store:
-    """Tables below one root folder, on a file system that all executors share. One writer at a time."""
+    """Tables below one root folder, on a file system that all executors share. One writer per family at a time."""
 
     def __init__(self, spark: SparkSession, root: str):
         self.spark = spark
@@ -44,37 +58,70 @@ class Store:
     def _path(self, table: str) -> str:
         return f"{self.root}/{table}"
 
-    def write(self, table: str, df: DataFrame, batch: int) -> None:
-        """Replace the folder of one batch."""
+    def _commits(self) -> list[tuple[int, int, str]]:
+        """Batch, attempt and group of every marker."""
+        folder = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/_commits")
+        files = folder.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [s.getPath().getName() for s in files.listStatus(folder)] if files.exists(folder) else []
+        parts = [name.split("-", 2) for name in names if not name.startswith(".")]
+        return [(int(batch), int(attempt), group) for batch, attempt, group in parts]
+
+    def _mark(self, batch: int, attempt: int, group: str) -> None:
+        file = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/_commits/{batch}-{attempt}-{group}")
+        file.getFileSystem(self.spark._jsc.hadoopConfiguration()).create(file, False).close()
+
+    def batches(self, table: str) -> dict[int, int]:
+        """The batches of a table that count, each with its attempt."""
+        found: dict[int, int] = {}
+        for batch, attempt, group in self._commits():
+            if table in GROUPS.get(group, ()):
+                found[batch] = max(attempt, found.get(batch, 0))
+        return found
+
+    def _put(self, table: str, df: DataFrame, batch: int, attempt: int) -> None:
         fields = self.spark.createDataFrame([], SCHEMAS[table]).schema.fields
+        if table in VALUE_PAYLOAD:
+            df = df.withColumns({"obs_bucket": obs_bucket(F.col("obstime")), "obs_month": obs_month(F.col("obstime"))})
         rows = df.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in fields if f.name != "batch"])
-        if table in BUCKETED:
-            rows = rows.sortWithinPartitions("obs_bucket", *VALUE_KEY)
-            writer = rows.write.partitionBy("obs_bucket")
+        if table in VALUE_PAYLOAD:
+            rows = rows.sortWithinPartitions(*PLACE, *VALUE_KEY)
+            writer = rows.write.partitionBy(*PLACE)
         else:
             writer = rows.write
-        # Replace the whole folder of the batch, also where a session overwrites partitions one by one.
+        # What an attempt without a marker has left goes, also where a session overwrites partitions one by one.
         writer.mode("overwrite").option("partitionOverwriteMode", "static").parquet(
-            f"{self._path(table)}/batch={int(batch)}"
+            f"{self._path(table)}/batch={batch}/attempt={attempt}"
         )
 
     def write_all(self, tables: dict[str, DataFrame], batch: int) -> None:
-        """Replace the folders of one batch in several tables, side by side; any failure is raised."""
+        """One batch of several tables, written side by side; it counts when all are there. Any failure is raised."""
+        batch, commits = int(batch), self._commits()
+        group = next(name for name, members in GROUPS.items() if set(members) == set(tables))
+        for family, members in FAMILIES.items():
+            folded = max((b for b, _, kind in commits if kind == f"{FOLDED}-{family}"), default=None)
+            if folded is not None and batch <= folded and set(members) & set(tables):
+                raise ValueError(f"batches up to {folded} are folded into one, {batch} cannot be written")
+        attempt = 1 + max((a for b, a, _ in commits if b == batch), default=0)
+
         def write(item):
-            self.write(*item, batch)
+            self._put(*item, batch, attempt)
 
         with ThreadPoolExecutor(len(tables)) as pool:
             list(pool.map(inheritable_thread_target(self.spark)(write), tables.items()))
+        self._mark(batch, attempt, group)
 
-    def log(self, table: str, before: int | None = None) -> DataFrame:
-        """All rows of a table, or those of the batches before one; empty when nothing is stored."""
-        try:
-            df = self.spark.read.schema(SCHEMAS[table]).option("basePath", self._path(table)).parquet(self._path(table))
-        except AnalysisException as error:
-            if error.getCondition() != "PATH_NOT_FOUND":
-                raise
-            df = self.spark.createDataFrame([], SCHEMAS[table])
-        return df if before is None else df.where(F.col("batch") < before)
+    def write(self, table: str, df: DataFrame, batch: int) -> None:
+        """One batch of one table."""
+        self.write_all({table: df}, batch)
+
+    def log(self, table: str, before: int | None = None, only: int | None = None) -> DataFrame:
+        """All rows of a table that count, or those of the batches before one, or of one; empty when there are none."""
+        chosen = {b: a for b, a in self.batches(table).items() if (before is None or b < before) and only in (None, b)}
+        if not chosen:
+            return self.spark.createDataFrame([], SCHEMAS[table])
+        paths = [f"{self._path(table)}/batch={b}/attempt={a}" for b, a in sorted(chosen.items())]
+        rows = self.spark.read.schema(SCHEMAS[table]).option("basePath", self._path(table)).parquet(*paths)
+        return rows.drop("attempt")
 
     def registry(self, before: int | None = None) -> DataFrame:
         return self.log("registry", before)
@@ -89,10 +136,10 @@ class Store:
         return reg.labels_source(self.registry())
 
     def value_log(self, table: str = "data", start=None, end=None) -> DataFrame:
-        """Rows of a value log in a closed time range, reading only the year ranges it touches."""
+        """Rows of a value log in a closed time range, reading only the months it touches."""
         rows = self.log(table)
         if start is not None or end is not None:
-            rows = rows.where(bucket_filter(start, end)) if table in BUCKETED else rows
+            rows = rows.where(bucket_filter(start, end) & month_filter(start, end))
         if start is not None:
             rows = rows.where(F.col("obstime") >= F.lit(start))
         if end is not None:
@@ -103,25 +150,53 @@ class Store:
         """Current value of every series and time in a closed time range."""
         return current(self.value_log(table, start, end), table)
 
-    def compact_into(self, root: str, upto: int) -> "Store":
-        """Fold the batches up to ``upto`` into one batch of a new store, and give that store.
-
-        The rows are range-partitioned by year range, series and time, so files have equal size even
-        if one series holds most of the rows, and their statistics let a reader skip most of them.
-        Point readers and the writer at the new root when this returns.
+    def waiting(self, seen: int) -> DataFrame:
+        """Control records whose series was not registered by batch ``seen``."""
+        known = reg.labels_met(self.registry(before=seen + 1)).select(*reg.MET_KEY).distinct()
+        kept = self.log("quarantine").alias("q")
+        return kept.join(known.alias("r"), keys_equal("q", "r", reg.MET_KEY, reg.NULLABLE), "left_anti")
+
+    def seen_registry(self, before: int | None = None) -> int:
+        """The newest registry batch that the last control batch, or the last one before a batch, has seen; -1: none."""
+        numbers = [b for b in self.batches("qc_state") if before is None or b < before]
+        return self.log("qc_state", only=max(numbers)).first().registry_batch if numbers else -1
+
+    def compact_into(self, root: str, upto: int | None = None, control_upto: int | None = None) -> "Store":
+        """A new store with everything this one holds, its first batches folded into one, and give that store.
+
+        Observations and control records are numbered apart: ``upto`` and ``control_upto`` name the last batch to fold of
+        each, by default the newest. The folded rows carry that number, later batches keep theirs; the new store refuses
+        to write a folded batch again. Values keep their arrival, so late writes go on to win. Of the control records
+        that waited, those still waiting are kept. The rows are range-partitioned by month, series and time, so files
+        have equal size even if one series holds most of the rows. Point readers and writers at the new root.
         """
         target = Store(self.spark, root)
-        for table, payload in VALUE_PAYLOAD.items():
-            log = self.log(table, before=upto + 1)
-            folded = latest_wins(log, VALUE_KEY, "seq", [*payload, "seq"])
-            if table in BUCKETED:
-                folded = folded.withColumn("obs_bucket", obs_bucket(F.col("obstime")))
-                folded = folded.repartitionByRange("obs_bucket", *VALUE_KEY)
-            target.write(table, folded, upto)
-        target.write("registry", self.registry(before=upto + 1), upto)
+        seen = self.seen_registry()
+        for (family, tables), end in zip(FAMILIES.items(), (upto, control_upto)):
+            numbers = sorted(set().union(*(self.batches(table) for table in tables)))
+            if not numbers:
+                continue
+            end = numbers[-1] if end is None else int(end)
+            if numbers[0] <= end:
+                target.write_all({table: self._folded(table, end, seen) for table in tables}, end)
+                target._mark(end, 0, f"{FOLDED}-{family}")
+            for number in numbers:
+                if number > end:
+                    target.write_all({table: self.log(table, only=number) for table in tables}, number)
         return target
 
+    def _folded(self, table: str, end: int, seen: int) -> DataFrame:
+        rows = self.log(table, before=end + 1)
+        if table in VALUE_PAYLOAD:
+            last = latest_wins(rows, VALUE_KEY, "arrival", [*VALUE_PAYLOAD[table], "arrival"])
+            return last.repartitionByRange(obs_month(F.col("obstime")), *VALUE_KEY)
+        if table == "quarantine":
+            return self.waiting(seen).where(F.col("batch") <= end)
+        if table == "qc_state":
+            return rows.agg(F.max("registry_batch").alias("registry_batch"))
+        return rows
+
 
 def current(log: DataFrame, table: str = "data") -> DataFrame:
     """Last write of every series and time of a value log."""
-    return latest_wins(log, VALUE_KEY, "seq", VALUE_PAYLOAD[table])
+    return latest_wins(log, VALUE_KEY, "arrival", VALUE_PAYLOAD[table])

@@ -7,8 +7,9 @@ always accepted and overwrite; there is no watermark, because the state is the s
 
 import time
 from collections.abc import Callable
+from dataclasses import fields
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
 from skyseries import session
@@ -34,36 +35,57 @@ class Refreshed:
         return self._value
 
 
-def _start(messages: DataFrame, run_batch, checkpoint: str | None, name: str, trigger: dict) -> StreamingQuery:
-    spark = messages.sparkSession
-    session.prepare(spark)
-    checkpoint = checkpoint or session.shared_dir(spark, f"stream-{name}")
+class Held:
+    """Loads side tables and keeps what they held then: every use until the next load reads the same rows.
+
+    The rows are written to the shared folder, so a database is asked once per load and a batch sees one state of it.
+    """
+
+    def __init__(self, spark: SparkSession, load: Callable[[], SideTables]):
+        self._spark, self._load, self._path = spark, load, None
+
+    def __call__(self) -> SideTables:
+        path = session.shared_dir(self._spark, "side-tables")
+        tables = {f.name: getattr(side, f.name) for side in [self._load()] for f in fields(SideTables)}
+        held = SideTables(**{name: session.written(df, f"{path}/{name}") for name, df in tables.items()})
+        if self._path:
+            session.remove(self._spark, self._path)
+        self._path = path
+        return held
+
+
+def _start(messages: DataFrame, run_batch, checkpoint: str, trigger: dict) -> StreamingQuery:
+    if not checkpoint:
+        raise ValueError("a stream needs a checkpoint folder: without one it would read anew and replace stored batches")
+    session.prepare(messages.sparkSession)
     writer = messages.writeStream.foreachBatch(run_batch).option("checkpointLocation", checkpoint)
     return writer.trigger(**(trigger or {"availableNow": True})).start()
 
 
-def ingest_stream(store: Store, messages: DataFrame, side: Callable[[], SideTables], checkpoint=None,
+def ingest_stream(store: Store, messages: DataFrame, side: Callable[[], SideTables], checkpoint: str,
                   first_batch: int = 0, refresh_minutes: float = REFRESH_MINUTES, **trigger) -> StreamingQuery:
     """Observation messages into the store. The only writer of the series registry.
 
-    ``side`` loads the catalogue and permits. ``checkpoint`` is where progress is kept; give the same
-    folder to go on after a stop. ``first_batch`` shifts the batch numbers, for a store that already
-    holds batches of other origin. Further options are those of the trigger; without any, the stream
+    ``side`` loads the catalogue and permits; a snapshot of them is held until the next load. ``checkpoint`` is where
+    progress is kept; give the same folder to go on after a stop. ``first_batch`` shifts the batch numbers, for a store
+    that already holds batches of other origin. Further options are those of the trigger; without any, the stream
     stops when it has read what there is.
     """
-    tables = Refreshed(side, refresh_minutes)
+    tables = Refreshed(Held(messages.sparkSession, side), refresh_minutes)
 
     def run(df, batch_id):
         ingest_batch(Store(df.sparkSession, store.root), df, tables.get(), first_batch + batch_id)
 
-    return _start(messages, run, checkpoint, "observations", trigger)
+    return _start(messages, run, checkpoint, trigger)
 
 
-def qc_stream(store: Store, messages: DataFrame, checkpoint=None, first_batch: int = 0, retry: bool = True,
-              **trigger) -> StreamingQuery:
-    """Quality-control messages into the flag table; only reads the series registry."""
+def qc_stream(store: Store, messages: DataFrame, checkpoint: str, first_batch: int = 0, retry: bool = True,
+              side: Callable[[], SideTables] | None = None, refresh_minutes: float = REFRESH_MINUTES, **trigger) -> StreamingQuery:
+    """Quality-control messages into the flag table; only reads the series registry. With ``side``, permits are looked at.
+    """
+    tables = Refreshed(Held(messages.sparkSession, side) if side else lambda: None, refresh_minutes)
 
     def run(df, batch_id):
-        qc_batch(Store(df.sparkSession, store.root), df, first_batch + batch_id, retry)
+        qc_batch(Store(df.sparkSession, store.root), df, first_batch + batch_id, tables.get(), retry)
 
-    return _start(messages, run, checkpoint, "quality-control", trigger)
+    return _start(messages, run, checkpoint, trigger)

@@ -11,75 +11,73 @@ from skyseries.operators import observations
 from skyseries.sources.catalogue import code_sets
 from tests.support import PARAMS, messages, rows
 
-HEAD = "kldata/nationalnr=100/type=501/messageid=5\n"
-T, T0 = "20160201054100", datetime(2016, 2, 1, 5, 41)
+HEAD = "kldata/nationalnr=7042/type=330/messageid=812\n"
+T, T0 = "20190817153000", datetime(2019, 8, 17, 15, 30)
 
 # Message, fault code or None, text of the fault or the id of the message.
 OUTCOMES = [
-    # headers
-    ("Some text that is no message.\nTA\n" + T + ",1", "NO_INDICATOR", "kldata indicator missing or out of order"),
-    ("kldata/nationalnr=100/type=504\nTA\n" + T + ",1", None, 0),
-    ("kldata/type=504/nationalnr=100/messageid=25\nTA\n" + T + ",1", None, 25),
-    ("kldata/messageid=23/nationalnr=99993/type=508/add\nTA\n" + T + ",1", None, 23),
-    ('kldata/received_time="2024-07-05 08:27:40+00"/nationalnr=297000/type=70051\nTA\n' + T + ",1", None, 0),
-    ("kldata/nationalnr=93140/type=501/unexpected\nTA", "UNEXPECTED_FIELD",
-     "unexpected field in kldata header format: unexpected"),
-    ("kldata/nationalnr=93140/colour=red/type=501\nTA", "UNEXPECTED_FIELD", "unexpected field in kldata header format: colour=red"),
-    ("kldata/messageid=10/type=501", "MISSING_STATION", "missing field `nationalnr` in kldata header"),
-    ("kldata/messageid=10/nationalnr=93140", "MISSING_TYPE", "missing field `type` in kldata header"),
-    ("kldata/messageid=10", "MISSING_STATION", "missing field `nationalnr` in kldata header"),
-    ("kldata/nationalnr=1/type=2/messageid=-1\nTA", "BAD_HEADER_VALUE", "invalid value -1 in kldata header for key messageid"),
-    ("kldata/nationalnr=9999999999/type=2\nTA", "BAD_HEADER_VALUE", "invalid value 9999999999 in kldata header for key nationalnr"),
-    ("kldata/nationalnr= 1/type=2\nTA", "BAD_HEADER_VALUE", "invalid value  1 in kldata header for key nationalnr"),
-    ("kldata/nationalnr=/type=x\nTA", "BAD_HEADER_VALUE", "invalid value  in kldata header for key nationalnr"),
-    ("kldata/nationalnr=7/type=1/type=+2/messageid=1/messageid=0000000000000000002\nTA\n" + T + ",1", None, 2),
+    # headers: what has to be there, in any order, and what may be
+    ("weather/nationalnr=7042/type=330\nTGM\n" + T + ",4", "NO_INDICATOR", "kldata indicator missing or out of order"),
+    ("nationalnr=7042/kldata/type=330\nTGM\n" + T + ",4", "NO_INDICATOR", "kldata indicator missing or out of order"),
+    ("kldata/type=61/nationalnr=4410\nTGM\n" + T + ",4", None, 0),
+    ("kldata/nationalnr=4410/messageid=77/type=61\nTGM\n" + T + ",4", None, 77),
+    ("kldata/add/type=61/messageid=78/nationalnr=4410\nTGM\n" + T + ",4", None, 78),
+    ('kldata/type=61/nationalnr=4410/received_time="1999-12-31 at noon"\nTGM\n' + T + ",4", None, 0),
+    ("kldata/type=61/sent/nationalnr=4410\nTGM", "UNEXPECTED_FIELD", "unexpected field in kldata header format: sent"),
+    ("kldata/type=61/nationalnr=4410/height=12\nTGM", "UNEXPECTED_FIELD", "unexpected field in kldata header format: height=12"),
+    ("kldata/type=61", "MISSING_STATION", "missing field `nationalnr` in kldata header"),
+    ("kldata/nationalnr=4410", "MISSING_TYPE", "missing field `type` in kldata header"),
+    ("kldata/add", "MISSING_STATION", "missing field `nationalnr` in kldata header"),
+    ("kldata/nationalnr=8/type=9/messageid=-4\nTGM", "BAD_HEADER_VALUE", "invalid value -4 in kldata header for key messageid"),
+    ("kldata/nationalnr=3000000000/type=9\nTGM", "BAD_HEADER_VALUE", "invalid value 3000000000 in kldata header for key nationalnr"),
+    ("kldata/nationalnr=8/type=9 \nTGM", "BAD_HEADER_VALUE", "invalid value 9  in kldata header for key type"),
+    ("kldata/nationalnr=/type=west\nTGM", "BAD_HEADER_VALUE", "invalid value  in kldata header for key nationalnr"),
+    ("kldata/nationalnr=8/type=4/type=+9/messageid=6/messageid=0000000000000000000031\nTGM\n" + T + ",4", None, 31),
     # the first fault in reading order counts
-    ("kldata/what/type=x", "UNEXPECTED_FIELD", "unexpected field in kldata header format: what"),
-    ("kldata/type=x/what", "BAD_HEADER_VALUE", "invalid value x in kldata header for key type"),
+    ("kldata/north/type=south", "UNEXPECTED_FIELD", "unexpected field in kldata header format: north"),
+    ("kldata/type=south/north", "BAD_HEADER_VALUE", "invalid value south in kldata header for key type"),
     # whole messages
     ("", "TOO_FEW_LINES", "kldata message contained too few lines"),
     ("\n", "NO_INDICATOR", "kldata indicator missing or out of order"),
-    ("kldata/nationalnr=99993/type=508/messageid=23", "TOO_FEW_LINES", "kldata message contained too few lines"),
-    ("kldata/nationalnr=99993/type=508/messageid=23\n", "TOO_FEW_LINES", "kldata message contained too few lines"),
-    (HEAD + "TA(0,0),CI(0,0)", "EMPTY_BODY", "empty row in kldata csv"),
-    (HEAD + "TA\n" + T, "EMPTY_BODY", "empty row in kldata csv"),
+    (HEAD[:-1], "TOO_FEW_LINES", "kldata message contained too few lines"),
+    (HEAD, "TOO_FEW_LINES", "kldata message contained too few lines"),
+    (HEAD + "RR_1,TGX(2,9)", "EMPTY_BODY", "empty row in kldata csv"),
+    (HEAD + "RR_1\n" + T, "EMPTY_BODY", "empty row in kldata csv"),
     (HEAD + "()\n" + T, "EMPTY_BODY", "empty row in kldata csv"),
-    (HEAD + "()\n" + T + ",1", "TOO_MANY_VALUES", "more values than columns in kldata csv"),
-    (HEAD + "TA\n" + T + ",1\n\n", "BAD_TIME", "premature end of input"),
-    (HEAD + "TA\n20161301054100,1", "BAD_TIME", "input is out of range"),
-    (HEAD + "TA\n20160230054100,1", "BAD_TIME", "input is out of range"),
-    (HEAD + "TA\n201602010541000,1", "BAD_TIME", "trailing input"),
-    (HEAD + "TA\n2016x201054100,1", "BAD_TIME", "input contains invalid characters"),
-    (HEAD + "TA\n" + T + ",1,2", "TOO_MANY_VALUES", "more values than columns in kldata csv"),
-    (HEAD + "TA\n" + T + ",x,2", "BAD_NUMBER", "value x could not be parsed as float"),
-    (HEAD + "TA\n" + T + ",", "BAD_NUMBER", "value  could not be parsed as float"),
-    (HEAD + "TA\n" + T + ",1.0f", "BAD_NUMBER", "value 1.0f could not be parsed as float"),
-    (HEAD + "TA\n" + T + ",1\nbad,1\n" + T + ",x", "BAD_TIME", "input contains invalid characters"),
-    (HEAD + "TA(99999999999,1)\n" + T + ",1", "BAD_COLUMN", "sensor or level out of range in kldata column line"),
+    (HEAD + "()\n" + T + ",4", "TOO_MANY_VALUES", "more values than columns in kldata csv"),
+    (HEAD + "RR_1\n" + T + ",4\n\n", "BAD_TIME", "premature end of input"),
+    (HEAD + "RR_1\n20190017153000,4", "BAD_TIME", "input is out of range"),
+    (HEAD + "RR_1\n20190631153000,4", "BAD_TIME", "input is out of range"),
+    (HEAD + "RR_1\n" + T + "9,4", "BAD_TIME", "trailing input"),
+    (HEAD + "RR_1\n201908-7153000,4", "BAD_TIME", "input contains invalid characters"),
+    (HEAD + "RR_1\n" + T + ",4,5", "TOO_MANY_VALUES", "more values than columns in kldata csv"),
+    (HEAD + "RR_1\n" + T + ",dry,5", "BAD_NUMBER", "value dry could not be parsed as float"),
+    (HEAD + "RR_1\n" + T + ",", "BAD_NUMBER", "value  could not be parsed as float"),
+    (HEAD + "RR_1\n" + T + ",4d", "BAD_NUMBER", "value 4d could not be parsed as float"),
+    (HEAD + "RR_1\n" + T + ",4\nlate,4\n" + T + ",dry", "BAD_TIME", "input contains invalid characters"),
+    (HEAD + "RR_1(2,88888888888)\n" + T + ",4", "BAD_COLUMN", "sensor or level out of range in kldata column line"),
     # unknown codes are faults of the catalogue, found after the body
-    (HEAD + "unknown,TA\n" + T + ",a,10.1", "UNKNOWN_PARAM", "unrecognised param_code 'unknown'"),
-    (HEAD + "unknown,TA\n" + T + ",a,x", "BAD_NUMBER", "value x could not be parsed as float"),
-    (HEAD + "TA,unknown\n" + T + ",1", None, 5),
-    (HEAD + "TA(0.1,0)\n" + T + ",1,2,3", "UNKNOWN_PARAM", "unrecognised param_code '0.1'"),
-    (HEAD + "TA,CI,IR\r\n" + T + ",-1.1,0,2.80\r\n" + T + ",nan,-Inf,+.5e1\r\n", None, 5),
+    (HEAD + "MOON,RR_1\n" + T + ",full,4", "UNKNOWN_PARAM", "unrecognised param_code 'MOON'"),
+    (HEAD + "MOON,RR_1\n" + T + ",full,dry", "BAD_NUMBER", "value dry could not be parsed as float"),
+    (HEAD + "RR_1,MOON\n" + T + ",4", None, 812),
+    (HEAD + "RR_1(3.5,1)\n" + T + ",4,5,6", "UNKNOWN_PARAM", "unrecognised param_code '3.5'"),
+    (HEAD + "RR_1,TGX,TGM\r\n" + T + ",0.25,-7,31\r\n" + T + ",Inf,+NaN,7.e2\r\n", None, 812),
 ]
 
 # Message and its rows: row, column, time, code, sensor, level, number, text.
 VALUES = [
-    (HEAD + "TA,CI,IR\n" + T + ",-1.1,0,2.80\n20160201055100,-1.5,1,2.90", [
-        (0, 0, T0, "TA", None, None, -1.1, None), (0, 1, T0, "CI", None, None, 0.0, None),
-        (0, 2, T0, "IR", None, None, 2.8, None), (1, 0, datetime(2016, 2, 1, 5, 51), "TA", None, None, -1.5, None),
-        (1, 1, datetime(2016, 2, 1, 5, 51), "CI", None, None, 1.0, None),
-        (1, 2, datetime(2016, 2, 1, 5, 51), "IR", None, None, 2.9, None),
+    (HEAD + "RR_1,TGX\n" + T + ",0.25,-7\n20190817160000,0.5,31", [
+        (0, 0, T0, "RR_1", None, None, 0.25, None), (0, 1, T0, "TGX", None, None, -7.0, None),
+        (1, 0, datetime(2019, 8, 17, 16), "RR_1", None, None, 0.5, None), (1, 1, datetime(2019, 8, 17, 16), "TGX", None, None, 31.0, None),
     ]),
-    (HEAD + "KLOBS,TA(1,2)\n" + T + "," + T + ",10.1", [
-        (0, 0, T0, "KLOBS", None, None, None, T), (0, 1, T0, "TA", 1, 2, 10.1, None),
+    (HEAD + "TGM(4,6),KLOBS(5,7)\n" + T + ",12.75,half past three", [
+        (0, 0, T0, "TGM", 4, 6, 12.75, None), (0, 1, T0, "KLOBS", 5, 7, None, "half past three"),
     ]),
     # short rows leave out their last columns; a text may be empty
-    (HEAD + "TA(0,0),KLOBS(1,0),CI\n" + T + ",1,\n" + T + ",2", [
-        (0, 0, T0, "TA", 0, 0, 1.0, None), (0, 1, T0, "KLOBS", 1, 0, None, ""), (1, 0, T0, "TA", 0, 0, 2.0, None),
+    (HEAD + "KLOBS,RR_1(0,0),TGX\n" + T + ",,3\n" + T + ",noon", [
+        (0, 0, T0, "KLOBS", None, None, None, ""), (0, 1, T0, "RR_1", 0, 0, 3.0, None), (1, 0, T0, "KLOBS", None, None, None, "noon"),
     ]),
-    (HEAD + "CI,CI(3,4)\n" + T + ",1,2", [(0, 0, T0, "CI", None, None, 1.0, None), (0, 1, T0, "CI", 3, 4, 2.0, None)]),
+    (HEAD + "TGX(8,9),TGX\n" + T + ",5,6", [(0, 0, T0, "TGX", 8, 9, 5.0, None), (0, 1, T0, "TGX", None, None, 6.0, None)]),
 ]
 
 

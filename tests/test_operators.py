@@ -11,7 +11,7 @@ from skyseries import schema
 from skyseries.functions.times import bucket_filter, obs_bucket, rfc3339
 from skyseries.operators import access, grid, integrity, registry, skew, synth
 from skyseries.operators.series import series_headers, with_range
-from skyseries.operators.upsert import latest_wins
+from skyseries.operators.upsert import latest_wins, packed_order
 from tests.support import PARAM_PERMITS, STATION_PERMITS, rows
 
 
@@ -27,8 +27,8 @@ def test_lookup_join_spreads_heavy_keys(spark, how):
         expected = [row[:2] for row in expected]
     big = spark.createDataFrame(facts, "k int, i int")
     small = spark.createDataFrame(list(lookup.items()), "k int, name string")
-    for limit, rows_per_task in ((100, 10), (0, 10), (0, 10_000)):
-        got = skew.lookup_join(big, small, ["k"], how, null_safe=["k"], limit=limit, rows_per_task=rows_per_task)
+    for sliced, rows_per_task in ((False, 10), (True, 10), (True, 10_000)):
+        got = skew.lookup_join(big, small, ["k"], how, null_safe=["k"], sliced=sliced, rows_per_task=rows_per_task)
         assert Counter(tuple(r) for r in got.collect()) == Counter(expected)
 
 
@@ -37,7 +37,10 @@ def test_parts_are_bounded_and_complete(spark):
     data = [(draw.choice("aaab"), draw.randrange(60), i) for i in range(500)]
     df = spark.createDataFrame(data, "g string, block int, i int")
     parts = rows(skew.collect_parts(df, ["g"], "block", F.struct("block", "i"), 40))
-    flat = [(g, p, b, i) for g, p, found in parts for b, i in found]
+    flat = [(g, p, b, i) for g, p, _, found in parts for b, i in found]
+    for g in "ab":
+        assert [p for h, p, _, _ in parts if h == g] == list(range(len([h for h, *_ in parts if h == g])))
+        assert {n for h, _, n, _ in parts if h == g} == {len([h for h, *_ in parts if h == g])}
     assert sorted((g, b, i) for g, _, b, i in flat) == sorted(data)
     largest = max(Counter((g, b) for g, b, _ in data).values())
     sizes = Counter((g, p) for g, p, _, _ in flat)
@@ -69,8 +72,8 @@ def test_grid_against_plain_python(spark, name):
             slot, n = slot + step, n + 1
     ranges = spark.createDataFrame(bounds, "timeseries long, first timestamp, last timestamp")
     data = spark.createDataFrame(values, "timeseries long, obstime timestamp, obsvalue double")
-    for limit in (100, 0):
-        got = grid.fill_grid(ranges, data, STEPS[name], ["timeseries"], limit=limit)
+    for sliced in (False, True):
+        got = grid.fill_grid(ranges, data, STEPS[name], ["timeseries"], sliced=sliced)
         assert rows(got, "timeseries", "slot_no") == expected
     bare = grid.grid_slots(ranges, STEPS[name], ["timeseries"])
     assert rows(bare, "timeseries", "slot_no") == [e[:3] for e in expected]
@@ -101,8 +104,8 @@ def test_access_rule_against_plain_python(spark):
     tables = spark.createDataFrame(permits, schema.PARAM_PERMITS), spark.createDataFrame(stations, schema.STATION_PERMITS)
     df = spark.createDataFrame(keys, "station_id int, type_id int, param_id int")
     expected = {k: is_open(permits, stations, *k) for k in keys}
-    for limit in (1000, 0):
-        assert {tuple(r)[:3]: r.is_open for r in access.open_flags(df, *tables, limit=limit).collect()} == expected
+    for sliced in (False, True):
+        assert {tuple(r)[:3]: r.is_open for r in access.open_flags(df, *tables, sliced=sliced).collect()} == expected
     kept = access.filter_open(df.withColumn("i", F.lit(1)), *tables)
     assert {tuple(r)[:3] for r in kept.collect()} == {k for k, v in expected.items() if v}
 
@@ -124,8 +127,8 @@ def test_ids_are_dense_and_repeatable(spark):
     assert rows(both) == rows(first.unionByName(registry.assign_ids(again.repartition(13), after=n)))
     # Resolving gives each tuple its id, whatever the join.
     plain = {(r.station_id, r.param_code, r.lvl): r.timeseries for r in found}
-    for limit in (10_000, 0):
-        resolved = registry.resolve_series(observations, both, limit=limit).collect()
+    for sliced in (False, True):
+        resolved = registry.resolve_series(observations, both, sliced=sliced).collect()
         assert len(resolved) == 3000
         assert all(r.timeseries == plain[r.station_id, r.param_code, r.lvl] for r in resolved)
 
@@ -146,6 +149,25 @@ def test_last_write_wins_as_a_whole_row(spark):
     assert rows(latest_wins(writes.union(writes), ["k"], ["k", "seq"], ["v", "t"])) == rows(once)
 
 
+def test_packed_order_sorts_like_its_parts_and_aggregates_by_hash(spark, capsys):
+    data = [(1, 2**62, 5, 7, 1.0), (1, 2**62, 6, 0, 2.0), (1, -3, 9, 9, 3.0), (2, 4, 0, 999_999_999, 4.0), (2, 4, 1, 0, None)]
+    df = spark.createDataFrame(data, "k int, a long, b int, c int, v double")
+    last = latest_wins(df, ["k"], packed_order(F.col("a"), F.col("b"), F.col("c")), ["v"])
+    assert rows(last) == [(1, 2.0), (2, None)]
+    last.explain()
+    assert "SortAggregate" not in capsys.readouterr().out
+
+
+def test_equal_rows_of_a_heavy_key_part(spark):
+    facts = spark.range(4000).select(F.lit(1).alias("k")).repartition(4)
+    joined = skew.lookup_join(facts, spark.createDataFrame([(1, "a")], "k int, name string"), ["k"], sliced=True, rows_per_task=100)
+    assert joined.count() == 4000
+    heavy_keys = spark.range(30_000).select((F.col("id") % 1500).alias("k"))
+    names = spark.range(1500).select(F.col("id").alias("k"), F.col("id").alias("name"))
+    found = skew.lookup_join(heavy_keys, names, ["k"], sliced=True, rows_per_task=5)
+    assert found.where("k = name").count() == 30_000
+
+
 def test_headers_fill_missing_bounds(spark):
     series = spark.createDataFrame(
         [(2, None, None, None), (1, datetime(2024, 1, 1), None, None), (3, None, datetime(2024, 5, 1), None)],

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from skyseries import schema
 from skyseries.operators import documents
 from skyseries.plans import read_api
+from skyseries.plans.bulk_load import audit_store, bulk_load
 from skyseries.plans.ingest import ingest_batch
 from skyseries.plans.qc_ingest import qc_batch
 from skyseries.sources.store import Store
@@ -101,7 +102,14 @@ def test_latest(scenarios, newer_than, expected):
     assert {r.obstime for r in got if r.station_id == 40001} == {NOW.replace(tzinfo=None) - MINUTE}
     answers = documents.latest_json(documents.latest_documents(newest)).collect()
     assert [len(json.loads(a.json)["data"]) for a in answers] == [expected]
-    assert documents.latest_documents(newest, part_rows=1).select(F.explode("data")).count() == expected
+    parts = documents.latest_documents(newest, part_rows=1).orderBy("part_no").collect()
+    assert [(p.part_no, p.n_parts, len(p.data)) for p in parts] == [(i, expected, 1) for i in range(expected)]
+
+
+def test_an_empty_latest_is_an_answer(scenarios):
+    nothing = read_api.latest(scenarios, datetime(2029, 1, 1))
+    (answer,) = documents.latest_json(documents.latest_documents(nothing)).collect()
+    assert json.loads(answer.json) == {"data": [], "part": 0, "parts": 1}
 
 
 def test_timeslice(scenarios):
@@ -114,12 +122,14 @@ def test_timeslices_in_bulk(scenarios, tmp_path):
     wanted = scenarios.spark.createDataFrame([(AT, number), (AT + MINUTE, number), (AT, 999)], "ts timestamp, param_id int")
     bulk = read_api.timeslices(scenarios, wanted)
     assert rows(bulk.groupBy("ts", "param_id").count()) == [(AT, number, 2), (AT + MINUTE, number, 1)]
-    by_join = read_api.timeslices(scenarios, wanted, limit=0)
+    by_join = read_api.timeslices(scenarios, wanted, sliced=True)
     assert rows(by_join.drop("loc")) == rows(bulk.drop("loc"))
-    answers = documents.timeslice_json(documents.timeslice_documents(bulk))
+    answers = documents.timeslice_json(documents.timeslice_documents(bulk, wanted))
     read_api.write_answers(answers, f"{tmp_path}/answers")
-    found = [json.loads(r.value)["tslices"][0] for r in scenarios.spark.read.text(f"{tmp_path}/answers").collect()]
-    first, second = sorted(found, key=lambda a: a["timestamp"])
+    texts = [json.loads(r.value) for r in scenarios.spark.read.text(f"{tmp_path}/answers").collect()]
+    assert all((t["part"], t["parts"]) == (0, 1) for t in texts)
+    first, empty, second = sorted((t["tslices"][0] for t in texts), key=lambda a: (a["timestamp"], a["param_id"]))
+    assert empty == {"timestamp": "2024-01-01T01:00:00Z", "param_id": 999, "data": []}
     assert first["timestamp"] == "2024-01-01T01:00:00Z" and first["param_id"] == number
     assert [d["station_id"] for d in first["data"]] == [50001, 50002]
     assert second["data"] == [{"station_id": 50002, "value": 0.0, "loc": None}]
@@ -136,43 +146,73 @@ def test_irregular_document_parts_hold_everything(scenarios):
     assert [t for p in parts for t in p.timestamps] == answer["timestamps"]
 
 
-QC_TEXT = """<?xml version=\\"1.0\\"?>
-<checked producer=\\"test\\">
-  <station val=\\"20001\\"><typeid val=\\"-4\\"><obstime val=\\"2024-06-06 06:00:00\\">
-    <tbtime val=\\"2024-06-06 08:30:42.943247\\"><sensor val=\\"0\\"><level val=\\"0\\">
-      <kvdata paramid=\\"106\\"><original>10</original><corrected>{corrected}</corrected>
-        <controlinfo>1000000000000000</controlinfo><useinfo>9000000000000000</useinfo><cfailed></cfailed></kvdata>
-    </level></sensor></tbtime>
-  </obstime></typeid></station>
-</checked>"""
+CHECKED_AT = datetime(2021, 3, 9, 18, 20)
+
+
+def control(corrected, hours=(0,), param=PARAM_IDS["RR_1"]):
+    """A document of one station with a record for each hour."""
+    records = "".join(
+        f'<obstime val="{CHECKED_AT + hour * HOUR:%Y-%m-%d %H:%M:%S}"><tbtime val="-"><sensor val="0"><level val="0">'
+        f'<kvdata paramid="{param}"><original>{hour + 0.5}</original><corrected>{corrected}</corrected>'
+        f"<controlinfo>c{hour}</controlinfo><useinfo>u</useinfo><cfailed>{hour}</cfailed></kvdata></level></sensor></tbtime></obstime>"
+        for hour in hours
+    )
+    return f'<?xml version="1.0"?>\n<flags><station val="20001"><typeid val="12">{records}</typeid></station></flags>'.replace("flags>", "checked>")
+
+
+def checked_series(first=CHECKED_AT - HOUR, n=6):
+    return message(20001, 12, ["RR_1"], first, HOUR, n)
 
 
 def qc_messages(store, *texts, first_seq=0):
     return store.spark.createDataFrame([(first_seq + i, t) for i, t in enumerate(texts)], schema.QC_MESSAGES)
 
 
+def flags(store):
+    return rows(store.values("qc_flags").drop("timeseries"))
+
+
 def test_quality_control_record(store):
-    ingest(store, message(20001, -4, ["RR_1"], datetime(2024, 6, 5, 12), HOUR, 24))
-    qc_batch(store, qc_messages(store, QC_TEXT.format(corrected=10)), 0)
-    time = datetime(2024, 6, 6, 6)
-    expected = (1, time, 10.0, 10.0, "1000000000000000", "9000000000000000", None)
-    assert rows(store.values("qc_flags")) == [expected]
+    ingest(store, checked_series())
+    qc_batch(store, qc_messages(store, control(2, hours=(0, 1))), 0)
+    expected = [(CHECKED_AT + h * HOUR, h + 0.5, 2.0, f"c{h}", "u", h) for h in (0, 1)]
+    assert flags(store) == expected
     # The whole row is overwritten, also by NULL.
-    qc_batch(store, qc_messages(store, QC_TEXT.format(corrected=""), first_seq=1), 1)
-    assert rows(store.values("qc_flags")) == [(*expected[:3], None, *expected[4:])]
+    qc_batch(store, qc_messages(store, control("", hours=(1,)), first_seq=1), 1)
+    assert flags(store) == [expected[0], (*expected[1][:2], None, *expected[1][3:])]
 
 
 def test_quality_control_record_waits_for_its_series(store):
-    qc_batch(store, qc_messages(store, QC_TEXT.format(corrected=10), "no xml"), 0)
-    assert store.values("qc_flags").count() == 0
-    assert store.log("quarantine").count() == 1
+    qc_batch(store, qc_messages(store, control(2), "no xml"), 0)
+    assert flags(store) == [] and store.log("quarantine").count() == 1
     assert [r.code for r in store.log("qc_rejects").collect()] == ["NO_XML"]
-    ingest(store, message(20001, -4, ["RR_1"], datetime(2024, 6, 5, 12), HOUR, 24))
-    qc_batch(store, qc_messages(store, first_seq=2), 1)
-    assert store.values("qc_flags").count() == 1
-    assert store.log("quarantine").where("batch = 1").count() == 0
-    qc_batch(store, qc_messages(store, QC_TEXT.format(corrected=10), first_seq=3), 2, retry=False)
-    assert store.values("qc_flags").count() == 1
+    # Batches without messages neither find it nor write it again.
+    for batch in (1, 2, 3):
+        qc_batch(store, qc_messages(store), batch)
+    assert flags(store) == [] and store.log("quarantine").count() == 1
+    ingest(store, checked_series())
+    qc_batch(store, qc_messages(store), 4)
+    assert len(flags(store)) == 1 and store.waiting(store.seen_registry()).count() == 0
+    qc_batch(store, qc_messages(store), 5)
+    assert store.log("qc_flags").count() == 1
+    qc_batch(store, qc_messages(store, control(3, param=PARAM_IDS["TGX"]), first_seq=3), 6, retry=False)
+    assert store.waiting(store.seen_registry()).count() == 0
+
+
+def test_a_record_that_waited_does_not_overwrite_a_later_one(store):
+    """One series gets its flag from batch 1; the record of batch 0, resolved in batch 2, is the older one."""
+    qc_batch(store, qc_messages(store, control(2), first_seq=9), 0)
+    qc_batch(store, qc_messages(store, control(7), first_seq=1), 1)
+    ingest(store, checked_series())
+    qc_batch(store, qc_messages(store), 2)
+    assert [f[2] for f in flags(store)] == [7.0]
+
+
+def test_records_of_closed_series_leave(store):
+    side = side_tables(store.spark, station_permits=[(20001, 0)])
+    qc_batch(store, qc_messages(store, control(2, hours=(0, 1))), 0, side)
+    assert store.log("quarantine").count() == 0
+    assert [(r.code, r.detail) for r in store.log("qc_rejects").collect()] == [("CLOSED_SERIES", "20001/12/106")] * 2
 
 
 def snapshot(store):
@@ -224,7 +264,7 @@ def test_batches_overwrite_register_and_reject(written):
 
 
 def test_large_side_tables_and_repeated_batches_give_the_same(written, store):
-    three_batches(store, limit=0)
+    three_batches(store, sliced=True)
     # The last batch runs twice.
     last_batch(store)
     # As text, for not-a-number is unequal to itself.
@@ -234,21 +274,82 @@ def test_large_side_tables_and_repeated_batches_give_the_same(written, store):
 def test_compaction_keeps_every_answer(written, tmp_path):
     folded = written.compact_into(f"{tmp_path}/folded", upto=2)
     before, after = snapshot(written), snapshot(folded)
-    for table in ("registry", "data", "text"):
-        assert str(after[table]) == str(before[table])
-    # A folded store is written on.
-    ingest(folded, message(20001, 501, ["TA"], NEW_YEAR, HOUR, 1, ["9"]), batch=3)
+    assert {t: str(rows) for t, rows in after.items()} == {t: str(rows) for t, rows in before.items()}
+    # A folded store is written on, with ids after all that were given; what is folded is not written again.
+    ingest(folded, message(20001, 501, ["TA", "RR_1"], NEW_YEAR, HOUR, 1, ["9", "4"]), batch=3)
     assert folded.values("data", NEW_YEAR, NEW_YEAR).where("obsvalue = 9").count() == 1
+    assert sorted(r.timeseries for r in folded.registry().collect()) == [1, 2, 3, 4, 5]
+    with pytest.raises(ValueError, match="folded"):
+        ingest(folded, message(20001, 501, ["CI"], NEW_YEAR, HOUR, 1), batch=1)
+    # Batches after the folded ones keep their numbers.
+    part = written.compact_into(f"{tmp_path}/part", upto=0)
+    assert sorted(part.batches("data")) == [0, 1, 2]
+    assert {t: str(rows) for t, rows in snapshot(part).items()} == {t: str(rows) for t, rows in before.items()}
+
+
+def test_compaction_keeps_what_waits(store, tmp_path):
+    qc_batch(store, qc_messages(store, control(2)), 0)
+    qc_batch(store, qc_messages(store, control(3, hours=(1,)), first_seq=5), 4)
+    ingest(store, message(20001, 501, ["TA"], NEW_YEAR, HOUR, 1), batch=0)
+    folded = store.compact_into(f"{tmp_path}/folded")
+    assert folded.waiting(folded.seen_registry()).count() == 2 and sorted(folded.batches("qc_flags")) == [4]
+    ingest(folded, checked_series(), batch=1)
+    qc_batch(folded, qc_messages(folded), 5)
+    again = folded.compact_into(f"{tmp_path}/again")
+    assert [f[0] for f in flags(again)] == [CHECKED_AT, CHECKED_AT + HOUR]
+    assert again.log("quarantine").count() == 0 and receipts(again) == receipts(folded)
+
+
+def test_late_writes_win_by_arrival(store):
+    """The later batch wins, though its message has the smaller number."""
+    side = side_tables(store.spark)
+    for batch, (number, value) in enumerate([(900, "1"), (3, "2")]):
+        ingest_batch(store, messages(store.spark, message(20001, 501, ["TA", "KLOBS"], NEW_YEAR, HOUR, 1, [value, value]), first_seq=number), side, batch)
+    assert [r.obsvalue for r in store.values("data").collect()] == [2.0]
+    assert [r.obsvalue for r in store.values("nonscalar_data").collect()] == ["2"]
+
+
+def test_a_batch_counts_as_a_whole(store, monkeypatch):
+    three_batches(store)
+    before = snapshot(store)
+    whole = Store._put
+
+    def failing(self, table, *rest):
+        if table == "receipts":
+            raise OSError("no space")
+        whole(self, table, *rest)
+
+    monkeypatch.setattr(Store, "_put", failing)
+    for batch in (2, 3):
+        with pytest.raises(OSError):
+            ingest(store, message(20002, 501, ["CI"], NEW_YEAR, HOUR, 3, ["5"]), batch=batch)
+        assert str(snapshot(store)) == str(before)
 
 
 def test_reads_prune_year_ranges(written, capsys):
     start, end = datetime(2024, 1, 1, tzinfo=timezone.utc), datetime(2024, 1, 2, tzinfo=timezone.utc)
     written.value_log("data", start, end).explain("formatted")
     plan = capsys.readouterr().out
-    assert "obs_bucket" in plan.split("PartitionFilters:")[1].split("]")[0]
+    filters = plan.split("PartitionFilters:")[1].split("]")[0]
+    assert "obs_bucket" in filters and "obs_month" in filters
     assert "GreaterThanOrEqual(obstime" in plan
 
 
+def test_a_short_read_opens_the_files_of_its_month(store, tmp_path):
+    for batch, month in enumerate((1, 2, 3)):
+        ingest(store, message(20001, 501, ["TA"], datetime(2024, month, 1), timedelta(days=1), 28), batch=batch)
+    hour = datetime(2024, 2, 10, tzinfo=timezone.utc)
+    for one in (store, store.compact_into(f"{tmp_path}/folded")):
+        assert len(one.log("data").inputFiles()) >= 3
+        read = one.value_log("data", hour, hour + HOUR)
+        opened = read.select(F.input_file_name().alias("f")).distinct().collect()
+        assert len(opened) == 1 and "obs_month=202402" in opened[0].f
+        # All that the scan selects, not only what has rows.
+        scan = read._jdf.queryExecution().executedPlan().collectLeaves().head()
+        listed = str(scan.metadata().apply("PartitionFilters"))
+        assert "obs_month" in listed
+
+
 def test_bulk_series_equal_single_series(written):
     now = (NEW_YEAR + 12 * HOUR).replace(tzinfo=timezone.utc)
     for resolution in (None, "PT1H"):
@@ -264,9 +365,22 @@ def test_bulk_series_equal_single_series(written):
 
 
 def test_zero_ids_match_quality_control_on_request(store):
-    """`TA(0,0)` is sensor 0, level 0 unless asked otherwise; control records read 0 as "not given"."""
-    ingest(store, message(20001, -4, ["RR_1(0,0)"], datetime(2024, 6, 6, 6), HOUR, 1), batch=0)
+    """`RR_1(0,0)` is sensor 0, level 0 unless asked otherwise; control records read 0 as "not given"."""
+    text = message(20001, 12, ["RR_1(0,0)"], CHECKED_AT, HOUR, 1)
+    ingest(store, text, batch=0)
     assert [(r.sensor, r.lvl) for r in store.registry().collect()] == [(0, 0)]
-    ingest(store, message(20001, -4, ["RR_1(0,0)"], datetime(2024, 6, 6, 6), HOUR, 1), batch=1, zero_ids_are_null=True)
-    qc_batch(store, qc_messages(store, QC_TEXT.format(corrected=10)), 0)
+    ingest(store, text, batch=1, zero_ids_are_null=True)
+    qc_batch(store, qc_messages(store, control(2)), 0)
     assert [r.timeseries for r in store.values("qc_flags").collect()] == [2]
+
+
+def test_bulk_load_stores_or_refuses_every_value(store):
+    times = [NEW_YEAR, NEW_YEAR, NEW_YEAR + HOUR, datetime(1949, 12, 31), datetime(2030, 1, 1), None]
+    values = store.spark.createDataFrame([(1, t, float(i)) for i, t in enumerate(times)], "timeseries long, obstime timestamp, obsvalue double")
+    registry = store.spark.createDataFrame([], schema.REGISTRY).drop("batch")
+    assert bulk_load(store, registry, values, 0) == {"stored": 2, "repeated": 1}
+    assert rows(store.values("data")) == [(1, NEW_YEAR, 1.0), (1, NEW_YEAR + HOUR, 2.0)]
+    assert [r.code for r in store.log("rejects").collect()] == ["OUT_OF_RANGE"] * 3
+    assert {r.audit: r.n for r in audit_store(store).collect()} == {
+        "duplicate_key": 0, "null_key": 0, "uncovered_time": 0, "orphan_series": 1, "orphan_label": 0, "ambiguous_label": 0, "rejected": 3
+    }

@@ -5,9 +5,10 @@ from datetime import datetime
 import pytest
 from pyspark.errors import StreamingQueryException
 
+from skyseries import schema
 from skyseries.sources import messages as sources
 from skyseries.sources.store import Store
-from skyseries.streaming.jobs import Refreshed, ingest_stream, qc_stream
+from skyseries.streaming.jobs import Held, Refreshed, ingest_stream, qc_stream
 from tests.support import HOUR, NEW_YEAR, message, rows, side_tables
 
 
@@ -53,19 +54,19 @@ def test_failed_batch_runs_again_and_counts_once(spark, tmp_path, monkeypatch):
         stream = sources.stream_message_files(spark, str(inbox))
         ingest_stream(store, stream, lambda: side_tables(spark), checkpoint=f"{tmp_path}/progress").awaitTermination()
 
-    whole = Store.write
+    whole = Store._put
 
-    def failing(self, table, df, batch):
+    def failing(self, table, *rest):
         if table == "receipts":
             raise OSError("no space")
-        whole(self, table, df, batch)
+        whole(self, table, *rest)
 
-    monkeypatch.setattr(Store, "write", failing)
+    monkeypatch.setattr(Store, "_put", failing)
     with pytest.raises(StreamingQueryException):
         run()
-    # Series and values are there already, the answers are not.
-    assert store.registry().count() == 2 and store.log("receipts").count() == 0
-    monkeypatch.setattr(Store, "write", whole)
+    # Series and values may be written already, but nothing counts without the answers.
+    assert store.registry().count() == store.log("data").count() == store.log("receipts").count() == 0
+    monkeypatch.setattr(Store, "_put", whole)
     run()
     assert rows(store.registry().select("timeseries")) == [(1,), (2,)]
     assert store.log("data").count() == 6 and store.values("data").count() == 6
@@ -82,6 +83,50 @@ def test_side_tables_are_read_again_when_old():
     assert seen == [1, 1, 1, 2, 2, 3]
 
 
+def test_side_tables_are_held_until_the_next_load(spark, tmp_path):
+    """A snapshot: what changes at the source is seen by the next load and not before, and is read once per load."""
+    def stored(permit):
+        spark.createDataFrame([(20001, permit)], schema.STATION_PERMITS).write.mode("overwrite").parquet(f"{tmp_path}/permits")
+
+    loads = []
+
+    def load():
+        loads.append(1)
+        tables = side_tables(spark)
+        tables.station_permits = spark.read.parquet(f"{tmp_path}/permits")
+        return tables
+
+    stored(1)
+    held = Held(spark, load)
+    first = held()
+    stored(0)
+    assert rows(first.station_permits) == [(20001, 1)] and rows(first.params)
+    assert rows(held().station_permits) == [(20001, 0)] and len(loads) == 2
+
+
+@pytest.mark.parametrize("checkpoint", [None, ""])
+def test_a_stream_needs_its_progress(spark, tmp_path, checkpoint):
+    """Without one, a second start would read anew and replace what is stored."""
+    put(tmp_path / "inbox", 1, "x")
+    stream = sources.stream_message_files(spark, str(tmp_path / "inbox"))
+    store = Store(spark, f"{tmp_path}/store")
+    with pytest.raises(ValueError, match="checkpoint"):
+        ingest_stream(store, stream, lambda: side_tables(spark), checkpoint=checkpoint)
+    with pytest.raises(ValueError, match="checkpoint"):
+        qc_stream(store, stream, checkpoint=checkpoint)
+
+
+def test_numbers_come_from_all_digits_or_the_time_of_change(spark, tmp_path):
+    names = ["20240101_001.txt", "20240101_002.txt", "a-0007.txt", "plain.txt", "1" * 30 + ".txt"]
+    for name in names:
+        (tmp_path / name).write_text("x")
+    found = sources.read_message_files(spark, str(tmp_path))
+    numbers = sorted(r.message_seq for r in found.collect())
+    assert numbers[:3] == [7, 20240101001, 20240101002] and numbers[3] > 10**15
+    assert sources.repeated_messages(found.unionByName(found)).count() == len(set(numbers))
+    assert sources.spread(found, 3).rdd.getNumPartitions() == 3
+
+
 def test_topic_records_become_messages(spark):
     records = spark.createDataFrame(
         [(0, 0, b"a"), (1, 0, b"b"), (0, 1, "æ".encode()), (1, 1, b"\xff")], "partition int, offset long, value binary"
