@@ -1,8 +1,10 @@
 """Small Spark helpers of this subpackage: given tables, written intermediate tables, batches."""
 
 import atexit
+import gc
 import tempfile
 import zipfile
+from contextlib import contextmanager
 from pathlib import Path
 
 import pyarrow as pa
@@ -80,6 +82,18 @@ class Written:
             _delete(self.spark, df._written_at)
 
 
+@contextmanager
+def plain_caches():
+    """While a task fills large caches of plain values, there is nothing for the cycle collector to find in them."""
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        yield
+    finally:
+        if was:
+            gc.enable()
+
+
 def by_bytes(batches, column: str, limit: int = 1 << 20):
     """Arrow batches cut so that ``column`` holds about ``limit`` bytes in each; one longer row stands alone."""
     for batch in batches:

@@ -7,66 +7,122 @@ and sentences, and a little for each window. The best predecessor of a cut is th
 earlier cuts, which a monotone queue gives in constant time.
 """
 
+import json
 import re
 import zlib
+from array import array
 from collections import deque
 
 import numpy as np
+import public_tokenizers
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyseries.llm.frames import by_bytes
+from skyseries.llm.frames import by_bytes, plain_caches
+from skyseries.llm.token_counts import byte_symbols
 
 WINDOW = 1024
-GRID = 32
+GRID = 64
 #: In units of one padding id: a cut at a sentence end, a cut inside a sentence, any window.
 SENTENCE_CUT, INNER_CUT, PER_WINDOW = 2, 12, 8
 #: Ids that are cut at a time. What follows the last windows of a run opens the next run.
 RUN = 1 << 16
 #: Encoded pieces of text that a Python worker remembers.
-REMEMBERED = 200_000
+REMEMBERED = 500_000
+_MARKS = ".,!?;:%&$#*|"
 
 # The tokenizer splits before a space, unless white space stands on both sides of it or ends the text with it.
-_WIDE = re.compile(r"  |\s \s|\s \Z|[^\S \n]")
+_WIDE = re.compile(r"  |\s \s|\s \Z|[^\S \n]|\0")
+
+
+def _fast_ranks(path: str) -> dict[bytes, int] | None:
+    """The vocabulary as ranks, if the file's merges are in the order of its ids; ``tiktoken`` then gives the same ids."""
+    with open(path, encoding="utf-8") as file:
+        model = json.load(file)["model"]
+    vocabulary, symbols = model["vocab"], byte_symbols()
+    merged = ["".join(m if isinstance(m, list) else m.split(" ")) for m in model["merges"]]
+    single = [token for token in vocabulary if len(token) == 1 and token in symbols]
+    if [vocabulary.get(m) for m in merged] != list(range(len(single), len(single) + len(merged))):
+        return None
+    return {bytes(symbols[c] for c in token): vocabulary[token] for token in (*single, *merged)}
 
 
 class Encoder:
-    """Ids of whole texts for a byte-level tokenizer file; pieces between single spaces are encoded once."""
+    """Ids of whole texts for a byte-level ``tokenizers`` file; pieces between single spaces are encoded once.
+
+    Where the file allows it, new pieces are encoded by ``tiktoken`` from the file's own vocabulary: the same ids, several
+    times as fast.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        vocabulary = self.tokenizer.get_vocab()
+        tokenizer = Tokenizer.from_file(path)
+        tokenizer.encode_special_tokens = True
+        vocabulary = tokenizer.get_vocab()
         self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
         for token, number in vocabulary.items():
             self.closing[number] = token[-1] in ".!?Ċ"
-        self.known: dict[str, bytes] = {}
+        ranks = _fast_ranks(path)
+        if ranks is None:
+            self.encode, encode_word = lambda text: tokenizer.encode(text, add_special_tokens=False).ids, None
+        else:
+            import tiktoken
+
+            fast = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+            self.encode, encode_word = fast.encode_ordinary, fast._encode_single_piece
+        self.known = _Pieces(self.encode, encode_word)
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         """uint32 ids of each text, without special tokens."""
-        known, split, new = self.known, [], set()
-        if len(known) > REMEMBERED:
-            known.clear()
+        known, out = self.known, []
         for text in texts:
             if _WIDE.search(text):
-                pieces = [text]
-            else:
-                head, *rest = text.split(" ")
-                pieces = [head, *[" " + p for p in rest]] if head else [" " + p for p in rest]
-            split.append(pieces)
-            new.update(p for p in pieces if p not in known)
-        new = list(new)
-        found = dict(zip(new, (np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch(new, add_special_tokens=False))))
-        ids = lambda p: known[p] if p in known else found[p]
-        out = [np.frombuffer(b"".join([ids(p) for p in pieces]), "<u4") for pieces in split]
-        known.update((p, i) for p, i in found.items() if len(p) < 64)
+                out.append(np.array(self.encode(text), "<u4"))
+                continue
+            pieces = text.replace(" ", "\0 ").split("\0")
+            out.append(np.frombuffer(b"".join([known[p] for p in pieces]), "<u4"))
+            if len(known) > REMEMBERED:
+                known.clear()
         return out
 
 
+class _Pieces(dict):
+    """The ids of pieces, as bytes, made when first asked for.
+
+    The tokenizer's pattern splits letters, with their blank, from the marks behind them; both are merged without a
+    pattern search, and words are remembered without their marks too.
+    """
+
+    def __init__(self, encode, encode_word):
+        self.encode, self.encode_word = encode, encode_word
+        self.words: dict[str, bytes] = {}
+        self.marks: dict[str, bytes] = {"": b""}
+
+    def __missing__(self, piece: str) -> bytes:
+        word = piece.rstrip(_MARKS)
+        ids = self.words.get(word)
+        if ids is None:
+            if self.encode_word is None or not word[1:].isalpha() or not (word[0] == " " or word[0].isalpha()):
+                ids = self[piece] = array("I", self.encode(piece)).tobytes()
+                return ids
+            ids = self.words[word] = array("I", self.encode_word(word)).tobytes()
+        marks = piece[len(word):]
+        behind = self.marks.get(marks)
+        if behind is None:
+            behind = array("I", self.encode(marks)).tobytes()
+            if len(self.marks) < 1000:
+                self.marks[marks] = behind
+        ids = self[piece] = ids + behind
+        return ids
+
+    def clear(self) -> None:
+        super().clear()
+        self.words.clear()
+
+
 def best_cuts(places: list[int], penalties: list[int], window: int = WINDOW) -> list[int]:
     """Cuts of least cost through ``places`` (rising, from 0 to the end), as indices into it, both ends included.
 
@@ -163,8 +219,9 @@ def packed(docs: DataFrame, tokenizer: str, window: int = WINDOW, id_col: str =
         encoder = _encoders.get(tokenizer) or _encoders.setdefault(tokenizer, Encoder(tokenizer))
         stream = _Stream(encoder.closing, window, TaskContext.get().partitionId() << 40, with_ids)
         for batch in by_bytes(batches, text_col):
-            texts = [t or "" for t in batch.column(1).to_pylist()]
-            for doc, ids in zip(batch.column(0).to_pylist(), encoder(texts)):
+            with plain_caches():
+                found = encoder([t or "" for t in batch.column(1).to_pylist()])
+            for doc, ids in zip(batch.column(0).to_pylist(), found):
                 stream.add(doc, 0, np.append(ids, np.uint32(0)), len(ids) + 1)
                 if stream.size >= RUN:
                     yield _pieces(stream.cut(last=False), with_ids)
