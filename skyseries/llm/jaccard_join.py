@@ -3,7 +3,7 @@
 Two texts link when their shingle sets overlap by ``PERCENT`` of their union or more, so the overlap is at least that
 share of the larger set. The work is kept near-linear by five steps, each of which loses no link:
 
-1. Texts with equal sets form a class; one document stands for it.
+1. Texts with equal sets form a class, named by a hash of its set, so that no text has to move to find its copies.
 2. Shingles have one global order, by hash. Of the n shingles of a class only the first n - T + l are looked at, T being
    the least overlap with any partner and l a tenth of n: linked classes share at least l of them (of the smaller l).
    Hash buckets drop every shingle that one class alone holds, and then every class with fewer than l left, twice.
@@ -69,28 +69,28 @@ def shingle_sets(texts, size: int = SHINGLE) -> list[np.ndarray]:
     return out
 
 
-def _ids(batch: pa.RecordBatch, column: int = 0) -> np.ndarray:
-    return batch.column(column).to_numpy(zero_copy_only=False)
+def _names(sets: list[np.ndarray]) -> np.ndarray:
+    """One number for each class of equal sets."""
+    return np.array([W.mix(s, 2).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
 
 
 def signatures(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """(doc_id, n_shingles, hi, lo): the size of each set and 128 bits that equal sets alone share."""
+    """(doc_id, n_shingles, hi, node): the size of each set and 128 bits that equal sets alone share."""
 
     def signed(batches):
         for batch in by_bytes(batches, "text"):
             sets = shingle_sets(batch.column(1), size)
             high = np.array([W.mix(s, 1).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
-            low = np.array([W.mix(s, 2).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(high), pa.array(low)],
-                names=["doc_id", "n_shingles", "hi", "lo"],
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(high), pa.array(_names(sets))],
+                names=["doc_id", "n_shingles", "hi", "node"],
             )
 
-    return docs.mapInArrow(signed, "doc_id bigint, n_shingles bigint, hi bigint, lo bigint")
+    return docs.mapInArrow(signed, "doc_id bigint, n_shingles bigint, hi bigint, node bigint")
 
 
 def _prefixes(docs: DataFrame, buckets: int, size: int, percent: int) -> DataFrame:
-    """The leading shingles of every class, packed by bucket and batch of documents.
+    """The leading shingles of every class, packed by bucket and batch of documents; a class counts once in a batch.
 
     A row holds class ids, and per shingle 32 bits of it and the place of its class. A shingle that many classes of one
     batch share leaves a mark in its bucket; its other holders go to one of as many further groups, dealt out by batch,
@@ -99,14 +99,14 @@ def _prefixes(docs: DataFrame, buckets: int, size: int, percent: int) -> DataFra
 
     def packed(batches):
         for batch in by_bytes(batches, "text", 8 << 20):
-            nodes, sets = _ids(batch), []
-            for piece in by_bytes([batch], "text"):
-                sets += shingle_sets(piece.column(1), size)
+            sets = [s for piece in by_bytes([batch], "text") for s in shingle_sets(piece.column(0), size) if len(s)]
+            nodes, first = np.unique(_names(sets), return_index=True)
+            sets = [sets[i] for i in first]
             lead = [s[: len(s) - least_overlap(len(s), percent) + int(_least_shared(len(s)))] for s in sets]
             owner = np.repeat(np.arange(len(nodes), dtype=np.uint32), [len(s) for s in lead])
-            token = np.concatenate(lead)
-            if not len(token):
+            if not lead:
                 continue
+            token = np.concatenate(lead)
             order = np.argsort(token, kind="stable")
             token, owner = token[order], owner[order]
             heads = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
@@ -117,6 +117,7 @@ def _prefixes(docs: DataFrame, buckets: int, size: int, percent: int) -> DataFra
             # The order of the shingles is that of all their bits; the low ones choose the bucket, others name them in it.
             bucket, name = (token & np.uint64(0xFFFFFFFF)) % np.uint64(buckets), (token >> np.uint64(16)).astype(np.uint32)
             spread = -1 - int(W.mix(nodes[:1].astype(np.uint64))[0] % np.uint64(buckets))
+            rows = []
             for places, apart in ((np.flatnonzero(~hot | first), False), (np.flatnonzero(hot & ~first), True)):
                 places = places[np.argsort(bucket[places], kind="stable")]
                 cuts = np.flatnonzero(np.diff(bucket[places])) + 1
@@ -124,10 +125,11 @@ def _prefixes(docs: DataFrame, buckets: int, size: int, percent: int) -> DataFra
                     used, place = np.unique(owner[own], return_inverse=True)
                     number = int(bucket[own[0]])
                     packs = (nodes[used].astype("<i8"), name[own].astype("<u4"), place.astype("<u4"), np.packbits(hot[own]))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array([spread if apart else number], pa.int32()), pa.array([number], pa.int32()), *(pa.array([p.tobytes()], pa.binary()) for p in packs)],
-                        names=["deal", "bucket", "nodes", "names", "places", "marks"],
-                    )
+                    rows.append((spread if apart else number, number, *(p.tobytes() for p in packs)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([r[i] for r in rows], pa.int32() if i < 2 else pa.binary()) for i in range(6)],
+                names=["deal", "bucket", "nodes", "names", "places", "marks"],
+            )
 
     return docs.mapInArrow(packed, "deal int, bucket int, nodes binary, names binary, places binary, marks binary")
 
@@ -206,39 +208,40 @@ def t_occurrence(sets: list[np.ndarray], percent: int = PERCENT, asking: np.ndar
             continue
         at = np.searchsorted(names, sets[i])
         length = tails[at] - heads[at]
-        at, length = at[length > 1], np.sort(length[length > 1])
-        at = at[np.argsort(tails[at] - heads[at], kind="stable")]
-        # Partners that ask by themselves and are larger have asked for this one already.
-        least = least_overlap(n, percent)
-        smaller = (sizes <= n) if asking is None else np.ones(len(sets), bool)
-        smaller &= (100 * sizes >= percent * n) & (100 * n >= percent * sizes)
-        if len(at) < least or not smaller.any():
+        order = np.argsort(length[length > 1], kind="stable")
+        at, length = at[length > 1][order], length[length > 1][order]
+        # The overlap that a set of each size needs. Those that ask by themselves and are larger have asked already.
+        needed = -(-percent * (n + sizes) // (100 + percent))
+        open_ = (sizes <= n) if asking is None else np.ones(len(sets), bool)
+        roots = forest.roots()
+        open_ &= (100 * sizes >= percent * n) & (100 * n >= percent * sizes) & (needed <= len(at)) & (roots != roots[i])
+        if not open_.any():
             continue
-        longest = max(1, int(length[-1]))
-        skipped = min(int(least / (0.01 * np.log(longest + 1) + 1)), least - 1, len(at) - 1)
-        short = at[: len(at) - skipped]
+        least = int(needed[open_].min())
+        skipped = max(0, min(int(least / (0.01 * np.log(int(length[-1]) + 1) + 1)), least - 1, len(at) - 1))
+        short, long = at[: len(at) - skipped], at[len(at) - skipped:]
         merged = np.concatenate([owner[heads[t]: tails[t]] for t in short])
-        seen = np.bincount(merged, minlength=len(sets))
-        roots = forest.roots()
-        candidates = np.flatnonzero((seen >= least - skipped) & smaller & (roots != roots[i]))
-        probes = names[at[len(at) - skipped:]]
-        for j in candidates:
-            if forest.root(j) == forest.root(i):
-                continue
-            own, both = sets[j], int(seen[j])
-            if skipped:
-                place = np.searchsorted(own, probes)
-                both += int(np.count_nonzero(own[np.minimum(place, len(own) - 1)] == probes))
-            if 100 * both >= percent * (n + len(own) - both):
-                forest.join(i, int(j))
+        both = np.bincount(merged, minlength=len(sets))
+        candidates = np.flatnonzero(open_ & (both >= needed - skipped))
+        for k, t in enumerate(long):
+            if not len(candidates):
+                break
+            holders = owner[heads[t]: tails[t]]
+            place = np.searchsorted(holders, candidates)
+            both[candidates] += holders[np.minimum(place, len(holders) - 1)] == candidates
+            if k % 8 == 7:
+                candidates = candidates[both[candidates] >= needed[candidates] - (skipped - k - 1)]
+        for j in candidates[both[candidates] >= needed[candidates]]:
+            forest.join(i, int(j))
     return forest.links
 
 
 def _sets(docs: DataFrame, size: int) -> DataFrame:
     def found(batches):
         for batch in by_bytes(batches, "text"):
-            packed = [s.astype("<u8").tobytes() for s in shingle_sets(batch.column(1), size)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], names=["node", "shingles"])
+            sets = shingle_sets(batch.column(0), size)
+            packed = pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(_names(sets)), packed], names=["node", "shingles"])
 
     return docs.mapInArrow(found, "node bigint, shingles binary")
 
@@ -260,9 +263,8 @@ def _candidates(written: Written, docs: DataFrame, classes: DataFrame, total: in
     """(centre, node): where classes that may have partners meet."""
     spark = docs.sparkSession
     buckets = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), total // (3 * BUCKET))
-    one_each = docs.join(classes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").select("doc_id", "text")
-    entries = written.put(_prefixes(one_each, buckets, size, percent).groupBy("deal").applyInArrow(_shared, "token bigint, node bigint"))
-    least = classes.select("node", F.greatest(F.lit(1), F.floor(F.col("n") / 10)).alias("least"))
+    entries = written.put(_prefixes(docs.select("text"), buckets, size, percent).groupBy("deal").applyInArrow(_shared, "token bigint, node bigint"))
+    least = classes.groupBy("node").agg(F.greatest(F.lit(1), F.floor(F.min("n_shingles") / 10)).alias("least"))
     for _ in range(2):
         enough = entries.groupBy("node").agg(F.count(F.lit(1)).alias("has")).join(least, "node").where("has >= least").select("node")
         left = entries.join(enough, "node", "left_semi")
@@ -283,8 +285,9 @@ def _candidates(written: Written, docs: DataFrame, classes: DataFrame, total: in
 def _links(spark: SparkSession, docs: DataFrame, classes: DataFrame, total: int, size: int, percent: int) -> DataFrame:
     written = Written(spark, "jaccard")
     routes = _candidates(written, docs, classes, total, size, percent)
-    nodes = routes.select(F.col("node").alias("doc_id")).distinct()
-    sets = written.put(_sets(docs.join(nodes, "doc_id", "left_semi").select("doc_id", "text"), size))
+    # Of each class one document's text is read again. The plan is the same at every size: texts go by id, once.
+    readers = classes.join(routes.select("node").distinct(), "node", "left_semi").select("doc_id").hint("merge")
+    sets = written.put(_sets(docs.join(readers, "doc_id", "left_semi").select("text"), size))
     blocks = routes.groupBy("centre").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
     blocks = blocks.select("centre", F.ceil(F.col("members") / BLOCK).alias("parts"))
     placed = written.put(routes.join(blocks, "centre").withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))))
@@ -327,18 +330,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     written = Written(spark, "signatures")
     signed = written.put(signatures(docs, size))
     filled = signed.where("n_shingles > 0 and doc_id is not null")
-    same = filled.groupBy("n_shingles", "hi", "lo").agg(F.min("doc_id").alias("node"))
-    classes = written.put(same)
+    key = ["n_shingles", "hi", "node"]
+    classes = written.put(filled.groupBy(*key).agg(F.min("doc_id").alias("doc_id")))
     total = classes.agg(F.sum("n_shingles")).first()[0] or 0
     if not total:
         return signed.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
-    nodes = classes.groupBy("node").agg(F.min("n_shingles").alias("n"))
-    links = _links(spark, docs, nodes, total, size, percent)
+    links = _links(spark, docs, classes, total, size, percent)
     # Texts of one id are one node.
-    apart = filled.groupBy("doc_id").agg(F.struct(F.min("hi"), F.min("lo"), F.min("n_shingles")).alias("low"), F.struct(F.max("hi"), F.max("lo"), F.max("n_shingles")).alias("high"))
-    several = written.put(filled.join(apart.where("low <> high"), "doc_id", "left_semi").join(classes, ["n_shingles", "hi", "lo"]))
-    links = links.unionByName(several.select(F.col("doc_id").alias("a"), F.col("node").alias("b")))
-    found = connected(links).withColumnRenamed("node", "other")
-    of_class = classes.join(found, classes["node"] == found["other"], "left").select("n_shingles", "hi", "lo", F.coalesce("component", "node").alias("component"))
-    kept = signed.join(of_class, ["n_shingles", "hi", "lo"], "left")
-    return kept.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
+    shared = filled.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b")
+    links = links.unionByName(filled.join(shared, "doc_id").select("a", F.col("node").alias("b")))
+    found = written.put(connected(links))
+    named = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
+    of_class = named.join(least, "component").select(*key, "component_id")
+    kept = signed.join(of_class, key, "left")
+    return kept.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
