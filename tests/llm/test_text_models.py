@@ -54,10 +54,10 @@ def lattice():
 def every_path(lattice, text):
     """Scores and ids of all segmentations."""
     text = N.SPACE + text.replace(" ", N.SPACE)
-    ending = lattice.edges(text)
+    ending, _ = lattice.forward(text)
     paths = [[(0.0, ())]]
     for place in range(1, len(text) + 1):
-        paths.append([(s + score, ids + own) for a, own, score in ending[place] for s, ids in paths[a]])
+        paths.append([(s + score, ids + own) for _, a, own, score in ending[place] for s, ids in paths[a]])
     return sorted(paths[-1], key=lambda p: -p[0])
 
 
@@ -70,6 +70,25 @@ def test_best_paths_in_the_order_of_their_scores(lattice, text):
     assert all(lattice.decode(ids) == text for _, ids in found)
 
 
+@given(st.text(st.sampled_from("ab  \n" + N.SPACE + "\0"), max_size=12))
+def test_units_are_cut_where_no_piece_runs_on(lattice, text):
+    marked, own = N.SPACE + text.replace(" ", N.SPACE), N.units(text)
+    assert "".join(own) == (marked if text else "")
+    at = 0
+    for unit in own[:-1]:
+        at += len(unit)
+        assert not any(marked[a:b] in lattice.starts and lattice.starts[marked[a:b]] for a in range(at) for b in range(at + 1, len(marked) + 1))
+
+
+def test_every_piece_of_a_text_is_an_edge(lattice):
+    text = N.SPACE + "international understandings 12"
+    ending, _ = lattice.forward(text)
+    found = {(a, b, ids) for b, edges in enumerate(ending) for _, a, ids, _ in edges}
+    pieces = {(a, b, lattice.starts[text[a:b]][0]) for a in range(len(text)) for b in range(a + 1, len(text) + 1) if lattice.starts.get(text[a:b])}
+    assert pieces <= found and all(b - a == 1 for a, b, _ in found - pieces)
+    assert max(b - a for a, b, _ in pieces) > N.LOOK
+
+
 @given(st.text(st.sampled_from("abé 漢\n\t.T"), max_size=30))
 def test_round_trip_and_pieces_of_the_model(lattice, text):
     (_, ids), *_ = lattice.n_best(text, 1)
