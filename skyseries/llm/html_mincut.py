@@ -38,7 +38,8 @@ _FRAME_WORDS = re.compile(
 )
 _MAIN_WORDS = re.compile(r"(?:^|[\s_-])(?:article|content|main|post|entry|story|body|text)(?=$|[\s_-])", re.IGNORECASE)
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.DOTALL)
-_ATTRIBUTE = re.compile(r"(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?", re.IGNORECASE)
+# One attribute after the other: a whole name, and its whole value if it has one.
+_ATTRIBUTE = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 _WORD = re.compile(r"\w+")
 
 #: Weights of the classifier: positive speaks for content.
@@ -58,11 +59,15 @@ class _Element:
 
     def __init__(self, tag: str, attributes: str, parent: "_Element | None"):
         self.tag, self.parent = tag, parent
-        named = " ".join(a or b or c for key, a, b, c in _ATTRIBUTE.findall(attributes) if key.lower() in ("class", "id", "role")) if attributes else ""
+        given: dict[str, str] = {}
+        for key, a, b, c in _ATTRIBUTE.findall(attributes) if attributes else ():
+            # Of attributes with one name the first counts.
+            given.setdefault(key.lower(), a or b or c)
+        named = " ".join(v for k, v in given.items() if k in ("class", "id", "role"))
         framed = bool(named and _FRAME_WORDS.search(named)) and tag not in ("body", "html", "article", "main")
         up = parent
         self.depth = up.depth + 1 if up else 0
-        hidden = tag in HIDDEN_TAGS or any(k.lower() == "hidden" or k.lower() == "aria-hidden" and "true" in (a, b, c) for k, a, b, c in _ATTRIBUTE.findall(attributes))
+        hidden = tag in HIDDEN_TAGS or "hidden" in given or given.get("aria-hidden", "").strip().lower() == "true"
         self.hidden = hidden or bool(up and up.hidden)
         self.frame = framed or tag in FRAME_TAGS or bool(up and up.frame)
         self.article = tag == "article" or bool(up and up.article)

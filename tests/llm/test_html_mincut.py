@@ -41,6 +41,20 @@ def test_main_text(page, text):
     assert H.main_text(page) == text
 
 
+@pytest.mark.parametrize("attribute", [
+    'style="overflow:hidden"', "style='visibility: hidden-not'", 'href="/the-hidden-city"', "href=/the-hidden-city", 'title="Hidden gems"', "title='a hidden=b'",
+    'data-hidden="1"', "data-hidden", 'aria-hidden="false"', "aria-hidden=false", 'data-aria-hidden="true"', 'data-class="sidebar"', 'title="class=sidebar"', 'alt=""',
+])
+def test_names_inside_values_and_other_names_are_no_attributes(attribute):
+    assert H.main_text(f"<article><div {attribute}><p>{LONG}</p></div></article>") == LONG
+    assert H.main_text(f"<article><p>See <a {attribute}>the city</a>. {LONG}</p></article>") == f"See the city. {LONG}"
+
+
+@pytest.mark.parametrize("attribute", ["hidden", "HIDDEN", 'class="x"hidden', 'hidden=""', "hidden='until-found'", 'aria-hidden="true"', "aria-hidden=true", "title='x' aria-hidden = 'True'"])
+def test_hidden_elements_are_left_out(attribute):
+    assert H.main_text(f"<article><p>{LONG}</p><div {attribute}><p>{LONG}</p></div></article>") == LONG
+
+
 def test_long_and_odd_pages():
     many = "".join(f"<p>{LONG} {i}</p>" for i in range(5000))
     assert H.main_text(f"<article>{many}</article>").count("\n\n") == 4999
