@@ -25,7 +25,8 @@ BLOCK_TAGS = frozenset(
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW_TAGS = frozenset("script style textarea title xmp iframe noembed noframes".split())
 HIDDEN_TAGS = frozenset("script style template noscript iframe object svg math canvas audio video head title textarea xmp noembed noframes".split())
-FRAME_TAGS = frozenset("nav footer aside form button select menu dialog fieldset option".split())
+FRAME_TAGS = frozenset("nav footer aside button select menu dialog option".split())
+FORM_TAGS = frozenset("form fieldset".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 # These close an open element of their own kind.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -36,6 +37,9 @@ _FRAME_WORDS = re.compile(
     r"comments?|commentlist|respond|disqus|replies|reply|share|sharing|social|related|recommended|login|signup|search|copyright|disclaimer|skip)(?=$|[\s_-])",
     re.IGNORECASE,
 )
+_COMMENT_WORDS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|respond|disqus|replies|reply)(?=$|[\s_-])", re.IGNORECASE)
+# Class words that say what a page has or lacks, not what the element is.
+_LAYOUT_WORDS = re.compile(r"(?:^|(?<=[\s_-]))(?:no|without|has|with)[_-][a-z]+", re.IGNORECASE)
 _MAIN_WORDS = re.compile(r"(?:^|[\s_-])(?:article|content|main|post|entry|story|body|text)(?=$|[\s_-])", re.IGNORECASE)
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.DOTALL)
 # One attribute after the other: a whole name, and its whole value if it has one.
@@ -51,11 +55,14 @@ WEIGHTS = {
 WORDS_COUNTED = 40
 #: Smoothness: of blocks that follow each other, divided by their distance in the tree; of blocks with one parent.
 ADJACENT, SIBLING = 1.5, 0.5
+#: A frame word on a class weighs in full down to this depth below its element, then less by ``FADE`` a level, never below ``FAINT``.
+NEAR, FADE, FAINT = 2, 1 / 6, 1 / 3
+_SENTENCE_ENDS = ".!?…\"”»。！？"
 _UNITS = 1000
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "depth", "hidden", "frame", "article", "main", "main_words", "header", "linked")
+    __slots__ = ("tag", "parent", "depth", "hidden", "mark", "shut", "said", "fixed", "form", "word", "frame", "article", "main", "main_words", "header", "linked")
 
     def __init__(self, tag: str, attributes: str, parent: "_Element | None"):
         self.tag, self.parent = tag, parent
@@ -64,12 +71,19 @@ class _Element:
             # Of attributes with one name the first counts.
             given.setdefault(key.lower(), a or b or c)
         named = " ".join(v for k, v in given.items() if k in ("class", "id", "role"))
-        framed = bool(named and _FRAME_WORDS.search(named)) and tag not in ("body", "html", "article", "main")
+        self.mark = "tag" if tag in FRAME_TAGS else None
+        if not self.mark and named and tag not in ("body", "html", "article", "main") and _FRAME_WORDS.search(named):
+            own = _LAYOUT_WORDS.sub(" ", named)
+            self.mark = "comments" if _COMMENT_WORDS.search(own) else "words" if _FRAME_WORDS.search(own) else None
+        if not self.mark and tag in FORM_TAGS:
+            self.mark = "form"
         up = parent
         self.depth = up.depth + 1 if up else 0
         hidden = tag in HIDDEN_TAGS or "hidden" in given or given.get("aria-hidden", "").strip().lower() == "true"
         self.hidden = hidden or bool(up and up.hidden)
-        self.frame = framed or tag in FRAME_TAGS or bool(up and up.frame)
+        # Set by _weigh_frames: what is said in sentences below, which marks hold here, and how much they weigh.
+        self.shut = tag != "main" and (self.mark in ("tag", "comments") or bool(up and up.shut))
+        self.said, self.fixed, self.form, self.word, self.frame = 0, False, False, None, 0.0
         self.article = tag == "article" or bool(up and up.article)
         self.main = tag == "main" or bool(up and up.main)
         self.main_words = bool(named and _MAIN_WORDS.search(named)) or bool(up and up.main_words)
@@ -87,7 +101,7 @@ class _Block:
 def blocks(page: str) -> list[tuple[str, _Element, float]]:
     """(text, innermost block element, share of linked characters) in page order; empty blocks are left out."""
     root = _Element("", "", None)
-    top, at, out, current = root, 0, [], None
+    top, at, out, current, elements = root, 0, [], None, []
 
     def close():
         nonlocal current
@@ -162,10 +176,52 @@ def blocks(page: str) -> list[tuple[str, _Element, float]]:
                 at = page.find(">", at) + 1 or len(page)
             continue
         top = _Element(tag, found[3], top)
+        elements.append(top)
     close()
+    _weigh_frames(elements, out)
     return out
 
 
+def _weigh_frames(elements: list[_Element], found: list[tuple[str, _Element, float]]) -> None:
+    """How much the frame marks above each element weigh, 0 to 1. ``elements`` come in page order.
+
+    Frame tags and comment sections hold for all below them but a main element. A class word or a form is no mark on what
+    holds more than half of the page's sentences, and ends at an inner article that says as much as all unmarked articles.
+    """
+    if not any(e.mark for e in elements):
+        return
+    total = free = 0
+    for text, element, _ in found:
+        if text[-1] in _SENTENCE_ENDS and not element.shut:
+            element.said += len(text)
+            total += len(text)
+    for e in reversed(elements):
+        e.parent.said += e.said
+    marked = {}
+    for e in elements:
+        marked[id(e)] = e.tag != "main" and (_is_mark(e, total) or marked.get(id(e.parent), False))
+    for text, element, _ in found:
+        if text[-1] in _SENTENCE_ENDS and (element.article or element.main) and not element.shut and not marked.get(id(element), False):
+            free += len(text)
+    for e in elements:
+        up = e.parent
+        if e.tag != "main":
+            e.fixed, e.form, e.word = up.fixed, up.form, up.word
+            if e.tag == "article" and e.said and e.said >= free:
+                e.form, e.word = False, None
+        if _is_mark(e, total):
+            e.fixed, e.form = e.fixed or e.mark in ("tag", "comments"), e.form or e.mark == "form"
+            e.word = e.depth if e.mark == "words" else e.word
+        if e.fixed or e.form:
+            e.frame = 1.0
+        elif e.word is not None:
+            e.frame = max(FAINT, 1 - FADE * max(0, e.depth - e.word - NEAR))
+
+
+def _is_mark(e: _Element, total: int) -> bool:
+    return e.mark in ("tag", "comments") or e.mark is not None and 2 * e.said <= total
+
+
 def cost(text: str, element: _Element, linked: float) -> float:
     """What calling the block boilerplate costs more than calling it content."""
     words = len(_WORD.findall(text))

@@ -55,6 +55,32 @@ def test_hidden_elements_are_left_out(attribute):
     assert H.main_text(f"<article><p>{LONG}</p><div {attribute}><p>{LONG}</p></div></article>") == LONG
 
 
+WRAPPED = f"<h1>Title</h1><p>{LONG}</p><p>{LONG}</p>"
+WHOLE = f"Title\n\n{LONG}\n\n{LONG}"
+
+
+@pytest.mark.parametrize("wrapper", ["div class='no-sidebar'", "div class='content-sidebar-wrap'", "div id='search-results'", "div class='social-story'", "form", "form action='/page.aspx'", "div class='has-comments'"])
+def test_a_wrapper_of_the_whole_page_is_no_frame(wrapper):
+    end = wrapper.split()[0]
+    menu = "<nav><a href='/'>Home</a></nav>"
+    side = f"<div class='sidebar'><p>{LONG}</p></div><section class='comments'><article><p>{LONG}</p><p>{LONG}</p><p>{LONG}</p></article></section>"
+    for inner in (WRAPPED, f"<article>{WRAPPED}</article>", f"<main>{WRAPPED}</main>", f"<div><div>{WRAPPED}</div></div>"):
+        assert H.main_text(f"<body><{wrapper}>{inner}</{end}></body>") == WHOLE
+        assert H.main_text(f"<body><{wrapper}>{menu}{inner}{side}</{end}><footer>{LONG}</footer></body>") == WHOLE
+
+
+def test_frames_beside_an_article_stay_out():
+    for part in (f"<div class='sidebar'><article><p>{LONG}</p></article></div>", f"<div class='related'><div><div><div><p>{LONG}</p></div></div></div></div>",
+                 f"<form><div><p>{LONG}</p></div></form>", f"<aside><article><p>{LONG}</p></article></aside>", f"<div class='comments'><div><div><div><div><article><p>{LONG}</p></article></div></div></div></div></div>"):
+        assert H.main_text(f"<article>{WRAPPED}</article>{part}") == WHOLE
+        assert H.main_text(f"<div class='no-sidebar'><article>{WRAPPED}</article>{part}</div>") == WHOLE
+
+
+def test_main_and_the_larger_article_end_a_mark_above_them():
+    assert H.main_text(f"<div class='overlay'><main>{WRAPPED}</main></div><p>{LONG * 5}</p>").startswith(WHOLE)
+    assert H.main_text(f"<div class='story-widget'><article>{WRAPPED}</article></div><div><p>{LONG * 5}</p></div>").startswith(WHOLE)
+
+
 def test_long_and_odd_pages():
     many = "".join(f"<p>{LONG} {i}</p>" for i in range(5000))
     assert H.main_text(f"<article>{many}</article>").count("\n\n") == 4999
