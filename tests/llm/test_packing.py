@@ -36,6 +36,9 @@ def test_pieces_between_spaces_give_the_ids_of_the_whole_text(tokenizer, encoder
     assert encoder([text])[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+UNCHANGED, ADDED = Tokenizer.from_file(PACKING_TOKENIZER), P.Encoder(PACKING_TOKENIZER, added=True)
+
+
 def price(places, penalties, cuts, window):
     total = 0
     for a, b in zip(cuts, cuts[1:]):
@@ -97,6 +100,25 @@ def test_every_id_lies_in_one_piece_and_sequences_have_no_gap(spark, tokenizer,
     assert firsts == list(dict.fromkeys(r.doc_id for r in order))
 
 
+def test_texts_that_spell_an_added_token_have_its_id(spark):
+    plain = Tokenizer.from_file(PACKING_TOKENIZER)
+    rows = list(enumerate(["a<|endoftext|>b", "<|endoftext|>", "x <|endoftext|> y.<|endoftext|><|endoftext|>\n z", "<|endoftext|", "<|endof text|>", "no such token " * 700 + "<|endoftext|> é"]))
+    found = P.packed(spark.createDataFrame(rows, "doc_id bigint, text string").repartition(2), PACKING_TOKENIZER).collect()
+    whole = {}
+    for r in sorted(found, key=lambda r: (r.doc_id, r.start)):
+        assert r.start == len(whole.setdefault(r.doc_id, [])) and r.ids_crc32 == zlib.crc32(np.array(r.ids, "<u4").tobytes())
+        whole[r.doc_id] += r.ids
+    assert whole == {i: plain.encode(t, add_special_tokens=False).ids + [0] for i, t in rows}
+    assert whole[0] == [64, 50256, 65, 0] and all(r.doc_tokens == len(whole[r.doc_id]) for r in found)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(PIECES, max_size=14))
+def test_with_added_tokens_the_ids_are_those_of_the_unchanged_tokenizer(pieces):
+    text = "".join(pieces)
+    assert ADDED([text])[0].tolist() == UNCHANGED.encode(text, add_special_tokens=False).ids
+
+
 def test_no_rows_null_ids_and_extra_columns(spark):
     schema = "doc_id bigint, text string, ids int, start int"
     assert P.packed(spark.createDataFrame([], schema), PACKING_TOKENIZER).collect() == []
