@@ -1,10 +1,10 @@
 """The cleaning pipeline over documents: every stage works on all that the one before it kept.
 
 Each stage takes (spark, docs, sf_dir). All but the last return the columns of documents. Rows with equal ids are rows of
-their own up to the near-duplicate stage, which keeps one document of each group: the one with the smallest id.
+their own; the near-duplicate stage keeps one row of each group of texts: the one with the smallest id.
 """
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from skyseries import session
@@ -40,18 +40,27 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates: the one with the smallest id. Rows without an id stay."""
+    """One row of each group of near-duplicate texts: the one with the smallest id, the first by text if that id repeats.
+
+    Rows that share an id are judged by their own texts; of those without words, one for each id stays. Rows without an
+    id stay.
+    """
     ship(session.prepare(spark))
-    groups = jaccard_join.near_duplicates(docs)
-    gone = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("gone")).distinct()
-    left = docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
-    repeated = left.where("doc_id is not null").groupBy("doc_id").count().where("count > 1")
-    if repeated.isEmpty():
-        return left
-    # Rows that share an id are one document: the first by text stays.
-    place = free_name(docs, "_place")
-    numbered = left.withColumn(place, F.row_number().over(Window.partitionBy("doc_id").orderBy("text")))
-    return _columns(numbered.where((F.col(place) == 1) | F.col("doc_id").isNull()), docs.columns)
+    groups = jaccard_join.near_duplicates(docs, by_text=True)
+    if groups.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        gone = groups.where("component_id <> doc_id").select(F.col("doc_id").alias("gone"))
+        return docs.join(gone, docs["doc_id"] == gone["gone"], "left_anti")
+    written = Written(spark, "repeated")
+    names = [free_name(docs, n) for n in ("_n", "_hi", "_node", "_id", "_group", "_rows")]
+    firsts = groups.where("component_id = doc_id").groupBy("doc_id", "component", "n_shingles", "hi", "node").agg(F.count(F.lit(1)).alias("rows"))
+    rows = firsts.groupBy("doc_id", "component").agg(F.sum("rows").alias("rows")).select(F.col("doc_id").alias("of"), F.col("component").alias("group"), "rows")
+    firsts = firsts.drop("rows").join(rows, F.expr("doc_id = of and component <=> group")).select("n_shingles", "hi", "node", "doc_id", "group", "rows").toDF(*names)
+    classed = jaccard_join.with_classes(docs.where("doc_id is not null"), names[:3]).withColumn(names[3], F.col("doc_id").cast("bigint"))
+    left = written.put(classed.join(firsts, names[:4]))
+    # Rows of one group and id meet as partial smallest values; the others, and those without an id, pass by.
+    several = left.where(F.col(names[5]) > 1).groupBy(names[3], names[4])
+    several = several.agg(F.min_by(F.struct(*[F.col(f"`{c}`") for c in docs.columns]), F.struct("text")).alias("row")).select("row.*")
+    return _columns(left.where(F.col(names[5]) == 1), docs.columns).unionByName(several).unionByName(docs.where("doc_id is null"))
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

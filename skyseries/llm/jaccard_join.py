@@ -23,6 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from skyseries.llm import words as W
 from skyseries.llm.components import connected
@@ -89,6 +90,19 @@ def signatures(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     return docs.mapInArrow(signed, "doc_id bigint, n_shingles bigint, hi bigint, node bigint")
 
 
+def with_classes(docs: DataFrame, names: list[str], text_col: str = "text", size: int = SHINGLE) -> DataFrame:
+    """``docs`` with the class of each row's text, as ``signatures`` gives it, in three columns of these names."""
+
+    def classed(batches):
+        for batch in by_bytes(batches, text_col):
+            sets = shingle_sets(batch.column(text_col), size)
+            high = np.array([W.mix(s, 1).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64)
+            own = [pa.array([len(s) for s in sets], pa.int64()), pa.array(high), pa.array(_names(sets))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *own], names=[*batch.schema.names, *names])
+
+    return docs.mapInArrow(classed, T.StructType([*docs.schema.fields, *(T.StructField(n, T.LongType()) for n in names)]))
+
+
 def _prefixes(docs: DataFrame, buckets: int, size: int, percent: int) -> DataFrame:
     """The leading shingles of every class, packed by bucket and batch of documents; a class counts once in a batch.
 
@@ -318,12 +332,15 @@ def _links(spark: SparkSession, docs: DataFrame, classes: DataFrame, total: int,
     return links.unionByName(more)
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT, by_text: bool = False) -> DataFrame:
     """(doc_id, n_shingles, component_id) for every row of ``docs``.
 
     ``component_id`` is the smallest id reachable by links, the row's own included. Null, empty and blank texts have no
     shingles and no links; rows that share an id are one node of the graph; a row without an id keeps a null component.
     The result is exact up to collisions of 64-bit shingle hashes.
+
+    With ``by_text``, rows that share an id stay nodes of their own, linked by their texts alone; the columns hi and node,
+    the row's class, and component, which names the group of texts (null without shingles), are there too.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.col(text_col).alias("text"))
@@ -334,14 +351,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = written.put(filled.groupBy(*key).agg(F.min("doc_id").alias("doc_id")))
     total = classes.agg(F.sum("n_shingles")).first()[0] or 0
     if not total:
-        return signed.select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+        more = ["hi", "node", F.lit(None).cast("bigint").alias("component")] if by_text else []
+        return signed.select("doc_id", "n_shingles", *more, F.col("doc_id").alias("component_id"))
     links = _links(spark, docs, classes, total, size, percent)
-    # Texts of one id are one node.
-    shared = filled.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b")
-    links = links.unionByName(filled.join(shared, "doc_id").select("a", F.col("node").alias("b")))
+    if not by_text:
+        # Texts of one id are one node.
+        shared = filled.groupBy("doc_id").agg(F.min("node").alias("a"), F.max("node").alias("b")).where("a <> b")
+        links = links.unionByName(filled.join(shared, "doc_id").select("a", F.col("node").alias("b")))
     found = written.put(connected(links))
     named = classes.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
     least = named.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    of_class = named.join(least, "component").select(*key, "component_id")
+    of_class = named.join(least, "component").select(*key, "component", "component_id")
     kept = signed.join(of_class, key, "left")
-    return kept.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))
+    more = ["hi", "node", "component"] if by_text else []
+    return kept.select("doc_id", "n_shingles", *more, F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")).alias("component_id"))

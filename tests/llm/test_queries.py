@@ -71,3 +71,16 @@ def test_stages_keep_columns_and_take_nulls_empty_tables_and_repeated_rows(spark
     once = corpus_pipeline.near_duplicate_stage(spark, odd, SF_DIR)
     ids = [r.doc_id for r in once.collect() if r.doc_id is not None]
     assert len(ids) == len(set(ids))
+
+
+def test_rows_with_one_id_are_near_duplicates_by_their_own_texts(spark):
+    x, y, z = (" ".join(f"{k}{i}" for i in range(40)) for k in "xyz")
+    rows = [(7, x), (7, y), (8, x), (9, y), (9, z), (9, z + " end"), (10, ""), (10, None), (11, ""), (None, x), (None, x), (None, None), (12, "q"), (12, "q"), (13, "Q")]
+    schema = "doc_id bigint, text string, _n int, row int"
+    df = spark.createDataFrame([(*r, i, i) for i, r in enumerate(rows)], schema)
+    out = corpus_pipeline.near_duplicate_stage(spark, df, SF_DIR)
+    assert out.columns == df.columns
+    left = [(7, x), (7, y), (9, z), (10, None), (11, ""), (None, x), (None, x), (None, None), (12, "q")]
+    assert sorted(((r.doc_id, r.text) for r in out.collect()), key=repr) == sorted(left, key=repr)
+    blank = corpus_pipeline.near_duplicate_stage(spark, df.where("doc_id in (10, 11)"), SF_DIR).collect()
+    assert sorted((r.doc_id, r.text or "") for r in blank) == [(10, ""), (11, "")]
