@@ -18,6 +18,8 @@ BLOCK = 8192
 QUERIES = 8192
 #: Exact vectors that a query reads at first; then twice as many each time.
 READ = 32
+#: Queries whose bounds a task holds at a time.
+SLICE = 256
 
 
 class ApproximationFile:
@@ -42,9 +44,11 @@ class ApproximationFile:
 
     def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Place of the query, id and score of its k best vectors; ties go to smaller ids, its own id is no candidate."""
-        least, most = self.bounds(queries)
         found = ([], [], [])
-        for q, own in enumerate(query_ids):
+        for place, own in enumerate(query_ids):
+            q = place % SLICE
+            if not q:
+                least, most = self.bounds(queries[place: place + SLICE])
             open_ = np.flatnonzero(self.ids != own)
             if len(open_) > k:
                 floor = np.partition(least[q, open_], len(open_) - k)[len(open_) - k]
@@ -58,11 +62,11 @@ class ApproximationFile:
                     last, bound = best[k - 1], most[q, open_[read]]
                     if bound < scores[last] or (bound == scores[last] and self.ids[open_[read]] > self.ids[open_[last]]):
                         break
-                scores = np.concatenate((scores, self.vectors[open_[read: read + step]] @ queries[q]))
+                scores = np.concatenate((scores, self.vectors[open_[read: read + step]] @ queries[place]))
                 read, step = read + step, 2 * step
                 best = np.lexsort((self.ids[open_[: len(scores)]], -scores))[:k]
             best = best[:k]
-            found[0].append(np.full(len(best), q))
+            found[0].append(np.full(len(best), place))
             found[1].append(self.ids[open_[best]])
             found[2].append(scores[best])
         return tuple(np.concatenate(x) if x else np.empty(0, np.int64) for x in found)

@@ -50,3 +50,16 @@ def test_a_block_finds_its_best_without_reading_all():
     for q in range(9):
         order = sorted((-exact[q, i], i) for i in range(500) if i != q)[:5]
         assert [(-s, i) for s, i in zip(scores[place == q].tolist(), ids[place == q].tolist())] == order
+
+
+def test_bounds_are_held_for_a_few_queries_at_a_time(monkeypatch):
+    rng = np.random.default_rng(5)
+    ids, vectors = np.arange(900), rng.integers(-9, 10, (900, 4))
+    file, sizes, bounds = V.ApproximationFile(ids, vectors), [], V.ApproximationFile.bounds
+    monkeypatch.setattr(V.ApproximationFile, "bounds", lambda self, queries: sizes.append(len(queries)) or bounds(self, queries))
+    place, found, score = file.search(ids, vectors, 3)
+    assert max(sizes) <= 256 and sum(sizes) == 900
+    exact = vectors @ vectors.T
+    best = [[i for i in np.lexsort((ids, -exact[q])) if i != q][:3] for q in ids]
+    assert place.tolist() == np.repeat(ids, 3).tolist() and found.tolist() == np.concatenate(best).tolist()
+    assert score.tolist() == [exact[q, i] for q in ids for i in best[q]]
