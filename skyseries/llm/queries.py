@@ -5,7 +5,7 @@ import functools
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from skyseries.llm import chat, html_mincut, jaccard_join, line_dedup, packing, piece_nbest, quality, sql, token_counts, toxicity, va_topk
+from skyseries.llm import chat, conversation_repair, html_mincut, jaccard_join, line_dedup, packing, piece_nbest, quality, sql, token_counts, toxicity, va_topk
 from skyseries.llm.frames import ship, table
 
 #: Vocabulary files; the operators take their paths as parameters.
@@ -65,6 +65,10 @@ def op10_html_extraction(spark, sf_dir):
     return html_mincut.extracted(table(spark, sf_dir, "pages"))
 
 
+def op13_conversation_repair(spark, sf_dir):
+    return conversation_repair.digests(conversation_repair.repaired(conversation_repair.damaged(table(spark, sf_dir, "conversations"))))
+
+
 def _with_code(query):
     @functools.wraps(query)
     def run(spark, sf_dir):
@@ -86,5 +90,6 @@ QUERIES = {
         (op8_chat_formatting, sql.CHAT),
         (op9_line_dedup, sql.LINE_DEDUP),
         (op10_html_extraction, None),
+        (op13_conversation_repair, sql.CONVERSATION_REPAIR),
     )
 }

@@ -84,3 +84,49 @@ select conv_id, count(*) n_turns, sha256(string_agg(r || chr(10) || t || chr(10)
   sha256(coalesce(string_agg(t, '' order by turn, r, t) filter (r = 'assistant'), '')) loss_sha256,
   sum(length('<turn>' || f || chr(10) || e || '</turn>' || chr(10)))::bigint formatted_chars
 from escaped group by conv_id"""
+
+# crc32 bit by bit: a byte is mixed in, then eight shifts.
+_CRC32 = """xor(list_reduce(list_prepend(4294967295, flatten(list_transform(string_split(k, ''), lambda x: [ascii(x)::bigint, -1, -1, -1, -1, -1, -1, -1, -1]))),
+    lambda a, x: case when x >= 0 then xor(a, x) when a % 2 = 1 then xor(a // 2, 3988292384) else a // 2 end), 4294967295)"""
+
+CONVERSATION_REPAIR = rf"""
+with recursive given as (
+  select conv_id, turn, coalesce(role, ' ') r, coalesce(text, ' ') t, concat(coalesce(conv_id::varchar, ' '), ':', coalesce(turn::varchar, ' ')) k from conversations),
+hashed as (select *, {_CRC32} % 20 h from given),
+damaged as (
+  select conv_id, turn, case h when 4 then 'user' else r end r, case h when 1 then '' when 2 then regexp_replace(t, '[.!?]', '', 'g') else t end t
+  from hashed, unnest(case h when 0 then [] when 3 then [1, 2] else [1] end) as u(copy)),
+placed as (
+  select *, row_number() over (partition by conv_id order by turn nulls first, r, t) i,
+    row_number() over (partition by conv_id, r, t order by turn nulls first) seen,
+    lag(r[1]) over (partition by conv_id order by turn nulls first, r, t) || r[1] pair from damaged),
+faulted as (
+  select *, case when not regexp_matches(t, '[^\x20\x09-\x0D]') then 'b' when seen > 1 then 'd'
+    when not regexp_matches(t, '[.!?][\x20\x09-\x0D]*\z') then 't' else 'k' end f from placed),
+counts as (
+  select conv_id, max(i) n, coalesce(max(turn) - min(turn) + 1 - count(distinct turn), 0)::bigint gaps, count(*) filter (f = 'b') blank,
+    count(*) filter (f = 'd') duplicate, count(*) filter (f = 't') truncated, count(*) filter (pair not in ('su', 'ua', 'au')) illegal
+  from faulted group by conv_id),
+inserts(before, after, price, put, made) as (
+  values (0, 0, 0, '', []), (1, 1, 0, '', []), (2, 2, 0, '', []), (3, 3, 0, '', []), (0, 2, 2, 'I', ['user:']), (1, 2, 2, 'I', ['user:']),
+    (2, 3, 2, 'I', ['assistant:']), (3, 2, 2, 'I', ['user:']), (0, 3, 4, 'II', ['user:', 'assistant:']), (1, 3, 4, 'II', ['user:', 'assistant:'])),
+moves(own, s, edit, step, s2) as (
+  values ('s', 0, 'K', 0, 1), ('u', 0, 'K', 0, 2), ('u', 1, 'K', 0, 2), ('u', 3, 'K', 0, 2), ('a', 2, 'K', 0, 3),
+    ('', 0, 'R', 2, 2), ('', 1, 'R', 2, 2), ('', 3, 'R', 2, 2), ('', 2, 'R', 2, 3), ('', 0, 'D', 3, 0), ('', 1, 'D', 3, 1), ('', 2, 'D', 3, 2), ('', 3, 'D', 3, 3)),
+best(conv_id, i, s, cost, audit, made) as (
+  select distinct conv_id, 0::bigint, 0, 0, '', []::varchar[] from conversations
+  union all
+  select conv_id, i, s2, total, letters, made from (
+    select b.conv_id, x.i, m.s2, b.cost + n.price + m.step + case when m.edit <> 'D' and x.f = 't' then 1 else 0 end as total, b.audit || n.put || m.edit as letters,
+      b.made || n.made || case m.edit when 'D' then [] when 'K' then [x.r || ':' || x.t] else [case m.s2 when 2 then 'user:' else 'assistant:' end || x.t] end as made
+    from best b join inserts n on n.before = b.s join faulted x on x.conv_id is not distinct from b.conv_id and x.i = b.i + 1
+      join moves m on m.s = n.after and (m.own = '' or m.own = x.r[1]) and (m.edit = 'D' or x.f in ('k', 't')))
+  qualify row_number() over (partition by conv_id, s2 order by total, letters) = 1),
+ended as (
+  select b.conv_id, b.cost + n.price as total, b.audit || n.put as letters, b.made || n.made as made
+  from best b join inserts n on n.before = b.s left join counts c on c.conv_id is not distinct from b.conv_id
+  where b.i = coalesce(c.n, 0) and n.after in (0, 3)
+  qualify row_number() over (partition by b.conv_id order by b.cost + n.price, b.audit || n.put) = 1)
+select e.conv_id, coalesce(gaps, 0) gaps, coalesce(blank, 0) blank, coalesce(duplicate, 0) duplicate, coalesce(truncated, 0) truncated,
+  coalesce(illegal, 0) illegal, total::bigint as cost, letters as audit, sha256(array_to_string(made, chr(10))) repaired_sha256
+from ended e left join counts c on c.conv_id is not distinct from e.conv_id"""

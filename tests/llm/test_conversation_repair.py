@@ -1,0 +1,146 @@
+"""Conversation repair against a plain dynamic program over whole conversations."""
+
+import hashlib
+import random
+import re
+import zlib
+
+import pytest
+
+from skyseries.llm import conversation_repair as C
+
+NAMES = {"u": "user", "a": "assistant"}
+
+
+def plain(rows):
+    """The cheapest (cost, letters, repaired initials) over all edits of a row string, by brute dynamic programming."""
+    follow = {"": "u", "s": "u", "u": "a", "a": "u"}
+
+    def with_inserts(best):
+        for _ in range(3):
+            for state, (cost, letters, out) in list(best.items()):
+                put(best, follow[state], (cost + 2, letters + "I", out + follow[state]))
+        return best
+
+    def put(best, state, value):
+        best[state] = min(value, best.get(state, value))
+
+    best = with_inserts({"": (0, "", "")})
+    for row in rows:
+        new = {}
+        for state, (cost, letters, out) in best.items():
+            put(new, state, (cost + 3, letters + "D", out))
+            if row != "x":
+                cut = row.isupper()
+                own = row.lower()
+                if own == follow[state] or own == "s" and not state:
+                    put(new, own, (cost + cut, letters + "K", out + own))
+                put(new, follow[state], (cost + 2 + cut, letters + "R", out + follow[state]))
+        best = with_inserts(new)
+    return min(best[s] for s in ("", "a") if s in best)
+
+
+@pytest.mark.parametrize("length", [0, 1, 2, 3, 5, 8, 13, 25, 49, 120])
+def test_cheapest_repair(length):
+    rng = random.Random(length)
+    for _ in range(60 if length < 20 else 8):
+        rows = "".join(rng.choice("suaoSUAOx") for _ in range(length))
+        cost, letters, out = plain(rows)
+        assert C.cheapest(rows.encode()) == (cost, letters)
+        assert re.fullmatch("(s?(ua)+)?", out)
+
+
+def test_prices_are_distances_and_never_too_high():
+    rng = random.Random(4)
+    arcs = C._arcs(bytes(rng.choice(b"suaoSUAOx") for _ in range(9)), C._ENDS, True)
+    price = C._auction(arcs, range(4))
+    distance = [10**6] * len(arcs) + [0]
+    for _ in range(len(arcs)):
+        for node, own in enumerate(arcs):
+            distance[node] = min([distance[node], *(cost + distance[to] for _, cost, to in own)])
+    assert price[:4] == distance[:4] and all(p <= d for p, d in zip(price, distance))
+
+
+def whole(given, with_damage=True):
+    """All columns of the digest from (conv_id, turn, role, text) rows."""
+    named = lambda x: " " if x is None else str(x)
+    held = {}
+    for conv, turn, role, text in given:
+        own = held.setdefault(conv, [])
+        role, text = named(role), named(text)
+        fault = zlib.crc32(f"{named(conv)}:{named(turn)}".encode()) % 20 if with_damage else 9
+        text = "" if fault == 1 else re.sub("[.!?]", "", text) if fault == 2 else text
+        own += [(turn, "user" if fault == 4 else role, text)] * {0: 0, 3: 2}.get(fault, 1)
+    out = {}
+    for conv, rows in held.items():
+        rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[1].encode(), r[2].encode()))
+        seen, counts, signs = set(), dict.fromkeys("bdtk", 0), ""
+        for _, role, text in rows:
+            core = text.strip(" \t\n\v\f\r")
+            fault = "b" if not core else "d" if (role, text) in seen else "t" if core[-1] not in ".!?" else "k"
+            seen.add((role, text))
+            counts[fault] += 1
+            own = role[:1] if role[:1] in ("s", "u", "a") else "o"
+            signs += "x" if fault in "bd" else own.upper() if fault == "t" else own
+        turns = [t for t, _, _ in rows if t is not None]
+        gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+        illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(rows, rows[1:]))
+        cost, audit, initials = plain(signs)
+        made, left, final = [], iter(rows), iter(initials)
+        for letter in audit:
+            if letter == "I":
+                made.append(f"{NAMES[next(final)]}:")
+                continue
+            _, role, text = next(left)
+            if letter != "D":
+                initial = next(final)
+                made.append(f"{role if letter == 'K' else NAMES[initial]}:{text}")
+        sha = hashlib.sha256("\n".join(made).encode()).hexdigest()
+        out[conv] = (gaps, counts["b"], counts["d"], counts["t"], illegal, cost, audit, sha)
+    return out
+
+
+ROWS = [
+    (1, 0, "user", "Hello."), (1, 1, "assistant", "Hi"), (1, 3, "assistant", "Again!"), (2, None, "user", "a."), (2, None, None, None),
+    (2, 5, "system", "late."), (3, 0, None, ""), (4, 0, "system", "s."), (5, 0, "", "x."), (5, 0, "", "x."), (5, 1, "User", "ä.\n"), (5, 2, "usher", "b?"),
+    (None, None, None, None), (None, 1, "user", "q?"), (None, 2, "assistant", "é!"), (6, -3, "assistant", "t. \v"), (6, 4, "user", "n\0."), (6, 4, "assistant", "m."),
+]
+
+
+def found(df):
+    columns = ["conv_id", *(p.split()[0] for p in C.SUMMARY.split(", ")), "repaired_sha256"]
+    rows = [tuple(r) for r in df.select(*columns).collect()]
+    assert len(rows) == len({r[0] for r in rows})
+    return {r[0]: r[1:] for r in rows}
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(*r, 7, 8, True) for r in rows], "conv_id bigint, turn bigint, role string, text string, place int, at int, fault boolean").repartition(3)
+
+
+def test_odd_rows_and_clashing_columns(spark):
+    df = frame(spark, ROWS)
+    assert found(C.digests(C.repaired(df.drop("fault")))) == whole(ROWS, with_damage=False)
+    assert found(C.digests(C.repaired(C.damaged(df)))) == whole(ROWS)
+    assert found(C.digests(C.repaired(C.damaged(df.limit(0))))) == {}
+
+
+def test_many_conversations_and_a_long_one(spark):
+    rng = random.Random(2)
+    texts = ["a.", "b", " ", "c?", "Some longer text!", "d.\n"]
+    rows = [(rng.randrange(300), rng.randrange(9), rng.choice(["user", "assistant", "system", "tool"]), rng.choice(texts)) for _ in range(1500)]
+    rows += [(1000, i, rng.choice(["user", "assistant"]), f"{i}." if i % 3 else f"{i}") for i in range(2500)]
+    assert found(C.digests(C.repaired(C.damaged(frame(spark, rows))))) == whole(rows)
+
+
+def test_a_conversation_that_loses_all_rows_stays(spark):
+    gone = next(i for i in range(1000) if zlib.crc32(f"{i}:0".encode()) % 20 == 0)
+    empty = (0, 0, 0, 0, 0, 0, "", hashlib.sha256(b"").hexdigest())
+    assert found(C.digests(C.repaired(C.damaged(frame(spark, [(gone, 0, "user", "x.")]))))) == {gone: empty}
+
+
+def test_repaired_turns(spark):
+    turns = C.repaired(frame(spark, [(1, 0, "user", "Hello."), (1, 1, "user", "Well?"), (1, 2, "assistant", "Yes.")]).drop("fault"))
+    rows = sorted((r.place, r.edit, r.turn, r.role, r.text) for r in turns.where("place > 0").collect())
+    # Deleting a row, or putting in an answer and keeping all three: the insertion is cheaper.
+    assert rows == [(1, "K", 0, "user", "Hello."), (2, "I", None, "assistant", ""), (3, "K", 1, "user", "Well?"), (4, "K", 2, "assistant", "Yes.")]
