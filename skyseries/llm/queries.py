@@ -5,7 +5,10 @@ import functools
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from skyseries.llm import chat, conversation_repair, html_mincut, jaccard_join, line_dedup, packing, piece_nbest, quality, sql, token_counts, toxicity, va_topk
+from skyseries.llm import (
+    chat, conversation_repair, hard_negatives, html_mincut, jaccard_join, line_dedup, packing, piece_nbest, quality, sql,
+    token_counts, toxicity, va_topk,
+)
 from skyseries.llm.frames import ship, table
 
 #: Vocabulary files; the operators take their paths as parameters.
@@ -65,6 +68,12 @@ def op10_html_extraction(spark, sf_dir):
     return html_mincut.extracted(table(spark, sf_dir, "pages"))
 
 
+def op12_hard_negative_mining(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    rows = hard_negatives.integer_rows(hard_negatives.moved_labels(vectors))
+    return hard_negatives.hard_negatives(rows, F.col("vec_id") % hard_negatives.ANCHOR_STEP == 0)
+
+
 def op13_conversation_repair(spark, sf_dir):
     return conversation_repair.digests(conversation_repair.repaired(conversation_repair.damaged(table(spark, sf_dir, "conversations"))))
 
@@ -90,6 +99,7 @@ QUERIES = {
         (op8_chat_formatting, sql.CHAT),
         (op9_line_dedup, sql.LINE_DEDUP),
         (op10_html_extraction, None),
+        (op12_hard_negative_mining, sql.HARD_NEGATIVES),
         (op13_conversation_repair, sql.CONVERSATION_REPAIR),
     )
 }

@@ -1,6 +1,6 @@
 """DuckDB texts that check the registered queries of this subpackage, where SQL can express them."""
 
-from skyseries.llm import jaccard_join, line_dedup, quality, va_topk
+from skyseries.llm import hard_negatives, jaccard_join, line_dedup, quality, va_topk
 
 WORD = r"[^\x20\x09-\x0D]+"
 _ASCII = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
@@ -130,3 +130,19 @@ ended as (
 select e.conv_id, coalesce(gaps, 0) gaps, coalesce(blank, 0) blank, coalesce(duplicate, 0) duplicate, coalesce(truncated, 0) truncated,
   coalesce(illegal, 0) illegal, total::bigint as cost, letters as audit, sha256(array_to_string(made, chr(10))) repaired_sha256
 from ended e left join counts c on c.conv_id is not distinct from e.conv_id"""
+
+HARD_NEGATIVES = f"""
+with sound as (
+  select row_number() over () as own, vec_id, list_transform(embedding, lambda x: floor({hard_negatives.SCALE} * x::double)) v,
+    case when vec_id % {hard_negatives.MOVED_STEP} = 0 then (label + 1) % {hard_negatives.LABELS} else label end l
+  from embeddings
+  where vec_id is not null and label is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+scored as (
+  select a.own, a.vec_id anchor_id, x.vec_id vec_id, a.l = x.l same, list_dot_product(a.v, x.v)::bigint score
+  from sound a join sound x on a.own <> x.own and len(a.v) = len(x.v) where a.vec_id % {hard_negatives.ANCHOR_STEP} = 0),
+positives as (
+  select own, anchor_id, vec_id positive_id, score positive_score from scored where same
+  qualify row_number() over (partition by own order by score desc, vec_id) <= {hard_negatives.POSITIVES})
+select p.anchor_id, positive_id, (row_number() over w)::integer as rank, n.vec_id negative_id, positive_score, n.score negative_score
+from positives p join scored n on n.own = p.own and not n.same and 100 * n.score between {hard_negatives.LEAST} * positive_score and {hard_negatives.MOST} * positive_score
+window w as (partition by p.own, positive_id order by n.score desc, n.vec_id) qualify rank <= {hard_negatives.NEGATIVES}"""
