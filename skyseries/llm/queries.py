@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from skyseries.llm import (
-    chat, conversation_repair, hard_negatives, html_mincut, jaccard_join, line_dedup, packing, piece_nbest, quality, sql,
-    token_counts, toxicity, va_topk,
+    chat, conversation_repair, hard_negatives, html_mincut, jaccard_join, language_gru, line_dedup, packing, piece_nbest,
+    quality, sql, token_counts, toxicity, va_topk,
 )
 from skyseries.llm.frames import ship, table
 
@@ -68,6 +68,12 @@ def op10_html_extraction(spark, sf_dir):
     return html_mincut.extracted(table(spark, sf_dir, "pages"))
 
 
+def op11_language_id(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    labelled = language_gru.predicted(docs.select("doc_id", "text"), language_gru.train(docs))
+    return labelled.select("doc_id", language_gru.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
+
+
 def op12_hard_negative_mining(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
     rows = hard_negatives.integer_rows(hard_negatives.moved_labels(vectors))
@@ -99,6 +105,7 @@ QUERIES = {
         (op8_chat_formatting, sql.CHAT),
         (op9_line_dedup, sql.LINE_DEDUP),
         (op10_html_extraction, None),
+        (op11_language_id, None),
         (op12_hard_negative_mining, sql.HARD_NEGATIVES),
         (op13_conversation_repair, sql.CONVERSATION_REPAIR),
     )
