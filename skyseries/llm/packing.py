@@ -8,7 +8,6 @@ earlier cuts, which a monotone queue gives in constant time.
 """
 
 import json
-import re
 import zlib
 from array import array
 from collections import deque
@@ -33,8 +32,13 @@ RUN = 1 << 16
 REMEMBERED = 500_000
 _MARKS = ".,!?;:%&$#*|"
 
-# The tokenizer splits before a space, unless white space stands on both sides of it or ends the text with it.
-_WIDE = re.compile(r"  |\s \s|\s \Z|[^\S \n]|\0")
+# White space other than a blank or a line end, and the mark that pieces are split at.
+_OTHER_SPACE = ["\0", *(c for c in map(chr, range(1, 0x3001)) if c.isspace() and c not in " \n")]
+
+
+def _wide(text: str) -> bool:
+    """The tokenizer splits before a space, unless white space stands on both sides of it or ends the text with it."""
+    return "  " in text or "\n \n" in text or text.endswith("\n ") or any(c in text for c in _OTHER_SPACE)
 
 
 def _fast_ranks(path: str) -> dict[bytes, int] | None:
@@ -61,9 +65,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        contents = [t.content for t in tokenizer.get_added_tokens_decoder().values()] if added else []
-        self.added = re.compile("|".join(map(re.escape, contents))) if contents else None
-        self.whole = Tokenizer.from_file(path) if contents else None
+        self.added = [t.content for t in tokenizer.get_added_tokens_decoder().values()] if added else []
+        self.whole = Tokenizer.from_file(path) if self.added else None
         tokenizer.encode_special_tokens = True
         vocabulary = tokenizer.get_vocab()
         self.closing = np.zeros(max(vocabulary.values()) + 1, bool)
@@ -83,10 +86,10 @@ class Encoder:
         """uint32 ids of each text, without special tokens."""
         known, out = self.known, []
         for text in texts:
-            if self.added is not None and self.added.search(text):
+            if any(token in text for token in self.added):
                 out.append(np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4"))
                 continue
-            if _WIDE.search(text):
+            if _wide(text):
                 out.append(np.array(self.encode(text), "<u4"))
                 continue
             pieces = text.replace(" ", "\0 ").split("\0")
