@@ -70,6 +70,23 @@ def test_best_paths_in_the_order_of_their_scores(lattice, text):
     assert all(lattice.decode(ids) == text for _, ids in found)
 
 
+def test_many_units_at_once_are_searched_like_each_alone(lattice, monkeypatch):
+    monkeypatch.setattr(N, "TOGETHER", 50)
+    rng = random.Random(11)
+    parts = ["th", "tion", "er", "s", "é", "ing", ".", "1", "the", N.SPACE] * 6 + ["漢", "\0", "\n", "𐀀"]
+    given = list({"".join(rng.choice(parts) for _ in range(rng.randrange(1, 14))) for _ in range(900)})
+    found = lattice.two_best(given)
+    assert sum(f is None for f in found) < 500
+    for unit, both in zip(given, found):
+        (score, ids), *second = lattice.unit_best(unit, 2)
+        if both is None:
+            assert len(unit) > N.WIDTHS[-1] or any(not lattice.starts.get(c) for c in unit)
+            continue
+        assert both[0] == score and both[1] == (score - second[0][0] if second else float("inf"))
+        assert both[2] == b"".join(i.to_bytes(4, "little") for i in ids)
+        assert both[3] == b"".join(lattice.output[i] for i in ids)
+
+
 @given(st.text(st.sampled_from("ab  \n" + N.SPACE + "\0"), max_size=12))
 def test_units_are_cut_where_no_piece_runs_on(lattice, text):
     marked, own = N.SPACE + text.replace(" ", N.SPACE), N.units(text)
