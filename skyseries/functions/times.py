@@ -1,6 +1,6 @@
 """Time parsing, grid steps, and the year ranges that values are stored under."""
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Names of the grid steps and their lengths in seconds.
@@ -71,19 +71,39 @@ def step_seconds(resolution: str, strict: bool = True) -> int:
     return STEP_SECONDS.get(resolution, STEP_SECONDS["PT1M"])
 
 
-def obs_bucket(obstime: Column) -> Column:
+def range_start(value: Column, starts: list) -> Column:
+    """The largest of the sorted ``starts`` that is not above ``value``, by binary search; NULL below the first."""
+    def among(low: int, high: int) -> Column:
+        if high - low == 1:
+            return F.lit(starts[low])
+        middle = (low + high) // 2
+        return F.when(value < F.lit(starts[middle]), among(low, middle)).otherwise(among(middle, high))
+
+    return F.when(value >= F.lit(starts[0]), among(0, len(starts))) if len(starts) else F.lit(None).cast("int")
+
+
+# Boundaries that go into one expression; it is searched in as many steps as their number has binary digits.
+MOST_RANGES = 1000
+
+
+def range_years(boundaries: DataFrame, column: str = "year") -> list[int]:
+    """The first years of storage ranges from a table, sorted; the last one is the end of the covered time."""
+    years = [r[0] for r in boundaries.where(F.col(column).isNotNull()).select(column).distinct().limit(MOST_RANGES + 1).collect()]
+    if not 2 <= len(years) <= MOST_RANGES:
+        raise ValueError(f"storage ranges need from 2 to {MOST_RANGES} boundaries")
+    return sorted(map(int, years))
+
+
+def obs_bucket(obstime: Column, ranges: list[int] = BUCKET_YEARS) -> Column:
     """First year of the storage range of a time, NULL outside the covered time."""
     year = F.year(obstime)
-    bucket = F.when((year < BUCKET_YEARS[0]) | (year >= BUCKET_YEARS[-1]), F.lit(None).cast("int"))
-    for lower, upper in zip(BUCKET_YEARS, BUCKET_YEARS[1:]):
-        if upper - lower > 1:
-            bucket = bucket.when(year < upper, F.lit(lower))
-    return bucket.otherwise(year)
+    return F.when(year < ranges[-1], range_start(year, ranges[:-1]))
 
 
-def obs_month(obstime: Column) -> Column:
+def obs_month(obstime: Column, ranges: list[int] = BUCKET_YEARS) -> Column:
     """Year and month of a time as one number, `yyyymm`; NULL outside the covered time."""
-    return F.when(obs_bucket(obstime).isNotNull(), F.year(obstime) * 100 + F.month(obstime))
+    inside = (F.year(obstime) >= ranges[0]) & (F.year(obstime) < ranges[-1])
+    return F.when(inside, F.year(obstime) * 100 + F.month(obstime))
 
 
 def month_filter(start=None, end=None, column: str = "obs_month") -> Column:
@@ -96,9 +116,9 @@ def month_filter(start=None, end=None, column: str = "obs_month") -> Column:
     return test
 
 
-def bucket_filter(start=None, end=None, column: str = "obs_bucket") -> Column:
+def bucket_filter(start=None, end=None, column: str = "obs_bucket", ranges: list[int] = BUCKET_YEARS) -> Column:
     """Predicate on the partition column implied by a closed time range, for partition pruning."""
-    buckets = BUCKET_YEARS[:-1]
+    buckets = ranges[:-1]
     if start is not None:
         first = max([b for b in buckets if b <= start.year], default=buckets[0])
         buckets = [b for b in buckets if b >= first]

@@ -120,13 +120,16 @@ def timeslice_json(documents: DataFrame) -> DataFrame:
 
 
 def latest_documents(newest: DataFrame, part_rows: int = PART_ROWS) -> DataFrame:
-    """`(part_no, n_parts, data)` with the elements `(value, timestamp, station_id, loc)`, sorted by series in a part.
+    """`(part_no, n_parts, data)` with the elements `(value, timestamp, station_id, loc)`, sorted by series over all parts.
 
-    Parts are numbered within ranges of ids, side by side, and the ranges one after the other: only `ID_RANGES` sizes
-    meet in one task, however the ids lie. Without any value there is one empty document.
+    Parts are numbered within ranges of ids, side by side, and the ranges one after the other by prefix sums: only
+    `ID_RANGES` sizes meet in one task. Without any value there is one empty document.
     """
     id_block = floor_div(F.col("timeseries"), part_rows)
-    blocks = newest.withColumn("id_block", id_block).withColumn("id_range", F.pmod("id_block", F.lit(ID_RANGES)))
+    edges = newest.agg(F.struct(F.min(id_block).alias("low"), F.max(id_block).alias("high")).alias("edges")).scalar()
+    width = (edges["high"] - edges["low"] + 1).cast("double")
+    id_range = F.floor((F.col("id_block") - edges["low"]) * (F.lit(float(ID_RANGES)) / width)).cast("int")
+    blocks = newest.withColumn("id_block", id_block).withColumn("id_range", id_range)
     numbers = part_numbers(blocks, ["id_range"], "id_block", part_rows)
     sizes = numbers.groupBy("id_range").agg(F.max("n_parts").alias("own"))
     every = Window.partitionBy(F.lit(0))

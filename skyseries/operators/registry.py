@@ -27,6 +27,22 @@ def missing_series(keys: DataFrame, registry: DataFrame) -> DataFrame:
     return keys.alias("k").join(known.alias("r"), keys_equal("k", "r", SOURCE_KEY, SOURCE_KEY), "left_anti")
 
 
+# What labels of both kinds share; NULL is a value like any other.
+BUCKET_KEY = ["station_id", "type_id", "lvl", "sensor"]
+KEY_BUCKETS = 64
+
+
+def key_bucket():
+    """Bucket of a label tuple in the stored registry."""
+    null_safe = [F.coalesce(F.col(c).cast("bigint"), F.lit(-(2**40))) for c in BUCKET_KEY]
+    return F.pmod(F.xxhash64(*null_safe), F.lit(KEY_BUCKETS)).cast("int")
+
+
+def buckets_of(keys: DataFrame) -> list[int]:
+    """The buckets that label tuples lie in: at most `KEY_BUCKETS` numbers."""
+    return sorted(r[0] for r in keys.select(key_bucket().alias("b")).distinct().collect())
+
+
 def key_hash(columns):
     """Hash text of a label tuple, the same in every run."""
     return F.md5(F.concat_ws("|", *[F.coalesce(F.col(c).cast("string"), F.lit("-")) for c in columns]))

@@ -25,6 +25,14 @@ def newest_from_log(log: DataFrame, newer_than) -> DataFrame:
     return recent.groupBy("timeseries").agg(F.max_by("obsvalue", order).alias("obsvalue"), F.max("obstime").alias("obstime"))
 
 
+def newest_writes(log: DataFrame) -> DataFrame:
+    """The newest write of each series `(timeseries, obstime, obsvalue, arrival)`: the last one at its newest time."""
+    order = packed_order(F.unix_micros("obstime"), F.col("arrival"))
+    return log.where(F.col("obstime").isNotNull()).groupBy("timeseries").agg(
+        F.max("obstime").alias("obstime"), F.max_by("obsvalue", order).alias("obsvalue"), F.max_by("arrival", order).alias("arrival")
+    )
+
+
 def places(labels_met: DataFrame, series: DataFrame | None = None) -> DataFrame:
     """Station, parameter and location of every labelled series; without ``series`` the labels carry `loc` themselves."""
     if series is None:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyseries import session
-from skyseries.functions.times import obs_bucket
+from skyseries.functions.times import BUCKET_YEARS, obs_bucket
 from skyseries.operators import access, observations, registry
 from skyseries.operators.skew import keys_equal, lookup_join
 from skyseries.operators.upsert import VALUE_KEY, latest_wins, packed_order, route_values
@@ -30,10 +30,10 @@ def written_order():
     return packed_order(*[F.col(c) for c in ORDER])
 
 
-def known_series(store: Store, keys: DataFrame) -> DataFrame:
-    """The smallest id of each registered tuple of ``keys``. The registry is cut down to these tuples first."""
+def known_series(registered: DataFrame, keys: DataFrame) -> DataFrame:
+    """The smallest id of each registered tuple of ``keys``."""
     wanted = keys.select(*registry.SOURCE_KEY).alias("k")
-    found = store.registry().select("timeseries", *registry.SOURCE_KEY).alias("r").join(
+    found = registered.select("timeseries", *registry.SOURCE_KEY).alias("r").join(
         wanted, keys_equal("r", "k", registry.SOURCE_KEY, registry.NULLABLE), "left_semi"
     )
     return found.groupBy(*registry.SOURCE_KEY).agg(F.min("timeseries").alias("timeseries"))
@@ -41,9 +41,8 @@ def known_series(store: Store, keys: DataFrame) -> DataFrame:
 
 def new_series(store: Store, keys: DataFrame, known: DataFrame) -> DataFrame:
     """Registry rows for the tuples of ``keys`` that are not ``known``, numbered after every id of the store."""
-    top = store.registry().agg(F.coalesce(F.max("timeseries"), F.lit(0))).first()[0]
     null = F.lit(None)
-    new = registry.assign_ids(registry.missing_series(keys, known), after=top)
+    new = registry.assign_ids(registry.missing_series(keys, known), after=store.top_id())
     return new.withColumns({"totime": null, "loc": null, "deactivated": null})
 
 
@@ -51,10 +50,10 @@ def ingest_batch(store: Store, messages: DataFrame, side: SideTables, batch: int
                  zero_ids_are_null: bool = False) -> None:
     """Decode, filter, resolve and store one batch of `(message_seq, msg)`; safe to repeat.
 
-    The messages are decoded once and their values split once. The distinct label tuples go through the access rule and
-    the registry, of which only these tuples are looked up; the values meet the result in one join. By default sensor
-    and level 0 are ids like any other here, though quality-control messages read them as "not given";
-    ``zero_ids_are_null`` unifies that.
+    The messages are decoded once. The distinct label tuples go through the access rule and the registry, of which only
+    the key buckets of these tuples are read; the values meet the result in one join, whose rows are written once and then
+    divided among the tables. By default sensor and level 0 are ids like any other here, though quality-control messages
+    read them as "not given"; ``zero_ids_are_null`` unifies that.
     """
     session.prepare(store.spark)
     codes = code_sets(side.params)
@@ -62,28 +61,27 @@ def ingest_batch(store: Store, messages: DataFrame, side: SideTables, batch: int
         decoded = observations.decode_checked(checked, side.params, codes)
         rows = observations.null_zero_ids(decoded.observations) if zero_ids_are_null else decoded.observations
         ids = side.params.select("param_code", F.col("id").alias("param_id"))
-        with session.staged(lookup_join(rows, ids, ["param_code"], "inner", sliced=sliced), "values") as typed:
-            seen = registry.distinct_series(typed, written_order())
-            with session.staged(seen, "keys") as keys:
-                flags = access.open_flags(
-                    keys.select(*access.KEY).distinct(), side.param_permits, side.station_permits, sliced
-                )
-                open_keys = keys.join(flags.where("is_open").drop("is_open"), access.KEY, "left_semi")
-                known = known_series(store, open_keys)
-                with session.staged(new_series(store, open_keys, known), "series") as new:
-                    # One row per tuple.
-                    wanted = known.unionByName(new.select(*registry.SOURCE_KEY, "timeseries"))
-                    labelled = lookup_join(typed, wanted, registry.SOURCE_KEY, "inner", registry.NULLABLE, sliced)
-                    # A batch that runs again keeps the series it has registered.
-                    registered = store.log("registry", only=batch).drop("batch").unionByName(new.select(*[
-                        c for c in store.registry().columns if c != "batch"
-                    ]))
-                    store.write_all({"registry": registered, **stored_tables(decoded, labelled, batch)}, batch)
-
-
-def stored_tables(decoded: observations.Decoded, labelled: DataFrame, batch: int) -> dict[str, DataFrame]:
+        typed = lookup_join(rows, ids, ["param_code"], "inner", sliced=sliced)
+        seen = registry.distinct_series(typed, written_order())
+        flags = access.open_flags(seen.select(*access.KEY).distinct(), side.param_permits, side.station_permits, sliced)
+        opened = seen.join(flags.where("is_open").drop("is_open"), access.KEY, "left_semi")
+        with session.staged(opened, "keys") as keys:
+            registered = store.registry(buckets=registry.buckets_of(keys))
+            known = known_series(registered, keys)
+            new = new_series(store, keys, known)
+            # One row per tuple. Ids follow from the keys alone, so both uses of the new ones give the same.
+            wanted = known.unionByName(new.select(*registry.SOURCE_KEY, "timeseries"))
+            labelled = lookup_join(typed, wanted, registry.SOURCE_KEY, "inner", registry.NULLABLE, sliced)
+            with session.staged(labelled, "labelled") as labelled:
+                # A batch that runs again keeps the series it has registered.
+                own = store.log("registry", only=batch).drop("batch")
+                tables = {"registry": own.unionByName(new.select(*own.columns)), **stored_tables(decoded, labelled, batch, store.ranges)}
+                store.write_all(tables, batch)
+
+
+def stored_tables(decoded: observations.Decoded, labelled: DataFrame, batch: int, ranges: list[int] = BUCKET_YEARS) -> dict[str, DataFrame]:
     """The resolved values, and what became of every message."""
-    inside = obs_bucket(F.col("obstime")).isNotNull()
+    inside = F.coalesce(obs_bucket(F.col("obstime"), ranges).isNotNull(), F.lit(False))
     scalar, text = route_values(labelled.where(inside))
     arrival = F.lit(batch).cast("bigint").alias("arrival")
 

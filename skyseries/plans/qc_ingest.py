@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from skyseries import session
 from skyseries.operators import access
 from skyseries.operators.qc import PAYLOAD, checked_documents, decode_checked
-from skyseries.operators.registry import MET_KEY, NULLABLE, labels_met, resolve_met
+from skyseries.operators.registry import MET_KEY, NULLABLE, buckets_of, labels_met, resolve_met
 from skyseries.operators.skew import keys_equal
 from skyseries.operators.upsert import VALUE_KEY, latest_wins
 from skyseries.plans.ingest import SideTables
@@ -21,6 +21,7 @@ def released(store: Store, batch: int, seen: int, newest: int) -> DataFrame:
     older = store.log("quarantine", before=batch).drop("batch")
     if newest <= seen:
         return older.limit(0)
+    # What was registered since; the batches before are not read.
     new = labels_met(store.registry().where(F.col("batch") > seen)).select(*MET_KEY).distinct()
     return older.alias("q").join(new.alias("r"), keys_equal("q", "r", MET_KEY, NULLABLE), "left_semi")
 
@@ -50,7 +51,8 @@ def qc_batch(store: Store, messages: DataFrame, batch: int, side: SideTables | N
         decoded = decode_checked(checked)
         records = decoded.records.withColumn("arrival", arrival)
         older = released(store, batch, seen, newest) if retry else records.limit(0)
-        resolved = resolve_met(records.unionByName(older.select(*records.columns)), store.labels_met(), sliced)
+        both = records.unionByName(older.select(*records.columns))
+        resolved = resolve_met(both, store.labels_met(buckets_of(both)), sliced)
         with session.staged(resolved, "resolved") as resolved:
             misses = closed_records(resolved.where(F.col("timeseries").isNull() & (F.col("arrival") == arrival)), side)
             null = F.lit(None).cast("int")

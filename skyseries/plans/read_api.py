@@ -6,12 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from skyseries import session
+from skyseries.functions.times import obs_month
 from skyseries.operators import series as ops
 from skyseries.operators import slices
 from skyseries.operators.registry import labels_and_places
 from skyseries.operators.skew import lookup_join
-from skyseries.operators.upsert import VALUE_KEY, latest_wins
-from skyseries.sources.store import Store, current
+from skyseries.sources.store import Store
 
 # Fixed value: how far back the newest values are looked for unless asked otherwise.
 DEFAULT_AGE = timedelta(hours=3)
@@ -48,7 +48,7 @@ def series(store, station_id, param_id, start=None, end=None, resolution=None, n
     if row is None:
         raise ValueError(f"no series for station {station_id} and parameter {param_id}")
     log = store.value_log("data", _from_micros(row.a), _from_micros(row.z))
-    values = current(log.where(F.col("timeseries") == row.timeseries))
+    values = store.current(log.where(F.col("timeseries") == row.timeseries))
     if resolution is None:
         return ranges, ops.irregular(values, ranges)
     return ranges, ops.regular(values, ranges, resolution, strict)
@@ -67,11 +67,8 @@ def series_bulk(store, keys=None, start=None, end=None, resolution=None, now=Non
         log = lookup_join(log, ranges.select("timeseries"), ["timeseries"], "left_semi", sliced=sliced)
     if resolution is None:
         inside = lookup_join(log, ranges.select("timeseries", "first", "last"), ["timeseries"], "inner", sliced=sliced)
-        values = latest_wins(
-            inside.where(F.col("obstime").between(F.col("first"), F.col("last"))), VALUE_KEY, "arrival", ["obsvalue"]
-        )
-        return ranges, values
-    return ranges, ops.regular(current(log), ranges, resolution, strict)
+        return ranges, store.current(inside.where(F.col("obstime").between(F.col("first"), F.col("last"))))
+    return ranges, ops.regular(store.current(log), ranges, resolution, strict)
 
 
 def timeslice(store: Store, instant, param_id: int) -> DataFrame:
@@ -82,24 +79,32 @@ def timeslice(store: Store, instant, param_id: int) -> DataFrame:
 
 
 def timeslices(store: Store, requests: DataFrame, sliced: bool = False) -> DataFrame:
-    """Slices for many `(ts, param_id)`; only rows at the requested times are folded."""
+    """Slices for many `(ts, param_id)`; only the requested months are read and only rows at the requested times folded."""
     session.prepare(store.spark)
     instants = requests.select(F.col("ts").alias("obstime")).distinct()
-    edges = instants.agg(F.min(F.unix_micros("obstime")).alias("a"), F.max(F.unix_micros("obstime")).alias("z")).first()
-    # Without requests any range will do.
-    log = store.value_log("data", _from_micros(edges.a or 0), _from_micros(edges.z or 0))
-    at_instants = current(lookup_join(log, instants, ["obstime"], "left_semi", sliced=sliced))
+    # The months of the requests: at most twelve for each year that a store covers.
+    month = obs_month(F.col("obstime").cast("timestamp"), store.ranges).alias("m")
+    months = sorted(r.m for r in instants.select(month).distinct().collect() if r.m is not None)
+    log = store.value_log("data", months=months)
+    at_instants = store.current(lookup_join(log, instants, ["obstime"], "left_semi", sliced=sliced))
     return slices.timeslices(at_instants, labels_and_places(store.registry()), None, requests, sliced)
 
 
-def latest(store: Store, newer_than=None, now=None) -> DataFrame:
-    """Newest number of every series after a time, three hours ago unless given."""
+def latest(store: Store, newer_than=None, now=None, from_log: bool = False) -> DataFrame:
+    """Newest number of every series after a time, three hours ago unless given.
+
+    It comes from the newest rows that are kept beside each batch; with ``from_log`` from the values themselves.
+    """
     session.prepare(store.spark)
     newer_than = _aware(newer_than) or (now or utc_now()) - DEFAULT_AGE
-    newest = slices.newest_from_log(store.value_log("data", start=newer_than), newer_than)
+    rows = store.value_log("data", start=newer_than) if from_log else store.newest()
+    newest = slices.newest_from_log(rows, newer_than)
     return slices.latest(newest, labels_and_places(store.registry()))
 
 
-def write_answers(answers: DataFrame, path: str) -> None:
-    """JSON answers as lines of text, one answer or part per line."""
+def write_answers(answers: DataFrame, path: str, order: str | None = None) -> None:
+    """JSON answers as lines of text, one answer or part per line; with ``order``, such as `part_no`, in one order over all files.
+    """
+    if order:
+        answers = answers.repartitionByRange(order).sortWithinPartitions(order)
     answers.select(F.col("json").alias("value")).write.mode("overwrite").text(path)

@@ -247,7 +247,11 @@ from events where event_id % 7 <> 0"""
 
 def qc_merge(spark, sf_dir):
     """Flags per series tuple and hour: the last record wins with all its columns, NULLs included."""
-    records = qc.decode_qc(spread(qc_messages(spark, sf_dir)), "double").records
+    return merged_flags(qc_messages(spark, sf_dir))
+
+
+def merged_flags(messages):
+    records = qc.decode_qc(spread(messages), "double").records
     hours = records.withColumn("obstime", F.date_trunc("hour", "obstime"))
     keys = ["station_id", "param_id", "type_id", "lvl", "obstime"]
     merged = latest_wins(hours, keys, ["message_seq", "doc_pos"], qc.PAYLOAD)

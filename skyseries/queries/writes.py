@@ -34,7 +34,7 @@ select station_id, param_code, date_trunc('hour', obstime) as obstime, arg_max(o
 
 def upsert_nonscalar(spark, sf_dir):
     hours = on_the_hour(obs(spark, sf_dir))
-    return latest_wins(hours, VALUE_KEY, "seq", ["obstext"])
+    return latest_wins(hours, VALUE_KEY, "seq", ["obstext"], unique=True)
 
 
 NONSCALAR_SQL = f"""
@@ -48,7 +48,7 @@ def upsert_null_wins(spark, sf_dir):
         "obstime": F.date_trunc("day", "obstime").cast("timestamp_ntz"),
         "obsvalue": F.when(F.col("seq") % 5 != 0, F.col("obsvalue")),
     })
-    return latest_wins(daily, VALUE_KEY, "seq", ["obsvalue", "obstext"])
+    return latest_wins(daily, VALUE_KEY, "seq", ["obsvalue", "obstext"], unique=True)
 
 
 NULL_WINS_SQL = f"""

@@ -19,6 +19,8 @@ REGISTRY = (
 _PLACE = "batch BIGINT, obs_bucket INT, obs_month INT"
 DATA = f"timeseries BIGINT, obstime TIMESTAMP, obsvalue FLOAT, arrival BIGINT, {_PLACE}"
 NONSCALAR_DATA = f"timeseries BIGINT, obstime TIMESTAMP, obsvalue STRING, arrival BIGINT, {_PLACE}"
+# The newest value of every series of a batch.
+NEWEST = "timeseries BIGINT, obstime TIMESTAMP, obsvalue FLOAT, arrival BIGINT, batch BIGINT"
 QC_PAYLOAD = "original FLOAT, corrected FLOAT, controlinfo STRING, useinfo STRING, cfailed INT"
 QC_FLAGS = f"timeseries BIGINT, obstime TIMESTAMP, {QC_PAYLOAD}, arrival BIGINT, {_PLACE}"
 

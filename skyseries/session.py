@@ -26,13 +26,23 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 _local_base: str | None = None
+_made: list[tuple[SparkSession, str]] = []
+
+
+@atexit.register
+def _remove_made() -> None:
+    """Work folders go when the process ends, wherever the shared folder is."""
+    for spark, path in _made:
+        try:
+            remove(spark, path)
+        except Exception:  # the session has ended; its shared folder is cleared by whoever set it
+            return
 
 
 def shared_dir(spark: SparkSession, purpose: str) -> str:
-    """A fresh folder that every executor sees, below ``spark.checkpoint.dir``.
+    """A fresh folder that every executor sees, below ``spark.checkpoint.dir``; it goes when the process ends.
 
-    A machine-local folder is used only where the master is local and the setting is absent; it goes when the process
-    ends.
+    A machine-local folder is used only where the master is local and the setting is absent.
     """
     global _local_base
     base = spark.conf.get("spark.checkpoint.dir", None)
@@ -43,7 +53,9 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
             _local_base = tempfile.mkdtemp(prefix="skyseries-")
             atexit.register(shutil.rmtree, _local_base, ignore_errors=True)
         base = _local_base
-    return f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    path = f"{base.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
+    _made.append((spark, path))
+    return path
 
 
 def remove(spark: SparkSession, path: str) -> None:
@@ -69,3 +81,4 @@ def staged(df: DataFrame, purpose: str):
         yield written(df, path)
     finally:
         remove(df.sparkSession, path)
+        _made[:] = [made for made in _made if made[1] != path]

@@ -12,6 +12,8 @@ from skyseries.operators.integrity import duplicate_keys
 
 # The file stream needs the schema given; the whole file is one message.
 TEXT_SCHEMA = "value STRING"
+# Records of one millisecond are told apart by so many bits; the rest of a number holds milliseconds until 2039.
+TIE_BITS = 22
 
 
 def _numbered(files: DataFrame, column: str) -> DataFrame:
@@ -67,11 +69,15 @@ def stream_topic(spark: SparkSession, brokers, topic: str, partitions=(0, 1), co
 
 
 def from_topic(records: DataFrame, n_partitions: int, column: str = "value") -> DataFrame:
-    """Topic records `(partition, offset, value)` to messages; offsets of the partitions interleave.
+    """Topic records `(partition, offset, value)` to messages, in the order of their arrival if they carry a `timestamp`.
 
-    A value that is no UTF-8 text becomes NULL, which the decoder rejects.
+    The number is then made of the millisecond and, within one, of offset and partition; without times the offsets of
+    the partitions interleave. A value that is no UTF-8 text becomes NULL, which the decoder rejects.
     """
     seq = F.col("offset") * n_partitions + F.col("partition")
+    if "timestamp" in records.columns:
+        inside = F.pmod(seq, F.lit(1 << TIE_BITS))
+        seq = F.coalesce(F.shiftleft(F.unix_millis(F.col("timestamp").cast("timestamp")), TIE_BITS) + inside, seq)
     return records.select(
         seq.cast("bigint").alias("message_seq"), F.try_validate_utf8(F.col("value").cast("string")).alias(column)
     )

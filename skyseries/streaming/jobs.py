@@ -35,6 +35,38 @@ class Refreshed:
         return self._value
 
 
+class Versions:
+    """Side tables as versions in a store: `sides/version=<v>/<table>`, and a marker per batch of the version it saw.
+
+    A version is complete before a batch is marked with it, and is never changed.
+    """
+
+    def __init__(self, root: str, load: Callable[[], SideTables], minutes: float = REFRESH_MINUTES, clock: Callable = time.monotonic):
+        self._root, self._load, self._seconds, self._clock = root, load, minutes * 60, clock
+        self._loaded_at = None
+
+    def of_batch(self, store: Store, batch: int) -> SideTables:
+        """The version that a batch saw when it arrived; a batch that arrives now sees the newest, or a new one."""
+        seen = store.side_versions()
+        now = self._clock()
+        if batch in seen:
+            return self._read(store, seen[batch])
+        if self._loaded_at is None or now - self._loaded_at >= self._seconds or not seen:
+            version = 1 + max(seen.values(), default=0)
+            side = self._load()
+            for f in fields(SideTables):
+                getattr(side, f.name).write.mode("overwrite").parquet(f"{self._root}/sides/version={version}/{f.name}")
+            self._loaded_at = now
+        else:
+            version = max(seen.values())
+        store.mark_side_version(batch, version)
+        return self._read(store, version)
+
+    def _read(self, store: Store, version: int) -> SideTables:
+        path = f"{self._root}/sides/version={version}"
+        return SideTables(**{f.name: store.spark.read.parquet(f"{path}/{f.name}") for f in fields(SideTables)})
+
+
 class Held:
     """Loads side tables and keeps what they held then: every use until the next load reads the same rows.
 
@@ -63,29 +95,35 @@ def _start(messages: DataFrame, run_batch, checkpoint: str, trigger: dict) -> St
 
 
 def ingest_stream(store: Store, messages: DataFrame, side: Callable[[], SideTables], checkpoint: str,
-                  first_batch: int = 0, refresh_minutes: float = REFRESH_MINUTES, **trigger) -> StreamingQuery:
-    """Observation messages into the store. The only writer of the series registry.
-
-    ``side`` loads the catalogue and permits; a snapshot of them is held until the next load. ``checkpoint`` is where
-    progress is kept; give the same folder to go on after a stop. ``first_batch`` shifts the batch numbers, for a store
-    that already holds batches of other origin. Further options are those of the trigger; without any, the stream
-    stops when it has read what there is.
+                  first_batch: int | None = None, refresh_minutes: float = REFRESH_MINUTES, **trigger) -> StreamingQuery:
+    """Observation messages into the store. The only writer of the series registry while it runs.
+
+    ``side`` loads the catalogue and permits. They are kept in the store as versions: a new one is taken when the last is
+    ``refresh_minutes`` old, and a batch that runs again sees the version of its arrival. ``checkpoint`` is where progress
+    is kept; give the same folder to go on after a stop. Batches are numbered from the first number that is free in the
+    store when the stream starts for the first time, or from ``first_batch``. Further options are those of the trigger;
+    without any, the stream stops when it has read what there is.
     """
-    tables = Refreshed(Held(messages.sparkSession, side), refresh_minutes)
+    versions = Versions(store.root, side, refresh_minutes)
+    first = first_batch if first_batch is not None else store.stream_start(checkpoint, "observations") if checkpoint else 0
 
     def run(df, batch_id):
-        ingest_batch(Store(df.sparkSession, store.root), df, tables.get(), first_batch + batch_id)
+        own = Store(df.sparkSession, store.root)
+        ingest_batch(own, df, versions.of_batch(own, first + batch_id), first + batch_id)
 
     return _start(messages, run, checkpoint, trigger)
 
 
-def qc_stream(store: Store, messages: DataFrame, checkpoint: str, first_batch: int = 0, retry: bool = True,
+def qc_stream(store: Store, messages: DataFrame, checkpoint: str, first_batch: int | None = None, retry: bool = True,
               side: Callable[[], SideTables] | None = None, refresh_minutes: float = REFRESH_MINUTES, **trigger) -> StreamingQuery:
     """Quality-control messages into the flag table; only reads the series registry. With ``side``, permits are looked at.
+
+    Batches are numbered as by `ingest_stream`, among those of control records.
     """
     tables = Refreshed(Held(messages.sparkSession, side) if side else lambda: None, refresh_minutes)
+    first = first_batch if first_batch is not None else store.stream_start(checkpoint, "control") if checkpoint else 0
 
     def run(df, batch_id):
-        qc_batch(Store(df.sparkSession, store.root), df, first_batch + batch_id, tables.get(), retry)
+        qc_batch(Store(df.sparkSession, store.root), df, first + batch_id, tables.get(), retry)
 
     return _start(messages, run, checkpoint, trigger)
