@@ -39,6 +39,10 @@ CLEAN_WORDS = 5000
 ROUNDS = 4
 #: Longer words are covered by overlapping pieces of this length.
 PIECE = 22
+#: Neighbouring words of so many characters at most are also read as one word, if one of them has so few ...
+SHORT, SHORTEST = 4, 3
+#: ... and all of them together are as long as this.
+JOINED = (4, 12)
 #: Decisions below count as this.
 FLOOR = -0.3
 #: Words that a Python worker remembers.
@@ -66,17 +70,37 @@ def _patterns() -> list[tuple[tuple[int, ...], float]]:
 PATTERNS = _patterns()
 _MARKS = ".,;:!?\"'()[]{}<>*#$%&|-_/"
 _SENTENCE = re.compile(r"[.!?]\s|\n")
-_SPELLED = re.compile(r"(?<!\S)\S(?:\s\S){3,}(?!\S)")
+
+
+def _joined(run: list[str], found: set[str]) -> None:
+    """Neighbours of a run of short words put together, where blanks may have been put into a word."""
+    for a in range(len(run) - 1):
+        joined, least = run[a], len(run[a])
+        for part in run[a + 1:]:
+            joined, least = joined + part, min(least, len(part))
+            if len(joined) > JOINED[1]:
+                break
+            if len(joined) >= JOINED[0] and least <= SHORTEST:
+                found.add(joined)
 
 
 def chunks(text: str) -> set[str]:
-    """The distinct words of a text in lower case; letters spelled one by one, with blanks between, make a word too."""
-    text = text.lower()
-    words = text.split()
-    found = set(words)
-    if len([w for w in words if len(w) == 1]) > 3:
-        for run in _SPELLED.findall(text):
-            found.add("".join(run.split()))
+    """The distinct words of a text in lower case, and what neighbouring short words make together, by any white space."""
+    words = text.lower().split()
+    found, run = set(words), []
+    for word in words:
+        if len(word) <= SHORT:
+            if word.isalpha():
+                run.append(word)
+                continue
+            core = word.rstrip(_MARKS)
+            if core.isalpha():
+                run.append(core)
+        if len(run) > 1:
+            _joined(run, found)
+        run = []
+    if len(run) > 1:
+        _joined(run, found)
     return found
 
 
@@ -137,19 +161,34 @@ def kernel(words: list[str], landmarks: list[str]) -> np.ndarray:
     return out
 
 
-def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, steps: int = 15) -> np.ndarray:
-    """Weights (the last is the offset) of the least squared hinge loss, by Newton steps on the examples inside the margin."""
-    x = np.hstack([x, np.ones((len(x), 1))])
-    w, ridge = np.zeros(x.shape[1]), np.eye(x.shape[1])
+def _svm(parts: list[np.ndarray], y: np.ndarray, cost: np.ndarray, steps: int = 15) -> np.ndarray:
+    """Weights (the last is the offset) of the least squared hinge loss, by Newton steps on the examples inside the margin.
+
+    The examples come in parts; their products are summed block by block, so nothing of their size is made twice.
+    """
+    blocks, at = [], 0
+    for part in parts:
+        for a in range(0, len(part), 1024):
+            blocks.append((part[a: a + 1024], slice(at + a, at + a + len(part[a: a + 1024]))))
+        at += len(part)
+    size = parts[0].shape[1] + 1
+    w, ridge = np.zeros(size), np.eye(size)
     ridge[-1, -1] = 1e-3
-    active = np.ones(len(y), bool)
+    active, now = np.ones(len(y), bool), np.empty(len(y), bool)
     for _ in range(steps):
-        a, c = x[active], cost[active]
-        w = np.linalg.solve(ridge + (a.T * c) @ a, a.T @ (c * y[active]))
-        now = y * (x @ w) < 1
+        gram, target = ridge.copy(), np.zeros(size)
+        for x, rows in blocks:
+            inside = active[rows]
+            own = np.hstack([x[inside], np.ones((int(inside.sum()), 1))])
+            c = cost[rows][inside]
+            gram += (own.T * c) @ own
+            target += own.T @ (c * y[rows][inside])
+        w = np.linalg.solve(gram, target)
+        for x, rows in blocks:
+            now[rows] = y[rows] * (x @ w[:-1] + w[-1]) < 1
         if (now == active).all():
             break
-        active = now
+        active[:] = now
     return w
 
 
@@ -239,44 +278,65 @@ def _varied(words: list[str], rng: np.random.Generator) -> list[str]:
 
 def _distinct_texts(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
     """One of each group of near copies: texts that share the smallest or largest hash of their runs of three words."""
-    found = Words(*utf8(pa.array([text for text, _ in rows], pa.string())))
-    hashes = found.hashes(lower=True)
-    runs, out, seen = windows(hashes, 3), [], set()
-    for row, a, b in zip(rows, found.first[:-1], found.first[1:]):
-        own = runs[a: b - 2] if b - a > 2 else hashes[a:b]
-        marks = {int(own.min()), int(own.max())} if len(own) else set()
-        if not marks & seen:
-            out.append(row)
-        seen |= marks
+    out, seen = [], set()
+    for at in range(0, len(rows), 64):
+        part = rows[at: at + 64]
+        found = Words(*utf8(pa.array([text for text, _ in part], pa.string())))
+        hashes = found.hashes(lower=True)
+        runs = windows(hashes, 3)
+        for row, a, b in zip(part, found.first[:-1], found.first[1:]):
+            own = runs[a: b - 2] if b - a > 2 else hashes[a:b]
+            marks = {int(own.min()), int(own.max())} if len(own) else set()
+            if not marks & seen:
+                out.append(row)
+            seen |= marks
     return out
 
 
+def _placed(words: list[str], landmarks: list[str], into: np.ndarray) -> np.ndarray:
+    """The words in the space that the landmarks span, in single precision; a bounded part of them at a time."""
+    parts = [kernel(words[a: a + 2048], landmarks) @ into for a in range(0, len(words), 2048)]
+    return np.concatenate([p.astype(np.float32) for p in parts])
+
+
 def fit(rows: list[tuple[str, int]]) -> Model:
-    """A model from (text, label) rows, the label 1 for toxic. The order of the rows decides ties."""
+    """A model from (text, label) rows, the label 1 for toxic. The order of the rows decides ties; the list is emptied."""
     labels = [label for _, label in rows]
     prior = sum(labels) / len(labels) if rows else 0.0
     if prior in (0.0, 1.0):
         return Model(prior)
     rng = np.random.default_rng(7)
-    rows = _distinct_texts(rows)
+    distinct = _distinct_texts(rows)
+    rows.clear()
+    rows = distinct
     words_of, fitting = rows[0::3] + rows[1::3], rows[2::3] if len(rows) > 300 else rows
     sentences: dict[str, int] = {}
     for text, label in words_of:
         for sentence in _SENTENCE.split(text.lower()):
             sentences[sentence] = min(label, sentences.get(sentence, label))
-    held = ({}, {})
+    held, together = ({}, {}), {}
     for sentence, label in sentences.items():
-        for chunk in chunks(sentence):
+        words = set(sentence.split())
+        # What neighbours happen to make together is learned as clean where it is no toxic word, and never as toxic.
+        for chunk in chunks(sentence) if label == 0 else words:
             for form in forms(chunk)[:1]:
-                held[label][form] = held[label].get(form, 0) + 1
+                into = held[label] if chunk in words else together
+                into[form] = into.get(form, 0) + 1
+    del rows, distinct, words_of, sentences
     share = lambda w: held[1].get(w, 0) / (held[1].get(w, 0) + held[0].get(w, 0))
     toxic = sorted((w for w, n in held[1].items() if n >= MIN_SENTENCES and share(w) >= MIN_SHARE), key=lambda w: (-held[1][w], w))[:2000]
-    clean = sorted(held[0], key=lambda w: (-held[0][w], w))
+    often = lambda counts: sorted(counts, key=lambda w: (-counts[w], w))
+    clean = often(held[0])
     if not toxic or not clean:
         return Model(prior)
-    common, rare = clean[: CLEAN_WORDS // 2], clean[CLEAN_WORDS // 2:]
-    picked = set(common) | {rare[i] for i in rng.permutation(len(rare))[: CLEAN_WORDS // 2]}
+    together = {form: n for form, n in together.items() if form not in held[0] and form not in held[1]}
+    picked = set()
+    for words, n in ((clean, CLEAN_WORDS), (often(together), CLEAN_WORDS // 5)):
+        common, rare = words[: n // 2], words[n // 2:]
+        picked |= {*common, *(rare[i] for i in rng.permutation(len(rare))[: n // 2])}
     picked -= set(toxic)
+    held[0].update(together)
+    clean += together
     half = LANDMARKS // 2
     spread = lambda words, n: [words[i] for i in sorted(rng.permutation(len(words))[:n])]
     landmarks = toxic[: half // 2] + spread(toxic[half // 2:], half - half // 2)
@@ -285,17 +345,16 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     good = values > 1e-6 * values[-1]
     into = vectors[:, good] / np.sqrt(values[good])
     toxic_all = toxic + [w for _ in range(VARIANTS) for w in _varied(toxic, rng)]
-    toxic_x = kernel(toxic_all, landmarks) @ into
+    toxic_x = [_placed(toxic_all, landmarks, into)]
     weight = np.array([1 + np.log(held[1][w]) for w in toxic] + [1.0] * (len(toxic_all) - len(toxic)))
     model = Model(prior)
     at, ids, landmark_weights = features(landmarks)
     pool = sorted(picked)
-    clean_x = kernel(pool, landmarks) @ into
+    clean_x = [_placed(pool, landmarks, into)]
     clean_cost = np.array([1 + np.log(held[0][w]) for w in pool])
     for _ in range(ROUNDS):
-        x = np.vstack([toxic_x, clean_x])
-        y = np.concatenate([np.ones(len(toxic_x)), -np.ones(len(clean_x))])
-        w = _svm(x, y, np.concatenate([weight * 4, clean_cost]))
+        y = np.concatenate([np.ones(len(toxic_all)), -np.ones(len(pool))])
+        w = _svm(toxic_x + clean_x, y, np.concatenate([weight * 4, clean_cost]))
         folded = np.bincount(ids, landmark_weights * (into @ w[:-1])[at], 1 << _BITS)
         model.ids = np.flatnonzero(folded)
         model.weights, model.offset = folded[model.ids].astype(np.float32), float(w[-1])
@@ -307,7 +366,7 @@ def fit(rows: list[tuple[str, int]]) -> Model:
         if hard:
             picked.update(hard)
             pool += hard
-            clean_x = np.vstack([clean_x, kernel(hard, landmarks) @ into])
+            clean_x.append(_placed(hard, landmarks, into))
             clean_cost = np.concatenate([clean_cost, [2 + np.log(held[0][w]) for w in hard]])
     scorer = Scorer(model)
     seen = scorer.evidence([t for t, _ in fitting])
@@ -324,8 +383,8 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, trai
     """A model from the labelled documents outside the held-out fifth.
 
     A bounded sample is fitted on the driver: at most ``train_docs`` documents of each class, those with the smallest hash
-    of their id, as far as they have at most ``train_chars`` characters. Null ids, labels and texts are left out; an id
-    with several labels is toxic if one of them is.
+    of their id, as far as they have at most ``train_chars`` characters; an id that repeats counts once, with its first
+    text. Null ids, labels and texts are left out; an id with several labels is toxic if one of them is.
     """
     known = labels.select(F.col("doc_id").cast("bigint").alias("doc_id"), "toxic").where("doc_id is not null and toxic is not null")
     known = known.where(~held_out(F.col("doc_id"))).groupBy("doc_id").agg((F.max("toxic") > 0).cast("int").alias("label"))
@@ -334,11 +393,13 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, trai
     # Two times train_docs ids at most.
     sample = F.broadcast(drawn[0].unionByName(drawn[1]))
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.length("text").between(1, train_chars))
-    rows = texts.join(sample, "doc_id").select("doc_id", "text", "label").toPandas()
-    # Rows of one id are a sample row each, within the same bound.
-    rows = rows.sort_values(["doc_id", "text"]).head(2 * train_docs)
-    rows = rows.sample(frac=1, random_state=1)
-    return fit(list(zip(rows["text"], rows["label"].astype(int))))
+    # One text for each id: the first, if an id repeats.
+    rows = texts.join(sample, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
+    found = rows.limit(2 * train_docs).toArrow().sort_by("doc_id")
+    mixed = found.take(np.random.default_rng(1).permutation(found.num_rows))
+    rows = list(zip(mixed.column("text").to_pylist(), mixed.column("label").to_pylist()))
+    del found, mixed
+    return fit(rows)
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:

@@ -35,6 +35,8 @@ def test_kernel_is_the_inner_product_of_gapped_subsequences():
 
 def test_chunks_and_forms():
     assert T.chunks("An i d i o t there, A b") >= {"idiot", "an", "there,", "b"}
+    assert T.chunks("so tr ash. t  ra\n\tsh!") >= {"trash", "so", "tr", "ash."}
+    assert T.chunks("longer words. stay apart") == {"longer", "words.", "stay", "apart"}
     assert T.forms("id.iot,") == ["idiot", "id.iot"] and T.forms("plain") == ["plain"] and T.forms("...") == []
     long = "".join(chr(97 + i % 26) for i in range(1000))
     assert all(any(long[a: a + 8] in f for f in T.forms(long)) for a in range(0, 990))
@@ -67,10 +69,35 @@ def test_unseen_documents(model):
 
 def test_inserted_and_spread_characters(model):
     plain = " ".join(["therein andhe onti rehe"] * 10)
-    texts = [f"{plain} {w} {plain}" for insult in INSULTS for w in (insult, insult.upper() + "!", insult[:4] + "x" + insult[4:], " ".join(insult), ".".join(insult))]
+    texts = [f"{plain} {w} {plain}" for insult in INSULTS for w in (insult, insult.upper() + "!", insult[:4] + "x" + insult[4:], " ".join(insult), "  ".join(insult), ".".join(insult))]
     assert np.mean(T.Scorer(model).scores(texts) >= 0.5) > 0.85
-    assert T.Scorer(model).scores([plain, ""]).max() < 0.5
-
+    halves = [f"{plain} {w[:3]} {w[3:6]} {w[6:]} {plain}" for w in ("blorgface", "vuzzhead", "drimscum", "glontard")]
+    assert np.mean(T.Scorer(model).scores(halves) >= 0.5) >= 0.75
+    assert T.Scorer(model).scores([plain, "", "the in on the re he ed"]).max() < 0.5
+
+
+def test_training_data_is_summed_in_blocks():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(2500, 7)).astype(np.float32)
+    y, cost = np.sign(x @ rng.normal(size=7) + 0.3 * rng.normal(size=2500)), rng.uniform(1, 3, 2500)
+    whole = T._svm([x], y, cost)
+    assert np.allclose(whole, T._svm([x[:900], x[900:901], x[901:]], y, cost), atol=1e-6)
+    margin = np.maximum(1 - y * (x @ whole[:-1] + whole[-1]), 0)
+    # The gradient of the loss is zero there.
+    assert np.abs(whole[:-1] - x.T @ (cost * y * margin)).max() < 1e-3
+
+
+def test_ids_that_repeat_count_once(spark):
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(300)] + [(i, f"own {i} words") for i in range(2, 40)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(40)], "doc_id bigint, toxic int")
+    seen = []
+    fit, T.fit = T.fit, lambda rows: seen.extend(rows)
+    try:
+        T.train(docs, labels)
+    finally:
+        T.fit = fit
+    texts = [t for t, _ in seen]
+    assert len(texts) == len(set(texts)) and sum(t.startswith("text") for t in texts) <= 1
 
 def test_training_reads_no_held_out_label_and_bounds_its_sample(spark):
     data = rows(600)
