@@ -133,6 +133,21 @@ class _Pieces(dict):
         self.words.clear()
 
 
+def _unpadded(places: np.ndarray, window: int) -> tuple[list[int], list[int]]:
+    """For each place the earlier ones at a power of two below ``window``, the nearest first: offsets, and all in a row."""
+    index = np.full(int(places[-1]) + 1, -1, np.int64)
+    index[places] = np.arange(len(places))
+    ends, begins = [], []
+    for length in (1 << b for b in range(window.bit_length() - 1)):
+        end = np.flatnonzero(places >= length)
+        begin = index[places[end] - length]
+        ends.append(end[begin >= 0])
+        begins.append(begin[begin >= 0])
+    end, begin = np.concatenate(ends), np.concatenate(begins)
+    order = np.argsort(end, kind="stable")
+    return np.searchsorted(end[order], np.arange(len(places) + 1)).tolist(), begin[order].tolist()
+
+
 def best_cuts(places: list[int], penalties: list[int], window: int = WINDOW) -> list[int]:
     """Cuts of least cost through ``places`` (rising, from 0 to the end), as indices into it, both ends included.
 
@@ -140,8 +155,7 @@ def best_cuts(places: list[int], penalties: list[int], window: int = WINDOW) ->
     """
     count = len(places)
     cost, back = [0] * count, [0] * count
-    index = {p: i for i, p in enumerate(places)}
-    exact = [1 << b for b in range(window.bit_length() - 1)]
+    first, unpadded = _unpadded(np.array(places, np.int64), window)
     queue = deque([0])
     for j in range(1, count):
         p = places[j]
@@ -149,9 +163,8 @@ def best_cuts(places: list[int], penalties: list[int], window: int = WINDOW) ->
             queue.popleft()
         i = queue[0]
         least = cost[i] + places[i] + window - p
-        for length in exact:
-            k = index.get(p - length)
-            if k is not None and cost[k] < least:
+        for k in unpadded[first[j]: first[j + 1]]:
+            if cost[k] < least:
                 i, least = k, cost[k]
         cost[j], back[j] = least + penalties[j] + PER_WINDOW, i
         key = cost[j] + p
