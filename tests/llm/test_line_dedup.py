@@ -38,3 +38,26 @@ def test_columns_with_the_names_used_inside(spark):
     assert out.columns == df.columns
     assert sorted(r.text for r in out.collect()) == [f"own {i}" for i in range(6)]
     assert L.without_boilerplate(df.limit(0)).collect() == []
+
+
+SENTENCE = "This line of some words is no chance."
+LONG_LINE = " ".join(f"word{i}" for i in range(40))
+
+
+def test_longer_lines_go_at_smaller_shares(spark):
+    own = lambda i: f"own text {i} which is the longest line of all on its page {i}{i}"
+    rows = [(i, "a", f"{own(i)}\n{SENTENCE}\nLes.") for i in range(6)] + [(100 + i, "a", own(i)) for i in range(400)]
+    found = cleaned(spark, rows)
+    # Six of 406 pages hold it; the short line is left, as it is below a tenth.
+    assert found[0].text == f"{own(0)}\nLes." and found[0].gone == 1
+    assert cleaned(spark, rows, longer={})[0].gone == 0
+    few = [(i, "a", f"{i}{LONG_LINE}{i}{i}\n{LONG_LINE}\n{SENTENCE}") for i in range(4)] + [(100 + i, "a", own(i)) for i in range(600)]
+    assert cleaned(spark, few)[1].text == f"1{LONG_LINE}11\n{SENTENCE}"
+
+
+def test_sentences_of_copies_are_no_boilerplate(spark):
+    page = f"{SENTENCE}\n{LONG_LINE}\nthe end of the page, with words"
+    rows = [(i, "a", page if i % 2 else page + f"\nno {i}") for i in range(40)] + [(100 + i, "a", f"own {i}") for i in range(800)]
+    assert cleaned(spark, rows)[1].text == page
+    # Beyond a tenth of the host even those go.
+    assert cleaned(spark, rows[:200])[1].text == ""
