@@ -47,15 +47,20 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   not (n_words < {quality.MIN_WORDS} or 100 * n_repeat_words > {quality.REPEAT_PERCENT} * n_words or rejected) kept
 from base"""
 
+_LONGER = " ".join(f"when length(bare) >= {n} then {share}" for n, share in sorted(line_dedup.LONGER.items(), reverse=True))
+
 LINE_DEDUP = f"""
 with lines as (
   select doc_id, source, p, line, trim(line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) bare
   from (select doc_id, source, unnest(string_split(text, chr(10))) line, generate_subscripts(string_split(text, chr(10)), 1) p from documents)),
 pages as (select source, count(*) n from documents group by source),
-held as (select source, bare, count(distinct doc_id) c from lines where bare <> '' group by source, bare),
+longest as (select doc_id, arg_max(bare, (length(bare), bare)) longest from lines group by doc_id),
+held as (
+  select source, bare, count(distinct doc_id) c, count(distinct longest) differ
+  from lines join longest using (doc_id) where bare <> '' group by source, bare),
 frequent as (
   select held.source, bare from held join pages on held.source is not distinct from pages.source
-  where c >= {line_dedup.MIN_PAGES} and c > n * {line_dedup.RATIO}),
+  where c >= {line_dedup.MIN_PAGES} and (c > n * {line_dedup.RATIO} or 2 * differ > c and c > n * case {_LONGER} else {line_dedup.RATIO} end)),
 marked as (
   select doc_id, line, p, exists (select 1 from frequent f where f.source is not distinct from lines.source and f.bare = lines.bare) gone from lines),
 texts as (select doc_id, string_agg(line, chr(10) order by p) filter (not gone) t, count(*) filter (gone) n from marked group by doc_id)
@@ -65,13 +70,13 @@ from documents d left join texts using (doc_id)"""
 
 VECTOR_TOP_K = f"""
 with sound as (
-  select vec_id, list_transform(embedding, lambda x: floor({va_topk.SCALE} * x::double)) v from embeddings
+  select row_number() over () as own, vec_id, list_transform(embedding, lambda x: floor({va_topk.SCALE} * x::double)) v from embeddings
   where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
 pairs as (
-  select q.vec_id query_id, c.vec_id vec_id, list_dot_product(q.v, c.v)::bigint score
-  from sound q join sound c on q.vec_id <> c.vec_id and len(q.v) = len(c.v) where q.vec_id % {va_topk.QUERY_STEP} = 0)
+  select q.own, q.vec_id query_id, c.vec_id vec_id, list_dot_product(q.v, c.v)::bigint score
+  from sound q join sound c on q.own <> c.own and len(q.v) = len(c.v) where q.vec_id % {va_topk.QUERY_STEP} = 0)
 select query_id, (row_number() over w)::integer as rank, vec_id, score
-from pairs window w as (partition by query_id order by score desc, vec_id) qualify rank <= {va_topk.K}"""
+from pairs window w as (partition by own order by score desc, vec_id) qualify rank <= {va_topk.K}"""
 
 CHAT = rf"""
 with turns as (

@@ -2,7 +2,8 @@
 
 Vectors are dealt into blocks. A block keeps, beside the vectors, each component's cell among ``CELLS`` equal ones between
 the block's smallest and largest value. A query scans the cells, gets a lower and an upper bound of every score, and
-reads vectors in the order of their bounds until no unread vector can reach the kth best score.
+reads vectors in the order of their bounds until no unread vector can reach the kth best score. One in some blocks is
+searched first: the kth best score there is a floor for all others, most of which then have nothing to give.
 """
 
 import numpy as np
@@ -10,12 +11,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyseries.llm.frames import Written
+
 #: Of the registered query: components times this, every so-manieth id asks, so many come back.
 SCALE, QUERY_STEP, K = 1024, 100, 10
 CELLS = 16
 #: Vectors of a block, and queries that meet a block in one task, on average.
 BLOCK = 8192
 QUERIES = 8192
+#: One in so many blocks is searched first.
+PILOT = 16
 #: Exact vectors that a query reads at first; then twice as many each time.
 READ = 32
 #: Queries whose bounds a task holds at a time.
@@ -38,18 +43,25 @@ class ApproximationFile:
         high = low + (self.width - 1)
         up, down = np.maximum(queries, 0).astype(np.float64), np.minimum(queries, 0).astype(np.float64)
         least, most = up @ low.T + down @ high.T, up @ high.T + down @ low.T
-        # Sums beyond 2**53 are rounded.
-        slack = np.maximum(np.abs(least), np.abs(most)) * 1e-13
+        # Sums beyond 2**53 are rounded, by a share of the sum of their absolute terms.
+        slack = (up - down) @ np.maximum(np.abs(low), np.abs(high)).T * 1e-13
         return least - slack, most + slack
 
-    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Place of the query, id and score of its k best vectors; ties go to smaller ids, its own id is no candidate."""
+    def search(self, query_ids: np.ndarray, queries: np.ndarray, k: int, floors: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Place of the query, id and score of its k best vectors; ties go to smaller ids, its own row is no candidate.
+
+        Vectors below a query's floor are left out. Of rows equal to the query one is its own.
+        """
         found = ([], [], [])
         for place, own in enumerate(query_ids):
             q = place % SLICE
             if not q:
                 least, most = self.bounds(queries[place: place + SLICE])
-            open_ = np.flatnonzero(self.ids != own)
+            alike = np.flatnonzero(self.ids == own)
+            alike = alike[(self.vectors[alike] == queries[place]).all(axis=1)][:1]
+            open_ = np.delete(np.arange(len(self.ids)), alike)
+            if floors is not None:
+                open_ = open_[most[q, open_] >= floors[place]]
             if len(open_) > k:
                 floor = np.partition(least[q, open_], len(open_) - k)[len(open_) - k]
                 open_ = open_[most[q, open_] >= floor]
@@ -66,6 +78,8 @@ class ApproximationFile:
                 read, step = read + step, 2 * step
                 best = np.lexsort((self.ids[open_[: len(scores)]], -scores))[:k]
             best = best[:k]
+            if floors is not None:
+                best = best[scores[best] >= floors[place]]
             found[0].append(np.full(len(best), place))
             found[1].append(self.ids[open_[best]])
             found[2].append(scores[best])
@@ -82,7 +96,8 @@ def _search(k: int):
         if not vectors.num_rows or not queries.num_rows:
             return pa.table([pa.array([], t) for t in types], names=names)
         ids, keys = queries.column("vec_id").to_numpy(), queries.column("query_key").to_numpy()
-        place, found, score = ApproximationFile(vectors.column("vec_id").to_numpy(), matrix(vectors)).search(ids, matrix(queries), k)
+        file, floors = ApproximationFile(vectors.column("vec_id").to_numpy(), matrix(vectors)), queries.column("floor").to_numpy()
+        place, found, score = file.search(ids, matrix(queries), k, floors)
         return pa.table([ids[place], keys[place], found, score], names=names)
 
     return search
@@ -105,22 +120,39 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = K) -> DataFrame:
     """(query_id, rank, vec_id, score): the k highest inner products of each query with all vectors of its size.
 
     Both frames are as ``integer_vectors`` makes them. Fewer than k come back if there are no more; ties go to the
-    smaller id; a vector with the query's id is no candidate; every row of a repeated id is a candidate of its own, and
-    equal query rows are one query. Scores are exact while they fit 64 bits.
+    smaller id; a query's own row is no candidate, other rows with its id are; every row of a repeated id is a candidate
+    of its own, and equal query rows are one query, to which their copies are candidates. Scores are exact while they fit
+    64 bits.
 
     All queries have to meet all vectors. Each block of vectors meets each group of queries in one task of bounded size;
-    only k rows per query leave it.
+    blocks and groups follow the numbers of rows. The first blocks give each query a floor, so that only rows which may be
+    among its best leave the others.
     """
-    spark = vectors.sparkSession
-    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    blocks = max(2 * partitions, -(-vectors.count() // BLOCK))
+    blocks = max(1, -(-vectors.count() // BLOCK))
     groups = max(1, -(-queries.count() // QUERIES))
     deal = lambda n, *c: F.pmod(F.xxhash64(*c), F.lit(n)).cast("int")
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    stored = vectors.select("vec_id", "vector", "size", deal(blocks, "vec_id", "vector").alias("block"), every(groups).alias("asking"))
+    dealt = vectors.select("vec_id", "vector", "size", deal(blocks, "vec_id", "vector").alias("block"))
     asked = queries.dropDuplicates(["vec_id", "vector"]).withColumn("query_key", F.xxhash64("vector"))
-    asked = asked.select("vec_id", "query_key", "vector", "size", deal(groups, "vec_id", "vector").alias("asking"), every(blocks).alias("block"))
+    asked = asked.select("vec_id", "query_key", "vector", "size", deal(groups, "vec_id", "vector").alias("asking"))
     key = ["block", "asking", "size"]
-    found = stored.groupBy(*key).cogroup(asked.groupBy(*key)).applyInArrow(_search(k), "query_id bigint, query_key bigint, vec_id bigint, score bigint")
     rank = F.row_number().over(Window.partitionBy("query_id", "query_key").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+    def best(stored, asked, n_blocks):
+        rows = stored.select("vec_id", "vector", "size", "block", every(groups).alias("asking"))
+        out = "query_id bigint, query_key bigint, vec_id bigint, score bigint"
+        found = rows.groupBy(*key).cogroup(asked.select("*", every(n_blocks).alias("block")).groupBy(*key)).applyInArrow(_search(k), out)
+        return found.withColumn("rank", rank).where(F.col("rank") <= k)
+
+    lowest = F.lit(-(2**63)).cast("bigint")
+    pilots = blocks // PILOT
+    if pilots:
+        first = best(dealt.where(F.col("block") < pilots), asked.withColumn("floor", lowest), pilots)
+        floors = first.where(F.col("rank") == k).select(F.col("query_id").alias("of"), F.col("query_key").alias("key"), F.col("score").alias("floor"))
+        same = (F.col("vec_id") == F.col("of")) & (F.col("query_key") == F.col("key"))
+        written = Written(vectors.sparkSession, "floors")
+        known = asked.join(written.put(floors), same, "left").drop("of", "key")
+        asked = written.put(known.withColumn("floor", F.coalesce("floor", lowest)))
+    else:
+        asked = asked.withColumn("floor", lowest)
+    return best(dealt, asked, blocks).select("query_id", "rank", "vec_id", "score")

@@ -12,7 +12,10 @@ def brute(rows, step, k):
     sound = [(i, [math.floor(1024 * x) for x in v]) for i, v in rows if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
     out = []
     for q, v in {(i, tuple(v)) for i, v in sound if i % step == 0}:
-        scored = sorted(((-sum(a * b for a, b in zip(v, w)), i) for i, w in sound if i != q and len(w) == len(v)))[:k]
+        # Of the rows equal to the query one is its own.
+        others = list(sound)
+        others.remove((q, list(v)))
+        scored = sorted(((-sum(a * b for a, b in zip(v, w)), i) for i, w in others if len(w) == len(v)))[:k]
         out += [(q, rank + 1, i, -s) for rank, (s, i) in enumerate(scored)]
     return sorted(out)
 
@@ -30,9 +33,31 @@ def test_ties_copies_negative_ids_nulls_and_other_sizes(spark, monkeypatch):
     half = lambda n: [rng.randrange(-4, 5) / 2 for _ in range(n)]
     rows = [(i, half(6)) for i in range(-10, 60)] + [(i, [0.5] * 6) for i in range(100, 160)] + [(i, half(2)) for i in (200, 201)]
     rows += [(300, [math.nan] * 6), (305, [math.inf] * 6), (310, None), (315, [None] + [1.0] * 5), (None, half(6)), (400, []), (405, []), (3, rows[0][1]), (5, half(6))]
+    rows += [(0, rows[10][1]), (0, rows[10][1]), (5, half(6)), (10, rows[20][1])]
     assert search(spark, rows) == brute(rows, 5, 4)
 
 
+def test_floors_of_the_first_blocks_lose_nothing(spark, monkeypatch):
+    monkeypatch.setattr(V, "BLOCK", 10)
+    monkeypatch.setattr(V, "PILOT", 4)
+    rng = random.Random(2)
+    rows = [(i, [rng.randrange(-8, 9) / 8 for _ in range(5)]) for i in range(300)] + [(i, [0.5] * 5) for i in range(400, 450)]
+    assert search(spark, rows, step=20) == brute(rows, 20, 4)
+    file = V.ApproximationFile(np.arange(100), np.arange(100)[:, None] * np.ones((1, 3), np.int64))
+    _, ids, scores = file.search(np.array([500]), np.ones((1, 3), np.int64), 10, np.array([288]))
+    assert ids.tolist() == [99, 98, 97, 96] and scores.tolist() == [297, 294, 291, 288]
+
+
+def test_bounds_allow_for_rounding_of_large_terms():
+    rng = np.random.default_rng(9)
+    vectors = rng.integers(-(2**29), 2**29, (400, 8))
+    query = rng.integers(-(2**29), 2**29, (5, 8))
+    query[0] = vectors[0]
+    exact = [[sum(int(a) * int(b) for a, b in zip(q, v)) for v in vectors] for q in query]
+    least, most = V.ApproximationFile(np.arange(400), vectors).bounds(query)
+    assert all(low <= e <= high for row, lows, highs in zip(exact, least, most) for e, low, high in zip(row, lows, highs))
+
+
 def test_fewer_than_k_and_no_rows(spark):
     assert search(spark, [(5, [1.0]), (6, [2.0])]) == [(5, 1, 6, 1024 * 2048)]
     assert search(spark, [(5, [1.0])]) == []
