@@ -41,16 +41,18 @@ _COMMENT_WORDS = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|respond|disqu
 # Class words that say what a page has or lacks, not what the element is.
 _LAYOUT_WORDS = re.compile(r"(?:^|(?<=[\s_-]))(?:no|without|has|with)[_-][a-z]+", re.IGNORECASE)
 _MAIN_WORDS = re.compile(r"(?:^|[\s_-])(?:article|content|main|post|entry|story|body|text)(?=$|[\s_-])", re.IGNORECASE)
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>|[^<]+|<", re.DOTALL)
-# One attribute after the other: a whole name, and its whole value if it has one.
-_ATTRIBUTE = re.compile(r"([^\s/>=]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)")
+# Between attributes, the name of one, what stands between name and value, and a value without quotes.
+_GAP, _NAME, _EQUALS, _BARE = (re.compile(x) for x in (r"[\s/]*", r"=?[^\s/>=]*", r"\s*=\s*", r"[^\s>]*"))
 _WORD = re.compile(r"\w+")
 
 #: Weights of the classifier: positive speaks for content.
 WEIGHTS = {
-    "offset": -0.6, "in_article": 4.0, "in_main": 2.0, "main_words": 1.2, "frame_tag": -12.0, "frame_words": -12.0, "page_header": -8.0,
-    "heading": 0.6, "paragraph": 0.8, "list_item": -0.3, "linked": -4.0, "per_word": 0.04, "sentence": 0.5,
+    "offset": -0.6, "in_article": 4.0, "in_main": 3.6, "main_words": 3.4, "frame_tag": -14.0, "page_header": -10.0,
+    "heading": 0.6, "paragraph": 0.8, "list_item": -0.3, "linked": -4.0, "linked_inside": 1.6, "per_word": 0.04, "sentence": 0.5,
 }
+#: What speaks for plain text on a page on which nothing stands out.
+PLAIN = 2.5
 #: Words that count at most, so that one long block does not outvote its ancestors.
 WORDS_COUNTED = 40
 #: Smoothness: of blocks that follow each other, divided by their distance in the tree; of blocks with one parent.
@@ -62,14 +64,13 @@ _UNITS = 1000
 
 
 class _Element:
-    __slots__ = ("tag", "parent", "depth", "hidden", "mark", "shut", "said", "fixed", "form", "word", "frame", "article", "main", "main_words", "header", "linked")
+    __slots__ = (
+        "tag", "parent", "depth", "hidden", "mark", "shut", "said", "own", "heads", "holds", "fixed", "form", "word", "frame", "article", "main", "main_words",
+        "header", "linked",
+    )
 
-    def __init__(self, tag: str, attributes: str, parent: "_Element | None"):
+    def __init__(self, tag: str, given: dict[str, str], parent: "_Element | None"):
         self.tag, self.parent = tag, parent
-        given: dict[str, str] = {}
-        for key, a, b, c in _ATTRIBUTE.findall(attributes) if attributes else ():
-            # Of attributes with one name the first counts.
-            given.setdefault(key.lower(), a or b or c)
         named = " ".join(v for k, v in given.items() if k in ("class", "id", "role"))
         self.mark = "tag" if tag in FRAME_TAGS else None
         if not self.mark and named and tag not in ("body", "html", "article", "main") and _FRAME_WORDS.search(named):
@@ -83,7 +84,9 @@ class _Element:
         self.hidden = hidden or bool(up and up.hidden)
         # Set by _weigh_frames: what is said in sentences below, which marks hold here, and how much they weigh.
         self.shut = tag != "main" and (self.mark in ("tag", "comments") or bool(up and up.shut))
-        self.said, self.fixed, self.form, self.word, self.frame = 0, False, False, None, 0.0
+        self.said = self.own = self.heads = 0
+        self.holds = self.fixed = self.form = False
+        self.word, self.frame = None, 0.0
         self.article = tag == "article" or bool(up and up.article)
         self.main = tag == "main" or bool(up and up.main)
         self.main_words = bool(named and _MAIN_WORDS.search(named)) or bool(up and up.main_words)
@@ -98,9 +101,63 @@ class _Block:
         self.element, self.parts, self.linked, self.size = element, [], 0, 0
 
 
+class _Tags:
+    """The tags of a page, read in one pass: a place that has been seen to lead to no ``>`` is not tried again."""
+
+    def __init__(self, page: str):
+        self.page, self.dead = page, set()
+        self.quotes = {q: page.rfind(q) for q in "\"'"}
+        self.last = page.rfind(">")
+
+    def attributes(self, at: int) -> tuple[dict[str, str], int] | None:
+        """The attributes of a tag from behind its name on, and where the tag ends; None if it does not."""
+        page, seen, given = self.page, [], {}
+        while True:
+            at = _GAP.match(page, at).end()
+            if at > self.last or at in self.dead:
+                self.dead.update(seen)
+                return None
+            if page[at] == ">":
+                return given, at + 1
+            seen.append(at)
+            name = _NAME.match(page, at)
+            at, value = name.end(), ""
+            equals = _EQUALS.match(page, at)
+            if equals:
+                at = equals.end()
+                quote = page[at: at + 1]
+                if self.quotes.get(quote, -1) > at:
+                    end = page.find(quote, at + 1)
+                    value, at = page[at + 1: end], end + 1
+                else:
+                    bare = _BARE.match(page, at)
+                    value, at = bare[0], bare.end()
+            # Of attributes with one name the first counts.
+            given.setdefault(name[0].lower(), value)
+
+    def token(self, at: int):
+        """(end, text, closing, tag, attributes) of what stands at a place; text is None for tags, tag for anything else."""
+        page = self.page
+        if page[at] != "<":
+            end = page.find("<", at)
+            end = len(page) if end < 0 else end
+            return end, page[at:end], False, None, None
+        if page.startswith("<!--", at):
+            end = page.find("-->", at + 4)
+            return len(page) if end < 0 else end + 3, None, False, None, None
+        found = _TAG.match(page, at)
+        if found:
+            inside = self.attributes(found.end())
+            if inside:
+                return inside[1], None, bool(found[1]), found[2].lower(), inside[0]
+        elif page[at + 1: at + 2] in ("!", "?") and at < self.last:
+            return page.find(">", at) + 1, None, False, None, None
+        return at + 1, "<", False, None, None
+
+
 def blocks(page: str) -> list[tuple[str, _Element, float]]:
     """(text, innermost block element, share of linked characters) in page order; empty blocks are left out."""
-    root = _Element("", "", None)
+    root, tags = _Element("", {}, None), _Tags(page)
     top, at, out, current, elements = root, 0, [], None, []
 
     def close():
@@ -112,14 +169,9 @@ def blocks(page: str) -> list[tuple[str, _Element, float]]:
             current = None
 
     while at < len(page):
-        found = _TOKEN.match(page, at)
-        at = found.end()
-        tag = found[2]
+        at, part, closing, tag, given = tags.token(at)
         if tag is None:
-            part = found[0]
-            if part[0] == "<" and len(part) > 1:
-                continue
-            if not top.hidden:
+            if part is not None and not top.hidden:
                 if current is None:
                     if part.isspace():
                         continue
@@ -133,8 +185,7 @@ def blocks(page: str) -> list[tuple[str, _Element, float]]:
                 current.size += visible
                 current.linked += visible if top.linked else 0
             continue
-        tag = tag.lower()
-        if found[1]:
+        if closing:
             if tag in BLOCK_TAGS:
                 close()
             node = top
@@ -167,7 +218,7 @@ def blocks(page: str) -> list[tuple[str, _Element, float]]:
                     if node.tag in CLOSES[tag]:
                         top = node.parent
                     node = node.parent
-        if found[3].endswith("/") and tag in ("svg", "path", "use", "circle", "rect", "g"):
+        if page[at - 2] == "/" and tag in ("svg", "path", "use", "circle", "rect", "g"):
             continue
         if tag in RAW_TAGS:
             end = re.compile(f"</{tag}", re.IGNORECASE).search(page, at)
@@ -175,7 +226,7 @@ def blocks(page: str) -> list[tuple[str, _Element, float]]:
             if end:
                 at = page.find(">", at) + 1 or len(page)
             continue
-        top = _Element(tag, found[3], top)
+        top = _Element(tag, given, top)
         elements.append(top)
     close()
     _weigh_frames(elements, out)
@@ -186,20 +237,30 @@ def _weigh_frames(elements: list[_Element], found: list[tuple[str, _Element, flo
     """How much the frame marks above each element weigh, 0 to 1. ``elements`` come in page order.
 
     Frame tags and comment sections hold for all below them but a main element. A class word or a form is no mark on what
-    holds more than half of the page's sentences, and ends at an inner article that says as much as all unmarked articles.
+    contains the page's article: the article or main element that says most or, without one, all that is said outside
+    other marks. It ends at an inner article that says as much as all unmarked articles.
     """
     if not any(e.mark for e in elements):
         return
-    total = free = 0
     for text, element, _ in found:
-        if text[-1] in _SENTENCE_ENDS and not element.shut:
-            element.said += len(text)
-            total += len(text)
+        if not element.shut:
+            if text[-1] in _SENTENCE_ENDS:
+                element.own += len(text)
+                element.said += len(text)
+            element.heads += element.tag in ("h1", "h2")
     for e in reversed(elements):
         e.parent.said += e.said
+        e.parent.heads += e.heads
+    best = max((e for e in elements if e.tag in ("article", "main") and not e.shut and e.said), key=lambda e: e.said, default=None)
+    if best is not None:
+        while best.parent:
+            best.holds, best = True, best.parent
+    else:
+        _hold_what_is_said(elements)
     marked = {}
     for e in elements:
-        marked[id(e)] = e.tag != "main" and (_is_mark(e, total) or marked.get(id(e.parent), False))
+        marked[id(e)] = e.tag != "main" and (_is_mark(e) or marked.get(id(e.parent), False))
+    free = 0
     for text, element, _ in found:
         if text[-1] in _SENTENCE_ENDS and (element.article or element.main) and not element.shut and not marked.get(id(element), False):
             free += len(text)
@@ -209,7 +270,7 @@ def _weigh_frames(elements: list[_Element], found: list[tuple[str, _Element, flo
             e.fixed, e.form, e.word = up.fixed, up.form, up.word
             if e.tag == "article" and e.said and e.said >= free:
                 e.form, e.word = False, None
-        if _is_mark(e, total):
+        if _is_mark(e):
             e.fixed, e.form = e.fixed or e.mark in ("tag", "comments"), e.form or e.mark == "form"
             e.word = e.depth if e.mark == "words" else e.word
         if e.fixed or e.form:
@@ -218,17 +279,42 @@ def _weigh_frames(elements: list[_Element], found: list[tuple[str, _Element, flo
             e.frame = max(FAINT, 1 - FADE * max(0, e.depth - e.word - NEAR))
 
 
-def _is_mark(e: _Element, total: int) -> bool:
-    return e.mark in ("tag", "comments") or e.mark is not None and 2 * e.said <= total
+def _hold_what_is_said(elements: list[_Element]) -> None:
+    """On a page without article and main: an element with a mark holds the text if nothing is said outside all marks, or
+    if it has the page's headings and most of what is said.
+    """
+    root = elements[0]
+    while root.parent:
+        root = root.parent
+    inside, plain = {id(root): False}, root.own
+    for e in elements:
+        inside[id(e)] = inside[id(e.parent)] or e.mark is not None
+        if not inside[id(e)]:
+            plain += e.own
+    for e in elements:
+        if e.mark in ("words", "form") and not inside[id(e.parent)] and 2 * e.said > root.said:
+            e.holds = not plain or bool(e.heads) and e.heads == root.heads
+            # Marks further inside hold the same text as long as nothing else is said beside them.
+            if e.holds:
+                for x in elements:
+                    up = x.parent
+                    x.holds = x.holds or x.mark in ("words", "form") and up.holds and x.said == up.said
+                    if x.mark is None and up.holds and x.said == up.said:
+                        x.holds = True
+
+
+def _is_mark(e: _Element) -> bool:
+    return e.mark in ("tag", "comments") or e.mark is not None and not e.holds
 
 
 def cost(text: str, element: _Element, linked: float) -> float:
     """What calling the block boilerplate costs more than calling it content."""
     words = len(_WORD.findall(text))
+    inside = element.article or element.main or element.main_words
     has = {
         "offset": 1, "in_article": element.article, "in_main": element.main, "main_words": element.main_words, "frame_tag": element.frame,
         "page_header": element.header, "heading": element.tag in HEADINGS, "paragraph": element.tag in ("p", "blockquote", "pre"),
-        "list_item": element.tag == "li", "linked": linked, "per_word": min(words, WORDS_COUNTED), "sentence": text[-1] in ".!?…\"”»",
+        "list_item": element.tag == "li", "linked": linked, "linked_inside": linked * inside, "per_word": min(words, WORDS_COUNTED), "sentence": text[-1] in ".!?…\"”»",
     }
     return sum(WEIGHTS[k] * v for k, v in has.items())
 
@@ -312,7 +398,12 @@ def main_text(page: str) -> str:
     found = blocks(page)
     if not found:
         return ""
-    terminal = [round(_UNITS * cost(*b)) or -1 for b in found]
+    costs = [cost(*b) for b in found]
+    if not any(c > 0 for c in costs):
+        # Nothing stands out: words that are no link and in no frame are the text.
+        plain = [not (e.frame or e.header) and linked < 0.5 and _WORD.search(text) is not None for text, e, linked in found]
+        costs = [c + PLAIN if own else c for c, own in zip(costs, plain)]
+    terminal = [round(_UNITS * c) or -1 for c in costs]
     if min(terminal) > 0 or max(terminal) < 0:
         keep = [c > 0 for c in terminal]
     else:

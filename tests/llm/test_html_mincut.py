@@ -81,6 +81,47 @@ def test_main_and_the_larger_article_end_a_mark_above_them():
     assert H.main_text(f"<div class='story-widget'><article>{WRAPPED}</article></div><div><p>{LONG * 5}</p></div>").startswith(WHOLE)
 
 
+TWO = "Buy this now, it is good for you. Nobody has ever had more of it than we have here."
+
+
+@pytest.mark.parametrize("frame", ["div class='ad'", "div id='cookie-notice'", "div class='sidebar'", "form", "div class='promo banner'", "aside"])
+@pytest.mark.parametrize("article", ["article", "main"])
+def test_a_frame_that_says_more_than_the_article_stays_out(frame, article):
+    end = frame.split()[0]
+    short = f"<{article}><p>Short one.</p></{article}>"
+    for page in (f"<{frame}>{TWO}</{end}>{short}", f"{short}<{frame}><p>{TWO}</p><p>{TWO}</p></{end}>", f"<div class='no-sidebar'><{frame}>{TWO}</{end}>{short}</div>"):
+        assert H.main_text(f"<body>{page}</body>") == "Short one."
+
+
+def test_a_frame_beside_plain_text_stays_out():
+    assert H.main_text(f"<body><div class='ad'>{TWO} {TWO}</div><div><p>{LONG}</p></div></body>") == LONG
+    assert H.main_text(f"<body><form><h1>Title</h1><p>{LONG}</p><p>{LONG}</p></form><p>Copyright by me.</p></body>").startswith(WHOLE)
+
+
+def test_links_inside_an_article_are_kept():
+    links = "<ul><li><a href='a'>Ref one</a></li><li><a href='b'>Ref two</a></li></ul>"
+    for start, end in (("<article>", "</article>"), ("<main>", "</main>"), ("<div class='article'>", "</div>"), ("<div id=content>", "</div>")):
+        page = f"<body><ul><li><a href='/'>Home</a></li><li><a href='/x'>More</a></li></ul>{start}<p>{LONG}</p>{links}{end}<footer><a href=z>Imprint</a></footer></body>"
+        assert H.main_text(page) == f"{LONG}\n\nRef one\n\nRef two"
+
+
+def test_bare_text_is_the_main_text():
+    assert H.main_text("<body>Hello world and more words here</body>") == "Hello world and more words here"
+    assert H.main_text("just text") == "just text"
+    assert H.main_text("<nav><a href=x>a</a> b</nav><div>kept words</div><footer>gone</footer>") == "kept words"
+
+
+@pytest.mark.parametrize("part", ["<a ", "<a x=\"", "<a x='>", "<a x=\">\" ", "<", "<!-- ", "<script>", "</p", "<p a=b ", "a < b ", "<!x ", "<p>&", "<svg/>", "<p " + "y=1 " * 50])
+def test_odd_pages_take_time_in_proportion(part):
+    import time
+
+    page = (part * (1_000_000 // len(part)))[:1_000_000]
+    start = time.process_time()
+    H.blocks(page)
+    assert time.process_time() - start < 20
+    assert LONG in H.main_text(f"<article><p>{LONG}</p></article>" + part * 300)
+
+
 def test_long_and_odd_pages():
     many = "".join(f"<p>{LONG} {i}</p>" for i in range(5000))
     assert H.main_text(f"<article>{many}</article>").count("\n\n") == 4999
