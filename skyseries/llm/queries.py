@@ -46,7 +46,7 @@ def op6_exact_topk(spark, sf_dir):
 
 
 def op7_quality_rules(spark, sf_dir):
-    return quality.measures(table(spark, sf_dir, "documents")).drop("run_coverage", "line_coverage")
+    return quality.measures(table(spark, sf_dir, "documents"))
 
 
 def op8_chat_formatting(spark, sf_dir):

@@ -18,33 +18,40 @@ reach(doc_id, other) as (
 select d.doc_id, coalesce(n, 0) n_shingles, (select min(other) from reach r where r.doc_id = d.doc_id) component_id
 from documents d left join sizes using (doc_id)"""
 
-_LIMITS = ", ".join(f"({n}, {limit})" for n, limit in quality.RUN_LIMITS.items())
+_RUNS = ", ".join(f"coalesce(max(chars) filter (n = {n}), 0)::bigint run{n}_chars" for n in quality.RUN_LIMITS)
+_TOPS = ", ".join(f"coalesce(max(chars) filter (n = {n}), 0)::bigint top{n}_chars" for n in quality.TOP_LIMITS)
+_COVERED = [*[f"top{n}_chars" for n in quality.TOP_LIMITS], *[f"run{n}_chars" for n in quality.RUN_LIMITS], "dup_line_chars"]
+_COVERED_SQL = ", ".join(f"coalesce({c}, 0)::bigint {c}" for c in _COVERED)
+_FITS = " and ".join(
+    f"{c} <= {limit}::double * word_chars" for c, limit in zip(_COVERED, [*quality.TOP_LIMITS.values(), *quality.RUN_LIMITS.values(), quality.LINE_LIMIT]))
 
 QUALITY = rf"""
 with w as (select doc_id, text, regexp_extract_all(coalesce(text, ''), '{WORD}') ws from documents),
 grams as (
   select doc_id, n, i, array_to_string(ws[i:i + n - 1], ' ') g
-  from w, unnest(range({min(quality.RUN_LIMITS)}, {max(quality.RUN_LIMITS) + 1})) as a(n), unnest(range(1, len(ws) - n + 2)) as b(i)),
-doubled as (select doc_id, n, i from grams qualify count(*) over (partition by doc_id, n, g) > 1),
+  from w, unnest(range({min(quality.TOP_LIMITS)}, {max(quality.RUN_LIMITS) + 1})) as a(n), unnest(range(1, len(ws) - n + 2)) as b(i)),
+doubled as (select doc_id, n, i from grams where n >= {min(quality.RUN_LIMITS)} qualify count(*) over (partition by doc_id, n, g) > 1),
 inside as (select distinct doc_id, n, unnest(range(i, i + n)) p from doubled),
 runs as (select doc_id, n, count(*) repeated, sum(length(ws[p])) chars from inside join w using (doc_id) group by doc_id, n),
+frequent as (
+  select doc_id, n, count(*) * length(replace(g, ' ', '')) chars from grams where n <= {max(quality.TOP_LIMITS)}
+  group by doc_id, n, g having count(*) >= {quality.TOP_TIMES}),
+tops as (select doc_id, {_TOPS} from frequent group by doc_id),
 lines as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) line from documents),
 twice as (
   select doc_id, count(*) - 1 again, (count(*) - 1) * length(regexp_replace(line, '[\x20\x09-\x0D]+', '', 'g')) chars
   from lines where regexp_matches(line, '{WORD}') group by doc_id, line),
-per_line as (select doc_id, sum(again) dup, sum(chars) chars from twice group by doc_id),
+per_line as (select doc_id, sum(again) dup, sum(chars) dup_line_chars from twice group by doc_id),
 sums as (
   select doc_id, len(ws) n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0) word_chars,
     length(regexp_replace(coalesce(text, ''), '[^#*$%&|<>]', '', 'g')) n_symbols from w),
-worst as (select doc_id, bool_or(chars > l * word_chars) failed, max(repeated) filter (n = 5) repeated
-  from runs join sums using (doc_id) join (values {_LIMITS}) as t(n, l) using (n) group by doc_id),
+per_run as (select doc_id, {_RUNS}, max(repeated) filter (n = 5) repeated from runs group by doc_id),
 base as (
   select doc_id, n_words::bigint n_words, word_chars::bigint word_chars, n_symbols::bigint n_symbols, coalesce(dup, 0)::bigint n_dup_lines,
-    coalesce(repeated, 0)::bigint n_repeat_words, coalesce(failed, false) or coalesce(chars, 0) > {quality.LINE_LIMIT} * word_chars rejected
-  from sums left join per_line using (doc_id) left join worst using (doc_id))
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
-  n_words < {quality.MIN_WORDS} or 100 * n_repeat_words > {quality.REPEAT_PERCENT} * n_words base_failed,
-  not (n_words < {quality.MIN_WORDS} or 100 * n_repeat_words > {quality.REPEAT_PERCENT} * n_words or rejected) kept
+    coalesce(repeated, 0)::bigint n_repeat_words, {_COVERED_SQL}
+  from sums left join per_line using (doc_id) left join per_run using (doc_id) left join tops using (doc_id))
+select *, n_words < {quality.MIN_WORDS} or 100 * n_repeat_words > {quality.REPEAT_PERCENT} * n_words base_failed,
+  not (n_words < {quality.MIN_WORDS} or 100 * n_repeat_words > {quality.REPEAT_PERCENT} * n_words) and {_FITS} kept
 from base"""
 
 _LONGER = " ".join(f"when length(bare) >= {n} then {share}" for n, share in sorted(line_dedup.LONGER.items(), reverse=True))

@@ -30,7 +30,8 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first ``n`` powers of the base of the running sums, and of its inverse."""
     if len(_powers[0]) < n:
         for side, base in enumerate((_BASE, _INVERSE)):
             steps = np.full(max(n, 1 << 20), base, np.uint64)
@@ -65,7 +66,7 @@ class Words:
 
     def hashes(self, lower: bool) -> np.ndarray:
         """One 64-bit hash per word; with ``lower`` the letters A-Z count as a-z."""
-        up, down = _power(len(self.data) + 1)
+        up, down = powers(len(self.data) + 1)
         sums = np.zeros(len(self.data) + 1, np.uint64)
         np.cumsum((_LOWER if lower else _RAW)[self.data] * up[:-1], out=sums[1:])
         return mix((sums[self.end] - sums[self.start]) * down[self.start])

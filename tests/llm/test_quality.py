@@ -13,20 +13,23 @@ def plain(text):
     text = text or ""
     words = WORD.findall(text)
     total = sum(map(len, words))
-    coverage, repeated = [], 0
+    covered, repeated = [], 0
+    for n in Q.TOP_LIMITS:
+        count = Counter(tuple(words[i: i + n]) for i in range(len(words) - n + 1))
+        covered.append(max((c * sum(map(len, run)) for run, c in count.items() if c >= 3), default=0))
     for n in Q.RUN_LIMITS:
         runs = [tuple(words[i: i + n]) for i in range(len(words) - n + 1)]
         count = Counter(runs)
         inside = {p for i, r in enumerate(runs) if count[r] > 1 for p in range(i, i + n)}
-        coverage.append(sum(len(words[p]) for p in inside) / total if total else 0.0)
+        covered.append(sum(len(words[p]) for p in inside))
         repeated = len(inside) if n == 5 else repeated
     lines = [line for line in text.split("\n") if WORD.search(line)]
     doubled = [line for i, line in enumerate(lines) if line in lines[:i]]
-    chars = sum(len("".join(WORD.findall(line))) for line in doubled)
-    share = chars / total if total else 0.0
+    covered.append(sum(len("".join(WORD.findall(line))) for line in doubled))
+    limits = [*Q.TOP_LIMITS.values(), *Q.RUN_LIMITS.values(), Q.LINE_LIMIT]
     failed = len(words) < 10 or 100 * repeated > 20 * len(words)
-    kept = not failed and share <= Q.LINE_LIMIT and all(c <= limit for c, limit in zip(coverage, Q.RUN_LIMITS.values()))
-    return (len(words), total, len(re.findall(r"[#*$%&|<>]", text)), len(doubled), repeated, coverage, share, failed, kept)
+    kept = not failed and all(c <= limit * total for c, limit in zip(covered, limits))
+    return (len(words), total, len(re.findall(r"[#*$%&|<>]", text)), len(doubled), repeated, *covered, failed, kept)
 
 
 def texts():
@@ -53,3 +56,13 @@ def test_kept_rows_stay_as_they_are(spark):
     assert sorted((tuple(r) for r in Q.kept(df).collect()), key=repr) == [(1, good, 5), (1, good, 5), (None, good, None)]
     assert Q.kept(df).columns == df.columns
     assert Q.kept(df.limit(0)).collect() == []
+
+
+def test_a_short_phrase_between_other_words_is_found():
+    rng = random.Random(3)
+    fill = [f"word{rng.randrange(10**6)}" for _ in range(60)]
+    phrase = " ".join(w + (" buy this now" if i % 3 == 0 else "") for i, w in enumerate(fill))
+    n = Q.MEASURES.names
+    row = Q.measure(__import__("pyarrow").array([phrase]))[0]
+    assert not row[n.index("base_failed")] and not row[n.index("kept")] and row[n.index("top3_chars")] == 20 * 10
+    assert Q.measure(__import__("pyarrow").array([" ".join(fill) + " buy this now buy this now"]))[0][n.index("kept")]
