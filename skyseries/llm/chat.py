@@ -19,6 +19,8 @@ from skyseries.llm.frames import by_bytes
 from skyseries.llm.words import utf8
 
 OPEN, CLOSE = b"<turn>", b"</turn>\n"
+#: Bytes that one value can hold.
+LARGEST = 2**31 - 1
 LEARNED = "assistant"
 
 _ESCAPED = np.zeros(256, bool)
@@ -60,6 +62,8 @@ def assemble(roles, texts) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarr
 
 
 def _rows(ids: list, buffer, offsets: np.ndarray, spans: list[list[tuple[int, int]]]) -> pa.RecordBatch:
+    if len(ids) and int(offsets[-1]) > LARGEST:
+        raise ValueError(f"conversation {ids[int(np.diff(offsets).argmax())]} has more than {LARGEST} bytes when formatted")
     texts = pa.LargeStringArray.from_buffers(len(ids), pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(buffer)).cast(pa.string())
     kind = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
     spans = pa.array([[{"start": int(a), "length": int(n)} for a, n in own] for own in spans], kind)
@@ -100,7 +104,8 @@ def formatted(turns: DataFrame) -> DataFrame:
     ``loss_spans`` are begin and length, in UTF-8 bytes of ``formatted``, of each assistant text as it stands there. Null
     roles and texts are empty, turns with equal numbers come in order of role and text, repeated rows stay, rows without
     conv_id are one conversation. One shuffle by conversation; tasks read their sorted turns as a stream, holding about a
-    megabyte and one conversation's text.
+    megabyte and one conversation's text. A conversation that no single value can hold (over 2 GB) is an error that names
+    it.
     """
     turns = turns.select("conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     dealt = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")

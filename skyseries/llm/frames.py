@@ -2,6 +2,7 @@
 
 import atexit
 import gc
+import shutil
 import tempfile
 import zipfile
 from contextlib import contextmanager
@@ -24,7 +25,10 @@ def ship(spark: SparkSession) -> SparkSession:
     context = spark.sparkContext
     if context.applicationId not in _shipped:
         root = Path(session.__file__).resolve().parent
-        archive = Path(tempfile.mkdtemp(prefix="code-")) / "skyseries-code.zip"
+        folder = tempfile.mkdtemp(prefix="code-")
+        # Executors fetch it from here for as long as the driver runs.
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        archive = Path(folder) / "skyseries-code.zip"
         with zipfile.ZipFile(archive, "w") as out:
             for file in sorted(root.rglob("*.py")):
                 out.write(file, Path(root.name) / file.relative_to(root))

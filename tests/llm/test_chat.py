@@ -43,3 +43,13 @@ def test_nulls_ties_repeated_rows_and_extra_columns(spark):
     assert C.digests(C.formatted(df.limit(0))).collect() == []
     by_id = {r.conv_id: r for r in C.digests(C.formatted(df)).collect()}
     assert (by_id[1].n_turns, by_id[1].loss_chars, by_id[1].formatted_chars) == (4, 3, len(found[1].formatted))
+
+
+def test_a_conversation_beyond_one_value_is_named(monkeypatch):
+    import pyarrow as pa
+    import pytest
+
+    monkeypatch.setattr(C, "LARGEST", 60)
+    batch = pa.RecordBatch.from_pydict({"conv_id": [4, 4, 5], "role": ["user"] * 3, "text": ["x" * 40, "y" * 40, "z"]})
+    with pytest.raises(ValueError, match="conversation 4 "):
+        list(C._assembled(iter([batch])))
