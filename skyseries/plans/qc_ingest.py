@@ -14,6 +14,8 @@ from skyseries.sources.store import Store
 
 ORDER = ["arrival", "message_seq", "doc_pos"]
 CLOSED = "CLOSED_SERIES"
+# A registry of so many series is read whole.
+FEW_SERIES = 1_000_000
 
 
 def released(store: Store, batch: int, seen: int, newest: int) -> DataFrame:
@@ -52,7 +54,9 @@ def qc_batch(store: Store, messages: DataFrame, batch: int, side: SideTables | N
         records = decoded.records.withColumn("arrival", arrival)
         older = released(store, batch, seen, newest) if retry else records.limit(0)
         both = records.unionByName(older.select(*records.columns))
-        resolved = resolve_met(both, store.labels_met(buckets_of(both)), sliced)
+        # Finding the buckets takes a pass over the records, which a small registry is not worth.
+        buckets = buckets_of(both) if store.top_id() > FEW_SERIES else None
+        resolved = resolve_met(both, store.labels_met(buckets), sliced)
         with session.staged(resolved, "resolved") as resolved:
             misses = closed_records(resolved.where(F.col("timeseries").isNull() & (F.col("arrival") == arrival)), side)
             null = F.lit(None).cast("int")

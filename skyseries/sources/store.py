@@ -30,7 +30,7 @@ from skyseries.functions.times import BUCKET_YEARS, bucket_filter, month_filter,
 from skyseries.operators import registry as reg
 from skyseries.operators.qc import PAYLOAD
 from skyseries.operators.skew import keys_equal
-from skyseries.operators.slices import newest_writes
+from skyseries.operators.slices import newest_of_batch, newest_writes
 from skyseries.operators.upsert import VALUE_KEY, latest_wins
 
 SCHEMAS = {
@@ -156,7 +156,7 @@ class Store:
     def _put(self, table: str, df: DataFrame, batch: int, attempt: int) -> None:
         fields = self.spark.createDataFrame([], SCHEMAS[table]).schema.fields
         place = PLACE if table in VALUE_PAYLOAD else ["key_bucket"] if table == "registry" else []
-        if table in VALUE_PAYLOAD:
+        if table in VALUE_PAYLOAD and not set(PLACE) <= set(df.columns):
             time = F.col("obstime")
             df = df.withColumns({"obs_bucket": obs_bucket(time, self.ranges), "obs_month": obs_month(time, self.ranges)})
         elif table == "registry":
@@ -205,7 +205,7 @@ class Store:
                 top.append(self._attempt(table, batch, attempt).agg(F.max("timeseries")).first()[0])
             elif table == "data":
                 inside = self._attempt(table, batch, attempt).where(F.col("obs_month").isNotNull())
-                self._put("newest", newest_writes(inside), batch, attempt)
+                self._put("newest", newest_of_batch(inside), batch, attempt)
 
         ready = {table: df for table, df in tables.items() if isinstance(df, DataFrame)}
         with ThreadPoolExecutor(len(ready)) as pool:
@@ -410,7 +410,7 @@ class Store:
                 target._mark(end, 0, f"{FOLDED}-{family}")
             for number in numbers:
                 if number > end:
-                    target.write_all({table: self.log(table, only=number) for table in tables}, number)
+                    target.write_all({table: self.log(table, only=number).drop(*PLACE) for table in tables}, number)
         return target
 
     def _folded(self, table: str, end: int, seen: int) -> DataFrame:

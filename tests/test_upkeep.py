@@ -9,7 +9,7 @@ from skyseries import schema
 from skyseries.functions.times import obs_bucket, range_start, range_years
 from skyseries.operators import access, documents, registry
 from skyseries.operators.upsert import latest_wins
-from skyseries.plans import audits, read_api
+from skyseries.plans import audits, qc_ingest, read_api
 from skyseries.plans.bulk_load import audit_store, bulk_load
 from skyseries.plans.ingest import ingest_batch
 from skyseries.plans.qc_ingest import qc_batch
@@ -269,8 +269,10 @@ def test_ranges_are_data(spark, tmp_path):
     assert again.ranges == [1900, 1950, 2100] and again.log("data").select("obs_bucket").distinct().count() == 2
     late = datetime(2049, 1, 1, tzinfo=timezone.utc)
     assert again.values("data", late).count() == 1
-    split = again.compact_into(f"{tmp_path}/split", ranges=[1900, 2000, 2040, 2060])
-    assert sorted(r.obs_bucket for r in split.log("data").collect()) == [1900, 2040] and split.values("data", late).count() == 1
+    write(again, 1, (2, datetime(2050, 1, 1), 2.0))
+    for upto in (0, 1):
+        split = again.compact_into(f"{tmp_path}/split{upto}", upto=upto, ranges=[1900, 2000, 2040, 2060])
+        assert sorted(r.obs_bucket for r in split.log("data").collect()) == [1900, 2040, 2040] and split.values("data", late).count() == 2
 
 
 def test_a_load_makes_its_values_once(spark, store):
@@ -313,7 +315,8 @@ def test_topic_records_are_numbered_by_arrival(spark):
     assert [r.value for r in found.orderBy("message_seq").collect()] == ["e", "b", "a", "c", "d"]
 
 
-def test_control_records_find_their_series_in_their_buckets(spark, store):
+def test_control_records_find_their_series_in_their_buckets(spark, store, monkeypatch):
+    monkeypatch.setattr(qc_ingest, "FEW_SERIES", 0)
     side = side_tables(spark)
     ingest_batch(store, messages(spark, message(20001, 12, ["RR_1", "RR_1(2,3)"], NEW_YEAR, HOUR, 1)), side, 0)
     text = ('<?xml?><checked><station val="20001"><typeid val="12"><obstime val="2024-01-01 00:00:00"><tbtime val="">'
