@@ -192,12 +192,13 @@ class _Stream:
         """Pieces of all sequences of the best cuts; unless ``last``, the two last windows stay for the next run."""
         ids = np.concatenate([d[2] for d in self.docs])
         ends = np.cumsum([len(d[2]) for d in self.docs])
-        sentence = np.flatnonzero(self.closing[ids]) + 1
-        penalty = {int(p): INNER_CUT for p in range(GRID, len(ids), GRID)}
-        penalty.update(dict.fromkeys(sentence.tolist(), SENTENCE_CUT))
-        penalty.update(dict.fromkeys(ends.tolist(), 0))
-        places = sorted(penalty)
-        cuts = [([0, *places])[i] for i in best_cuts([0, *places], [0, *(penalty[p] for p in places)], self.window)]
+        penalty = np.full(len(ids) + 1, -1, np.int8)
+        penalty[::GRID] = INNER_CUT
+        penalty[1:][self.closing[ids]] = SENTENCE_CUT
+        penalty[ends] = penalty[0] = 0
+        places = np.flatnonzero(penalty >= 0)
+        found = places.tolist()
+        cuts = [found[i] for i in best_cuts(found, penalty[places].tolist(), self.window)]
         if not last:
             cuts = cuts[:-2] if len(cuts) > 3 else cuts[:1]
         done, out = cuts[-1], []
