@@ -13,12 +13,15 @@ Long conversations are cut into blocks of ``BLOCK`` rows. The blocks are solved
 prices of the next as the costs of its exits, which is exact and keeps the work in proportion to the rows.
 """
 
+import hashlib
 from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from skyseries.llm.frames import by_bytes
+
 #: Costs of the edits, and what a kept or re-roled row with a cut-off text adds.
 REROLE, DELETE, INSERT, CUT_OFF = 2, 3, 2, 1
 #: Rows that are solved at a time.
@@ -167,12 +170,13 @@ def repaired(turns: DataFrame) -> DataFrame:
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit(" ")).alias(c)
     present = F.col("present") if "present" in turns.columns else F.lit(True)
     rows = turns.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), text("role"), text("text"), present.alias("present"))
-    same = Window.partitionBy("conv_id", "present", "role", F.sha2("text", 256)).orderBy(F.asc_nulls_first("turn"))
+    # Equal rows may tie in their place; the later place is the copy.
+    same = Window.partitionBy("conv_id", "present", "role", F.sha2("text", 256)).orderBy("at")
     # Absent rows come first, so they are nobody's neighbours.
     whole = Window.partitionBy("conv_id").orderBy("present", F.asc_nulls_first("turn"), "role", "text")
     initial = F.substring("role", 1, 1)
-    rows = rows.withColumn("fault", _faults(F.row_number().over(same)))
     rows = rows.withColumns({"at": F.row_number().over(whole), "pair": F.concat(F.lag(F.when(F.col("present"), initial)).over(whole), initial)})
+    rows = rows.withColumn("fault", _faults(F.row_number().over(same)))
     known = F.when(initial.isin(*_INITIALS), initial).otherwise(F.lit("o"))
     sign = F.when(F.col("fault").isin("b", "d"), F.lit("x")).when(F.col("fault") == "t", F.upper(known)).otherwise(known)
     illegal = F.coalesce(~F.col("pair").isin("su", "ua", "au"), F.lit(False))
@@ -241,7 +245,7 @@ def _results(batches):
                 yield now.summary()
             yield from now.inserted()
 
-    for batch in batches:
+    for batch in by_bytes(batches, "own"):
         for conv_id, second, turn, role, text, fault, sign, illegal in zip(*[c.to_pylist() for c in batch.columns]):
             if now is None or conv_id != now.conv_id:
                 yield from ended()
@@ -281,11 +285,9 @@ _DIGEST = pa.schema([_OUT.field("conv_id"), *[f for f in _OUT if f.name in SUMMA
 
 
 def _digest(batches):
-    import hashlib
-
     def rows():
         head = sha = None
-        for batch in batches:
+        for batch in by_bytes(batches, "text"):
             for row in zip(*[c.to_pylist() for c in batch.columns]):
                 if row[1] == 0:
                     if head is not None:

@@ -109,9 +109,8 @@ damaged as (
   select conv_id, turn, case h when 4 then 'user' else r end r, case h when 1 then '' when 2 then regexp_replace(t, '[.!?]', '', 'g') else t end t
   from hashed, unnest(case h when 0 then [] when 3 then [1, 2] else [1] end) as u(copy)),
 placed as (
-  select *, row_number() over (partition by conv_id order by turn nulls first, r, t) i,
-    row_number() over (partition by conv_id, r, t order by turn nulls first) seen,
-    lag(r[1]) over (partition by conv_id order by turn nulls first, r, t) || r[1] pair from damaged),
+  select *, row_number() over (partition by conv_id, r, t order by i) seen, lag(r[1]) over (partition by conv_id order by i) || r[1] pair
+  from (select *, row_number() over (partition by conv_id order by turn nulls first, r, t) i from damaged)),
 faulted as (
   select *, case when not regexp_matches(t, '[^\x20\x09-\x0D]') then 'b' when seen > 1 then 'd'
     when not regexp_matches(t, '[.!?][\x20\x09-\x0D]*\z') then 't' else 'k' end f from placed),
