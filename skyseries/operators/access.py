@@ -8,7 +8,7 @@ does; without that the series is closed. Permit 1 means open.
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from skyseries.functions.times import range_start
+from skyseries.functions.times import MOST_RANGES, range_start
 from skyseries.operators.skew import lookup_join
 
 OPEN_PERMIT = 1
@@ -72,6 +72,8 @@ def open_as_of(observations: DataFrame, arrival: str, versions: list, param_perm
     (0, 1, ...). An observation finds its version by binary search, and each key is looked up once for each version it has
     arrived under. What came before the first version is closed.
     """
+    if len(versions) > MOST_RANGES:
+        raise ValueError(f"at most {MOST_RANGES} versions go into one plan, {len(versions)} were given")
     version = range_start(F.col(arrival), versions)
     numbers = F.create_map(*[F.lit(x) for i, start in enumerate(versions) for x in (start, i)])
     known = observations.withColumn("version", numbers[version])

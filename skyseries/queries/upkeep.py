@@ -266,10 +266,10 @@ from lineitem group by 1"""
 
 
 def latest_export(spark, sf_dir):
-    """The newest value of every series as parts of a few rows; put together they are in the order of the series."""
+    """The newest value of every series as parts of bounded size; put together they are in the order of the series."""
     newest = hours_of(spark, sf_dir, "true").groupBy("timeseries").agg(F.max("obstime").alias("obstime"), F.max_by("obsvalue", "obstime").alias("obsvalue"))
     labels = labels_of(spark, sf_dir, "true").select("timeseries", F.col("station_id").cast("int").alias("station_id"), F.lit(None).cast(schema.LOCATION).alias("loc"))
-    parts = documents.latest_documents(newest.join(labels, "timeseries"), part_rows=100)
+    parts = documents.latest_documents(newest.join(labels, "timeseries"), part_rows=2000)
     sizes = parts.select("part_no", F.size("data").alias("n"))
     before = Window.orderBy("part_no").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("part_no", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("offset"))

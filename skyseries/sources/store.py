@@ -140,12 +140,12 @@ class Store:
         self._create(f"_streams/{name}-{first}")
         return first
 
-    def side_versions(self) -> dict[int, int]:
-        """The version of the side tables that each batch of a stream saw."""
-        return {int(b): int(v) for b, v in (name.split("-") for name in self._names("_sides"))}
+    def side_versions(self, family: str) -> dict[int, int]:
+        """The version of the side tables that each batch of a family's stream saw."""
+        return {int(b): int(v) for b, v in (name.split("-") for name in self._names(f"_sides/{family}"))}
 
-    def mark_side_version(self, batch: int, version: int) -> None:
-        self._create(f"_sides/{batch}-{version}")
+    def mark_side_version(self, family: str, batch: int, version: int) -> None:
+        self._create(f"_sides/{family}/{batch}-{version}")
 
     def top_id(self) -> int:
         """The largest series id that was given, from the markers alone."""

@@ -36,18 +36,19 @@ class Refreshed:
 
 
 class Versions:
-    """Side tables as versions in a store: `sides/version=<v>/<table>`, and a marker per batch of the version it saw.
+    """Side tables as versions in a store: `sides/<family>/version=<v>/<table>`, and a marker per batch of the one it saw.
 
     A version is complete before a batch is marked with it, and is never changed.
     """
 
-    def __init__(self, root: str, load: Callable[[], SideTables], minutes: float = REFRESH_MINUTES, clock: Callable = time.monotonic):
-        self._root, self._load, self._seconds, self._clock = root, load, minutes * 60, clock
+    def __init__(self, root: str, load: Callable[[], SideTables], minutes: float = REFRESH_MINUTES, clock: Callable = time.monotonic,
+                 family: str = "observations"):
+        self._root, self._load, self._seconds, self._clock, self._family = f"{root}/sides/{family}", load, minutes * 60, clock, family
         self._loaded_at = None
 
     def of_batch(self, store: Store, batch: int) -> SideTables:
         """The version that a batch saw when it arrived; a batch that arrives now sees the newest, or a new one."""
-        seen = store.side_versions()
+        seen = store.side_versions(self._family)
         now = self._clock()
         if batch in seen:
             return self._read(store, seen[batch])
@@ -55,15 +56,15 @@ class Versions:
             version = 1 + max(seen.values(), default=0)
             side = self._load()
             for f in fields(SideTables):
-                getattr(side, f.name).write.mode("overwrite").parquet(f"{self._root}/sides/version={version}/{f.name}")
+                getattr(side, f.name).write.mode("overwrite").parquet(f"{self._root}/version={version}/{f.name}")
             self._loaded_at = now
         else:
             version = max(seen.values())
-        store.mark_side_version(batch, version)
+        store.mark_side_version(self._family, batch, version)
         return self._read(store, version)
 
     def _read(self, store: Store, version: int) -> SideTables:
-        path = f"{self._root}/sides/version={version}"
+        path = f"{self._root}/version={version}"
         return SideTables(**{f.name: store.spark.read.parquet(f"{path}/{f.name}") for f in fields(SideTables)})
 
 
@@ -120,10 +121,11 @@ def qc_stream(store: Store, messages: DataFrame, checkpoint: str, first_batch: i
 
     Batches are numbered as by `ingest_stream`, among those of control records.
     """
-    tables = Refreshed(Held(messages.sparkSession, side) if side else lambda: None, refresh_minutes)
+    versions = Versions(store.root, side, refresh_minutes, family="control") if side else None
     first = first_batch if first_batch is not None else store.stream_start(checkpoint, "control") if checkpoint else 0
 
     def run(df, batch_id):
-        qc_batch(Store(df.sparkSession, store.root), df, first + batch_id, tables.get(), retry)
+        own = Store(df.sparkSession, store.root)
+        qc_batch(own, df, first + batch_id, versions.of_batch(own, first + batch_id) if versions else None, retry)
 
     return _start(messages, run, checkpoint, trigger)
