@@ -63,12 +63,13 @@ def ingest_batch(store: Store, messages: DataFrame, side: SideTables, batch: int
         ids = side.params.select("param_code", F.col("id").alias("param_id"))
         typed = lookup_join(rows, ids, ["param_code"], "inner", sliced=sliced)
         seen = registry.distinct_series(typed, written_order())
-        flags = access.open_flags(seen.select(*access.KEY).distinct(), side.param_permits, side.station_permits, sliced)
-        opened = seen.join(flags.where("is_open").drop("is_open"), access.KEY, "left_semi")
-        with session.staged(opened, "keys") as keys:
+        # The values are passed once for the keys and once for the join; what follows from the keys is small.
+        with session.staged(seen, "keys") as keys:
+            flags = access.open_flags(keys.select(*access.KEY).distinct(), side.param_permits, side.station_permits, sliced)
+            opened = keys.join(flags.where("is_open").drop("is_open"), access.KEY, "left_semi")
             registered = store.registry(buckets=registry.buckets_of(keys))
-            known = known_series(registered, keys)
-            new = new_series(store, keys, known)
+            known = known_series(registered, opened)
+            new = new_series(store, opened, known)
             # One row per tuple. Ids follow from the keys alone, so both uses of the new ones give the same.
             wanted = known.unionByName(new.select(*registry.SOURCE_KEY, "timeseries"))
             labelled = lookup_join(typed, wanted, registry.SOURCE_KEY, "inner", registry.NULLABLE, sliced)
