@@ -71,10 +71,13 @@ def resolve_series(observations: DataFrame, registry: DataFrame, sliced: bool =
     return lookup_join(observations, lookup, SOURCE_KEY, null_safe=NULLABLE, sliced=sliced)
 
 
-def resolve_met(records: DataFrame, labels_met: DataFrame, sliced: bool = False) -> DataFrame:
-    """Add `timeseries` to control records: the smallest id with this label tuple, NULL without one."""
+def resolve_met(records: DataFrame, labels_met: DataFrame, sliced: bool = False, stored: bool = False) -> DataFrame:
+    """Add `timeseries` to control records: the smallest id with this label tuple, NULL without one.
+
+    Only a ``stored`` registry, of which the planner knows the size from its files, may be broadcast.
+    """
     lookup = labels_met.groupBy(*MET_KEY).agg(F.min("timeseries").alias("timeseries"))
-    return lookup_join(records, lookup, MET_KEY, null_safe=NULLABLE, sliced=sliced)
+    return lookup_join(records, lookup, MET_KEY, null_safe=NULLABLE, sliced=sliced, shuffled=not stored)
 
 
 def timeseries_table(registry: DataFrame) -> DataFrame:

@@ -18,19 +18,23 @@ def keys_equal(left: str, right: str, on, null_safe=()) -> Column:
     return reduce(lambda a, b: a & b, tests)
 
 
-def lookup_join(facts, lookup, on, how="left", null_safe=(), sliced: bool = False, rows_per_task=ROWS_PER_TASK):
+def lookup_join(facts, lookup, on, how="left", null_safe=(), sliced: bool = False, rows_per_task=ROWS_PER_TASK,
+                shuffled: bool = False):
     """Join many fact rows to a lookup frame that has at most one row per key.
 
     The planner chooses by the bytes it sees, before and while the query runs: a small lookup side is broadcast, a larger
     one is joined by shuffle, and tasks that turn out large are split. ``sliced`` does the splitting beforehand, for
     plans in which that cannot be done at run time: every key with more than ``rows_per_task`` fact rows is cut into
     slices, by a hash of the fact row and the partition it stands in, so that equal rows part as well; its lookup row is
-    repeated once per slice. ``how`` is inner, left, left_semi or left_anti.
+    repeated once per slice. ``how`` is inner, left, left_semi or left_anti. ``shuffled`` joins by shuffle in any case: for
+    lookup frames whose size the planner takes for far smaller than it is, such as those that were exploded.
     """
     extra = [c for c in lookup.columns if c not in on]
     if how in ("left_semi", "left_anti"):
         extra = []
     kept = [F.col(f"f.{c}") for c in facts.columns] + [F.col(f"l.{c}") for c in extra]
+    if shuffled:
+        lookup = lookup.hint("merge")
     if not sliced:
         return facts.alias("f").join(lookup.alias("l"), keys_equal("f", "l", on, null_safe), how).select(*kept)
 
@@ -53,6 +57,8 @@ def lookup_join(facts, lookup, on, how="left", null_safe=(), sliced: bool = Fals
     sliced_lookup = with_slices(lookup).withColumn(
         "slice", F.explode(F.sequence(F.lit(0), F.col("slices") - 1))
     )
+    if shuffled:
+        sliced_lookup = sliced_lookup.hint("merge")
     joined = sliced_facts.alias("f").join(
         sliced_lookup.alias("l"), keys_equal("f", "l", [*on, "slice"], null_safe), how
     )

@@ -56,7 +56,7 @@ def qc_batch(store: Store, messages: DataFrame, batch: int, side: SideTables | N
         both = records.unionByName(older.select(*records.columns))
         # Finding the buckets takes a pass over the records, which a small registry is not worth.
         buckets = buckets_of(both) if store.top_id() > FEW_SERIES else None
-        resolved = resolve_met(both, store.labels_met(buckets), sliced)
+        resolved = resolve_met(both, store.labels_met(buckets), sliced, stored=True)
         with session.staged(resolved, "resolved") as resolved:
             misses = closed_records(resolved.where(F.col("timeseries").isNull() & (F.col("arrival") == arrival)), side)
             null = F.lit(None).cast("int")

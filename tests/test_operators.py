@@ -133,6 +133,28 @@ def test_ids_are_dense_and_repeatable(spark):
         assert all(r.timeseries == plain[r.station_id, r.param_code, r.lvl] for r in resolved)
 
 
+def exploded_registry(spark):
+    """A registry that the planner takes for a single small row, and one observation of it."""
+    labels = spark.range(1).select(
+        F.explode(F.sequence(F.lit(1), F.lit(2000))).alias("station_id"), F.lit(501).alias("type_id"), F.lit("TA").alias("param_code"),
+        F.lit(211).alias("param_id"), F.lit(None).cast("int").alias("lvl"), F.lit(None).cast("int").alias("sensor"),
+    )
+    return labels.withColumn("timeseries", F.col("station_id").cast("bigint") * 10), labels.where("station_id in (7, 2000)")
+
+
+def last_join(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return next(line for line in plan.splitlines() if "Join" in line)
+
+
+@pytest.mark.parametrize("sliced", [False, True])
+def test_control_records_meet_an_exploded_registry_by_shuffle(spark, sliced):
+    labels, records = exploded_registry(spark)
+    found = registry.resolve_met(records, labels, sliced)
+    assert "SortMergeJoin" in last_join(found)
+    assert sorted(r.timeseries for r in found.collect()) == [70, 20000]
+
+
 def test_start_of_a_series_is_its_first_processed_time(spark):
     data = [(1, 501, "TA", 211, None, None, datetime(2024, 1, 2), 10), (1, 501, "TA", 211, None, None, datetime(2024, 1, 1), 11)]
     df = spark.createDataFrame(
