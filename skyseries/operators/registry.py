@@ -65,17 +65,17 @@ def assign_ids(keys: DataFrame, after: int = 0, columns=SOURCE_KEY) -> DataFrame
     )
 
 
-def resolve_series(observations: DataFrame, registry: DataFrame, sliced: bool = False) -> DataFrame:
-    """Add `timeseries` by label tuple, NULL when the tuple is not registered."""
+def resolve_series(observations: DataFrame, registry: DataFrame, sliced: bool = False, stored: bool = False) -> DataFrame:
+    """Add `timeseries` by label tuple, NULL when the tuple is not registered.
+
+    Only a ``stored`` registry, of which the planner knows the size from its files, may be broadcast.
+    """
     lookup = registry.groupBy(*SOURCE_KEY).agg(F.min("timeseries").alias("timeseries"))
-    return lookup_join(observations, lookup, SOURCE_KEY, null_safe=NULLABLE, sliced=sliced)
+    return lookup_join(observations, lookup, SOURCE_KEY, null_safe=NULLABLE, sliced=sliced, shuffled=not stored)
 
 
 def resolve_met(records: DataFrame, labels_met: DataFrame, sliced: bool = False, stored: bool = False) -> DataFrame:
-    """Add `timeseries` to control records: the smallest id with this label tuple, NULL without one.
-
-    Only a ``stored`` registry, of which the planner knows the size from its files, may be broadcast.
-    """
+    """Add `timeseries` to control records: the smallest id with this label tuple, NULL without one; see `resolve_series`."""
     lookup = labels_met.groupBy(*MET_KEY).agg(F.min("timeseries").alias("timeseries"))
     return lookup_join(records, lookup, MET_KEY, null_safe=NULLABLE, sliced=sliced, shuffled=not stored)
 

@@ -155,6 +155,14 @@ def test_control_records_meet_an_exploded_registry_by_shuffle(spark, sliced):
     assert sorted(r.timeseries for r in found.collect()) == [70, 20000]
 
 
+@pytest.mark.parametrize("sliced", [False, True])
+def test_observations_meet_an_exploded_registry_by_shuffle(spark, sliced):
+    labels, observations = exploded_registry(spark)
+    found = registry.resolve_series(observations, labels, sliced)
+    assert "SortMergeJoin" in last_join(found)
+    assert sorted(r.timeseries for r in found.collect()) == [70, 20000]
+
+
 def test_start_of_a_series_is_its_first_processed_time(spark):
     data = [(1, 501, "TA", 211, None, None, datetime(2024, 1, 2), 10), (1, 501, "TA", 211, None, None, datetime(2024, 1, 1), 11)]
     df = spark.createDataFrame(
