@@ -66,11 +66,11 @@ def regular_documents(data: DataFrame, ranges: DataFrame, resolution: str, part_
     `start_time` is that of the first slot of the part. A part is a block of the grid.
     """
     step = step_seconds(resolution, strict)
-    bounds = ranges.select("timeseries", "first", "last")
-    blocks = filled_blocks(bounds, data, step, ["timeseries"], slots_per_block=part_rows, sliced=sliced)
+    # The header goes with the blocks while they are small; an empty range has one block without slots.
+    bounds = ranges.select("timeseries", "first", "last", F.struct(*ranges.columns).alias("head"))
+    blocks = filled_blocks(bounds, data, step, ["timeseries"], slots_per_block=part_rows, sliced=sliced, carried="head")
     start = F.timestamp_micros(F.col("origin") + F.col("block") * (part_rows * step * SECOND_US))
-    # An empty range has one empty document.
-    joined = ranges.join(blocks, "timeseries", "left")
+    joined = blocks.select("head.*", "origin", "block", "data")
     n_parts = floor_div(micros(F.col("last")) - micros(F.col("first")), part_rows * step * SECOND_US) + 1
     return joined.select(
         "timeseries",

@@ -88,6 +88,25 @@ def test_regular_series(scenarios, name):
         assert (answer["header"]["sensor"], answer["header"]["lvl"]) == expected_ids
 
 
+def test_regular_documents_of_empty_and_nameless_ranges(spark):
+    day = [NEW_YEAR + i * 24 * HOUR for i in range(5)]
+    ranges = [(1, day[0], day[4]), (2, day[3], day[1]), (None, day[0], day[2]), (3, None, None), (4, day[0], day[0])]
+    heads = spark.createDataFrame(ranges, "timeseries bigint, first timestamp, last timestamp").selectExpr(
+        "*", "first as fromtime", "last as totime", "timeseries as station_id", "1 as param_id", "null as lvl", "null as sensor", "null as loc",
+    )
+    values = spark.createDataFrame([(1, day[3], 4.0), (1, day[0], 1.0), (None, day[0], 9.0), (2, day[3], 9.0)], "timeseries bigint, obstime timestamp, obsvalue double")
+    found = documents.regular_documents(values, heads, "P1D", part_rows=2)
+    # Filled arrays are joined to nothing: values meet their ranges, then their blocks.
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert sum("Join" in line for line in plan.splitlines()) == 2
+    got = {(r.timeseries, r.part_no): (r.n_parts, r.data, r.start_time) for r in found.collect()}
+    assert got == {
+        (1, 0): (3, [1.0, None], "2024-01-01T00:00:00Z"), (1, 1): (3, [None, 4.0], "2024-01-03T00:00:00Z"),
+        (1, 2): (3, [None], "2024-01-05T00:00:00Z"), (2, 0): (1, [], "2024-01-04T00:00:00Z"),
+        (None, 0): (2, [], "2024-01-01T00:00:00Z"), (3, 0): (1, [], None), (4, 0): (1, [None], "2024-01-01T00:00:00Z"),
+    }
+
+
 @pytest.mark.parametrize("station, param", [(99999, 211), (20001, 999)])
 def test_unknown_series_is_an_error(scenarios, station, param):
     with pytest.raises(ValueError):
