@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyseries import schema
-from skyseries.functions.times import bucket_filter, obs_bucket, rfc3339
+from skyseries.functions.times import bucket_filter, obs_bucket, rfc3339, utc_date
 from skyseries.operators import access, grid, integrity, registry, skew, synth
 from skyseries.operators.series import series_headers, with_range
 from skyseries.operators.upsert import latest_wins, packed_order
@@ -163,6 +163,13 @@ def test_observations_meet_an_exploded_registry_by_shuffle(spark, sliced):
     assert sorted(r.timeseries for r in found.collect()) == [70, 20000]
 
 
+def test_dates_are_those_of_the_calendar(spark):
+    edges = [datetime(y, m, d, *t) for y in (1899, 1950, 1969, 1970, 2000, 2024, 2100) for m, d, t in (
+        (1, 1, ()), (2, 28, (23, 59, 59, 999999)), (3, 1, ()), (12, 31, ()), (12, 31, (23, 59, 59, 999999)))]
+    df = spark.createDataFrame([(t,) for t in [*edges, None]], "t timestamp")
+    assert [r[0] for r in df.select(utc_date(F.col("t"))).collect()] == [*[t.date() for t in edges], None]
+
+
 def test_start_of_a_series_is_its_first_processed_time(spark):
     data = [(1, 501, "TA", 211, None, None, datetime(2024, 1, 2), 10), (1, 501, "TA", 211, None, None, datetime(2024, 1, 1), 11)]
     df = spark.createDataFrame(
