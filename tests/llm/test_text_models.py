@@ -70,6 +70,20 @@ def test_best_paths_in_the_order_of_their_scores(lattice, text):
     assert all(lattice.decode(ids) == text for _, ids in found)
 
 
+def test_n_best_is_one_search_over_the_whole_text(lattice, monkeypatch):
+    text, searched, forward = "of the naïve\nthing  12 漢", [], lattice.forward
+    monkeypatch.setattr(lattice, "forward", lambda unit: searched.append(unit) or forward(unit))
+    found = lattice.n_best(text, 40)
+    assert searched == [N.SPACE + text.replace(" ", N.SPACE)]
+    assert len({tuple(ids) for _, ids in found}) == 40 and [s for s, _ in found] == sorted((s for s, _ in found), reverse=True)
+    # The units of the text give the same two.
+    units = [lattice.unit_best(u, 2) for u in N.units(text)]
+    best = sum(u[0][0] for u in units)
+    assert found[0][0] == pytest.approx(best) and found[0][1] == [i for u in units for i in u[0][1]]
+    assert found[1][0] == pytest.approx(best - min(u[0][0] - u[1][0] for u in units if len(u) > 1))
+    assert lattice.n_best("", 3) == [(0.0, [])]
+
+
 def test_many_units_at_once_are_searched_like_each_alone(lattice, monkeypatch):
     monkeypatch.setattr(N, "TOGETHER", 50)
     rng = random.Random(11)
