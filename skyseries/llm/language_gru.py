@@ -58,6 +58,8 @@ class Direction:
 
     def forward(self, codes: np.ndarray, keep: bool = False):
         """States (time, windows, units) for codes (time, windows); with ``keep`` also what the way back needs."""
+        if not keep:
+            return self._states(codes)
         length, n = codes.shape
         units = len(self.bias)
         out = np.empty((length, n, units), self.table.dtype)
@@ -70,10 +72,38 @@ class Direction:
             inner = own[:, 2 * units:] + self.bias
             new = np.tanh(x[:, 2 * units:] + reset * inner)
             out[t] = new + update * (h - new)
-            if keep:
-                kept.append((h, reset, update, inner, new))
+            kept.append((h, reset, update, inner, new))
             h = out[t]
-        return (out, kept) if keep else out
+        return out, kept
+
+    def _states(self, codes: np.ndarray) -> np.ndarray:
+        """The states alone: the same numbers from tables of one gate each, so that every pass runs over whole arrays."""
+        (length, n), units = codes.shape, len(self.bias)
+        # Halves are exact, so the gates take theirs before the sum instead of after it.
+        half = np.repeat(np.array([0.5, 0.5, 1], self.table.dtype), units)
+        tables = [np.ascontiguousarray(a) for a in np.split(self.table * half, 3, axis=1)]
+        state, all_own = self.state * half, np.empty((n, 3 * units), self.table.dtype)
+        bias, codes = np.tile(self.bias, (n, 1)), codes.astype(np.intp)
+        out = np.empty((length, n, units), self.table.dtype)
+        h, (reset, update, new, own) = np.zeros((n, units), self.table.dtype), np.empty((4, n, units), self.table.dtype)
+        for t in range(length):
+            # One product for all gates, as in fitting: others may round otherwise.
+            np.matmul(h, state, out=all_own)
+            for i, gate in enumerate((reset, update)):
+                tables[i].take(codes[t], axis=0, out=gate, mode="clip")
+                gate += all_own[:, i * units: (i + 1) * units]
+                np.tanh(gate, out=gate)
+                gate *= _F32(0.5)
+                gate += _F32(0.5)
+            np.add(all_own[:, 2 * units:], bias, out=own)
+            own *= reset
+            tables[2].take(codes[t], axis=0, out=new, mode="clip")
+            new += own
+            np.tanh(new, out=new)
+            np.subtract(h, new, out=own)
+            own *= update
+            h = np.add(new, own, out=out[t])
+        return out
 
     def backward(self, codes, kept, d_out):
         """Gradients of the three arrays, from those of the states."""
@@ -144,7 +174,11 @@ class Network:
         scores = (ahead.reshape(-1, units) @ self.weights[:units]).reshape(*ahead.shape[:2], -1)
         scores += (back.reshape(-1, units) @ self.weights[units:]).reshape(scores.shape)
         scores += self.bias
-        scores -= scores.max(axis=2, keepdims=True)
+        # The languages are few: one pass for each is cheaper than many short ones.
+        most = scores[:, :, 0].copy()
+        for own in range(1, scores.shape[2]):
+            np.maximum(most, scores[:, :, own], out=most)
+        scores -= most[:, :, None]
         np.exp(scores, out=scores)
         scores /= scores.sum(axis=2, keepdims=True)
         return scores

@@ -125,3 +125,13 @@ def test_held_out_accuracy(spark):
     rows = L.predicted(docs, L.train(docs)).where(L.held_out(F.col("doc_id"))).where("length(text) > 40 and lang is not null").collect()
     assert len(rows) > 200
     assert sum(r.lang_pred == r.lang for r in rows) > 0.98 * len(rows)
+
+
+@pytest.mark.parametrize("windows", [1, 3, 200])
+def test_states_are_the_same_numbers_as_in_fitting(windows):
+    rng = np.random.default_rng(windows)
+    direction = L.Direction.new(rng)
+    direction.bias += rng.normal(size=L.UNITS).astype(np.float32)
+    codes = rng.integers(0, 256, (20, windows)).astype(np.uint8)
+    kept, _ = direction.forward(codes, keep=True)
+    assert (direction._states(codes) == kept).all()
