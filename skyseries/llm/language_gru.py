@@ -34,15 +34,6 @@ TOGETHER = 1024
 _F32 = np.float32
 
 
-def _sigmoid(x):
-    # One tanh is cheaper than an exponential and a division.
-    x *= _F32(0.5)
-    np.tanh(x, out=x)
-    x *= _F32(0.5)
-    x += _F32(0.5)
-    return x
-
-
 @dataclass
 class Direction:
     """A gated recurrent network: ``table`` holds what each byte adds to the gates, ``state`` what each unit adds."""
@@ -60,49 +51,47 @@ class Direction:
         """States (time, windows, units) for codes (time, windows); with ``keep`` also what the way back needs."""
         if not keep:
             return self._states(codes)
-        length, n = codes.shape
-        units = len(self.bias)
-        out = np.empty((length, n, units), self.table.dtype)
-        h, kept = np.zeros((n, units), self.table.dtype), []
-        for t in range(length):
-            x = self.table.take(codes[t], axis=0)
-            own = h @ self.state
-            gates = _sigmoid(x[:, : 2 * units] + own[:, : 2 * units])
-            reset, update = gates[:, :units], gates[:, units:]
-            inner = own[:, 2 * units:] + self.bias
-            new = np.tanh(x[:, 2 * units:] + reset * inner)
-            out[t] = new + update * (h - new)
-            kept.append((h, reset, update, inner, new))
-            h = out[t]
-        return out, kept
-
-    def _states(self, codes: np.ndarray) -> np.ndarray:
-        """The states alone: the same numbers from tables of one gate each, so that every pass runs over whole arrays."""
-        (length, n), units = codes.shape, len(self.bias)
-        # Halves are exact, so the gates take theirs before the sum instead of after it.
-        half = np.repeat(np.array([0.5, 0.5, 1], self.table.dtype), units)
-        tables = [np.ascontiguousarray(a) for a in np.split(self.table * half, 3, axis=1)]
-        state, all_own = self.state * half, np.empty((n, 3 * units), self.table.dtype)
-        bias, codes = np.tile(self.bias, (n, 1)), codes.astype(np.intp)
-        out = np.empty((length, n, units), self.table.dtype)
-        h, (reset, update, new, own) = np.zeros((n, units), self.table.dtype), np.empty((4, n, units), self.table.dtype)
-        for t in range(length):
-            # One product for all gates, as in fitting: others may round otherwise.
-            np.matmul(h, state, out=all_own)
-            for i, gate in enumerate((reset, update)):
-                tables[i].take(codes[t], axis=0, out=gate, mode="clip")
-                gate += all_own[:, i * units: (i + 1) * units]
-                np.tanh(gate, out=gate)
-                gate *= _F32(0.5)
-                gate += _F32(0.5)
-            np.add(all_own[:, 2 * units:], bias, out=own)
-            own *= reset
-            tables[2].take(codes[t], axis=0, out=new, mode="clip")
-            new += own
-            np.tanh(new, out=new)
-            np.subtract(h, new, out=own)
-            own *= update
-            h = np.add(new, own, out=out[t])
+        kept = []
+        return self._states(codes, kept), kept
+
+    def _states(self, codes: np.ndarray, kept: list | None = None) -> np.ndarray:
+        """The states, by the same passes over whole arrays in fitting and in reading; ``kept`` takes what the way back needs.
+
+        A gate is 1 / (1 + exp(-x)) and is never made: what it would multiply is divided by 1 + exp(-x). The candidate
+        tanh(x) is 1 - 2 / (1 + exp(2 x)), as an exponential costs half as much as a tanh. Beyond the range of the numbers
+        both come out as their limits.
+        """
+        (length, n), units, kind = codes.shape, len(self.bias), self.table.dtype
+        # Signs and doubling are exact. Tables and products of one gate each, so that no pass has gaps.
+        scale = np.repeat(np.array([-1, -1, 2], kind), units)
+        tables = [np.ascontiguousarray(a) for a in np.split(self.table * scale, 3, axis=1)]
+        state = np.ascontiguousarray((self.state * scale).reshape(units, 3, units).transpose(1, 0, 2))
+        bias, codes = np.tile(2 * self.bias, (n, 1)), codes.astype(np.intp)
+        out, own, gates = np.empty((length, n, units), kind), np.empty((3, n, units), kind), np.empty((2, n, units), kind)
+        h, new, inner = np.zeros((n, units), kind), np.empty((n, units), kind), own[2]
+        with np.errstate(over="ignore"):
+            for t in range(length):
+                np.matmul(h, state, out=own)
+                for table, gate in zip(tables, gates):
+                    table.take(codes[t], axis=0, out=gate, mode="clip")
+                gates += own[:2]
+                np.exp(gates, out=gates)
+                gates += 1
+                inner += bias
+                if kept is not None:
+                    before, reset, update, unscaled = h, 1 / gates[0], 1 / gates[1], inner / 2
+                inner /= gates[0]
+                tables[2].take(codes[t], axis=0, out=new, mode="clip")
+                new += inner
+                np.exp(new, out=new)
+                new += 1
+                np.divide(-2, new, out=new)
+                new += 1
+                if kept is not None:
+                    kept.append((before, reset, update, unscaled, new.copy()))
+                np.subtract(h, new, out=inner)
+                inner /= gates[1]
+                h = np.add(new, inner, out=out[t])
         return out
 
     def backward(self, codes, kept, d_out):
@@ -171,17 +160,14 @@ class Network:
         back = self.back.forward(codes[::-1] if full else _mirrored(codes, sizes))
         back = back[::-1] if full else self._turned(back, sizes)
         units = ahead.shape[2]
-        scores = (ahead.reshape(-1, units) @ self.weights[:units]).reshape(*ahead.shape[:2], -1)
-        scores += (back.reshape(-1, units) @ self.weights[units:]).reshape(scores.shape)
-        scores += self.bias
-        # The languages are few: one pass for each is cheaper than many short ones.
-        most = scores[:, :, 0].copy()
-        for own in range(1, scores.shape[2]):
-            np.maximum(most, scores[:, :, own], out=most)
-        scores -= most[:, :, None]
+        # One row for each language, so that all passes run along the positions.
+        scores = self.weights[:units].T @ ahead.reshape(-1, units).T
+        scores += self.weights[units:].T @ back.reshape(-1, units).T
+        scores += self.bias[:, None]
+        scores -= scores.max(axis=0)
         np.exp(scores, out=scores)
-        scores /= scores.sum(axis=2, keepdims=True)
-        return scores
+        scores /= scores.sum(axis=0)
+        return scores.reshape(-1, *ahead.shape[:2]).transpose(1, 2, 0)
 
     def gradients(self, codes: np.ndarray, sizes: np.ndarray, labels: np.ndarray):
         """Mean loss of all positions and its gradients, in the order of ``arrays``."""

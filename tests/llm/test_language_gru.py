@@ -135,3 +135,23 @@ def test_states_are_the_same_numbers_as_in_fitting(windows):
     codes = rng.integers(0, 256, (20, windows)).astype(np.uint8)
     kept, _ = direction.forward(codes, keep=True)
     assert (direction._states(codes) == kept).all()
+
+
+def test_reading_takes_no_tanh(monkeypatch):
+    network = L.Network.new(["a", "b"], np.random.default_rng(5))
+    texts = pa.array(["one text", "another, longer text " * 20])
+    expected = L.Predictor(precise(network)).probabilities(texts)
+    network = L.Network.new(["a", "b"], np.random.default_rng(5))
+    # It costs as much as two exponentials and took half of all time.
+    monkeypatch.delattr(L.np, "tanh")
+    assert np.allclose(L.Predictor(network).probabilities(texts), expected, atol=1e-5)
+
+
+@pytest.mark.parametrize("size", [-300, 300])
+def test_saturated_gates(size):
+    direction = L.Direction.new(np.random.default_rng(6))
+    direction.table += np.float32(size)
+    found, kept = direction.forward(np.zeros((4, 2), np.uint8), keep=True)
+    assert np.isfinite(found).all() and all(np.isfinite(a).all() for step in kept for a in step)
+    # Low gates take the candidate, high ones keep the zero they began with.
+    assert np.allclose(found, -1 if size < 0 else 0)
