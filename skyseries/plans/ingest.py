@@ -39,6 +39,16 @@ def known_series(registered: DataFrame, keys: DataFrame) -> DataFrame:
     return found.groupBy(*registry.SOURCE_KEY).agg(F.min("timeseries").alias("timeseries"))
 
 
+def with_param_ids(rows: DataFrame, params: DataFrame, few: bool, sliced: bool = False) -> DataFrame:
+    """Values with the id of their parameter.
+
+    A catalogue of ``few`` codes, as `code_sets` bounds them, goes to every task: there are far fewer codes than tasks, so a
+    shuffle by code would bring all values, and all that groups by labels after it, into a handful of tasks.
+    """
+    ids = params.select("param_code", F.col("id").alias("param_id"))
+    return lookup_join(rows, F.broadcast(ids) if few else ids, ["param_code"], "inner", sliced=sliced and not few)
+
+
 def new_series(store: Store, keys: DataFrame, known: DataFrame) -> DataFrame:
     """Registry rows for the tuples of ``keys`` that are not ``known``, numbered after every id of the store."""
     null = F.lit(None)
@@ -60,8 +70,7 @@ def ingest_batch(store: Store, messages: DataFrame, side: SideTables, batch: int
     with session.staged(observations.checked_messages(messages, codes), "decoded") as checked:
         decoded = observations.decode_checked(checked, side.params, codes)
         rows = observations.null_zero_ids(decoded.observations) if zero_ids_are_null else decoded.observations
-        ids = side.params.select("param_code", F.col("id").alias("param_id"))
-        typed = lookup_join(rows, ids, ["param_code"], "inner", sliced=sliced)
+        typed = with_param_ids(rows, side.params, codes is not None, sliced)
         seen = registry.distinct_series(typed, written_order())
         # The values are passed once for the keys and once for the join; what follows from the keys is small.
         with session.staged(seen, "keys") as keys:

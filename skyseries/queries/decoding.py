@@ -174,7 +174,8 @@ def param_lookup(spark, sf_dir):
     catalogue = params(spark, without=("signup",))
     rows = decoded(spark, good_messages(spark, sf_dir), without=("signup",)).observations
     ids = catalogue.select("param_code", F.col("id").alias("param_id"), "element_id")
-    found = lookup_join(rows, ids, ["param_code"], "inner")
+    # Far fewer codes than tasks: the catalogue goes to the values.
+    found = lookup_join(rows, F.broadcast(ids), ["param_code"], "inner")
     return found.select("message_seq", "row_no", "col_no", "param_code", "param_id", "element_id", "is_scalar")
 
 

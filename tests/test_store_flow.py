@@ -10,7 +10,7 @@ from skyseries import schema
 from skyseries.operators import documents
 from skyseries.plans import read_api
 from skyseries.plans.bulk_load import audit_store, bulk_load
-from skyseries.plans.ingest import ingest_batch
+from skyseries.plans.ingest import ingest_batch, with_param_ids
 from skyseries.plans.qc_ingest import qc_batch
 from skyseries.sources.store import Store
 from tests.support import HOUR, MINUTE, NEW_YEAR, PARAM_IDS, STATION_PERMITS, message, messages, rows, side_tables
@@ -403,3 +403,16 @@ def test_bulk_load_stores_or_refuses_every_value(store):
     assert {r.audit: r.n for r in audit_store(store).collect()} == {
         "duplicate_key": 0, "null_key": 0, "uncovered_time": 0, "orphan_series": 1, "orphan_label": 0, "ambiguous_label": 0, "rejected": 3
     }
+
+
+def test_values_stay_where_they_are_when_they_meet_a_small_catalogue(spark):
+    rows_of_one = spark.range(800).repartition(8).select("id", F.lit("TA").alias("param_code"))
+    params = spark.createDataFrame([(211, "TA"), (212, "TB")], "id int, param_code string")
+    # One code: by a shuffle, one task would hold all of it and all groups made after it.
+    assert "Exchange hashpartitioning(param_code" not in with_param_ids(rows_of_one, params, True)._jdf.queryExecution().toString()
+    for few in (True, False):
+        found = with_param_ids(rows_of_one, params, few)
+        assert found.where("param_id = 211").count() == 800 and found.columns == ["id", "param_code", "param_id"]
+    assert with_param_ids(rows_of_one, params, True).select(F.spark_partition_id().alias("p")).distinct().count() == 8
+    assert with_param_ids(rows_of_one, params, True, sliced=True).count() == 800
+    assert with_param_ids(rows_of_one, params.where("id = 212"), True).count() == 0
