@@ -34,6 +34,14 @@ TOGETHER = 1024
 _F32 = np.float32
 
 
+def _sigmoid(x):
+    x *= _F32(0.5)
+    np.tanh(x, out=x)
+    x *= _F32(0.5)
+    x += _F32(0.5)
+    return x
+
+
 @dataclass
 class Direction:
     """A gated recurrent network: ``table`` holds what each byte adds to the gates, ``state`` what each unit adds."""
@@ -50,12 +58,29 @@ class Direction:
     def forward(self, codes: np.ndarray, keep: bool = False):
         """States (time, windows, units) for codes (time, windows); with ``keep`` also what the way back needs."""
         if not keep:
-            return self._states(codes)
-        kept = []
-        return self._states(codes, kept), kept
-
-    def _states(self, codes: np.ndarray, kept: list | None = None) -> np.ndarray:
-        """The states, by the same passes over whole arrays in fitting and in reading; ``kept`` takes what the way back needs.
+            return self._read(codes)
+        length, n = codes.shape
+        units = len(self.bias)
+        out = np.empty((length, n, units), self.table.dtype)
+        h, kept = np.zeros((n, units), self.table.dtype), []
+        for t in range(length):
+            x = self.table.take(codes[t], axis=0)
+            own = h @ self.state
+            gates = _sigmoid(x[:, : 2 * units] + own[:, : 2 * units])
+            reset, update = gates[:, :units], gates[:, units:]
+            inner = own[:, 2 * units:] + self.bias
+            new = np.tanh(x[:, 2 * units:] + reset * inner)
+            out[t] = new + update * (h - new)
+            kept.append((h, reset, update, inner, new))
+            h = out[t]
+        return out, kept
+
+    def _states(self, codes: np.ndarray) -> np.ndarray:
+        """The states alone, the same numbers as in fitting."""
+        return self.forward(codes, keep=True)[0]
+
+    def _read(self, codes: np.ndarray) -> np.ndarray:
+        """The states alone, as those of fitting but for rounding, by passes over whole arrays.
 
         A gate is 1 / (1 + exp(-x)) and is never made: what it would multiply is divided by 1 + exp(-x). The candidate
         tanh(x) is 1 - 2 / (1 + exp(2 x)), as an exponential costs half as much as a tanh. Beyond the range of the numbers
@@ -78,8 +103,6 @@ class Direction:
                 np.exp(gates, out=gates)
                 gates += 1
                 inner += bias
-                if kept is not None:
-                    before, reset, update, unscaled = h, 1 / gates[0], 1 / gates[1], inner / 2
                 inner /= gates[0]
                 tables[2].take(codes[t], axis=0, out=new, mode="clip")
                 new += inner
@@ -87,8 +110,6 @@ class Direction:
                 new += 1
                 np.divide(-2, new, out=new)
                 new += 1
-                if kept is not None:
-                    kept.append((before, reset, update, unscaled, new.copy()))
                 np.subtract(h, new, out=inner)
                 inner /= gates[1]
                 h = np.add(new, inner, out=out[t])
