@@ -1,5 +1,6 @@
 """Stores over time: numbers of groups, key buckets, folds, newest values, versions of side tables, audits of a batch."""
 
+import time
 from datetime import datetime, timedelta, timezone
 
 import pytest
@@ -7,12 +8,14 @@ from pyspark.sql import functions as F
 
 from skyseries import schema
 from skyseries.functions.times import obs_bucket, range_start, range_years
-from skyseries.operators import access, documents, registry
+from skyseries.operators import access, documents, registry, synth
 from skyseries.operators.upsert import latest_wins
 from skyseries.plans import audits, qc_ingest, read_api
+from skyseries.plans import bulk_load as bulk
 from skyseries.plans.bulk_load import audit_store, bulk_load
 from skyseries.plans.ingest import ingest_batch
 from skyseries.plans.qc_ingest import qc_batch
+from skyseries.queries import synthetic
 from skyseries.sources import messages as sources
 from skyseries.sources import store as stores
 from skyseries.sources.store import Store
@@ -324,3 +327,47 @@ def test_control_records_find_their_series_in_their_buckets(spark, store, monkey
     qc_batch(store, spark.createDataFrame([(0, text)], schema.QC_MESSAGES), 0)
     series = {(r.sensor, r.lvl): r.timeseries for r in store.registry().collect()}
     assert [r.timeseries for r in store.values("qc_flags").collect()] == [series[2, 3]]
+
+
+def shuffle_files(spark):
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllBlocks()
+    return {name for name in blocks.mkString("\n").split("\n") if name.startswith("shuffle_")}
+
+
+def test_a_load_in_rounds_stores_the_same_and_leaves_no_shuffle_files(spark, tmp_path):
+    given = [(k, t, float(i)) for i in range(3) for k in (None, *range(1, 9)) for t in (
+        datetime(1949, 12, 31), datetime(1960, 5, 1, i), datetime(2024, 1, 1), datetime(2031, 1, 1), None
+    )]
+    values = spark.createDataFrame(given, VALUES).repartition(3)
+    found = []
+    for rounds in (1, 3):
+        store, before = Store(spark, f"{tmp_path}/{rounds}"), shuffle_files(spark)
+        counts = bulk_load(store, labels(spark, *range(1, 9)), values, 0, rounds=rounds)
+        for _ in range(100):  # files are deleted in the background
+            left = shuffle_files(spark) - before
+            if not left:
+                break
+            time.sleep(0.1)
+        assert not left and spark.conf.get("spark.sql.classic.shuffleDependency.fileCleanup.enabled") == "false"
+        refused = rows(store.log("rejects").select("code", "detail"))
+        found.append((counts, sorted(rows(store.log("data")), key=str), refused, sorted(rows(store.newest()), key=str)))
+    assert found[0] == found[1] and found[0][0] == {"stored": 36, "repeated": 18} and len(found[0][2]) == 81
+
+
+def test_the_synthetic_load_goes_by_rounds_of_bounded_size(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(synthetic, "MEAN_LENGTH", 100)
+    ids = spark.createDataFrame([(1,), (2,), (3,), (3,), (None,)], "c_custkey long")
+    ids.write.parquet(f"{tmp_path}/customer.parquet")
+    specs = synthetic.specs(spark, str(tmp_path))
+    n = specs.agg(F.sum(synth.n_values())).first()[0]
+    assert n == synth.observations(specs).count()
+    once = rows(synthetic.bulk_load_buckets(spark, str(tmp_path)))
+    made = []
+    monkeypatch.setattr(bulk, "ROUND_VALUES", n // 3 + 1)
+    monkeypatch.setattr(Store, "_put", lambda self, *args, put=Store._put, **more: (made.append((args[0], more)), put(self, *args, **more))[1])
+    again = synthetic.bulk_load_buckets(spark, str(tmp_path))
+    assert rows(again) == once
+    assert [m for t, m in made if t == "data"] == [{"more": False}, {"more": True}, {"more": True}]
+    # Stored values are summed up before they meet their labels.
+    plan = again._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("Join Inner") < plan.index("count(1)")
