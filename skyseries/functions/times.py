@@ -54,6 +54,15 @@ def dashed_time(text: Column) -> Column:
     return _parse(text, full, "yyyy-MM-dd HH:mm:ss", _DASHED_GAPS)
 
 
+# Every text that matches is read by `dashed_time`; others may be too, such as the last days of a month.
+_PLAIN = r"^(?!0000)[0-9]{4}-(0[1-9]|1[0-2])-(0[1-9]|1[0-9]|2[0-8]) ([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]\z"
+
+
+def is_plain_time(text: Column) -> Column:
+    """Whether `dashed_time` surely reads a text, without reading it."""
+    return F.coalesce(text.rlike(_PLAIN), F.lit(False))
+
+
 def compact_time_fault(text: Column) -> Column:
     """Why `compact_time` gave NULL, in the fixed wording of the receipts."""
     return (
