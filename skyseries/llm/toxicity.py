@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from skyseries.llm.frames import by_bytes
+from skyseries.llm.frames import by_bytes, give_back
 from skyseries.llm.words import Words, mix, utf8, windows
 
 #: At most so many labelled documents of each class are used for fitting, those with the smallest hash of their id ...
@@ -45,8 +45,10 @@ SHORT, SHORTEST = 4, 3
 JOINED = (4, 12)
 #: Decisions below count as this.
 FLOOR = -0.3
-#: Words that a Python worker remembers.
-REMEMBERED = 1_000_000
+#: Words that a Python worker remembers, and those that the driver does while it fits.
+REMEMBERED, REMEMBERED_FITTING = 1_000_000, 200_000
+#: Words whose subsequences are held at a time, and texts that the driver looks at together.
+WORDS_AT_ONCE, TEXTS_AT_ONCE = 1024, 16
 
 _BITS = 21
 _FACTORS = mix(np.arange(4, dtype=np.uint64), 5) | np.uint64(1)
@@ -219,17 +221,17 @@ class Model:
 
 
 class Scorer:
-    def __init__(self, model: Model):
-        self.model, self.table = model, model.table() if model.ids is not None else None
+    def __init__(self, model: Model, remembered: int = REMEMBERED):
+        self.model, self.table, self.remembered = model, model.table() if model.ids is not None else None, remembered
         self.seen: set[str] = set()
         self.toxic: dict[str, float] = {}
 
     def decisions(self, words: list[str]) -> np.ndarray:
         """The machine's decision for each word form, at least ``FLOOR``."""
         out = np.full(len(words), FLOOR)
-        order = sorted(range(len(words)), key=lambda i: len(words[i]))
-        for a in range(0, len(order), 4096):
-            part = order[a: a + 4096]
+        order = np.argsort(np.fromiter(map(len, words), np.int32, len(words)), kind="stable").astype(np.int32)
+        for a in range(0, len(order), WORDS_AT_ONCE):
+            part = order[a: a + WORDS_AT_ONCE]
             rows, ids, weights = features([words[i] for i in part])
             out[part] = np.bincount(rows, self.table[ids] * weights, len(part)) + self.model.offset
         return np.maximum(out, FLOOR)
@@ -249,7 +251,7 @@ class Scorer:
 
     def evidence(self, texts: list[str]) -> np.ndarray:
         """Per text: the two highest decisions among its words, and the log of how many are positive."""
-        if len(self.seen) > REMEMBERED:
+        if len(self.seen) > self.remembered:
             self.seen, self.toxic = set(), {}
         owned = [chunks(t) for t in texts]
         new = set().union(*owned) - self.seen if owned else set()
@@ -279,8 +281,8 @@ def _varied(words: list[str], rng: np.random.Generator) -> list[str]:
 def _distinct_texts(rows: list[tuple[str, int]]) -> list[tuple[str, int]]:
     """One of each group of near copies: texts that share the smallest or largest hash of their runs of three words."""
     out, seen = [], set()
-    for at in range(0, len(rows), 64):
-        part = rows[at: at + 64]
+    for at in range(0, len(rows), TEXTS_AT_ONCE):
+        part = rows[at: at + TEXTS_AT_ONCE]
         found = Words(*utf8(pa.array([text for text, _ in part], pa.string())))
         hashes = found.hashes(lower=True)
         runs = windows(hashes, 3)
@@ -310,19 +312,24 @@ def fit(rows: list[tuple[str, int]]) -> Model:
     rows.clear()
     rows = distinct
     words_of, fitting = rows[0::3] + rows[1::3], rows[2::3] if len(rows) > 300 else rows
-    sentences: dict[str, int] = {}
+    # The sentences themselves are not kept, only the 64 bits of their hashes; each is counted where it comes first.
+    labelled: dict[int, int] = {}
     for text, label in words_of:
         for sentence in _SENTENCE.split(text.lower()):
-            sentences[sentence] = min(label, sentences.get(sentence, label))
+            labelled[hash(sentence)] = min(label, labelled.get(hash(sentence), label))
     held, together = ({}, {}), {}
-    for sentence, label in sentences.items():
-        words = set(sentence.split())
-        # What neighbours happen to make together is learned as clean where it is no toxic word, and never as toxic.
-        for chunk in chunks(sentence) if label == 0 else words:
-            for form in forms(chunk)[:1]:
-                into = held[label] if chunk in words else together
-                into[form] = into.get(form, 0) + 1
-    del rows, distinct, words_of, sentences
+    for text, _ in words_of:
+        for sentence in _SENTENCE.split(text.lower()):
+            label = labelled.pop(hash(sentence), None)
+            if label is None:
+                continue
+            words = set(sentence.split())
+            # What neighbours happen to make together is learned as clean where it is no toxic word, and never as toxic.
+            for chunk in chunks(sentence) if label == 0 else words:
+                for form in forms(chunk)[:1]:
+                    into = held[label] if chunk in words else together
+                    into[form] = into.get(form, 0) + 1
+    del rows, distinct, words_of, labelled
     share = lambda w: held[1].get(w, 0) / (held[1].get(w, 0) + held[0].get(w, 0))
     toxic = sorted((w for w, n in held[1].items() if n >= MIN_SENTENCES and share(w) >= MIN_SHARE), key=lambda w: (-held[1][w], w))[:2000]
     often = lambda counts: sorted(counts, key=lambda w: (-counts[w], w))
@@ -358,19 +365,23 @@ def fit(rows: list[tuple[str, int]]) -> Model:
         folded = np.bincount(ids, landmark_weights * (into @ w[:-1])[at], 1 << _BITS)
         model.ids = np.flatnonzero(folded)
         model.weights, model.offset = folded[model.ids].astype(np.float32), float(w[-1])
+        del folded
         # What is still taken for toxic counts more in the next round, the more often it occurs.
-        decided = dict(zip(clean, Scorer(model).decisions(clean)))
-        clean_cost = clean_cost * np.array([1 + 4 * (decided[w] > FLOOR) for w in pool])
-        hard = sorted((w for w in clean if decided[w] > FLOOR and w not in picked and share(w) < MIN_SHARE), key=lambda w: (-decided[w], w))
+        found = Scorer(model).decisions(clean)
+        decided = {clean[k]: found[k] for k in np.flatnonzero(found > FLOOR)}
+        del found
+        clean_cost = clean_cost * np.array([1 + 4 * (w in decided) for w in pool])
+        hard = sorted((w for w in decided if w not in picked and share(w) < MIN_SHARE), key=lambda w: (-decided[w], w))
         hard = hard[: CLEAN_WORDS // 2]
         if hard:
             picked.update(hard)
             pool += hard
             clean_x.append(_placed(hard, landmarks, into))
             clean_cost = np.concatenate([clean_cost, [2 + np.log(held[0][w]) for w in hard]])
-    scorer = Scorer(model)
-    seen = scorer.evidence([t for t, _ in fitting])
-    model.logistic = _logistic(seen, np.array([label for _, label in fitting], float))
+    del held, together, clean, toxic_x, clean_x, decided
+    scorer = Scorer(model, REMEMBERED_FITTING)
+    seen = [scorer.evidence([t for t, _ in fitting[a: a + TEXTS_AT_ONCE]]) for a in range(0, len(fitting), TEXTS_AT_ONCE)]
+    model.logistic = _logistic(np.concatenate(seen), np.array([label for _, label in fitting], float))
     return model
 
 
@@ -395,11 +406,14 @@ def train(docs: DataFrame, labels: DataFrame, train_docs: int = TRAIN_DOCS, trai
     texts = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").where(F.length("text").between(1, train_chars))
     # One text for each id: the first, if an id repeats.
     rows = texts.join(sample, "doc_id").groupBy("doc_id").agg(F.min("text").alias("text"), F.max("label").alias("label"))
-    found = rows.limit(2 * train_docs).toArrow().sort_by("doc_id")
-    mixed = found.take(np.random.default_rng(1).permutation(found.num_rows))
-    rows = list(zip(mixed.column("text").to_pylist(), mixed.column("label").to_pylist()))
-    del found, mixed
-    return fit(rows)
+    found = rows.limit(2 * train_docs).toArrow()
+    order = np.argsort(found.column("doc_id").to_numpy())[np.random.default_rng(1).permutation(found.num_rows)]
+    rows = [(found.column("text")[i].as_py(), found.column("label")[i].as_py()) for i in order.tolist()]
+    del found
+    give_back()
+    model = fit(rows)
+    give_back()
+    return model
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", name: str = "score") -> DataFrame:

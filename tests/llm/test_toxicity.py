@@ -76,6 +76,24 @@ def test_inserted_and_spread_characters(model):
     assert T.Scorer(model).scores([plain, "", "the in on the re he ed"]).max() < 0.5
 
 
+def test_fitting_holds_few_texts_and_words_at_a_time(model, monkeypatch):
+    texts, words = [], []
+    evidence, features = T.Scorer.evidence, T.features
+    monkeypatch.setattr(T.Scorer, "evidence", lambda self, own: texts.append(len(own)) or evidence(self, own))
+    monkeypatch.setattr(T, "features", lambda own: words.append(len(own)) or features(own))
+    again = T.fit([(text, label) for _, text, label in rows()])
+    assert sum(texts) > 200 and max(texts) <= 32
+    # The driver decides on every clean word in each round.
+    assert sum(words) > 20_000 and max(words) <= 2048
+    # What is held together changes no result.
+    monkeypatch.setattr(T, "TEXTS_AT_ONCE", 1000)
+    monkeypatch.setattr(T, "WORDS_AT_ONCE", 1 << 20)
+    monkeypatch.setattr(T, "REMEMBERED_FITTING", 100)
+    whole = T.fit([(text, label) for _, text, label in rows()])
+    for one in (again, whole):
+        assert (one.ids == model.ids).all() and (one.weights == model.weights).all() and np.allclose(one.logistic, model.logistic, atol=1e-9)
+
+
 def test_training_data_is_summed_in_blocks():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(2500, 7)).astype(np.float32)
