@@ -1,6 +1,8 @@
 """Greedy token counts and n-best segmentations against all ways to cut."""
 
 import random
+import zlib
+from array import array
 
 import pytest
 from hypothesis import given
@@ -140,3 +142,32 @@ def test_segmentations_of_whole_texts(spark, lattice):
         assert found[i].restored == (N.SPACE not in (text or ""))
     assert found[None].n_pieces == found[2].n_pieces
     assert N.segmentations(df.limit(0), PIECE_MODEL).collect() == []
+
+
+def test_paths_through_units_are_those_through_the_whole_text(lattice):
+    rng = random.Random(5)
+    parts = ["th", "ing", "e ", " ", "naïve", "漢", "\n", "12", "xyzzy", "s", "er" * 20]
+    for n in [1, 2, 3, 9] * 20:
+        text = "".join(rng.choice(parts) for _ in range(rng.randrange(12)))
+        own = N.units(text)
+        runs = [lattice.run(unit) for unit in own]
+        for both, run in zip(lattice.two_best(own), runs):
+            assert both is None or (both[:4], both[4]) == (run[:4], run[4][:1])
+        found, whole = lattice.paths(own, runs, n), lattice.n_best(text, n)
+        assert [s for s, _ in found] == [s for s, _ in whole] and len({ids for _, ids in found}) == len(found)
+        # Where scores tie, the order of a long list may differ; the two best are the same paths.
+        assert [(s, list(array("I", ids))) for s, ids in found[:2]] == whole[:2]
+        # Each is a path of its own score.
+        scores = {ids: s for s, ids in lattice.unit_best(N.SPACE + text.replace(" ", N.SPACE), 400)} if text else {(): 0.0}
+        assert all(scores[tuple(array("I", ids))] == s for s, ids in found)
+
+
+def test_rows_come_from_one_search_over_each_whole_text(spark, lattice):
+    texts = ["Thing of the naïve 漢\n\n  end ", "the same the same", "a", "", None, "y" * 70]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    for row in N.segmentations(df, PIECE_MODEL).collect():
+        best, *second = lattice.n_best(texts[row.doc_id] or "", 2)
+        ids = [zlib.crc32(array("I", own).tobytes()) for _, own in (best, *second)]
+        # The second segmentation itself, not its score alone.
+        assert [row.ids_crc32, row.runner_up_crc32] == (ids + [None])[:2]
+        assert row.runner_up == (second[0][0] if second else None)
