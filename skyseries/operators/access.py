@@ -20,7 +20,8 @@ def open_flags(keys: DataFrame, param_permits: DataFrame, station_permits: DataF
     """Add `is_open` to distinct `(station_id, type_id, param_id)` keys, or to those and the columns ``by``.
 
     Every key looks up its four possible permits (exact, any parameter, any type, any of both), so the
-    work is four lookups per key, however many permits a station has. Permits have the columns ``by`` too.
+    work is four lookups per key, however many permits a station has. Permits have the columns ``by`` too. They may come from
+    anywhere, and there may be as many as stations, so none are broadcast.
     """
     by = list(by)
     first = param_permits.groupBy(*KEY, *by).agg(F.min(F.struct("ord", "permit_id")).alias("permit"))
@@ -44,12 +45,12 @@ def open_flags(keys: DataFrame, param_permits: DataFrame, station_permits: DataF
         F.col("param_id").alias("own_param"),
     )
     decided = (
-        lookup_join(probes, first, [*KEY, *by], "inner", sliced=sliced)
+        lookup_join(probes, first, [*KEY, *by], "inner", sliced=sliced, shuffled=True)
         .groupBy("station_id", *by, F.col("own_type").alias("type_id"), F.col("own_param").alias("param_id"))
         .agg(F.min("permit").alias("permit"))
     )
     stations = station_permits.groupBy("station_id", *by).agg(F.max("permit_id").alias("station_permit"))
-    with_station = lookup_join(keys, stations, ["station_id", *by], sliced=sliced)
+    with_station = lookup_join(keys, stations, ["station_id", *by], sliced=sliced, shuffled=True)
     # One row per key on both sides, so no key is heavy here.
     return with_station.join(decided, [*KEY, *by], "left").select(
         *keys.columns,

@@ -46,7 +46,8 @@ def latest_wins(writes: DataFrame, keys, order, payload, unique: bool = False) -
     A NULL payload of the last write wins over older values. A payload of fixed width is aggregated by hash, collapsed per
     task before the shuffle. Of a wider one, such as texts, a hash aggregate finds only when the last write of each key
     was, and the payload is fetched by that once; of several writes in one place the larger of the further order columns
-    wins, then a hash of the payload. ``unique`` says that the order never ties, which saves looking.
+    wins, then a hash of the payload. ``unique`` says that the order never ties, which saves looking. There are about as many
+    last writes as writes, so these are joined by shuffle, however small the planner takes them for.
     """
     columns = [order] if isinstance(order, str) else [] if isinstance(order, Column) else list(order)
     if len(columns) > 1 and _whole_numbers(writes, columns[:2]):
@@ -56,7 +57,7 @@ def latest_wins(writes: DataFrame, keys, order, payload, unique: bool = False) -
     ranked = writes.select(*keys, *[c for c in (*payload, *rest) if c not in keys], lead.alias("_lead"))
     if not rest and _fixed_width(ranked, ["_lead", *payload]):
         return ranked.groupBy(*keys).agg(*[F.max_by(c, "_lead").alias(c) for c in payload])
-    last = ranked.groupBy(*keys).agg(F.max("_lead").alias("_lead"))
+    last = ranked.groupBy(*keys).agg(F.max("_lead").alias("_lead")).hint("merge")
     on = [*keys, "_lead"]
     found = ranked.alias("w").join(last.alias("l"), keys_equal("w", "l", on, keys), "left_semi")
     if unique:

@@ -67,7 +67,7 @@ def ingest_batch(store: Store, messages: DataFrame, side: SideTables, batch: int
     """
     session.prepare(store.spark)
     codes = code_sets(side.params)
-    with session.staged(observations.checked_messages(messages, codes), "decoded") as checked:
+    with session.broadcasts_measured(store.spark), session.staged(observations.checked_messages(messages, codes), "decoded") as checked:
         decoded = observations.decode_checked(checked, side.params, codes)
         rows = observations.null_zero_ids(decoded.observations) if zero_ids_are_null else decoded.observations
         typed = with_param_ids(rows, side.params, codes is not None, sliced)

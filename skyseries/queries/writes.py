@@ -99,7 +99,8 @@ def side_tables(spark, sf_dir):
 
 def stored(store):
     """Numbers and texts of a store under their labels."""
-    labels = store.registry().select("timeseries", "station_id", "param_code", "sensor", "lvl")
+    # There are as many labels as series, far more than their files seem to hold.
+    labels = store.registry().select("timeseries", "station_id", "param_code", "sensor", "lvl").hint("merge")
     columns = ["station_id", "param_code", "sensor", "lvl", ntz("obstime")]
     none = F.lit(None)
     numbers = store.values("data").join(labels, "timeseries").select(
@@ -182,7 +183,7 @@ def records(rows, status):
 
 def flags(store):
     """Control records of a store under their labels."""
-    labels = store.labels_met().select("timeseries", "station_id", "param_id", "lvl")
+    labels = store.labels_met().select("timeseries", "station_id", "param_id", "lvl").hint("merge")
     return records(store.values("qc_flags").join(labels, "timeseries"), "stored")
 
 
@@ -272,7 +273,7 @@ def compact_store(spark, sf_dir):
     qc_batch(store, spark.createDataFrame([], schema.QC_MESSAGES), batch=1)
     store = store.compact_into(session.shared_dir(spark, "third"))
     none = F.lit(None)
-    codes = store.registry().select("timeseries", "station_id", "param_code", "sensor", "lvl")
+    codes = store.registry().select("timeseries", "station_id", "param_code", "sensor", "lvl").hint("merge")
     found = store.values("qc_flags").join(codes, "timeseries").select(
         "station_id", "param_code", "sensor", "lvl", ntz("obstime"), F.col("original").cast("double").alias("obsvalue"), F.col("useinfo").alias("obstext")
     )

@@ -7,7 +7,7 @@ from datetime import datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from skyseries import schema
+from skyseries import schema, session
 from skyseries.functions.times import bucket_filter, obs_bucket, rfc3339, utc_date
 from skyseries.operators import access, grid, integrity, registry, skew, synth
 from skyseries.operators.series import series_headers, with_range
@@ -269,3 +269,35 @@ def test_synthetic_series_look_as_asked(spark):
     ).first()[0]
     assert observed.count() == expected == observed.select("timeseries", "obstime").distinct().count()
     assert {r.obsvalue for r in observed.select("obsvalue").distinct().collect()} == {i * 0.5 for i in range(30)}
+
+
+def test_permits_of_many_stations_are_not_broadcast(spark):
+    stations = spark.range(1).select(F.explode(F.sequence(F.lit(1), F.lit(3000))).alias("station_id"))
+    permits = stations.select("station_id", F.lit(0).alias("type_id"), F.lit(0).alias("param_id"), (F.col("station_id") % 2).alias("permit_id"), F.lit(0).alias("ord"))
+    keys = stations.where("station_id in (7, 8, 3000)").select("station_id", F.lit(501).alias("type_id"), F.lit(211).alias("param_id"))
+    found = access.open_flags(keys, permits.where("station_id < 100"), stations.withColumn("permit_id", F.lit(1)))
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # Both kinds are joined by shuffle, though the planner takes them for a single row.
+    assert plan.count("SortMergeJoin") == 2
+    assert sorted((r.station_id, r.is_open) for r in found.collect()) == [(7, True), (8, False), (3000, True)]
+
+
+def test_last_writes_of_texts_are_not_broadcast(spark, tmp_path):
+    writes = spark.createDataFrame([(1, 1, "a"), (1, 3, None), (1, 2, "b"), (None, 1, "d")], "k int, seq int, t string")
+    writes.write.parquet(f"{tmp_path}/writes")
+    last = latest_wins(spark.read.parquet(f"{tmp_path}/writes"), ["k"], "seq", ["t"])
+    assert "SortMergeJoin" in last_join(last)
+    assert sorted(rows(last), key=repr) == [(1, None), (None, "d")]
+
+
+def test_only_measured_sizes_are_broadcast(spark, tmp_path):
+    spark.range(5).write.parquet(f"{tmp_path}/ids")
+    ids, key = spark.read.parquet(f"{tmp_path}/ids"), "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    assert "BroadcastHashJoin" in last_join(ids.join(ids.withColumnRenamed("id", "other"), F.col("id") == F.col("other")))
+    with session.broadcasts_measured(spark), session.broadcasts_measured(spark):
+        joined = ids.join(ids.withColumnRenamed("id", "other"), F.col("id") == F.col("other"))
+        assert "SortMergeJoin" in last_join(joined)
+        # What turns out small while the query runs is broadcast all the same.
+        assert joined.count() == 5 and spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold") == before
+    assert spark.conf.get(key) == before and spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None) is None
