@@ -49,7 +49,7 @@ def qc_batch(store: Store, messages: DataFrame, batch: int, side: SideTables | N
     newest = max(store.batches("registry"), default=-1)
     seen = store.seen_registry(before=batch)
     arrival = F.lit(batch).cast("bigint")
-    with session.staged(checked_documents(messages), "documents") as checked:
+    with session.broadcasts_measured(store.spark), session.staged(checked_documents(messages), "documents") as checked:
         decoded = decode_checked(checked)
         records = decoded.records.withColumn("arrival", arrival)
         older = released(store, batch, seen, newest) if retry else records.limit(0)

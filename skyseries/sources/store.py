@@ -25,7 +25,7 @@ from pyspark import inheritable_thread_target
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skyseries import schema
+from skyseries import schema, session
 from skyseries.functions.times import BUCKET_YEARS, bucket_filter, month_filter, obs_bucket, obs_month
 from skyseries.operators import registry as reg
 from skyseries.operators.qc import PAYLOAD
@@ -324,7 +324,7 @@ class Store:
 
     def waiting(self, seen: int) -> DataFrame:
         """Control records whose series was not registered by batch ``seen``."""
-        known = reg.labels_met(self.registry(before=seen + 1)).select(*reg.MET_KEY).distinct()
+        known = reg.labels_met(self.registry(before=seen + 1)).select(*reg.MET_KEY).distinct().hint("merge")
         kept = self.log("quarantine").alias("q")
         return kept.join(known.alias("r"), keys_equal("q", "r", reg.MET_KEY, reg.NULLABLE), "left_anti")
 
@@ -406,12 +406,13 @@ class Store:
             if not numbers:
                 continue
             end = numbers[-1] if end is None else int(end)
-            if numbers[0] <= end:
-                target.write_all({table: self._folded(table, end, seen) for table in tables}, end)
-                target._mark(end, 0, f"{FOLDED}-{family}")
-            for number in numbers:
-                if number > end:
-                    target.write_all({table: self.log(table, only=number).drop(*PLACE) for table in tables}, number)
+            with session.broadcasts_measured(self.spark):
+                if numbers[0] <= end:
+                    target.write_all({table: self._folded(table, end, seen) for table in tables}, end)
+                    target._mark(end, 0, f"{FOLDED}-{family}")
+                for number in numbers:
+                    if number > end:
+                        target.write_all({table: self.log(table, only=number).drop(*PLACE) for table in tables}, number)
         return target
 
     def _folded(self, table: str, end: int, seen: int) -> DataFrame:

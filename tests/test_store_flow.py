@@ -12,6 +12,7 @@ from skyseries.plans import read_api
 from skyseries.plans.bulk_load import audit_store, bulk_load
 from skyseries.plans.ingest import ingest_batch, with_param_ids
 from skyseries.plans.qc_ingest import qc_batch
+from skyseries.queries.writes import stored
 from skyseries.sources.store import Store
 from tests.support import HOUR, MINUTE, NEW_YEAR, PARAM_IDS, STATION_PERMITS, message, messages, rows, side_tables
 
@@ -416,3 +417,25 @@ def test_values_stay_where_they_are_when_they_meet_a_small_catalogue(spark):
     assert with_param_ids(rows_of_one, params, True).select(F.spark_partition_id().alias("p")).distinct().count() == 8
     assert with_param_ids(rows_of_one, params, True, sliced=True).count() == 800
     assert with_param_ids(rows_of_one, params.where("id = 212"), True).count() == 0
+
+
+def test_nothing_is_broadcast_by_the_size_of_its_files(store, tmp_path, monkeypatch):
+    seen, write_all = [], Store.write_all
+
+    def watched(self, tables, batch):
+        seen.append((sorted(tables)[0], store.spark.conf.get("spark.sql.autoBroadcastJoinThreshold")))
+        return write_all(self, tables, batch)
+
+    monkeypatch.setattr(Store, "write_all", watched)
+    ingest(store, message(20001, 501, ["TA", "KLOBS"], NEW_YEAR, HOUR, 3, ["1", "a"]))
+    ingest(store, message(20001, 501, ["TA", "KLOBS"], NEW_YEAR + HOUR, HOUR, 3, ["2", "b"]), batch=1)
+    qc_batch(store, store.spark.createDataFrame([], schema.QC_MESSAGES), batch=0)
+    folded = store.compact_into(f"{tmp_path}/folded")
+    assert [found for _, found in seen] == ["-1"] * 5
+    for one in (store, folded):
+        read = stored(one)
+        plan = read._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
+        assert [(r.obsvalue, r.obstext) for r in read.orderBy("obstime", "obstext").collect()] == [
+            (1.0, None), (None, "a"), (2.0, None), (None, "b"), (2.0, None), (None, "b"), (2.0, None), (None, "b")
+        ]
