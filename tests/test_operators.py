@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from skyseries import schema, session
-from skyseries.functions.times import bucket_filter, obs_bucket, rfc3339, utc_date
+from skyseries.functions.times import BUCKET_YEARS, bucket_filter, obs_bucket, obs_month, rfc3339, utc_date
 from skyseries.operators import access, grid, integrity, registry, skew, synth
 from skyseries.operators.series import series_headers, with_range
 from skyseries.operators.upsert import latest_wins, packed_order
@@ -301,3 +301,16 @@ def test_only_measured_sizes_are_broadcast(spark, tmp_path):
         # What turns out small while the query runs is broadcast all the same.
         assert joined.count() == 5 and spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold") == before
     assert spark.conf.get(key) == before and spark.conf.get("spark.sql.adaptive.autoBroadcastJoinThreshold", None) is None
+
+
+def test_storage_ranges_are_found_without_the_calendar(spark):
+    ends = [datetime(y, 1, 1) + timedelta(microseconds=d) for y in (1950, 2000, 2019, 2029, 2030) for d in (-1, 0)]
+    df = spark.createDataFrame([(t,) for t in [*ends, None]], "t timestamp")
+    for kind in ("timestamp", "timestamp_ntz", "date"):
+        placed = df.select(F.col("t").cast(kind).alias("t")).select(F.year("t").alias("year"), obs_bucket(F.col("t")).alias("b"), obs_month(F.col("t")).alias("m"))
+        for year, bucket, month in placed.collect():
+            inside = year is not None and 1950 <= year < 2030
+            assert bucket == (max(y for y in BUCKET_YEARS if y <= year) if inside else None)
+            assert month is None if not inside else month // 100 == year and month % 100 in (1, 12)
+    # A load asks it of very many values.
+    assert "year(" not in df.select(obs_bucket(F.col("t")))._jdf.queryExecution().optimizedPlan().toString()
